@@ -78,3 +78,89 @@ def merchant_stats(t: DataFrame, threshold: int = 5) -> DataFrame:
         (1 / (1 + F.col("merchant_amount_std"))).alias("merchant_amount_consistency"),
         (F.col("merchant_unique_users") / max_users).alias("merchant_popularity"),
     )
+
+
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, salt_col: str,
+          salts: int = 16, out: str = "rank") -> DataFrame:
+    """Exact top-k rows per key, skew-safe: top k per (key, salt) first, then
+    top k of the <= k*salts survivors per key. ``order`` must end in a
+    unique column so ranking is deterministic."""
+    from pyspark.sql import Window
+    salted = df.withColumn("_s", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
+    w1 = Window.partitionBy(*keys, "_s").orderBy(*order)
+    cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_s")
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+
+
+def spending_summary(t: DataFrame) -> DataFrame:
+    """G4 + I2: per user total, mean, count, top-5 categories by spend (ties by
+    name), and rows above the user's own exact 95th percentile (linear)."""
+    per = t.groupBy("user_id").agg(
+        F.sum("amount").alias("total_spending"), F.avg("amount").alias("average_transaction"),
+        F.count(F.lit(1)).alias("transaction_count"),
+        F.percentile("amount", 0.95).alias("_p95"))
+    unusual = (t.select("user_id", "amount").join(per.select("user_id", "_p95"), "user_id")
+                .groupBy("user_id").agg(F.count_if(F.col("amount") > F.col("_p95")).alias("unusual_transactions")))
+    cats = t.groupBy("user_id", "category").agg(F.sum("amount").alias("_s"))
+    top = cats.groupBy("user_id").agg(
+        F.array_join(F.slice(F.transform(
+            F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("neg"), F.coalesce("category", F.lit("other")).alias("c")))),
+            lambda x: x["c"]), 1, 5), "|").alias("top_categories"))
+    return (per.drop("_p95").join(unusual, "user_id").join(top, "user_id"))
+
+
+def peak_hours(t: DataFrame, key: str = "vpa") -> DataFrame:
+    """Hours whose count exceeds the key's mean hourly count (over hours
+    that occur), sorted, as text ``"9,19"``."""
+    hc = t.where(F.col("timestamp").isNotNull()).groupBy(key, F.hour("timestamp").alias("hour")).agg(
+        F.count(F.lit(1)).alias("n"))
+    mean = hc.groupBy(key).agg(F.avg("n").alias("_mu"))
+    return (hc.join(mean, key).groupBy(key).agg(
+        F.array_join(F.sort_array(F.collect_list(F.when(F.col("n") > F.col("_mu"), F.col("hour")))), ",").alias("peak_hours"),
+        F.sum("n").alias("n_timed")))
+
+
+def seasonality(t: DataFrame, key: str = "vpa") -> DataFrame:
+    """Share of a key's rows per month name (one row per key, month)."""
+    mc = t.where(F.col("timestamp").isNotNull()).groupBy(key, F.date_format("timestamp", "MMMM").alias("month_name")).agg(
+        F.count(F.lit(1)).alias("n"))
+    tot = mc.groupBy(key).agg(F.sum("n").alias("_t"))
+    return mc.join(tot, key).select(key, "month_name", (F.col("n") / F.col("_t")).alias("share"))
+
+
+def growth(t: DataFrame, key: str = "vpa") -> DataFrame:
+    """0.5 + (last month volume - first) / max(first, 1), clamped; fewer
+    than 4 rows or 2 months -> 0.5."""
+    valid = t.where(F.col("timestamp").isNotNull() & F.col("amount").isNotNull() & (F.col("amount") != 0))
+    mv = valid.groupBy(key, F.date_format("timestamp", "yyyy-MM").alias("m")).agg(F.sum("amount").alias("v"))
+    per = mv.groupBy(key).agg(F.count(F.lit(1)).alias("months"),
+                              F.min_by("v", "m").alias("first_v"), F.max_by("v", "m").alias("last_v"))
+    n = t.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (F.col("last_v") - F.col("first_v")) / F.greatest(F.col("first_v"), F.lit(1.0))))
+    return (n.join(per, key, "left").select(
+        key, "n", F.coalesce("months", F.lit(0)).cast("long").alias("months"),
+        F.when((F.col("n") < 4) | (F.coalesce("months", F.lit(0)) < 2), F.lit(0.5)).otherwise(g).alias("growth_trend")))
+
+
+def pricing(t: DataFrame, key: str = "vpa") -> DataFrame:
+    """Mean, exact median, volatility = pop std / mean (0 if mean <= 0);
+    rows with a null or zero amount are ignored, as in the reference."""
+    a = t.where(F.col("amount").isNotNull() & (F.col("amount") != 0))
+    return a.groupBy(key).agg(
+        F.avg("amount").alias("average_transaction"),
+        F.median("amount").alias("median_transaction"),
+        F.when(F.avg("amount") > 0, F.stddev_pop("amount") / F.avg("amount")).otherwise(F.lit(0.0)).alias("price_volatility"))
+
+
+def dataset_summary(t: DataFrame) -> DataFrame:
+    """Category distribution plus amount describe, one row per category
+    and one overall row (category = '*')."""
+    per_cat = t.groupBy(F.coalesce("category", F.lit("(null)")).alias("category")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount"),
+        F.median("amount").alias("median_amount"), F.min("amount").alias("min_amount"),
+        F.max("amount").alias("max_amount"))
+    overall = t.agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount"),
+                    F.median("amount").alias("median_amount"), F.min("amount").alias("min_amount"),
+                    F.max("amount").alias("max_amount")).select(F.lit("*").alias("category"), "*")
+    return per_cat.unionByName(overall)

@@ -26,5 +26,5 @@ def rounded(sql: str, double_cols) -> str:
     """Wrap oracle SQL so the listed DOUBLE columns are rounded like ``finish``."""
     if not double_cols:
         return sql
-    rep = ", ".join(f'round("{c}", {DIGITS}) AS "{c}"' for c in double_cols)
+    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {DIGITS}) AS "{c}"' for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"
