@@ -202,9 +202,11 @@ def q_novel_merchants(spark, sf):
     t = pay(spark, sf)
     fam = W.with_running_count(t.select("transaction_id", "user_id", "merchant_name", "timestamp"),
                                ["user_id", "merchant_name"], "timestamp", "transaction_id", out="fam")
-    pr = TG.priors(t, TG.catalog_dim(catalog(spark, sf))).select("transaction_id", "merchant_token", "catalog_confidence")
+    cd = TG.catalog_dim(catalog(spark, sf)).select(F.col("normalized_name").alias("merchant_token"), "canonical_id")
     v = _vocab(spark, sf).select(F.col("value").alias("merchant_token"), F.lit(1).alias("_inv"))
-    d = pr.join(fam.select("transaction_id", "fam"), "transaction_id").join(v, "merchant_token", "left")
+    d = (fam.withColumn("merchant_token", X.normalize_name("merchant_name"))
+            .join(cd, "merchant_token", "left").join(v, "merchant_token", "left")
+            .withColumn("catalog_confidence", F.when(F.coalesce("canonical_id", F.lit(0.0)) > 0, 0.95).otherwise(0.0)))
     novel = ((F.col("catalog_confidence") <= 0) & (F.col("fam") <= 1)) | F.col("_inv").isNull()
     return finish(d.select("transaction_id", "merchant_token", novel.cast("double").alias("novelty_score")))
 
