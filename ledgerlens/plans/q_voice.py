@@ -1 +1,162 @@
-"""(filled in as operators land)"""
+"""Transcript text operators (P1–P9, G15, I5) over ``conversations`` texts."""
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import textmine as TM
+from ..operators.aggregates import top_k
+from ..sources.tables import table
+from . import sqlx as S
+from .common import finish, rounded
+from .registry import register
+
+KEYS = ["conv_id", "turn"]
+_LOW = "lower(text)"
+
+
+def _texts(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def _hits_sql(kws):
+    return "list_filter([" + ", ".join(f"CASE WHEN contains({_LOW}, {S.q(k)}) THEN {S.q(k)} END" for k in kws) + "], lambda x: x IS NOT NULL)"
+
+
+def _any_sql(kws):
+    return "(" + " OR ".join(f"contains({_LOW}, {S.q(k)})" for k in kws) + ")"
+
+
+_WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
+_LWORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
+
+
+@register("text_entities", "SELECT conv_id, turn, role, text, "
+          f"array_to_string({_hits_sql(dict(TM.FINANCIAL_KEYWORDS)['merchants'])}, ',') AS ent_merchants, "
+          "array_to_string(" + " || ".join(f"regexp_extract_all({_LOW}, {S.q(p)}, 1)" for p in TM.AMOUNT_PATTERNS) + ", ',') AS ent_amounts, "
+          f"array_to_string({_hits_sql(TM.ENTITY_CATEGORIES)}, ',') AS ent_categories, "
+          f"array_to_string({_hits_sql(TM.ENTITY_LOCATIONS)}, ',') AS ent_locations, "
+          "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_LOW}, {S.q(p)}) THEN {S.q(p)} END" for p in TM.DATE_PATTERNS)
+          + "], lambda x: x IS NOT NULL), ',') AS ent_dates FROM conversations")
+def q_text_entities(spark, sf):
+    return finish(TM.entities(_texts(spark, sf)))
+
+
+_EMO = [n for n, _, _ in TM.EMOTIONS]
+
+
+@register("text_emotions", rounded("SELECT conv_id, turn, " + ", ".join(
+    f"CASE WHEN {_any_sql(kws)} THEN {w!r} ELSE 0.0 END AS emo_{n}" for n, w, kws in TM.EMOTIONS)
+    + f", CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations",
+    [f"emo_{n}" for n in _EMO] + ["emo_neutral"]))
+def q_text_emotions(spark, sf):
+    return finish(TM.emotions(_texts(spark, sf)).select(*KEYS, *[f"emo_{n}" for n in _EMO], "emo_neutral"))
+
+
+_POS = " + ".join(f"CAST(contains({_LOW}, {S.q(w)}) AS INTEGER)" for w in TM.POSITIVE_WORDS)
+_NEG = " + ".join(f"CAST(contains({_LOW}, {S.q(w)}) AS INTEGER)" for w in TM.NEGATIVE_WORDS)
+_SENT = (f"CASE WHEN len({_WORDS}) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, "
+         f"CAST(({_POS}) - ({_NEG}) AS DOUBLE) / greatest(len({_WORDS}), 1) * 10)) END")
+
+
+@register("text_sentiment", rounded(f"SELECT conv_id, turn, {_SENT} AS sentiment_score, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM conversations",
+                                    ["sentiment_score"]))
+def q_text_sentiment(spark, sf):
+    t = _texts(spark, sf)
+    return finish(t.select(*KEYS, TM.sentiment(F.col("text")).alias("sentiment_score"),
+                           TM.word_count(F.col("text")).cast("long").alias("n_words")))
+
+
+_INS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any_sql(kws)} THEN {S.q(n)} END" for n, kws in TM.INSIGHTS) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@register("text_insights", f"SELECT conv_id, turn, {_INS} AS insights FROM conversations")
+def q_text_insights(spark, sf):
+    return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.insights(F.col("text")), ",").alias("insights")))
+
+
+@register("text_keywords", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct("
+          + _hits_sql([k for _, kws in TM.FINANCIAL_KEYWORDS for k in kws]) + ")), ',') AS keywords FROM conversations")
+def q_text_keywords(spark, sf):
+    return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.keywords(F.col("text")), ",").alias("keywords")))
+
+
+_LANG = f"CASE WHEN {_any_sql(TM.HINDI_INDICATORS)} THEN 'hi' ELSE 'en' END"
+
+
+@register("text_language", f"SELECT conv_id, turn, {_LANG} AS language FROM conversations")
+def q_text_language(spark, sf):
+    return finish(_texts(spark, sf).select(*KEYS, TM.language(F.col("text")).alias("language")))
+
+
+_TOKKW = " || ".join(f"list_filter({_LWORDS}, lambda w: w IN ({', '.join(S.q(k) for k in kws)}))" for _, kws in TM.FINANCIAL_KEYWORDS)
+ANALYSIS_SQL = f"""SELECT conv_id, turn, CAST(len({_WORDS}) AS BIGINT) AS n_words, len({_WORDS}) / 2.5 AS duration_seconds,
+  0.92 + (CAST(('0x' || substr(md5(text), 1, 8)) AS BIGINT) % 100) / 1000.0 AS confidence,
+  {_SENT} AS sentiment_score, {_LANG} AS language, {_INS} AS insights,
+  array_to_string({_TOKKW}, ',') AS financial_keywords FROM conversations"""
+
+
+@register("text_analysis", rounded(ANALYSIS_SQL, ["duration_seconds", "confidence", "sentiment_score"]))
+def q_text_analysis(spark, sf):
+    return finish(TM.analysis(_texts(spark, sf), KEYS))
+
+
+_MENTIONS = " UNION ALL ".join(
+    f"""SELECT conv_id, turn, {i} AS pattern_no, {S.q(a)} AS action_type, i AS mi,
+          CAST(replace(num[i + 1], ',', '') AS DOUBLE) * {m!r} AS amount, seg[i + 1] AS text_segment
+        FROM (SELECT conv_id, turn, regexp_extract_all({_LOW}, {S.q(p)}, 0) AS seg, regexp_extract_all({_LOW}, {S.q(p)}, 1) AS num
+              FROM conversations), LATERAL (SELECT unnest(range(len(seg))) AS i)"""
+    for i, (p, a, m) in enumerate(TM.SPENDING_PATTERNS))
+
+
+@register("spending_mentions", rounded(f"""SELECT conv_id, turn,
+  CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pattern_no, mi) - 1 AS INTEGER) AS match_no,
+  pattern_no, action_type, amount, text_segment, 0.9 AS confidence FROM ({_MENTIONS})""", ["amount", "confidence"]))
+def q_spending_mentions(spark, sf):
+    return finish(TM.spending_mentions(_texts(spark, sf), KEYS))
+
+
+_ROLL = [f"avg_emo_{n}" for n in _EMO + ["neutral"]] + ["avg_sentiment", "min_sentiment", "max_sentiment",
+                                                        "positive_ratio", "avg_duration", "avg_confidence"]
+
+
+@register("voice_rollup", rounded(f"""WITH a AS ({ANALYSIS_SQL}),
+e AS (SELECT conv_id, turn, {', '.join(f"CASE WHEN {_any_sql(kws)} THEN {w!r} ELSE 0.0 END AS emo_{n}" for n, w, kws in TM.EMOTIONS)},
+   CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations),
+lang AS (SELECT conv_id, language FROM (SELECT conv_id, language, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, language) AS r
+   FROM a GROUP BY conv_id, language) WHERE r = 1)
+SELECT conv_id, count(*) AS n_memos, {', '.join(f'avg(emo_{n}) AS avg_emo_{n}' for n in _EMO + ['neutral'])},
+  {', '.join(f'count(*) FILTER (WHERE emo_{n} > 0.3) AS n_emo_{n}' for n in _EMO)},
+  avg(sentiment_score) AS avg_sentiment, min(sentiment_score) AS min_sentiment, max(sentiment_score) AS max_sentiment,
+  avg(CAST(sentiment_score > 0.1 AS DOUBLE)) AS positive_ratio, avg(duration_seconds) AS avg_duration,
+  avg(confidence) AS avg_confidence, min(turn) AS first_turn, max(turn) AS last_turn, any_value(lang.language) AS modal_language
+FROM a JOIN e USING (conv_id, turn) JOIN lang USING (conv_id) GROUP BY conv_id""", _ROLL))
+def q_voice_rollup(spark, sf):
+    """Per conversation (a user's memo stream)."""
+    t = _texts(spark, sf)
+    a = TM.analysis(t, KEYS).join(TM.emotions(t).select(*KEYS, *[f"emo_{n}" for n in _EMO], "emo_neutral"), KEYS)
+    lang = (a.groupBy("conv_id", "language").agg(F.count(F.lit(1)).alias("_c")).groupBy("conv_id")
+             .agg(F.min_by("language", F.struct(-F.col("_c"), F.col("language"))).alias("modal_language")))
+    r = a.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n_memos"),
+        *[F.avg(f"emo_{n}").alias(f"avg_emo_{n}") for n in _EMO + ["neutral"]],
+        *[F.count_if(F.col(f"emo_{n}") > 0.3).alias(f"n_emo_{n}") for n in _EMO],
+        F.avg("sentiment_score").alias("avg_sentiment"), F.min("sentiment_score").alias("min_sentiment"),
+        F.max("sentiment_score").alias("max_sentiment"),
+        F.avg((F.col("sentiment_score") > 0.1).cast("double")).alias("positive_ratio"),
+        F.avg("duration_seconds").alias("avg_duration"), F.avg("confidence").alias("avg_confidence"),
+        F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return finish(r.join(lang, "conv_id"))
+
+
+@register("voice_top_terms", f"""WITH w AS (SELECT conv_id, unnest({_TOKKW}) AS term FROM conversations),
+c AS (SELECT conv_id, term, count(*) AS n FROM w GROUP BY ALL)
+SELECT conv_id, term, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, term) AS r FROM c)
+WHERE r <= 10""")
+def q_voice_top_terms(spark, sf):
+    """The 10 most common financial keywords per conversation."""
+    t = _texts(spark, sf)
+    w = t.select("conv_id", F.explode(TM.token_keywords(F.col("text"))).alias("term"))
+    c = w.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("term")], 10, "term")
+    return finish(top.select("conv_id", "term", "n", F.col("rank").cast("int").alias("rank")))
