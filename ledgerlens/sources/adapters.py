@@ -130,3 +130,45 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("Nation "), F.col("s_nationkey").cast("string")).alias("Subcategory"),
     )
     return fixture.unionByName(sup)
+
+
+# ----------------------------------------------------------------------------
+# Context dimensions for the nudge / advice operators, derived from customer.
+# ----------------------------------------------------------------------------
+def user_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(
+        F.col("c_custkey").cast("string").alias("user_id"),
+        (F.lit(20000.0) + F.abs(F.col("c_acctbal")) * 5).alias("monthly_income"),
+        (F.lit(22) + F.pmod(F.col("c_custkey"), F.lit(40))).cast("int").alias("age"),
+        F.pmod(F.col("c_custkey"), F.lit(4)).cast("int").alias("dependents"),
+        F.when(F.col("c_acctbal") > 5000, "high").when(F.col("c_acctbal") > 0, "moderate").otherwise("low").alias("risk_tolerance"),
+        F.when(F.col("c_mktsegment") == "HOUSEHOLD", "self_employed").otherwise("salaried").alias("employment_status"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("c_acctbal").alias("acctbal"))
+
+
+def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer saves for an emergency fund (6 months of income);
+    BUILDING-segment customers also save for a purchase-category goal."""
+    p = user_profiles(spark, sf_dir)
+    sav = p.select("user_id", F.lit(0).alias("goal_order"), F.lit("Emergency Fund").alias("name"),
+                   F.lit("savings").alias("type"), F.lit(None).cast("string").alias("category"),
+                   (F.col("monthly_income") * 6).alias("target_amount"),
+                   F.greatest(F.col("acctbal"), F.lit(0.0)).alias("current_amount"),
+                   F.lit("2024-12-31").cast("date").alias("target_date"))
+    home = p.where(F.col("segment") == "BUILDING").select(
+        "user_id", F.lit(1).alias("goal_order"), F.lit("Home Upgrade").alias("name"), F.lit("purchase").alias("type"),
+        F.lit("purchase").alias("category"), F.lit(50000.0).alias("target_amount"),
+        (F.greatest(F.col("acctbal"), F.lit(0.0)) / 2).alias("current_amount"),
+        F.lit("2025-06-30").cast("date").alias("target_date"))
+    return sav.unionByName(home)
+
+
+def budgets(spark: SparkSession, sf_dir: str, t: DataFrame) -> DataFrame:
+    """A budget per (user, category) the user spends in: a tenth of the
+    account balance, at least 100."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user_id"), "c_acctbal")
+    uc = t.select("user_id", F.coalesce("category", F.lit("other")).alias("category")).distinct()
+    return uc.join(c, "user_id").select("user_id", "category",
+                                        F.greatest(F.lit(100.0), F.abs(F.col("c_acctbal")) / 10).alias("limit"))
