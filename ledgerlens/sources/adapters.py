@@ -56,7 +56,11 @@ def _lit_array(values) -> Column:
 
 
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+    return txn_from_events(table(spark, sf_dir, "events"))
+
+
+def txn_from_events(ev: DataFrame) -> DataFrame:
+    """Row-level mapping only, so it applies to a streaming ``events`` too."""
     k = F.get_json_object("props", "$.k").cast("int")
     name = F.element_at(_lit_array(MERCHANT_NAMES), F.pmod(k, F.lit(20)) + 1)
     handle = F.element_at(_lit_array(VPA_HANDLES), F.pmod(k, F.lit(5)) + 1)
