@@ -75,5 +75,6 @@ def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int,
     w = Window.partitionBy(*keys, "_b").orderBy("_t")
     # (t - W, t] with the current row's peers, or [t - W, t) for history only
     frame = w.rangeBetween(-(width - 1), 0) if include_current else w.rangeBetween(-width, -1)
-    cols = [agg.over(frame).alias(name) for name, agg in aggs.items()]
+    # an entry may be a callable frame -> Column, for post-processing (size of a set, …)
+    cols = [(agg(frame) if callable(agg) else agg.over(frame)).alias(name) for name, agg in aggs.items()]
     return u.select("*", *cols).where("_own").drop("_t", "_b", "_own")
