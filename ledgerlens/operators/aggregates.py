@@ -28,11 +28,10 @@ def distinct_count(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
               .groupBy(key).agg(F.count(F.lit(1)).alias(out)))
 
 
-def user_stats(t: DataFrame) -> DataFrame:
-    """G2 + H5: per-user count/mean/sample std/sum, distinct merchants, modal
-    hour; per-row velocity, ratio to own mean, unusual flag, consistency."""
-    base = t.select("transaction_id", "user_id", "merchant_name", "amount",
-                    T.hour("timestamp").alias("hour"))
+def user_aggregates(t: DataFrame) -> DataFrame:
+    """G2 per user: count, mean, sample std (single row -> 0), sum, distinct
+    merchants, modal hour (lowest on ties; 12 when no hours)."""
+    base = t.select("user_id", "merchant_name", "amount", T.hour("timestamp").alias("hour"))
     agg = base.groupBy("user_id").agg(
         F.count("amount").alias("user_transaction_count"),
         F.avg("amount").alias("user_avg_amount"),
@@ -41,20 +40,30 @@ def user_stats(t: DataFrame) -> DataFrame:
     )
     div = distinct_count(base, "user_id", "merchant_name", "user_merchant_diversity")
     mode = modal_value(base.where(F.col("hour").isNotNull()), "user_id", "hour", "user_preferred_hour")
-    stats = (agg.join(div, "user_id", "left").join(mode, "user_id", "left")
-                .select("user_id", "user_transaction_count", "user_avg_amount", "user_amount_std",
-                        "user_total_spent",
-                        F.coalesce("user_merchant_diversity", F.lit(0)).cast("long").alias("user_merchant_diversity"),
-                        F.coalesce("user_preferred_hour", F.lit(12)).alias("user_preferred_hour")))
-    out = base.join(stats, "user_id", "left")
-    return out.select(
-        "transaction_id", "user_id", "amount", "user_transaction_count", "user_avg_amount",
-        "user_amount_std", "user_total_spent", "user_merchant_diversity", "user_preferred_hour",
+    return (agg.join(div, "user_id", "left").join(mode, "user_id", "left")
+               .select("user_id", "user_transaction_count", "user_avg_amount", "user_amount_std",
+                       "user_total_spent",
+                       F.coalesce("user_merchant_diversity", F.lit(0)).cast("long").alias("user_merchant_diversity"),
+                       F.coalesce("user_preferred_hour", F.lit(12)).alias("user_preferred_hour")))
+
+
+def user_row_features() -> list:
+    return [
         (F.col("user_total_spent") / (F.col("user_transaction_count") + 1)).alias("user_spending_velocity"),
         (F.col("amount") / (F.col("user_avg_amount") + 1)).alias("amount_vs_user_avg"),
         (F.abs(F.col("amount") - F.col("user_avg_amount")) > 2 * F.col("user_amount_std")).cast("int").alias("is_unusual_amount"),
         (1 / (1 + F.col("user_amount_std"))).alias("user_consistency_score"),
-    )
+    ]
+
+
+def user_stats(t: DataFrame) -> DataFrame:
+    """G2 + H5: per-user stats joined back to rows, plus per-row velocity,
+    ratio to own mean, unusual flag, consistency."""
+    out = t.select("transaction_id", "user_id", "amount").join(user_aggregates(t), "user_id", "left")
+    return out.select(
+        "transaction_id", "user_id", "amount", "user_transaction_count", "user_avg_amount",
+        "user_amount_std", "user_total_spent", "user_merchant_diversity", "user_preferred_hour",
+        *user_row_features())
 
 
 def merchant_stats(t: DataFrame, threshold: int = 5) -> DataFrame:

@@ -33,3 +33,12 @@ def with_global_position(df: DataFrame, order_col: str, weight_col: str | None =
     return (res.withColumn(out, F.col("_off") + F.col("_before"))
                .withColumn(out + "_incl", F.col(out) + F.col("_w"))
                .drop("_pid", "_off", "_before", "_w"))
+
+
+def percentile_table(t: DataFrame, col: str = "amount", out: str = "amount_percentile") -> DataFrame:
+    """pandas ``rank(pct=True)`` per distinct value: (#smaller + (#equal + 1)
+    / 2) / n, from counts of distinct values and a distributed prefix sum."""
+    d = t.groupBy(col).agg(F.count(F.lit(1)).alias("_eq"))
+    pos = with_global_position(d, col, weight_col="_eq", out="_lt")
+    n = t.agg(F.count(F.lit(1))).scalar()
+    return pos.select(col, ((F.col("_lt") + (F.col("_eq") + 1) / 2.0) / n).alias(out))

@@ -42,8 +42,7 @@ def _ratio(num: Column, den: Column, default: float) -> Column:
 
 def user_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
-    d = t.select("transaction_id", "user_id", "merchant_name", "amount", "timestamp",
-                 X.category_hint("merchant_name").alias("_hint"),
+    d = t.select("*", X.category_hint("merchant_name").alias("_hint"),
                  (F.weekday("timestamp") >= 5).alias("_wk"), ((h >= 17) & (h <= 21)).alias("_ev"))
     out = d
     for days in (7, 30):
@@ -70,8 +69,7 @@ def user_rolling(t: DataFrame) -> DataFrame:
         ]
     cols += [_ratio(F.col("_wk30"), F.col("_s30"), USER_DEFAULTS["user_weekend_spending_ratio"]).alias("user_weekend_spending_ratio"),
              _ratio(F.col("_ev30"), F.col("_s30"), USER_DEFAULTS["user_evening_spending_ratio"]).alias("user_evening_spending_ratio")]
-    keep = [c for c in t.columns]
-    return out.select(*[F.col(c) for c in keep if c in out.columns], *cols)
+    return out.select(*t.columns, *cols)
 
 
 def merchant_rolling(t: DataFrame) -> DataFrame:

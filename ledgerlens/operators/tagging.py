@@ -121,36 +121,38 @@ def community_labels(votes: DataFrame) -> DataFrame:
 
 def priors(t: DataFrame, cdim: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """F1 (+F3 when labels are given): catalog prior by token, then a strong
-    community label (confidence >= 0.8) overrides."""
+    community label (confidence >= 0.8) overrides. Keeps the input columns."""
     tok = X.normalize_name("merchant_name")
-    d = t.select("transaction_id", "merchant_name", "vpa", tok.alias("merchant_token"),
-                 X.vpa_handle("vpa").alias("vpa_handle"))
-    d = d.join(cdim.select(F.col("normalized_name").alias("merchant_token"), "canonical_id"), "merchant_token", "left")
-    cid = F.coalesce("canonical_id", F.lit(0.0))
+    d = t.select("*", tok.alias("merchant_token"), X.vpa_handle("vpa").alias("vpa_handle"))
+    d = d.join(cdim.select(F.col("normalized_name").alias("merchant_token"), F.col("canonical_id").alias("_cid")),
+               "merchant_token", "left")
+    cid = F.coalesce("_cid", F.lit(0.0))
     hit = cid > 0
     d = d.select("*", cid.alias("catalog_category_id"),
                  F.when(hit, 0.95).otherwise(0.0).alias("catalog_confidence"),
-                 hit.cast("int").alias("merchant_known"), hit.cast("int").alias("payee_seen_before")).drop("canonical_id")
+                 hit.cast("int").alias("merchant_known"), hit.cast("int").alias("payee_seen_before")).drop("_cid")
     if labels is not None:
-        d = d.withColumn("signature", X.label_signature("merchant_token", "vpa_handle"))
-        lb = labels.where(F.col("confidence") >= 0.8).select("signature", F.col("category_name").alias("_lc"),
+        d = d.withColumn("_sig", X.label_signature("merchant_token", "vpa_handle"))
+        lb = labels.where(F.col("confidence") >= 0.8).select(F.col("signature").alias("_sig"), F.col("category_name").alias("_lc"),
                                                              F.col("confidence").alias("_lconf"))
-        d = d.join(lb, "signature", "left")
+        d = d.join(lb, "_sig", "left")
         strong = F.col("_lc").isNotNull()
-        d = d.select(
-            "transaction_id", "merchant_name", "vpa", "merchant_token", "vpa_handle",
-            F.when(strong, F.coalesce(F.element_at(X.lit_map(X.CANONICAL_IDS), F.col("_lc")), F.col("catalog_category_id")))
-             .otherwise(F.col("catalog_category_id")).alias("catalog_category_id"),
-            F.when(strong, F.greatest(F.lit(0.95), F.col("_lconf"))).otherwise(F.col("catalog_confidence")).alias("catalog_confidence"),
-            F.when(strong, 1).otherwise(F.col("merchant_known")).alias("merchant_known"),
-            F.when(strong, 1).otherwise(F.col("payee_seen_before")).alias("payee_seen_before"))
+        d = (d.withColumn("catalog_category_id", F.when(strong, F.coalesce(F.element_at(X.lit_map(X.CANONICAL_IDS), F.col("_lc")),
+                                                                             F.col("catalog_category_id")))
+                          .otherwise(F.col("catalog_category_id")))
+              .withColumn("catalog_confidence", F.when(strong, F.greatest(F.lit(0.95), F.col("_lconf"))).otherwise(F.col("catalog_confidence")))
+              .withColumn("merchant_known", F.when(strong, 1).otherwise(F.col("merchant_known")))
+              .withColumn("payee_seen_before", F.when(strong, 1).otherwise(F.col("payee_seen_before")))
+              .drop("_sig", "_lc", "_lconf"))
     c = F.col("catalog_category_id")
-    onehot = [(c == float(i)).cast("double").alias(n) for i, n in enumerate(
-        ["catalog_is_food", "catalog_is_shopping", "catalog_is_transport", "catalog_is_healthcare",
-         "catalog_is_personal", "catalog_is_bills"], start=1)]
+    onehot = [(c == float(i)).cast("double").alias(n) for i, n in enumerate(ONEHOT, start=1)]
     return d.select("*", *onehot)
 
 
+ONEHOT = ["catalog_is_food", "catalog_is_shopping", "catalog_is_transport", "catalog_is_healthcare",
+          "catalog_is_personal", "catalog_is_bills"]
+
+
 def vocabulary(tokens: DataFrame, col: str) -> DataFrame:
     """J5 + K1: sorted distinct vocabulary with ``<UNK>``; code = position."""
     v = tokens.select(F.col(col).alias("value")).where(F.col("value").isNotNull()) \

@@ -14,7 +14,8 @@ def finish(df: DataFrame) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            cols.append(F.round(F.col(f.name), DIGITS).alias(f.name))
+            # "+ 0.0" turns a rounded -0.0 into 0.0 (same text in every engine)
+            cols.append((F.round(F.col(f.name), DIGITS) + F.lit(0.0)).alias(f.name))
         elif isinstance(f.dataType, BooleanType):
             cols.append(F.col(f.name).cast("int").alias(f.name))
         else:
@@ -26,5 +27,5 @@ def rounded(sql: str, double_cols) -> str:
     """Wrap oracle SQL so the listed DOUBLE columns are rounded like ``finish``."""
     if not double_cols:
         return sql
-    rep = ", ".join(f'round(CAST("{c}" AS DOUBLE), {DIGITS}) AS "{c}"' for c in double_cols)
+    rep = ", ".join(f'(round(CAST("{c}" AS DOUBLE), {DIGITS}) + 0.0) AS "{c}"' for c in double_cols)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) AS q"

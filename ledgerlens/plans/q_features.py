@@ -96,10 +96,8 @@ def q_amount_percentile(spark, sf):
     / n. Distinct amounts are counted first, then ranked with the exact
     distributed prefix sum (no single-partition window)."""
     t = pay(spark, sf).select("transaction_id", "amount")
-    d = t.groupBy("amount").agg(F.count(F.lit(1)).alias("_eq"))
-    pos = with_global_position(d, "amount", weight_col="_eq", out="_lt")
-    n = t.agg(F.count(F.lit(1))).scalar()
-    pct = pos.select("amount", ((F.col("_lt") + (F.col("_eq") + 1) / 2.0) / n).alias("amount_percentile"))
+    from ..operators.ranking import percentile_table
+    pct = percentile_table(t)
     return finish(t.join(pct, "amount"))
 
 

@@ -79,7 +79,8 @@ SELECT transaction_id, merchant_name, vpa, merchant_token, vpa_handle, catalog_c
   CAST(catalog_category_id > 0 AS INTEGER) AS merchant_known, CAST(catalog_category_id > 0 AS INTEGER) AS payee_seen_before,
   {_ONEHOT} FROM pr""", _PRI_COLS))
 def q_catalog_priors(spark, sf):
-    return finish(TG.priors(pay(spark, sf), TG.catalog_dim(catalog(spark, sf))))
+    t = pay(spark, sf).select("transaction_id", "merchant_name", "vpa")
+    return finish(TG.priors(t, TG.catalog_dim(catalog(spark, sf))))
 
 
 # --- community labels --------------------------------------------------------
@@ -114,7 +115,8 @@ f"""px AS (SELECT transaction_id, merchant_name, vpa, merchant_token, vpa_handle
    CASE WHEN lc IS NOT NULL OR cid > 0 THEN 1 ELSE 0 END AS payee_seen_before FROM pl)""") + f"""
 SELECT *, {_ONEHOT} FROM px""", _PRI_COLS))
 def q_label_priors(spark, sf):
-    return finish(TG.priors(txn(spark, sf), TG.catalog_dim(catalog(spark, sf)), _labels(spark, sf)))
+    t = txn(spark, sf).select("transaction_id", "merchant_name", "vpa")
+    return finish(TG.priors(t, TG.catalog_dim(catalog(spark, sf)), _labels(spark, sf)))
 
 
 # --- tagger ------------------------------------------------------------------
