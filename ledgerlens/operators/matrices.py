@@ -116,8 +116,9 @@ def analytic(t: DataFrame, percentiles: DataFrame) -> DataFrame:
     d = d.join(A.merchant_stats(t), "merchant_name", "left")
     d = d.join(A.user_aggregates(t), "user_id", "left").select("*", *A.user_row_features())
     d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="user_merchant_familiarity")
-    for name, hours in (("transactions_last_hour", 1), ("transactions_last_day", 24), ("transactions_last_week", 168)):
-        d = trailing(d, ["user_id"], "timestamp", hours * 3600, {name: F.count(F.lit(1))})
+    d = trailing(d, ["user_id"], "timestamp", 168 * 3600, {
+        "transactions_last_hour": (F.count(F.lit(1)), 3600), "transactions_last_day": (F.count(F.lit(1)), 24 * 3600),
+        "transactions_last_week": F.count(F.lit(1))})
     d = d.join(percentiles, "amount", "left")
     return d
 
@@ -155,3 +156,82 @@ def quality_report(df: DataFrame, spec: list[str], dtypes: dict[str, str]) -> Da
     return nulls.select(F.inline(rows)).select(
         "position", "feature", F.col("present").cast("int").alias("present"), "actual_type", "expected_type",
         (F.col("actual_type") == F.col("expected_type")).cast("int").alias("dtype_match"), "null_count")
+
+
+ADV_ONEHOT = ["catalog_is_food_dining", "catalog_is_shopping", "catalog_is_transport", "catalog_is_healthcare",
+              "catalog_is_personal", "catalog_is_bills"]
+
+
+def advanced_catalog(catalog: DataFrame) -> DataFrame:
+    """Advanced-set catalog map: the *last* catalog row per normalised name
+    wins (its canonical category may be none -> id 0)."""
+    canon = F.element_at(X.lit_map(X.CATALOG_CANONICAL), F.lower(F.col("Category")))
+    d = catalog.select(X.normalize_name(F.col("Merchant Name")).alias("merchant_token"), "ord", canon.alias("_canon"))
+    last = d.groupBy("merchant_token").agg(F.max("ord").alias("ord"))
+    j = last.join(d, ["merchant_token", "ord"])
+    return j.select("merchant_token", F.coalesce(F.element_at(X.lit_map(X.CANONICAL_IDS), F.col("_canon")),
+                                                 F.lit(0.0)).alias("adv_catalog_id"))
+
+
+def advanced(t: DataFrame, catalog: DataFrame, caps: DataFrame) -> DataFrame:
+    """The advanced feature set (spec v2 columns) per row."""
+    d = R.user_rolling(t)
+    d = R.merchant_rolling(d)
+    d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="_fam")
+    tok = X.normalize_name("merchant_name")
+    hnd = X.vpa_handle("vpa")
+    d = d.withColumn("merchant_token", tok).withColumn("vpa_handle", hnd)
+    d = d.join(advanced_catalog(catalog), "merchant_token", "left")
+    d = d.withColumn("_month", F.date_format("timestamp", "yyyy-MM")).withColumn("_cat", F.coalesce("category", F.lit("other")))
+    d = d.join(caps.select(F.col("user_id"), F.col("category").alias("_cat"), F.col("month").alias("_month"),
+                           F.col("caps_state_int").alias("_caps")), ["user_id", "_cat", "_month"], "left")
+    a, ts = F.col("amount"), F.col("timestamp")
+    h, dow, dom, mon = F.hour(ts), F.weekday(ts), F.dayofmonth(ts), F.month(ts)
+    wk = (dow >= 5).cast("int")
+    la = AM.log_amount(a)
+    u30 = F.col("user_avg_transaction_amount_30d")
+    dev = F.abs(a - u30) / u30
+    cid = F.coalesce("adv_catalog_id", F.lit(0.0))
+    tk = F.col("merchant_token")
+    m = F.lower(F.coalesce(F.col("memo"), F.lit("")))
+    trust = X.merchant_trust("merchant_name")
+    corporate = tk.rlike(X.LEGAL_SUFFIX_PATTERN).cast("int")
+    cols = {
+        "hour": h, "day_of_week": dow, "day_of_month": dom, "month": mon, "quarter": F.quarter(ts),
+        "week_of_year": F.weekofyear(ts), "is_weekend": wk, "is_month_end": (dom > 25).cast("int"),
+        "is_month_start": (dom <= 5).cast("int"), "hour_sin": T.cyc_sin(h, 24), "hour_cos": T.cyc_cos(h, 24),
+        "day_of_week_sin": T.cyc_sin(dow, 7), "day_of_week_cos": T.cyc_cos(dow, 7),
+        "month_sin": T.cyc_sin(mon, 12), "month_cos": T.cyc_cos(mon, 12),
+        **{k: F.col(k) for k in R.USER_DEFAULTS},
+        "merchant_name_length": F.length(tk), "merchant_has_numbers": tk.rlike(r"\d").cast("int"),
+        "merchant_word_count": X.word_count(tk), "merchant_has_ltd": corporate,
+        "merchant_has_location": tk.rlike(X.CITY_PATTERN).cast("int"),
+        "vpa_handle_length": F.length("vpa_handle"), "vpa_is_bank": F.col("vpa_handle").rlike(X.VPA_BANK_PATTERN).cast("int"),
+        "vpa_is_wallet": F.col("vpa_handle").rlike(X.VPA_WALLET_PATTERN).cast("int"),
+        **{k: F.col(k) for k in R.MERCHANT_DEFAULTS},
+        "merchant_trust_score": trust,
+        "payee_seen_before": (F.col("_fam") > 1).cast("int"), "merchant_known": (cid > 0).cast("int"),
+        "is_corporate_merchant": corporate, "is_individual_merchant": 1 - corporate,
+        "merchant_token": tk,
+        "log_amount": la, "amount_rounded_to_10": AM.is_multiple(a, 10), "amount_rounded_to_50": AM.is_multiple(a, 50),
+        "amount_rounded_to_100": AM.is_multiple(a, 100), "amount_rounded_to_500": AM.is_multiple(a, 500),
+        "is_micro_transaction": (a < 50).cast("int"), "is_large_transaction": (a > 5000).cast("int"),
+        "amount_bin": AM.right_closed_bin(a, AM.ADVANCED_AMOUNT_EDGES),
+        "amount_deviation_from_user_avg": dev,
+        **{n: m.rlike(p).cast("int") for n, p in X.MEMO_TOPIC_PATTERNS}, "memo_length": F.length(m),
+        "vpa_handle": F.col("vpa_handle"),
+        "caps_state_int": F.coalesce("_caps", F.lit(0)),
+        "daily_spending_rate": F.col("user_avg_transaction_amount_7d") / 7,
+        "monthly_spending_rate": u30 / 30, "days_since_month_start": dom,
+        "is_salary_week": ((dom <= 7) | (dom >= 25)).cast("int"),
+        "spending_consistency_score": F.lit(0.5), "budget_adherence_score": F.lit(0.7),
+        "emergency_spending_indicator": ((a > u30 * 2) & (wk == 0)).cast("int"),
+        "high_risk_time": ((h >= 22) | (h <= 5)).cast("int"), "unusual_amount_flag": (dev > 2).cast("int"),
+        "catalog_category_id": cid, "catalog_confidence": (cid > 0).cast("double") * 0.95,
+        **{n: (cid == float(i)).cast("int") for i, n in enumerate(ADV_ONEHOT, start=1)},
+        "amount_x_hour": a * h, "amount_x_weekend": a * wk, "amount_x_month_end": a * (dom > 25).cast("int"),
+        "merchant_freq_x_user_freq": F.col("merchant_frequency_30d") * F.col("user_transaction_frequency_30d"),
+        "merchant_trust_x_amount": trust * la,
+        "time_merchant_consistency": F.col("merchant_time_consistency") * F.col("merchant_business_hours_alignment"),
+    }
+    return d.select("transaction_id", *[v.alias(k) for k, v in cols.items()])

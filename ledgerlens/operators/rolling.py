@@ -44,16 +44,17 @@ def user_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
     d = t.select("*", X.category_hint("merchant_name").alias("_hint"),
                  (F.weekday("timestamp") >= 5).alias("_wk"), ((h >= 17) & (h <= 21)).alias("_ev"))
-    out = d
+    aggs = {}
     for days in (7, 30):
-        aggs = {f"_n{days}": F.count("amount"), f"_s{days}": F.sum("amount"), f"_mx{days}": F.max("amount"),
-                f"_u{days}": lambda w: F.size(F.collect_set("merchant_name").over(w))}
+        sec = days * DAY
+        aggs.update({f"_n{days}": (F.count("amount"), sec), f"_s{days}": (F.sum("amount"), sec),
+                     f"_mx{days}": (F.max("amount"), sec),
+                     f"_u{days}": (lambda w: F.size(F.collect_set("merchant_name").over(w)), sec)})
         for name, hint in RATIO_GROUPS:
-            aggs[f"_{name}{days}"] = F.sum(F.when(F.col("_hint") == hint, F.col("amount")).otherwise(0.0))
-        if days == 30:
-            aggs["_wk30"] = F.sum(F.when(F.col("_wk"), F.col("amount")).otherwise(0.0))
-            aggs["_ev30"] = F.sum(F.when(F.col("_ev"), F.col("amount")).otherwise(0.0))
-        out = trailing(out, ["user_id"], "timestamp", days * DAY, aggs, include_current=False)
+            aggs[f"_{name}{days}"] = (F.sum(F.when(F.col("_hint") == hint, F.col("amount")).otherwise(0.0)), sec)
+    aggs["_wk30"] = F.sum(F.when(F.col("_wk"), F.col("amount")).otherwise(0.0))
+    aggs["_ev30"] = F.sum(F.when(F.col("_ev"), F.col("amount")).otherwise(0.0))
+    out = trailing(d, ["user_id"], "timestamp", 30 * DAY, aggs, include_current=False)
     cols = []
     for days in (7, 30):
         n, s = F.col(f"_n{days}"), F.col(f"_s{days}")
@@ -74,13 +75,12 @@ def user_rolling(t: DataFrame) -> DataFrame:
 
 def merchant_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
-    d = t.select("transaction_id", "merchant_name", "category", "amount", "timestamp", h.alias("_h"),
+    d = t.select("*", h.alias("_h"),
                  (F.weekday("timestamp") >= 5).cast("double").alias("_wk"),
                  ((h >= 9) & (h <= 17)).cast("double").alias("_bh"))
     d = d.withColumn("_cat", F.coalesce("category", F.lit("other")))
-    d = trailing(d, ["merchant_name"], "timestamp", 7 * DAY, {"_n7": F.count("amount")}, include_current=False)
     d = trailing(d, ["merchant_name"], "timestamp", 30 * DAY, {
-        "_n30": F.count("amount"), "_mu30": F.avg("amount"), "_var30": F.var_pop("amount"),
+        "_n7": (F.count("amount"), 7 * DAY), "_n30": F.count("amount"), "_mu30": F.avg("amount"), "_var30": F.var_pop("amount"),
         "_sd30": F.stddev_pop("amount"), "_wk30": F.avg("_wk"), "_bh30": F.avg("_bh")}, include_current=False)
     d = trailing(d, ["merchant_name", "_cat"], "timestamp", 30 * DAY, {"_nc30": F.count("amount")}, include_current=False)
     d = trailing(d, ["merchant_name", "_h"], "timestamp", 30 * DAY, {"_nh30": F.count("amount")}, include_current=False)
@@ -88,7 +88,7 @@ def merchant_rolling(t: DataFrame) -> DataFrame:
     has = F.col("_n30") > 0
     M = MERCHANT_DEFAULTS
     return d.select(
-        "transaction_id", "merchant_name",
+        *t.columns,
         F.col("_n7").cast("double").alias("merchant_frequency_7d"),
         F.col("_n30").cast("double").alias("merchant_frequency_30d"),
         (F.col("_rc") - 1).cast("double").alias("merchant_frequency_all_time"),

@@ -58,23 +58,30 @@ def with_running_count(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
 
 
 def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int,
-             aggs: dict[str, Column], include_current: bool = True,
-             row_id: str = "transaction_id") -> DataFrame:
-    """Trailing range-window aggregates over ``(ts - seconds, ts]`` per key
-    (or ``[ts - seconds, ts)`` when ``include_current`` is False: history
-    only, no leakage of the row itself).
+             aggs: dict, include_current: bool = True) -> DataFrame:
+    """Trailing range-window aggregates over ``(ts - W, ts]`` per key (or
+    ``[ts - W, ts)`` when ``include_current`` is False: history only, no
+    leakage of the row itself).
 
-    ``aggs`` maps output name -> aggregate Column over the input columns.
-    Exact via buckets of width ``seconds`` plus a one-bucket halo."""
-    us = T.epoch_micros(ts)
+    ``aggs`` maps output name -> aggregate Column, or a callable
+    ``frame -> Column`` (to post-process, e.g. the size of a set), or a
+    ``(agg, W)`` pair for a narrower frame than ``seconds``. All frames
+    share one partitioning and sort (one shuffle): buckets are ``seconds``
+    wide and every row is copied once into the next bucket as context, so
+    each frame of width <= ``seconds`` is complete inside its partition."""
     width = int(seconds) * 1_000_000
-    base = df.withColumn("_t", us).withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("long"))
-    own = base.withColumn("_own", F.lit(True))
-    halo = base.withColumn("_b", F.col("_b") + 1).withColumn("_own", F.lit(False))
-    u = own.unionByName(halo)
+    # each row twice: own bucket and, as read-only context, the next one
+    # (a Generate, not a union: chained calls keep a linear plan)
+    u = df.select("*", T.epoch_micros(ts).alias("_t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_halo"))
+    u = u.select("*", (F.floor(F.col("_t") / F.lit(width)).cast("long") + F.col("_halo")).alias("_b"))
     w = Window.partitionBy(*keys, "_b").orderBy("_t")
-    # (t - W, t] with the current row's peers, or [t - W, t) for history only
-    frame = w.rangeBetween(-(width - 1), 0) if include_current else w.rangeBetween(-width, -1)
-    # an entry may be a callable frame -> Column, for post-processing (size of a set, …)
-    cols = [(agg(frame) if callable(agg) else agg.over(frame)).alias(name) for name, agg in aggs.items()]
-    return u.select("*", *cols).where("_own").drop("_t", "_b", "_own")
+    cols = []
+    for name, spec in aggs.items():
+        agg, secs = spec if isinstance(spec, tuple) else (spec, seconds)
+        wd = int(secs) * 1_000_000
+        if wd > width:
+            raise ValueError("frame wider than the bucket")
+        # (t - W, t] with the current row's peers, or [t - W, t) for history only
+        frame = w.rangeBetween(-(wd - 1), 0) if include_current else w.rangeBetween(-wd, -1)
+        cols.append((agg(frame) if callable(agg) else agg.over(frame)).alias(name))
+    return u.select("*", *cols).where(F.col("_halo") == 0).drop("_t", "_b", "_halo")

@@ -65,10 +65,9 @@ SELECT transaction_id, user_id, {_vel_sql(1)} AS transactions_last_hour,
   {_vel_sql(24)} AS transactions_last_day, {_vel_sql(168)} AS transactions_last_week FROM txn""")
 def q_txn_velocity(spark, sf):
     t = txn(spark, sf).select("transaction_id", "user_id", "timestamp")
-    out = t
-    for name, hours in (("transactions_last_hour", 1), ("transactions_last_day", 24), ("transactions_last_week", 168)):
-        v = W.trailing(t, ["user_id"], "timestamp", hours * 3600, {name: F.count(F.lit(1))})
-        out = out.join(v.select("transaction_id", name), "transaction_id")
+    out = W.trailing(t, ["user_id"], "timestamp", 168 * 3600, {
+        "transactions_last_hour": (F.count(F.lit(1)), 3600), "transactions_last_day": (F.count(F.lit(1)), 24 * 3600),
+        "transactions_last_week": F.count(F.lit(1))})
     return finish(out.drop("timestamp"))
 
 

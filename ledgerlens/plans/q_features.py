@@ -84,7 +84,8 @@ MERCH_ROLL_DBL = [c for c in R.MERCHANT_DEFAULTS if c != "merchant_is_new"]
 
 @register("rolling_merchant_features", rounded(_merchant_roll_sql(), MERCH_ROLL_DBL))
 def q_rolling_merchant_features(spark, sf):
-    return finish(R.merchant_rolling(txn(spark, sf)))
+    t = txn(spark, sf).select("transaction_id", "merchant_name", "category", "amount", "timestamp")
+    return finish(R.merchant_rolling(t).drop("category", "amount", "timestamp"))
 
 
 # --- H2 ----------------------------------------------------------------------

@@ -167,3 +167,77 @@ def q_standardized_features(spark, sf):
     """K14 over a slice of the analytic matrix (population std, 0 -> 1)."""
     a = finish(MX.numeric_only(_analytic(spark, sf)))
     return finish(MX.standardize(a.select("transaction_id", *[F.col(c).cast("double").alias(c) for c in _STD]), _STD))
+
+
+# --- B6 ----------------------------------------------------------------------
+from ..operators import rolling as R  # noqa: E402
+from .q_features import _merchant_roll_sql  # noqa: E402
+
+_CANON_SQL = "CASE lower(\"Category\") " + " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in X.CATALOG_CANONICAL.items()) + " END"
+ADV_CAT = f"""adv AS (SELECT c.tok AS merchant_token, {_CID('c.cc')} AS adv_catalog_id FROM
+  (SELECT {S.norm('"Merchant Name"')} AS tok, ord, {_CANON_SQL} AS cc FROM catalog) c
+  JOIN (SELECT {S.norm('"Merchant Name"')} AS tok, max(ord) AS ord FROM catalog GROUP BY 1) l USING (tok, ord))"""
+_h, _dow, _dom, _mon = f"hour({_TS})", f"(isodow({_TS}) - 1)", f"day({_TS})", f"month({_TS})"
+_tk = "b.tok"
+_u30 = "ru.user_avg_transaction_amount_30d"
+_dev = f"abs(amount - {_u30}) / {_u30}"
+_trust = S.merchant_trust("b.merchant_name")
+_corp = f"CAST({S.rlike(_tk, X.LEGAL_SUFFIX_PATTERN)} AS INTEGER)"
+_cid = "coalesce(adv.adv_catalog_id, 0.0)"
+_ADV = {
+    "hour": _h, "day_of_week": _dow, "day_of_month": _dom, "month": _mon, "quarter": f"quarter({_TS})",
+    "week_of_year": f"weekofyear({_TS})", "is_weekend": f"CAST({_dow} >= 5 AS INTEGER)", "is_month_end": f"CAST({_dom} > 25 AS INTEGER)",
+    "is_month_start": f"CAST({_dom} <= 5 AS INTEGER)", "hour_sin": S.cyc("sin", _h, 24), "hour_cos": S.cyc("cos", _h, 24),
+    "day_of_week_sin": S.cyc("sin", _dow, 7), "day_of_week_cos": S.cyc("cos", _dow, 7),
+    "month_sin": S.cyc("sin", _mon, 12), "month_cos": S.cyc("cos", _mon, 12),
+    **{k: f"ru.{k}" for k in R.USER_DEFAULTS},
+    "merchant_name_length": f"length({_tk})", "merchant_has_numbers": f"CAST(regexp_matches({_tk}, '\\d') AS INTEGER)",
+    "merchant_word_count": S.word_count(_tk), "merchant_has_ltd": _corp,
+    "merchant_has_location": f"CAST({S.rlike(_tk, X.CITY_PATTERN)} AS INTEGER)",
+    "vpa_handle_length": "length(b.hnd)", "vpa_is_bank": f"CAST({S.rlike('b.hnd', X.VPA_BANK_PATTERN)} AS INTEGER)",
+    "vpa_is_wallet": f"CAST({S.rlike('b.hnd', X.VPA_WALLET_PATTERN)} AS INTEGER)",
+    **{k: f"mr.{k}" for k in R.MERCHANT_DEFAULTS},
+    "merchant_trust_score": _trust, "payee_seen_before": "CAST(b.fam > 1 AS INTEGER)",
+    "merchant_known": f"CAST({_cid} > 0 AS INTEGER)", "is_corporate_merchant": _corp, "is_individual_merchant": f"1 - {_corp}",
+    "merchant_token": _tk, "log_amount": _LA,
+    "amount_rounded_to_10": "CAST(amount % 10 = 0 AS INTEGER)", "amount_rounded_to_50": "CAST(amount % 50 = 0 AS INTEGER)",
+    "amount_rounded_to_100": "CAST(amount % 100 = 0 AS INTEGER)", "amount_rounded_to_500": "CAST(amount % 500 = 0 AS INTEGER)",
+    "is_micro_transaction": "CAST(amount < 50 AS INTEGER)", "is_large_transaction": "CAST(amount > 5000 AS INTEGER)",
+    "amount_bin": S.rc_bin("amount", [0, 50, 100, 500, 1000, 5000, 10000, float("inf")]),
+    "amount_deviation_from_user_avg": _dev,
+    **{n: f"CAST({S.rlike(_ML, p)} AS INTEGER)" for n, p in X.MEMO_TOPIC_PATTERNS}, "memo_length": f"length({_ML})",
+    "vpa_handle": "b.hnd", "caps_state_int": "coalesce(caps.caps_state_int, 0)",
+    "daily_spending_rate": "ru.user_avg_transaction_amount_7d / 7", "monthly_spending_rate": f"{_u30} / 30",
+    "days_since_month_start": _dom, "is_salary_week": f"CAST({_dom} <= 7 OR {_dom} >= 25 AS INTEGER)",
+    "spending_consistency_score": "0.5", "budget_adherence_score": "0.7",
+    "emergency_spending_indicator": f"CAST(amount > {_u30} * 2 AND {_dow} < 5 AS INTEGER)",
+    "high_risk_time": f"CAST({_h} >= 22 OR {_h} <= 5 AS INTEGER)", "unusual_amount_flag": f"CAST({_dev} > 2 AS INTEGER)",
+    "catalog_category_id": _cid, "catalog_confidence": f"CAST({_cid} > 0 AS DOUBLE) * 0.95",
+    **{n: f"CAST({_cid} = {float(i)!r} AS INTEGER)" for i, n in enumerate(MX.ADV_ONEHOT, start=1)},
+    "amount_x_hour": f"amount * {_h}", "amount_x_weekend": f"amount * CAST({_dow} >= 5 AS INTEGER)",
+    "amount_x_month_end": f"amount * CAST({_dom} > 25 AS INTEGER)",
+    "merchant_freq_x_user_freq": "mr.merchant_frequency_30d * ru.user_transaction_frequency_30d",
+    "merchant_trust_x_amount": f"{_trust} * {_LA}",
+    "time_merchant_consistency": "mr.merchant_time_consistency * mr.merchant_business_hours_alignment",
+}
+ADV_DOUBLES = ["hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos", "month_sin", "month_cos",
+               *R.USER_DEFAULTS, *[k for k in R.MERCHANT_DEFAULTS if k != "merchant_is_new"], "merchant_trust_score",
+               "log_amount", "amount_deviation_from_user_avg", "daily_spending_rate", "monthly_spending_rate",
+               "spending_consistency_score", "budget_adherence_score", "catalog_category_id", "catalog_confidence",
+               "amount_x_hour", "amount_x_weekend", "amount_x_month_end", "merchant_freq_x_user_freq",
+               "merchant_trust_x_amount", "time_merchant_consistency"]
+ADVANCED_SQL = rounded(with_(TXN, CATALOG, ADV_CAT, CAPS,
+    f"ru AS (SELECT * EXCLUDE (user_id) FROM ({_user_roll_sql()}))",
+    f"mr AS (SELECT * EXCLUDE (merchant_name) FROM ({_merchant_roll_sql()}))",
+    f"""b AS (SELECT t.*, {S.norm('merchant_name')} AS tok, {S.handle('vpa')} AS hnd,
+   row_number() OVER (PARTITION BY user_id, merchant_name ORDER BY {_TS}, transaction_id) AS fam,
+   strftime({_TS}, '%Y-%m') AS month, coalesce(category, 'other') AS cat FROM txn t)""") + "SELECT b.transaction_id, "
+    + ", ".join(f"{v} AS {k}" for k, v in _ADV.items()) + """
+FROM b JOIN ru USING (transaction_id) JOIN mr USING (transaction_id) LEFT JOIN adv ON adv.merchant_token = b.tok
+  LEFT JOIN caps ON caps.user_id = b.user_id AND caps.category = b.cat AND caps.month = b.month""", ADV_DOUBLES)
+
+
+@register("advanced_features", ADVANCED_SQL)
+def q_advanced_features(spark, sf):
+    t = txn(spark, sf)
+    return finish(MX.advanced(t, catalog(spark, sf), cap_states(spark, sf)))
