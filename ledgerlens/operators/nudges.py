@@ -312,3 +312,35 @@ def recommendations(top1: Column) -> Column:
              .when(top1 == "social_proof", F.lit("Compare with similar users' spending patterns|Consider what financially successful people would do"))
              .when(top1 == "mental_accounting", F.lit("Review your budget allocation for this category|Consider reallocating from another category"))
              .otherwise(F.lit("")))
+
+
+def nudge_log(ranked_nudges: DataFrame, proposals: DataFrame, delay_hours: int = 24) -> DataFrame:
+    """N12 log: each shown (top-3) nudge with the observed outcome: the user
+    'delayed' when their next transaction came more than ``delay_hours``
+    later (or never), else 'purchased'; a delay saves the proposal amount."""
+    from .windows import with_next_ts
+    p = with_next_ts(proposals.select("proposal_id", "user_id", "amount", "timestamp"), ["user_id"], "timestamp", "proposal_id")
+    gap = (T.epoch_micros("next_ts") - T.epoch_micros("timestamp")) / F.lit(3.6e9)
+    delayed = F.col("next_ts").isNull() | (gap > delay_hours)
+    p = p.select("proposal_id", "amount", "timestamp", F.when(delayed, "delayed").otherwise("purchased").alias("user_action"))
+    return ranked_nudges.join(p, "proposal_id").select(
+        "user_id", "nudge_type", "intensity", F.col("confidence").alias("predicted_confidence"), "user_action",
+        F.when(F.col("user_action") == "delayed", F.col("amount")).otherwise(0.0).alias("amount_saved"), "timestamp")
+
+
+def nudge_analytics(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
+    """Per user over the last ``days`` days: shown, followed, rate,
+    money saved, most effective type (most follows, then name)."""
+    import datetime as dt
+    end = dt.datetime.fromisoformat(as_of)
+    start = end - dt.timedelta(days=days)
+    w = log.where((F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz")))
+    per = w.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_nudges_shown"),
+                                   F.count_if(F.col("user_action") == "delayed").alias("nudges_followed"),
+                                   F.sum("amount_saved").alias("money_saved"))
+    bt = w.groupBy("user_id", "nudge_type").agg(F.count_if(F.col("user_action") == "delayed").alias("_f"))
+    best = bt.groupBy("user_id").agg(F.min_by("nudge_type", F.struct(-F.col("_f"), F.col("nudge_type"))).alias("most_effective_nudge_type"))
+    return per.join(best, "user_id").select(
+        "user_id", F.lit(days).alias("period_days"), "total_nudges_shown", "nudges_followed",
+        (F.col("nudges_followed") / F.col("total_nudges_shown")).alias("effectiveness_rate"), "money_saved",
+        "most_effective_nudge_type")

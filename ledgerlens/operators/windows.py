@@ -85,3 +85,16 @@ def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int,
         frame = w.rangeBetween(-(wd - 1), 0) if include_current else w.rangeBetween(-wd, -1)
         cols.append((agg(frame) if callable(agg) else agg.over(frame)).alias(name))
     return u.select("*", *cols).where(F.col("_halo") == 0).drop("_t", "_b", "_halo")
+
+
+def with_next_ts(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
+                 out: str = "next_ts", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
+    """Mirror of ``with_prev_ts``: timestamp of the next row of the key."""
+    d = df.withColumn("_b", _bucket(ts, bucket_seconds))
+    w = Window.partitionBy(*keys, "_b").orderBy(F.col(ts), F.col(tiebreak))
+    d = d.withColumn("_n", F.lead(ts).over(w))
+    bmin = d.groupBy(*keys, "_b").agg(F.min(ts).alias("_bmin"))
+    wb = Window.partitionBy(*keys).orderBy("_b")
+    bmin = bmin.select(*keys, "_b", F.lead("_bmin").over(wb).alias("_nb"))
+    d = d.join(bmin, [*keys, "_b"], "left")
+    return d.withColumn(out, F.coalesce("_n", "_nb")).drop("_b", "_n", "_nb")

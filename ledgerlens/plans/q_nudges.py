@@ -234,3 +234,27 @@ def q_nudge_ranking(spark, sf):
     return finish(r.join(top, "proposal_id").select("proposal_id", F.col("rank").cast("int").alias("rank"), "nudge_type",
                                                     "intensity", "goal_order", "effectiveness_score", "confidence",
                                                     "top_recommendations"))
+
+
+AS_OF = "2024-02-01T00:00:00"
+
+
+@register("nudge_analytics", rounded(BASE_SQL + f""", rk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proposal_id
+   ORDER BY effectiveness_score DESC, type_order, goal_order) AS rank FROM allz) WHERE rank <= 3),
+nx AS (SELECT transaction_id AS proposal_id, amount, "timestamp", lead("timestamp") OVER (PARTITION BY user_id ORDER BY "timestamp", transaction_id) AS next_ts FROM txn),
+lg AS (SELECT rk.user_id, rk.nudge_type, CASE WHEN next_ts IS NULL OR (epoch_us(next_ts) - epoch_us(nx."timestamp")) / 3600000000.0 > 24
+   THEN 'delayed' ELSE 'purchased' END AS user_action, amount, nx."timestamp" FROM rk JOIN nx USING (proposal_id)),
+w AS (SELECT *, CASE WHEN user_action = 'delayed' THEN amount ELSE 0.0 END AS amount_saved FROM lg
+   WHERE "timestamp" >= TIMESTAMP '{AS_OF.replace('T', ' ')}' - INTERVAL 30 DAY AND "timestamp" < TIMESTAMP '{AS_OF.replace('T', ' ')}'),
+bt AS (SELECT user_id, nudge_type, count(*) FILTER (WHERE user_action = 'delayed') AS f FROM w GROUP BY ALL),
+best AS (SELECT user_id, arg_min(nudge_type, (-f, nudge_type)) AS most_effective_nudge_type FROM bt GROUP BY user_id)
+SELECT user_id, 30 AS period_days, count(*) AS total_nudges_shown, count(*) FILTER (WHERE user_action = 'delayed') AS nudges_followed,
+  count(*) FILTER (WHERE user_action = 'delayed') / count(*) AS effectiveness_rate, sum(amount_saved) AS money_saved,
+  any_value(most_effective_nudge_type) AS most_effective_nudge_type
+FROM w JOIN best USING (user_id) GROUP BY user_id""", ["effectiveness_rate", "money_saved"]))
+def q_nudge_analytics(spark, sf):
+    t = txn(spark, sf)
+    props = t.select(F.col("transaction_id").alias("proposal_id"), "user_id", "amount", "timestamp")
+    r = N.ranked(_all(spark, sf)).select("proposal_id", "user_id", "nudge_type", "intensity", "confidence")
+    log = N.nudge_log(r.drop("user_id").join(props.select("proposal_id", "user_id"), "proposal_id"), props)
+    return finish(N.nudge_analytics(log, AS_OF, 30))

@@ -155,3 +155,26 @@ SELECT transaction_id, user_id, amount, median_amount, distance, p90_distance, i
     ["amount", "median_amount", "distance", "p90_distance"]))
 def q_amount_outliers(spark, sf):
     return finish(TR.amount_outliers(txn(spark, sf)))
+
+
+@register("merchant_trust_override", rounded(with_(TXN) + f"""
+SELECT merchant_name, {S.merchant_trust('merchant_name')} AS default_trust,
+  arg_max(CASE WHEN rating IS NOT NULL THEN rating / 5.0 END, CASE WHEN rating IS NOT NULL THEN ("timestamp", transaction_id) END) AS override_trust,
+  coalesce(arg_max(CASE WHEN rating IS NOT NULL THEN rating / 5.0 END, CASE WHEN rating IS NOT NULL THEN ("timestamp", transaction_id) END),
+           {S.merchant_trust('merchant_name')}) AS effective_trust,
+  count(rating) AS feedback_count
+FROM txn WHERE merchant_name IS NOT NULL GROUP BY merchant_name""", ["default_trust", "override_trust", "effective_trust"]))
+def q_merchant_trust_override(spark, sf):
+    """Rated payments are trust feedback for the merchant; the latest
+    feedback overrides the keyword trust table, others keep the default."""
+    from ..functions import text as X
+    t = txn(spark, sf).where(F.col("merchant_name").isNotNull())
+    fb = t.where(F.col("rating").isNotNull())
+    latest = fb.groupBy("merchant_name").agg(
+        F.max_by(F.col("rating") / 5.0, F.struct("timestamp", "transaction_id")).alias("override_trust"),
+        F.count(F.lit(1)).alias("feedback_count"))
+    m = t.select("merchant_name").distinct().join(latest, "merchant_name", "left")
+    d = X.merchant_trust("merchant_name")
+    return finish(m.select("merchant_name", d.alias("default_trust"), "override_trust",
+                           F.coalesce("override_trust", d).alias("effective_trust"),
+                           F.coalesce("feedback_count", F.lit(0)).cast("long").alias("feedback_count")))
