@@ -1,5 +1,6 @@
 """Every registered query against its DuckDB oracle (or a rows-only run)."""
 import math
+import os
 
 import pytest
 
@@ -8,6 +9,10 @@ from conftest import SF
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
+# Spark ML training keys are minutes each; run them with LEDGERLENS_SLOW=1
+SLOW = {"train_tagger", "cv_accuracy", "platt_calibration", "score_transactions", "train_delta",
+        "model_comparison", "feature_importance", "explain_scores"}
+RUN_SLOW = os.environ.get("LEDGERLENS_SLOW") == "1"
 
 
 def _norm(v):
@@ -28,6 +33,8 @@ def _key(row):
 
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
+    if key in SLOW and not RUN_SLOW:
+        pytest.skip("slow Spark ML key (set LEDGERLENS_SLOW=1)")
     df = QUERIES[key](spark, SF)
     cols = df.columns
     rows = [tuple(_norm(x) for x in r) for r in df.collect()]
