@@ -133,20 +133,21 @@ BLEND_CTES = [
     f"""cn AS (SELECT vpa, count(*) AS n FROM pay WHERE {_TS} < TIMESTAMP '{CHAMP_END}' AND category IS NOT NULL GROUP BY ALL)""",
     f"""dm AS (SELECT user_id, category, count(*) AS c FROM pay WHERE {_TS} >= TIMESTAMP '{CHAMP_END}' AND {_TS} < TIMESTAMP '{DELTA_END}' GROUP BY ALL)""",
     f"""dn AS (SELECT user_id, count(*) AS n FROM pay WHERE {_TS} >= TIMESTAMP '{CHAMP_END}' AND {_TS} < TIMESTAMP '{DELTA_END}' AND category IS NOT NULL GROUP BY ALL)""",
-    """lng AS (SELECT p.transaction_id, l.idx, l.label,
+    """pr AS (SELECT row_number() OVER () AS rid, * FROM pay)""",
+    """lng AS (SELECT p.rid, p.transaction_id, l.idx, l.label,
    CASE WHEN cn.n IS NULL THEN 1.0 / kk.k ELSE (coalesce(cm.c, 0) + 1) / (cn.n + kk.k) END AS cp,
    CASE WHEN dn.n IS NULL THEN NULL ELSE (coalesce(dm.c, 0) + 1) / (dn.n + kk.k) END AS dp
-  FROM pay p CROSS JOIN labels l CROSS JOIN kk LEFT JOIN cn ON cn.vpa = p.vpa LEFT JOIN cm ON cm.vpa = p.vpa AND cm.category = l.label
+  FROM pr p CROSS JOIN labels l CROSS JOIN kk LEFT JOIN cn ON cn.vpa = p.vpa LEFT JOIN cm ON cm.vpa = p.vpa AND cm.category = l.label
   LEFT JOIN dn ON dn.user_id = p.user_id LEFT JOIN dm ON dm.user_id = p.user_id AND dm.category = l.label)""",
     f"""bl AS (SELECT *, CASE WHEN dp IS NULL THEN cp ELSE {P.BLEND_ALPHA!r} * cp + {1 - P.BLEND_ALPHA!r} * dp END AS p FROM lng)""",
-    """rk AS (SELECT *, row_number() OVER (PARTITION BY transaction_id ORDER BY p DESC, idx DESC) AS rt,
-   row_number() OVER (PARTITION BY transaction_id ORDER BY p DESC, idx ASC) AS ra FROM bl)""",
-    """blend AS (SELECT transaction_id, max(CASE WHEN ra = 1 THEN label END) AS predicted_category, max(p) AS confidence,
+    """rk AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY p DESC, idx DESC) AS rt,
+   row_number() OVER (PARTITION BY rid ORDER BY p DESC, idx ASC) AS ra FROM bl)""",
+    """blend AS (SELECT rid, any_value(transaction_id) AS transaction_id, max(CASE WHEN ra = 1 THEN label END) AS predicted_category, max(p) AS confidence,
    max(CASE WHEN rt = 1 THEN label END) AS top1_category, max(CASE WHEN rt = 1 THEN p END) AS top1_confidence,
    max(CASE WHEN rt = 2 THEN label END) AS top2_category, max(CASE WHEN rt = 2 THEN p END) AS top2_confidence,
    max(CASE WHEN rt = 3 THEN label END) AS top3_category, max(CASE WHEN rt = 3 THEN p END) AS top3_confidence,
    CASE WHEN bool_or(dp IS NOT NULL) THEN 'ensemble' ELSE 'champion' END AS prediction_source,
-   CAST(max(p) >= 0.6 AS INTEGER) AS meets_threshold FROM rk GROUP BY transaction_id)""",
+   CAST(max(p) >= 0.6 AS INTEGER) AS meets_threshold FROM rk GROUP BY rid)""",
 ]
 _BL_COLS = ["transaction_id", "predicted_category", "confidence", "top1_category", "top1_confidence", "top2_category",
             "top2_confidence", "top3_category", "top3_confidence", "prediction_source", "meets_threshold"]
@@ -164,7 +165,7 @@ SELECT b.transaction_id, CAST(cn.vpa IS NULL AS INTEGER) AS novel_merchant,
   CASE WHEN cn.vpa IS NULL AND confidence > 0.6 THEN 0.6 ELSE confidence END AS dampened_confidence,
   {', '.join(f"top{j}_confidence * CASE WHEN cn.vpa IS NULL AND confidence > 0.6 THEN 0.6 / confidence ELSE 1.0 END AS dampened_top{j}_confidence" for j in (1, 2, 3))},
   CAST(cn.vpa IS NULL OR (CASE WHEN cn.vpa IS NULL AND confidence > 0.6 THEN 0.6 ELSE confidence END) < 0.7 AS INTEGER) AS requires_review
-FROM blend b JOIN pay p USING (transaction_id) LEFT JOIN cn ON cn.vpa = p.vpa""",
+FROM blend b JOIN pr p USING (rid) LEFT JOIN cn ON cn.vpa = p.vpa""",
     ["dampened_confidence", "dampened_top1_confidence", "dampened_top2_confidence", "dampened_top3_confidence"]))
 def q_novelty_dampening(spark, sf):
     b, champ = _blend(spark, sf)
@@ -175,7 +176,7 @@ def q_novelty_dampening(spark, sf):
                              "dampened_top2_confidence", "dampened_top3_confidence", "requires_review"))
 
 
-QUALITY_SQL = rounded(with_(PAY, *BLEND_CTES, f"""ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence FROM blend b JOIN pay p USING (transaction_id)
+QUALITY_SQL = rounded(with_(PAY, *BLEND_CTES, f"""ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence FROM blend b JOIN pr p USING (rid)
   WHERE p.{_TS} >= TIMESTAMP '{DELTA_END}' AND p.category IS NOT NULL)""",
     """pc AS (SELECT c, sum(tp) AS tp, sum(sup) AS sup, sum(prd) AS prd FROM (
      SELECT label AS c, CAST(label = pred AS INTEGER) AS tp, 1 AS sup, 0 AS prd FROM ev

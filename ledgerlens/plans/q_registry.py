@@ -18,7 +18,7 @@ _TH = "th AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', {RT.ACCURACY_THRESHOLD[c]!r}, {float(RT.LATENCY_THRESHOLD_MS[c])!r}, {_tgt(c)})" for c in RT.ACCURACY_THRESHOLD) \
     + ") AS v(component, accuracy_threshold, latency_ms, target_accuracy))"
 RUNS = [*BLEND_CTES,
-        """ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence, p."timestamp" FROM blend b JOIN pay p USING (transaction_id))""",
+        """ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence, p."timestamp" FROM blend b JOIN pr p USING (rid))""",
         """mo AS (SELECT date_trunc('month', "timestamp") AS start_time, avg(CAST(label = pred AS DOUBLE)) AS accuracy,
    avg(confidence) AS mean_confidence, count(*) AS n FROM ev GROUP BY 1)""",
         """runs AS (SELECT 'auto_tagging' AS component, 'payment-auto-tagging' AS model, row_number() OVER (ORDER BY start_time) AS version,
