@@ -14,7 +14,7 @@ from ..functions import time as T
 from . import aggregates as A
 from . import rolling as R
 from . import tagging as TG
-from .windows import trailing, with_running_count
+from .windows import trailing_sums, with_running_count
 
 # fixed values: the 31-column parity spec, in order
 PARITY_COLUMNS = [
@@ -116,9 +116,12 @@ def analytic(t: DataFrame, percentiles: DataFrame) -> DataFrame:
     d = d.join(A.merchant_stats(t), "merchant_name", "left")
     d = d.join(A.user_aggregates(t), "user_id", "left").select("*", *A.user_row_features())
     d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="user_merchant_familiarity")
-    d = trailing(d, ["user_id"], "timestamp", 168 * 3600, {
-        "transactions_last_hour": (F.count(F.lit(1)), 3600), "transactions_last_day": (F.count(F.lit(1)), 24 * 3600),
-        "transactions_last_week": F.count(F.lit(1))})
+    one = F.lit(1)
+    d = trailing_sums(d, ["user_id"], "timestamp", "transaction_id", {
+        "transactions_last_hour": (one, 3600), "transactions_last_day": (one, 24 * 3600),
+        "transactions_last_week": (one, 168 * 3600)})
+    for c in ("transactions_last_hour", "transactions_last_day", "transactions_last_week"):
+        d = d.withColumn(c, F.col(c).cast("long"))
     d = d.join(percentiles, "amount", "left")
     return d
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .windows import trailing, with_running_count
+from .windows import trailing, trailing_sums, with_running_count
 
 DAY = 86400
 # fixed values: cold-start defaults
@@ -44,17 +44,24 @@ def user_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
     d = t.select("*", X.category_hint("merchant_name").alias("_hint"),
                  (F.weekday("timestamp") >= 5).alias("_wk"), ((h >= 17) & (h <= 21)).alias("_ev"))
-    aggs = {}
+    has_amt = F.col("amount").isNotNull()
+    amt = F.coalesce(F.col("amount"), F.lit(0.0))
+    specs = {}
     for days in (7, 30):
         sec = days * DAY
-        aggs.update({f"_n{days}": (F.count("amount"), sec), f"_s{days}": (F.sum("amount"), sec),
-                     f"_mx{days}": (F.max("amount"), sec),
-                     f"_u{days}": (lambda w: F.size(F.collect_set("merchant_name").over(w)), sec)})
+        specs[f"_n{days}"] = (has_amt.cast("int"), sec)
+        specs[f"_s{days}"] = (amt, sec)
         for name, hint in RATIO_GROUPS:
-            aggs[f"_{name}{days}"] = (F.sum(F.when(F.col("_hint") == hint, F.col("amount")).otherwise(0.0)), sec)
-    aggs["_wk30"] = F.sum(F.when(F.col("_wk"), F.col("amount")).otherwise(0.0))
-    aggs["_ev30"] = F.sum(F.when(F.col("_ev"), F.col("amount")).otherwise(0.0))
-    out = trailing(d, ["user_id"], "timestamp", 30 * DAY, aggs, include_current=False)
+            specs[f"_{name}{days}"] = (F.when(F.col("_hint") == hint, amt).otherwise(0.0), sec)
+    specs["_wk30"] = (F.when(F.col("_wk"), amt).otherwise(0.0), 30 * DAY)
+    specs["_ev30"] = (F.when(F.col("_ev"), amt).otherwise(0.0), 30 * DAY)
+    # additive statistics: O(n) running-sum differences
+    out = trailing_sums(d, ["user_id"], "timestamp", "transaction_id", specs, include_current=False)
+    # max and distinct count are not additive: sliding frames (per user, time-bucketed)
+    out = trailing(out, ["user_id"], "timestamp", 30 * DAY, {
+        "_mx7": (F.max("amount"), 7 * DAY), "_mx30": F.max("amount"),
+        "_u7": (lambda w: F.size(F.collect_set("merchant_name").over(w)), 7 * DAY),
+        "_u30": lambda w: F.size(F.collect_set("merchant_name").over(w))}, include_current=False)
     cols = []
     for days in (7, 30):
         n, s = F.col(f"_n{days}"), F.col(f"_s{days}")
@@ -79,11 +86,22 @@ def merchant_rolling(t: DataFrame) -> DataFrame:
                  (F.weekday("timestamp") >= 5).cast("double").alias("_wk"),
                  ((h >= 9) & (h <= 17)).cast("double").alias("_bh"))
     d = d.withColumn("_cat", F.coalesce("category", F.lit("other")))
-    d = trailing(d, ["merchant_name"], "timestamp", 30 * DAY, {
-        "_n7": (F.count("amount"), 7 * DAY), "_n30": F.count("amount"), "_mu30": F.avg("amount"), "_var30": F.var_pop("amount"),
-        "_sd30": F.stddev_pop("amount"), "_wk30": F.avg("_wk"), "_bh30": F.avg("_bh")}, include_current=False)
-    d = trailing(d, ["merchant_name", "_cat"], "timestamp", 30 * DAY, {"_nc30": F.count("amount")}, include_current=False)
-    d = trailing(d, ["merchant_name", "_h"], "timestamp", 30 * DAY, {"_nh30": F.count("amount")}, include_current=False)
+    has_amt = F.col("amount").isNotNull()
+    amt = F.coalesce(F.col("amount"), F.lit(0.0))
+    d = trailing_sums(d, ["merchant_name"], "timestamp", "transaction_id", {
+        "_n7": (has_amt.cast("int"), 7 * DAY), "_n30": (has_amt.cast("int"), 30 * DAY), "_s30": (amt, 30 * DAY),
+        "_ss30": (amt * amt, 30 * DAY), "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), 30 * DAY),
+        "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), 30 * DAY)}, include_current=False)
+    d = trailing_sums(d, ["merchant_name", "_cat"], "timestamp", "transaction_id",
+                      {"_nc30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
+    d = trailing_sums(d, ["merchant_name", "_h"], "timestamp", "transaction_id",
+                      {"_nh30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
+    n30 = F.col("_n30")
+    d = (d.withColumn("_mu30", F.when(n30 > 0, F.col("_s30") / n30))
+          .withColumn("_var30", F.when(n30 > 0, F.greatest(F.lit(0.0), F.col("_ss30") / n30 - F.col("_mu30") * F.col("_mu30"))))
+          .withColumn("_sd30", F.sqrt("_var30"))
+          .withColumn("_wk30", F.when(n30 > 0, F.col("_wks30") / n30))
+          .withColumn("_bh30", F.when(n30 > 0, F.col("_bhs30") / n30)))
     d = with_running_count(d, ["merchant_name"], "timestamp", "transaction_id", out="_rc")
     has = F.col("_n30") > 0
     M = MERCHANT_DEFAULTS

@@ -98,3 +98,51 @@ def with_next_ts(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
     bmin = bmin.select(*keys, "_b", F.lead("_bmin").over(wb).alias("_nb"))
     d = d.join(bmin, [*keys, "_b"], "left")
     return d.withColumn(out, F.coalesce("_n", "_nb")).drop("_b", "_n", "_nb")
+
+
+def trailing_sums(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: dict,
+                  include_current: bool = True) -> DataFrame:
+    """Trailing window *sums* in O(n): S(upper) - S(lower) of running sums.
+
+    ``specs`` maps output name -> (value Column, window seconds); counts are
+    sums of 1. Frames are ``(t - W, t]`` (``include_current``) or
+    ``[t - W, t)`` (history only, no peers). Sliding RANGE frames recompute
+    every step (O(n * w)); here, inside each (key, bucket) partition (bucket
+    width = the widest window, previous bucket copied in as context), a
+    running RANGE sum gives S(x) at every row, and one *probe* row per window
+    placed at the lower bound reads S(lower). Only sorts, no pairs; exact."""
+    widths = sorted({int(s) for _, s in specs.values()})
+    width = max(widths) * 1_000_000
+    names = list(specs)
+    vals = [specs[n][0] for n in names]
+    # kinds: 0 own row, 1 context copy in the next bucket, 2+j lower probe of window j
+    kinds = F.array(*[F.lit(k) for k in range(2 + len(widths))])
+    base = df.select("*", T.epoch_micros(ts).alias("_t"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(vals)])
+    u = base.select("*", F.explode(kinds).alias("_kind"))
+    lower = F.lit(0).cast("long")
+    for j, w in enumerate(widths):
+        shift = w * 1_000_000 + (0 if include_current else 1)
+        lower = F.when(F.col("_kind") == 2 + j, F.col("_t") - F.lit(shift)).otherwise(lower)
+    u = u.select("*", F.when(F.col("_kind") >= 2, lower).otherwise(F.col("_t")).alias("_pt"),
+                 (F.floor(F.col("_t") / F.lit(width)).cast("long") + F.when(F.col("_kind") == 1, 1).otherwise(0)).alias("_b"))
+    part = [*keys, "_b"]
+    run = Window.partitionBy(*part).orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
+    peers = Window.partitionBy(*part).orderBy("_pt").rangeBetween(0, 0)
+    is_val = F.col("_kind") <= 1
+    cum = [F.sum(F.when(is_val, F.col(f"_v{i}")).otherwise(0.0)).over(run).alias(f"_c{i}") for i in range(len(vals))]
+    peer = ([F.sum(F.when(is_val, F.col(f"_v{i}")).otherwise(0.0)).over(peers).alias(f"_p{i}") for i in range(len(vals))]
+            if not include_current else [])
+    u = u.select("*", *cum, *peer)
+    # move each probe's running sum onto its own row (same partition: a sort, no shuffle)
+    mine = Window.partitionBy(*part, row_id)
+    probe_vals = []
+    for i, n in enumerate(names):
+        j = widths.index(int(specs[n][1]))
+        probe_vals.append(F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_c{i}"))).over(mine).alias(f"_l{i}"))
+    u = u.select("*", *probe_vals).where(F.col("_kind") == 0)
+    outs = []
+    for i, n in enumerate(names):
+        upper = F.col(f"_c{i}") if include_current else F.col(f"_c{i}") - F.col(f"_p{i}")
+        outs.append((upper - F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(n))
+    keep = [c for c in df.columns]
+    return u.select(*keep, *outs)

@@ -65,9 +65,12 @@ SELECT transaction_id, user_id, {_vel_sql(1)} AS transactions_last_hour,
   {_vel_sql(24)} AS transactions_last_day, {_vel_sql(168)} AS transactions_last_week FROM txn""")
 def q_txn_velocity(spark, sf):
     t = txn(spark, sf).select("transaction_id", "user_id", "timestamp")
-    out = W.trailing(t, ["user_id"], "timestamp", 168 * 3600, {
-        "transactions_last_hour": (F.count(F.lit(1)), 3600), "transactions_last_day": (F.count(F.lit(1)), 24 * 3600),
-        "transactions_last_week": F.count(F.lit(1))})
+    one = F.lit(1)
+    out = W.trailing_sums(t, ["user_id"], "timestamp", "transaction_id", {
+        "transactions_last_hour": (one, 3600), "transactions_last_day": (one, 24 * 3600),
+        "transactions_last_week": (one, 168 * 3600)})
+    out = out.select("transaction_id", "user_id", "timestamp",
+                     *[F.col(c).cast("long").alias(c) for c in ("transactions_last_hour", "transactions_last_day", "transactions_last_week")])
     return finish(out.drop("timestamp"))
 
 
