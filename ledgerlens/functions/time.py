@@ -64,3 +64,9 @@ def day_key(ts) -> Column:
 def ts_text(ts) -> Column:
     """Timestamp as text, micro precision, for oracle-comparable output."""
     return F.date_format(_c(ts), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
+def ntz_literal(text: str) -> Column:
+    """A wall-clock timestamp constant parsed from text: independent of the
+    session and process time zones."""
+    return F.lit(text.replace("T", " ")).cast("timestamp_ntz")

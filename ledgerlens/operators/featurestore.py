@@ -25,7 +25,7 @@ REGISTRY = {
 
 
 def asof_lit(as_of: str) -> Column:
-    return F.lit(dt.datetime.fromisoformat(as_of)).cast("timestamp_ntz")
+    return T.ntz_literal(as_of)
 
 
 def feature_log(t: DataFrame, ttl_user: int = 86400, ttl_merchant: int = DEFAULT_TTL) -> DataFrame:

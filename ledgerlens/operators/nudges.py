@@ -334,7 +334,7 @@ def nudge_analytics(log: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     import datetime as dt
     end = dt.datetime.fromisoformat(as_of)
     start = end - dt.timedelta(days=days)
-    w = log.where((F.col("timestamp") >= F.lit(start).cast("timestamp_ntz")) & (F.col("timestamp") < F.lit(end).cast("timestamp_ntz")))
+    w = log.where((F.col("timestamp") >= T.ntz_literal(start.isoformat())) & (F.col("timestamp") < T.ntz_literal(end.isoformat())))
     per = w.groupBy("user_id").agg(F.count(F.lit(1)).alias("total_nudges_shown"),
                                    F.count_if(F.col("user_action") == "delayed").alias("nudges_followed"),
                                    F.sum("amount_saved").alias("money_saved"))

@@ -147,7 +147,7 @@ def risk_profile(s: DataFrame) -> DataFrame:
 
 
 def factors(s: DataFrame, as_of: str) -> DataFrame:
-    asof = F.lit(dt.datetime.fromisoformat(as_of)).cast("timestamp_ntz")
+    asof = T.ntz_literal(as_of)
     return s.select(
         "user_id", confidence(s).alias("confidence"), F.col("n").alias("transaction_count"),
         F.col("n_merchants").alias("unique_merchants"), F.col("mu").alias("avg_transaction_amount"),

@@ -51,3 +51,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = tempfile.mkdtemp(prefix="ledgerlens-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
+
+
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+}
+
+
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Runtime SQL settings the operators' semantics rely on (the data is
+    wall-clock ``timestamp_ntz``; every conversion is defined in UTC), applied
+    to a session created elsewhere."""
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    ensure_checkpoint_dir(spark)
+    return spark
