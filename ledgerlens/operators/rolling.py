@@ -1,14 +1,15 @@
 """Rolling user (G3) and merchant (G19) features: trailing event-time
 windows over the row's history only ([t - W, t), no leakage), computed with
-the halo-bucket ``trailing`` operator so a hot user or merchant is split by
-time. Rows without history get the reference's cold-start constants."""
+O(n) running-sum differences (``trailing_sums``; ``bounded=True`` switches to
+tasks bounded by one key-hour for extreme hot keys); the non-additive max and
+distinct count use time-bucketed sliding frames. Rows without history get the reference's cold-start constants."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .windows import trailing, trailing_sums, with_running_count
+from .windows import trailing, trailing_sums, trailing_sums_bounded, with_running_count
 
 DAY = 86400
 # fixed values: cold-start defaults
@@ -40,7 +41,7 @@ def _ratio(num: Column, den: Column, default: float) -> Column:
     return F.when(den > 0, num / den).otherwise(F.lit(default))
 
 
-def user_rolling(t: DataFrame) -> DataFrame:
+def user_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
     h = F.hour("timestamp")
     d = t.select("*", X.category_hint("merchant_name").alias("_hint"),
                  (F.weekday("timestamp") >= 5).alias("_wk"), ((h >= 17) & (h <= 21)).alias("_ev"))
@@ -56,7 +57,8 @@ def user_rolling(t: DataFrame) -> DataFrame:
     specs["_wk30"] = (F.when(F.col("_wk"), amt).otherwise(0.0), 30 * DAY)
     specs["_ev30"] = (F.when(F.col("_ev"), amt).otherwise(0.0), 30 * DAY)
     # additive statistics: O(n) running-sum differences
-    out = trailing_sums(d, ["user_id"], "timestamp", "transaction_id", specs, include_current=False)
+    sums = trailing_sums_bounded if bounded else trailing_sums
+    out = sums(d, ["user_id"], "timestamp", "transaction_id", specs, include_current=False)
     # max and distinct count are not additive: sliding frames (per user, time-bucketed)
     out = trailing(out, ["user_id"], "timestamp", 30 * DAY, {
         "_mx7": (F.max("amount"), 7 * DAY), "_mx30": F.max("amount"),
@@ -80,7 +82,7 @@ def user_rolling(t: DataFrame) -> DataFrame:
     return out.select(*t.columns, *cols)
 
 
-def merchant_rolling(t: DataFrame) -> DataFrame:
+def merchant_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
     h = F.hour("timestamp")
     d = t.select("*", h.alias("_h"),
                  (F.weekday("timestamp") >= 5).cast("double").alias("_wk"),
@@ -88,13 +90,14 @@ def merchant_rolling(t: DataFrame) -> DataFrame:
     d = d.withColumn("_cat", F.coalesce("category", F.lit("other")))
     has_amt = F.col("amount").isNotNull()
     amt = F.coalesce(F.col("amount"), F.lit(0.0))
-    d = trailing_sums(d, ["merchant_name"], "timestamp", "transaction_id", {
+    sums = trailing_sums_bounded if bounded else trailing_sums
+    d = sums(d, ["merchant_name"], "timestamp", "transaction_id", {
         "_n7": (has_amt.cast("int"), 7 * DAY), "_n30": (has_amt.cast("int"), 30 * DAY), "_s30": (amt, 30 * DAY),
         "_ss30": (amt * amt, 30 * DAY), "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), 30 * DAY),
         "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), 30 * DAY)}, include_current=False)
-    d = trailing_sums(d, ["merchant_name", "_cat"], "timestamp", "transaction_id",
+    d = sums(d, ["merchant_name", "_cat"], "timestamp", "transaction_id",
                       {"_nc30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
-    d = trailing_sums(d, ["merchant_name", "_h"], "timestamp", "transaction_id",
+    d = sums(d, ["merchant_name", "_h"], "timestamp", "transaction_id",
                       {"_nh30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
     n30 = F.col("_n30")
     d = (d.withColumn("_mu30", F.when(n30 > 0, F.col("_s30") / n30))

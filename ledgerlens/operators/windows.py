@@ -110,7 +110,12 @@ def trailing_sums(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: d
     every step (O(n * w)); here, inside each (key, bucket) partition (bucket
     width = the widest window, previous bucket copied in as context), a
     running RANGE sum gives S(x) at every row, and one *probe* row per window
-    placed at the lower bound reads S(lower). Only sorts, no pairs; exact."""
+    placed at the lower bound reads S(lower). Only sorts, no pairs; exact.
+
+    A (key, bucket) partition holds up to two windows of one key; when a
+    single key can own a large share of the data, ``trailing_sums_bounded``
+    gives the same result with tasks bounded by one key-hour (at the price of
+    two more shuffles)."""
     widths = sorted({int(s) for _, s in specs.values()})
     width = max(widths) * 1_000_000
     names = list(specs)
@@ -146,3 +151,73 @@ def trailing_sums(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: d
         outs.append((upper - F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(n))
     keep = [c for c in df.columns]
     return u.select(*keep, *outs)
+
+
+def trailing_sums_bounded(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: dict,
+                  include_current: bool = True, fine_seconds: int = 3600) -> DataFrame:
+    """Same result as ``trailing_sums`` with tasks bounded by one key-hour.
+
+    ``specs`` maps output name -> (value Column, window seconds); counts are
+    sums of 1. Frames are ``(t - W, t]`` (``include_current``) or
+    ``[t - W, t)`` (history only, no peers).
+
+    Sliding RANGE frames recompute each step (O(n * w)) and hold a key's whole
+    window in one task. Instead every row emits *probe* events at the frame
+    bounds; the sum up to any instant x is ``within(x)``, the running sum from
+    the start of x's block (blocks are W wide), built from per-(key, hour)
+    local running sums plus a prefix over the hour totals of the block (at
+    most W / 1 h entries). Then
+
+        sum(frame) = within(upper) - within(lower) + [blocks differ] * block_total(lower's block)
+
+    Tasks are bounded by one key-hour; all terms stay block-sized, so the
+    difference is numerically tame."""
+    widths = sorted({int(s) for _, s in specs.values()})
+    big = max(widths)
+    if big % fine_seconds:
+        raise ValueError("window widths must be multiples of the fine bucket")
+    names = list(specs)
+    nv = len(names)
+    fine_us, block_us = fine_seconds * 1_000_000, big * 1_000_000
+    excl = 0 if include_current else 1
+    # event kinds: 0 value row, 1 upper probe, 2 + j lower probe of window j
+    kinds = F.array(*[F.lit(k) for k in range(2 + len(widths))])
+    base = df.select("*", T.epoch_micros(ts).alias("_t"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(specs[n][0] for n in names)])
+    # the upper probe carries the row itself, so no join back to ``df`` is needed
+    carry = F.struct(*[F.col(c) for c in df.columns])
+    ev = base.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t",
+                     *[F.col(f"_v{i}") for i in range(nv)], carry.alias("_row"), F.explode(kinds).alias("_kind"))
+    ev = ev.withColumn("_row", F.when(F.col("_kind") == 1, F.col("_row")))
+    keys = [f"_k{i}" for i in range(len(keys))]
+    pt = F.when(F.col("_kind") == 0, F.col("_t")).when(F.col("_kind") == 1, F.col("_t") - excl)
+    for j, w in enumerate(widths):
+        pt = pt.when(F.col("_kind") == 2 + j, F.col("_t") - F.lit(w * 1_000_000) - excl)
+    ev = ev.select("*", pt.alias("_pt"))
+    ev = ev.select("*", F.floor(F.col("_pt") / F.lit(fine_us)).cast("long").alias("_f"),
+                   F.floor(F.col("_pt") / F.lit(block_us)).cast("long").alias("_c"))
+    is_val = F.col("_kind") == 0
+    vcols = [F.when(is_val, F.col(f"_v{i}")).otherwise(0.0) for i in range(nv)]
+    # local running sums inside one key-hour (RANGE: an instant includes its peers)
+    run = Window.partitionBy(*keys, "_f").orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
+    ev = ev.select("*", *[F.sum(vc).over(run).alias(f"_loc{i}") for i, vc in enumerate(vcols)])
+    # hour totals (0 for hours with probes only), prefix within the block, block totals
+    hours = ev.groupBy(*keys, "_f", "_c").agg(*[F.sum(vc).alias(f"_ht{i}") for i, vc in enumerate(vcols)])
+    wb = Window.partitionBy(*keys, "_c").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+    wt = Window.partitionBy(*keys, "_c")
+    hours = hours.select(*keys, "_f", *[F.coalesce(F.sum(f"_ht{i}").over(wb), F.lit(0.0)).alias(f"_hp{i}") for i in range(nv)],
+                         *[F.sum(f"_ht{i}").over(wt).alias(f"_bt{i}") for i in range(nv)])
+    pr = ev.where(~is_val).join(hours, [*keys, "_f"])
+    pr = pr.select("_rid", "_kind", "_c", "_row", *[(F.col(f"_hp{i}") + F.col(f"_loc{i}")).alias(f"_w{i}") for i in range(nv)],
+                   *[F.col(f"_bt{i}") for i in range(nv)])
+    # gather the probes of one row (shuffle by row id) and combine
+    aggs = [F.max(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_cu"), F.first("_row", ignorenulls=True).alias("_row")]
+    aggs += [F.max(F.when(F.col("_kind") == 1, F.col(f"_w{i}"))).alias(f"_u{i}") for i in range(nv)]
+    for i, n in enumerate(names):
+        j = widths.index(int(specs[n][1]))
+        aggs += [F.max(F.when(F.col("_kind") == 2 + j, F.col("_c"))).alias(f"_cl{i}"),
+                 F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_w{i}"))).alias(f"_l{i}"),
+                 F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_bt{i}"))).alias(f"_lb{i}")]
+    per = pr.groupBy("_rid").agg(*aggs)
+    outs = [(F.col(f"_u{i}") - F.col(f"_l{i}") + F.when(F.col(f"_cl{i}") < F.col("_cu"), F.col(f"_lb{i}")).otherwise(0.0)).alias(n)
+            for i, n in enumerate(names)]
+    return per.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
\ No newline at end of file
