@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 from ..functions import time as T
 
 # fixed values: base effectiveness, intensity multipliers, gates, returns
@@ -281,6 +283,9 @@ COMMON = ["proposal_id", "user_id", "nudge_type", "intensity", "confidence", "re
 
 
 def all_nudges(c: DataFrame, goals: DataFrame) -> DataFrame:
+    # six nudge families read the same proposal context: write it once to the
+    # shared checkpoint folder instead of re-deriving it per family
+    c = cut_lineage(c)
     parts = [loss_aversion(c), social_proof(c), mental_accounting(c), commitment(c, goals), temporal(c), anchoring(c)]
     u = None
     for p in parts:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def with_global_position(df: DataFrame, order_col: str, weight_col: str | None = None,
                          partitions: int | None = None, out: str = "pos") -> DataFrame:
@@ -22,7 +24,7 @@ def with_global_position(df: DataFrame, order_col: str, weight_col: str | None =
     w = F.col(weight_col) if weight_col else F.lit(1)
     ranged = (df.withColumn("_w", w.cast("long")).repartitionByRange(n, order_col)
                 .withColumn("_pid", F.spark_partition_id()))
-    ranged = ranged.checkpoint(eager=True)
+    ranged = cut_lineage(ranged)
     totals = ranged.groupBy("_pid").agg(F.sum("_w").alias("_tot"))
     wp = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition: bounded by the partition count, safe to broadcast

@@ -70,3 +70,16 @@ def apply_defaults(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
     ensure_checkpoint_dir(spark)
     return spark
+
+
+def cut_lineage(df):
+    """Reliable checkpoint into ``spark.checkpoint.dir`` without computing
+    the input twice: RDD checkpointing re-runs the lineage to write the files
+    unless the data is persisted, so persist, checkpoint, then release."""
+    from pyspark import StorageLevel
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
+    return out
