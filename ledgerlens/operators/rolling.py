@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .windows import trailing, trailing_sums, trailing_sums_bounded, with_running_count
+from .windows import (trailing, trailing_max_distinct_bounded, trailing_sums, trailing_sums_bounded,
+                      with_running_count)
 
 DAY = 86400
 # fixed values: cold-start defaults
@@ -59,11 +60,19 @@ def user_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
     # additive statistics: O(n) running-sum differences
     sums = trailing_sums_bounded if bounded else trailing_sums
     out = sums(d, ["user_id"], "timestamp", "transaction_id", specs, include_current=False)
-    # max and distinct count are not additive: sliding frames (per user, time-bucketed)
-    out = trailing(out, ["user_id"], "timestamp", 30 * DAY, {
-        "_mx7": (F.max("amount"), 7 * DAY), "_mx30": F.max("amount"),
-        "_u7": (lambda w: F.size(F.collect_set("merchant_name").over(w)), 7 * DAY),
-        "_u30": lambda w: F.size(F.collect_set("merchant_name").over(w))}, include_current=False)
+    # max and distinct count are not additive
+    if bounded:
+        out = trailing_max_distinct_bounded(out, ["user_id"], "timestamp", "transaction_id", "amount", "merchant_name",
+                                            {"7": 7 * DAY, "30": 30 * DAY})
+        out = out.select("*", *[F.col(f"max_{d}").alias(f"_mx{d}") for d in (7, 30)],
+                         *[F.col(f"distinct_{d}").alias(f"_u{d}") for d in (7, 30)]).drop(
+            *[f"{p}_{d}" for p in ("max", "distinct") for d in (7, 30)])
+    else:
+        # sliding frames inside (user, 30-day bucket) partitions
+        out = trailing(out, ["user_id"], "timestamp", 30 * DAY, {
+            "_mx7": (F.max("amount"), 7 * DAY), "_mx30": F.max("amount"),
+            "_u7": (lambda w: F.size(F.collect_set("merchant_name").over(w)), 7 * DAY),
+            "_u30": lambda w: F.size(F.collect_set("merchant_name").over(w))}, include_current=False)
     cols = []
     for days in (7, 30):
         n, s = F.col(f"_n{days}"), F.col(f"_s{days}")

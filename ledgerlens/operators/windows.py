@@ -220,4 +220,69 @@ def trailing_sums_bounded(df: DataFrame, keys: list[str], ts: str, row_id: str,
     per = pr.groupBy("_rid").agg(*aggs)
     outs = [(F.col(f"_u{i}") - F.col(f"_l{i}") + F.when(F.col(f"_cl{i}") < F.col("_cu"), F.col(f"_lb{i}")).otherwise(0.0)).alias(n)
             for i, n in enumerate(names)]
-    return per.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
\ No newline at end of file
+    return per.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
+
+def trailing_max_distinct_bounded(df: DataFrame, keys: list[str], ts: str, row_id: str,
+                                  value: str, item: str, widths: dict, fine_seconds: int = 3600) -> DataFrame:
+    """History-only ``[t - W, t)`` max of ``value`` and distinct count of
+    ``item`` per key, with tasks bounded by one key-hour.
+
+    ``widths`` maps a suffix -> W seconds (multiples of the hour); adds
+    ``max_<suffix>`` and ``distinct_<suffix>``. The window splits into the
+    tail of the hour holding t - W (a suffix inside that hour, read by a
+    probe row), the whole hours in between (a sliding frame over per-hour
+    maxima and sets: at most W / 1 h rows, however many payments), and the
+    head of the row's own hour before t. Max is not additive, so prefix
+    differences do not apply; this keeps it exact without a big frame."""
+    hu = fine_seconds * 1_000_000
+    names = list(widths)
+    for n in names:
+        if widths[n] % fine_seconds:
+            raise ValueError("window widths must be multiples of the fine bucket")
+    carry = F.struct(*[F.col(c) for c in df.columns])
+    kinds = F.array(*[F.lit(k) for k in range(1 + len(names))])  # 0 row/value, 1 + j probe of window j
+    base = df.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+                     T.epoch_micros(ts).alias("_t"), F.col(value).cast("double").alias("_v"), F.col(item).alias("_it"),
+                     carry.alias("_row"))
+    K = [f"_k{i}" for i in range(len(keys))]
+    ev = base.select("*", F.explode(kinds).alias("_kind"))
+    pt = F.when(F.col("_kind") == 0, F.col("_t"))
+    for j, n in enumerate(names):
+        pt = pt.when(F.col("_kind") == 1 + j, F.col("_t") - F.lit(widths[n] * 1_000_000))
+    ev = ev.select("*", pt.alias("_pt")).select("*", F.floor(F.col("_pt") / F.lit(hu)).cast("long").alias("_h"))
+    is_val = F.col("_kind") == 0
+    vv, vi = F.when(is_val, F.col("_v")), F.when(is_val, F.col("_it"))
+    # head of the own hour: values strictly before t (a growing frame per key-hour)
+    head = Window.partitionBy(*K, "_h").orderBy("_pt").rangeBetween(Window.unboundedPreceding, -1)
+    # tail of the probe's hour: values at or after t - W
+    tail = Window.partitionBy(*K, "_h").orderBy(F.col("_pt").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    ev = ev.select("*", F.max(vv).over(head).alias("_hm"), F.collect_set(vi).over(head).alias("_hs"),
+                   F.max(vv).over(tail).alias("_tm"), F.collect_set(vi).over(tail).alias("_ts"))
+    # whole hours strictly between the two partial hours: sliding frame over hour rows
+    hours = ev.where(is_val).groupBy(*K, "_h").agg(F.max("_v").alias("_xm"), F.collect_set("_it").alias("_xs"))
+    mids = []
+    for j, n in enumerate(names):
+        span = widths[n] // fine_seconds
+        fr = Window.partitionBy(*K).orderBy("_h").rangeBetween(-(span - 1), -1)
+        mids += [F.max("_xm").over(fr).alias(f"_bm{j}"),
+                 F.array_distinct(F.flatten(F.collect_list("_xs").over(fr))).alias(f"_bs{j}")]
+    # the frame must be evaluated at every row's own hour, including hours
+    # without values: add those hours as empty rows first
+    own_hours = ev.where(is_val).select(*K, "_h").distinct()
+    hrs = own_hours.join(hours, [*K, "_h"], "left").select(*K, "_h", "_xm", F.coalesce("_xs", F.array().cast(hours.schema["_xs"].dataType)).alias("_xs"))
+    hrs = hrs.select(*K, "_h", *mids)
+    rows = ev.where(is_val).join(hrs, [*K, "_h"]).select("_rid", "_row", "_hm", "_hs", *[c for c in hrs.columns if c.startswith("_b")])
+    probes = ev.where(~is_val).select("_rid", "_kind", "_tm", "_ts")
+    pv = probes.groupBy("_rid").agg(*[x for j in range(len(names)) for x in (
+        F.max(F.when(F.col("_kind") == 1 + j, F.col("_tm"))).alias(f"_pm{j}"),
+        F.first(F.when(F.col("_kind") == 1 + j, F.col("_ts")), ignorenulls=True).alias(f"_ps{j}"))])
+    d = rows.join(pv, "_rid")
+    outs = []
+    empty = F.array().cast("array<string>")
+    for j, n in enumerate(names):
+        outs.append(F.greatest(F.col("_hm"), F.col(f"_bm{j}"), F.col(f"_pm{j}")).alias(f"max_{n}"))
+        allset = F.array_distinct(F.concat(F.coalesce(F.col("_hs").cast("array<string>"), empty),
+                                           F.coalesce(F.col(f"_bs{j}").cast("array<string>"), empty),
+                                           F.coalesce(F.col(f"_ps{j}").cast("array<string>"), empty)))
+        outs.append(F.size(allset).alias(f"distinct_{n}"))
+    return d.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)

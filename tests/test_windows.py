@@ -34,3 +34,28 @@ def test_prev_ts_and_running_count(spark):
                                ["user_id"], "timestamp", "transaction_id")
     j = ref.join(got, "transaction_id")
     assert j.where(~F.col("p").eqNullSafe(F.col("prev_ts")) | (F.col("r") != F.col("running_count"))).count() == 0
+
+
+def test_bounded_rolling_features_equal_default(spark):
+    from ledgerlens.operators import rolling as R
+    t = txn(spark, SF)
+    a = R.user_rolling(t)
+    b = R.user_rolling(t, bounded=True)
+    cols = list(R.USER_DEFAULTS)
+    j = a.select("transaction_id", *cols).join(
+        b.select("transaction_id", *[F.col(c).alias("b_" + c) for c in cols]), "transaction_id")
+    cond = None
+    for c in cols:
+        d = F.abs(F.col(c) - F.col("b_" + c)) > 1e-6
+        cond = d if cond is None else cond | d
+    assert j.count() == t.count()
+    assert j.where(cond).count() == 0
+    m1 = R.merchant_rolling(t)
+    m2 = R.merchant_rolling(t, bounded=True)
+    mc = [c for c in R.MERCHANT_DEFAULTS]
+    jm = m1.select("transaction_id", *mc).join(m2.select("transaction_id", *[F.col(c).alias("b_" + c) for c in mc]), "transaction_id")
+    cond = None
+    for c in mc:
+        d = F.abs(F.col(c) - F.col("b_" + c)) > 1e-6
+        cond = d if cond is None else cond | d
+    assert jm.where(cond).count() == 0
