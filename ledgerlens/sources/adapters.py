@@ -153,7 +153,8 @@ def materialized(spark: SparkSession, sf_dir: str, name: str, build, sources: li
     target = jvm.org.apache.hadoop.fs.Path(base)
     fs = target.getFileSystem(conf)
     if not fs.exists(target):
-        tmp = f"{base}.tmp-{hashlib.sha1(str(id(spark)).encode()).hexdigest()[:8]}"
+        import uuid
+        tmp = f"{base}.tmp-{uuid.uuid4().hex[:12]}"  # unique per writer: concurrent callers never share it
         build(spark, sf_dir).write.mode("overwrite").parquet(tmp)
         if not fs.exists(target):
             fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target)
