@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+import zipfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,29 @@ from pyspark.sql import functions as F
 from ledgerlens.session import ensure_checkpoint_dir
 
 _CLEANED: set[str] = set()
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which may have neither the
+    driver's working folder nor its module path; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-code-"), "ledgerlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "ledgerlens")):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, top))
+    spark.sparkContext.addPyFile(path)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_code(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -83,6 +105,13 @@ def local_file(spark: SparkSession, path: str) -> str:
     return path
 
 
+def drop_or_keep(df: DataFrame, ids: DataFrame, key: str, how: str, bound: int = 500_000) -> DataFrame:
+    """Join ``df`` with the written table ``ids`` on ``key`` (inner, left_semi
+    or left_anti). While ``ids`` has at most ``bound`` rows it is broadcast
+    and ``df`` stays where it is; beyond, both are shuffled."""
+    return df.join(F.broadcast(ids) if ids.count() <= bound else ids, key, how)
+
+
 # -- Arrow batches ------------------------------------------------------------
 
 def strings(column: pa.Array) -> list[str]:
@@ -117,33 +146,29 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> I
             start = stop
 
 
-def by_group(batches: Iterator[pa.RecordBatch], key: str, limit: int) -> Iterator[pa.Table]:
+def by_group(batches: Iterator[pa.RecordBatch], key: str, limit: int, text: str | None = None,
+             byte_limit: int = 0) -> Iterator[pa.Table]:
     """Tables of whole groups from batches sorted by ``key``: groups gather
-    until ``limit`` rows are there, a group is never cut."""
+    until ``limit`` rows (or ``byte_limit`` bytes of ``text``) are there; a
+    group is never cut."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows = size = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         rows += batch.num_rows
-        if rows < limit:
+        size += int(np.diff(utf8(batch.column(text))[1][[0, -1]])[0]) if text else 0
+        if rows < limit and (not text or size < byte_limit):
+            continue
+        keys = np.concatenate([b.column(key).to_numpy() for b in held])
+        same = np.flatnonzero(keys != keys[-1])
+        if not len(same):
             continue
+        cut = int(same[-1]) + 1
         table = pa.Table.from_batches(held)
-        keys = table.column(key).to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], "left")) if keys[0] <= keys[-1] else 0
-        if cut:
-            yield table.slice(0, cut)
-            held, rows = table.slice(cut).to_batches(), len(keys) - cut
+        yield table.slice(0, cut)
+        held = table.slice(cut).to_batches()
+        rows, size = len(keys) - cut, 0
     if held:
         yield pa.Table.from_batches(held)
-
-
-def arrow_rows(fn: Callable, schema: pa.Schema) -> Callable:
-    """Wrap ``fn(batches) -> iterator of column dicts`` for ``mapInArrow``."""
-    def run(batches):
-        for columns in fn(batches):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], pa.Array)
-                 else columns[f.name] for f in schema], schema=schema)
-    return run

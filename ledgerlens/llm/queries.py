@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, langid, line_dedup, sharding, token_count
+from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, sharding, token_count
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,21 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op8_rendezvous_shards")
 def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), SHARDS)
+
+
+@register("op9_ngram_jaccard")
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
+    ids = found.select(F.col("rid").alias("other"), F.col("doc_id").alias("other_id"))
+    # rows are named by their row ids; give the documents' ids instead
+    for col, name in (("class_rid", "class_id"), ("component_rid", "component_id")):
+        found = (found.join(ids, found[col] == ids["other"]).drop("other")
+                 .withColumnRenamed("other_id", name))
+    return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
+@register("op10_decontaminate")
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_copies(docs, read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.inline("hits"))
