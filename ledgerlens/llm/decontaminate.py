@@ -1,10 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-1. The word n-grams of the benchmark items are counted over all documents (in
-   how many documents each occurs). An n-gram is a seed of an item if it is
+1. The word n-grams of the benchmark items are counted over all documents: in
+   how many documents each occurs by chance, that is, apart from documents
+   that hold a good part of the item. An n-gram is a seed of an item if it is
    rare (in at most ``rare_share`` of the documents) or among the rarer half
-   of the item's own n-grams, so an item that leaked into very many documents
-   keeps seeds too.
+   of the item's own n-grams.
 2. A document that holds a seed is aligned with the item around the seed's
    place by Smith-Waterman over words (match 1, mismatch and gap -0.5). The
    score is divided by the item's length; at ``threshold`` or more the
@@ -35,6 +35,8 @@ from .words import grams, words
 N = 3
 THRESHOLD = 0.6
 RARE_SHARE = 1e-4
+RARE_LEAST = 20           # documents in which a rare n-gram may always occur
+LEAK_SHARE = 0.2          # share of an item's n-grams that makes a likely copy
 BLOCK_WORDS = 2_000_000
 MISMATCH = GAP = 0.5
 BATCH_BYTES = 2 << 20
@@ -131,34 +133,42 @@ def _matches(items: Items, word, off, n) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(hit)
 
 
-def _document_counts(docs: DataFrame, items: Items, n: int, text_col: str) -> dict[int, int]:
-    """In how many documents each item gram occurs; one row per gram, and the
-    grams are those of one bounded block."""
+def _background(docs: DataFrame, items: Items, n: int, text_col: str) -> np.ndarray:
+    """For each (gram, item) of one bounded block, in how many documents the
+    gram occurs by chance: documents that hold more than ``LEAK_SHARE`` of the
+    item's grams are likely copies and don't count, so that a passage which
+    leaked into many documents still looks rare."""
+    own = np.bincount(items.item, minlength=len(items.ids))
+
     def run(batches):
         for batch in batches:
-            total: dict[int, int] = {}
+            total = np.zeros(len(items.gram), np.int64)
             for part in small_batches(iter([batch]), text_col, BATCH_BYTES):
                 word, off = words(part.column(text_col))
                 at, hit = _matches(items, word, off, n)
                 row = np.searchsorted(off, at, "right") - 1
-                pairs = np.unique(np.stack([row.astype(np.int64), items.gram[hit].view(np.int64)], 1), axis=0)
-                for g, c in zip(*np.unique(pairs[:, 1], return_counts=True)):
-                    total[int(g)] = total.get(int(g), 0) + int(c)
-            if total:
-                yield pa.RecordBatch.from_arrays([pa.array(total.keys(), pa.int64()), pa.array(total.values(), pa.int64())],
-                                                 ["gram", "n"])
-    counts = docs.select(text_col).mapInArrow(run, "gram bigint, n bigint")
-    return {r["gram"]: r["n"] for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+                pairs = np.unique(np.stack([row.astype(np.int64), items.item[hit], hit], 1), axis=0)
+                _, which, held = np.unique(pairs[:, :2], axis=0, return_inverse=True, return_counts=True)
+                chance = held[which.ravel()] <= np.maximum(1, LEAK_SHARE * own[pairs[:, 1]])
+                total += np.bincount(pairs[chance, 2], minlength=len(total))
+            some = np.flatnonzero(total)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["entry", "n"])
+
+    counts = docs.select(text_col).mapInArrow(run, "entry bigint, n bigint")
+    out = np.zeros(len(items.gram), np.int64)
+    for r in counts.groupBy("entry").agg(F.sum("n").alias("n")).collect():
+        out[r["entry"]] = r["n"]
+    return out
 
 
-def choose_seeds(items: Items, counts: dict[int, int], limit: float) -> Items:
+def choose_seeds(items: Items, background: np.ndarray, limit: float) -> Items:
     """Grams in at most ``limit`` documents and each item's rarer half."""
-    freq = np.array([counts.get(int(g), 0) for g in items.gram.view(np.int64)], np.int64)
-    keep = freq <= limit
+    keep = background <= limit
     for i in range(len(items.ids)):
         own = np.flatnonzero(items.item == i)
         if len(own):
-            keep[own[freq[own] <= np.median(freq[own])]] = True
+            keep[own[background[own] <= np.median(background[own])]] = True
     return items.seeds(keep)
 
 
@@ -181,8 +191,8 @@ def hits_of(items: Items, word: np.ndarray, off: np.ndarray, n: int, threshold:
     for a, b in zip(heads, np.append(heads[1:], len(row))):
         r, i, m = int(row[a]), int(item[a]), int(size[a])
         own = items.word[items.off[i]: items.off[i + 1]]
-        # an alignment at the threshold reaches at most this far (see README)
-        reach = int(np.ceil(m * (1 + (1 - threshold) / GAP)))
+        # with m matches at best, the threshold leaves room for this many gaps
+        reach = int(np.ceil(m * (1 - threshold) / GAP)) + 1
         lo, hi = max(int(off[r]), int(begin[a]) - reach), min(int(off[r + 1]), int(begin[b - 1]) + m + reach)
         text = word[lo:hi]
         if np.isin(own, text).sum() < threshold * m - 1e-9:
@@ -218,7 +228,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     result = docs.select(*keep).withColumn(out, F.array().cast(HIT))
     for ids, texts in _blocks(benchmark, item_id, item_text, block_words):
         items = load_items(ids, texts, n)
-        seeds = choose_seeds(items, _document_counts(docs, items, n, text_col), rare_share * total)
+        seeds = choose_seeds(items, _background(docs, items, n, text_col), max(RARE_LEAST, rare_share * total))
         shared = docs.sparkSession.sparkContext.broadcast(seeds)
         result = result.mapInArrow(_scan(shared, keep, text_col, out, n, threshold), f"{fields}, `{out}` {HIT}")
     return result
