@@ -18,6 +18,7 @@ from ledgerlens.session import ensure_checkpoint_dir
 
 _CLEANED: set[str] = set()
 _SHIPPED: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -71,7 +72,13 @@ class Stage:
 
     def __init__(self, spark: SparkSession, df: DataFrame, tag: str):
         self.spark, self.path = spark, f"{work_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
+        # shuffle files of the job are not needed once its table is written
+        conf, old = spark.conf, spark.conf.get(_CLEANUP, "false")
+        conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(self.path)
+        finally:
+            conf.set(_CLEANUP, old)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:

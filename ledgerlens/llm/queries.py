@@ -8,7 +8,7 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, sharding, token_count
+from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, pfp_dedup, sharding, token_count
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_copies(docs, read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.inline("hits"))
+
+
+@register("op3_prefix_free_dedup")
+def op3_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pfp_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
