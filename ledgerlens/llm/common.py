@@ -112,6 +112,18 @@ def local_file(spark: SparkSession, path: str) -> str:
     return path
 
 
+def with_ids(found: DataFrame, id_col: str, names: dict[str, str]) -> DataFrame:
+    """Columns that hold row ids, as the ids of those rows. Where row ids are
+    the ids themselves (the usual case) nothing is joined."""
+    plain = not found.filter(~F.col(id_col).eqNullSafe(F.col("rid"))).limit(1).count()
+    if plain:
+        return found.withColumnsRenamed(names)
+    ids = staged(found.select(F.col("rid").alias("_rid"), F.col(id_col).alias("_id")), "ids")
+    for rid, name in names.items():
+        found = found.join(ids, found[rid] == ids["_rid"]).drop("_rid", rid).withColumnRenamed("_id", name)
+    return found
+
+
 def drop_or_keep(df: DataFrame, ids: DataFrame, key: str, how: str, bound: int = 500_000) -> DataFrame:
     """Join ``df`` with the written table ``ids`` on ``key`` (inner, left_semi
     or left_anti). While ``ids`` has at most ``bound`` rows it is broadcast

@@ -8,8 +8,8 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, pfp_dedup, sharding, token_count
-from .common import read
+from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, pfp_dedup, sharding, token_count, vector_graph
+from .common import read, staged, with_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,11 +104,7 @@ def op8_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_ngram_jaccard")
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.near_duplicates(read(spark, sf_dir, "documents"))
-    ids = found.select(F.col("rid").alias("other"), F.col("doc_id").alias("other_id"))
-    # rows are named by their row ids; give the documents' ids instead
-    for col, name in (("class_rid", "class_id"), ("component_rid", "component_id")):
-        found = (found.join(ids, found[col] == ids["other"]).drop("other")
-                 .withColumnRenamed("other_id", name))
+    found = with_ids(staged(found, "found"), "doc_id", {"class_rid": "class_id", "component_rid": "component_id"})
     return found.select("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
@@ -123,3 +119,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_prefix_free_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pfp_dedup.remove_repeats(read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op4_vector_graph")
+def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vector_graph.near_duplicates(read(spark, sf_dir, "embeddings"))
+    found = with_ids(staged(found, "found"), "vec_id", {"component_rid": "component_id"})
+    return found.select("vec_id", "n_links", "component_id", "kept", "audit_recall")
