@@ -42,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of near duplicates the first document stays."""
     ship_code(spark)
     rows = row_ids(docs.select(*COLUMNS), "doc_id", COLUMNS[1:])
-    found = ngram_join.near_duplicates(rows.select("rid", "text"), "rid")
-    gone = staged(found.filter(~F.col("kept")).select(F.col("rid")), "gone")
+    found = ngram_join.near_duplicates(rows.select(F.col("rid").alias("row"), "text"), "row")
+    gone = staged(found.filter(~F.col("kept")).select(F.col("row").alias("rid")), "gone")
     return drop_or_keep(rows, gone, "rid", "left_anti").select(*COLUMNS)
 
 
