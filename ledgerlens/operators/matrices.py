@@ -14,7 +14,7 @@ from ..functions import time as T
 from . import aggregates as A
 from . import rolling as R
 from . import tagging as TG
-from .windows import trailing_sums, with_running_count
+from .windows import rolling_stats, with_running_count
 
 # fixed values: the 31-column parity spec, in order
 PARITY_COLUMNS = [
@@ -29,20 +29,6 @@ PARITY_CATEGORICAL = ["vpa_handle_id", "merchant_id", "caps_state_int"]
 USER_FREQUENCY_SCORE = 0.5  # reference default; no source defines it
 
 
-def validate(raw: DataFrame, default_user: str = "default_user") -> DataFrame:
-    """B1: require amount/timestamp/merchant_name; bad amount or timestamp ->
-    null -> row dropped; merchant null -> "Unknown"; user default."""
-    missing = [c for c in ("amount", "timestamp", "merchant_name") if c not in raw.columns]
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
-    d = raw.withColumn("amount", F.expr("try_cast(amount AS DOUBLE)")) \
-           .withColumn("timestamp", F.expr("try_cast(timestamp AS TIMESTAMP_NTZ)")) \
-           .withColumn("merchant_name", F.coalesce(F.col("merchant_name").cast("string"), F.lit("Unknown")))
-    if "user_id" not in d.columns:
-        d = d.withColumn("user_id", F.lit(default_user))
-    return d.na.drop(subset=["amount", "timestamp"])
-
-
 def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame) -> DataFrame:
     """The 31 parity columns; encoders (vocabularies, amount scaler) are
     fitted on ``t`` itself."""
@@ -53,8 +39,9 @@ def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame) ->
     d = d.withColumn("_month", F.date_format("timestamp", "yyyy-MM")).withColumn("_cat", F.coalesce("category", F.lit("other")))
     d = d.join(caps.select(F.col("user_id"), F.col("category").alias("_cat"), F.col("month").alias("_month"),
                            F.col("caps_state_int").alias("_caps")), ["user_id", "_cat", "_month"], "left")
-    vv = TG.vocabulary(d.select("vpa_handle"), "vpa_handle")
-    vm = TG.vocabulary(d.select("merchant_token"), "merchant_token")
+    # vocabularies come straight from the input, not from the widened rows
+    vv = TG.vocabulary(t.select(X.vpa_handle("vpa").alias("vpa_handle")), "vpa_handle")
+    vm = TG.vocabulary(t.select(X.normalize_name("merchant_name").alias("merchant_token")), "merchant_token")
     d = TG.encode(d, "vpa_handle", vv, "vpa_handle_id")
     d = TG.encode(d, "merchant_token", vm, "merchant_id")
     la = AM.log_amount("amount")
@@ -99,8 +86,8 @@ def analytic(t: DataFrame, percentiles: DataFrame) -> DataFrame:
     velocity 3) per row; B7 keeps only its numeric columns."""
     a, ts = F.col("amount"), F.col("timestamp")
     h, dow, dom = F.hour(ts), F.weekday(ts), F.dayofmonth(ts)
-    mu = t.agg(F.avg("amount")).scalar()
-    sd = t.agg(F.stddev_samp("amount")).scalar()
+    both = t.agg(F.avg("amount").alias("mu"), F.stddev_samp("amount").alias("sd"))
+    mu, sd = both.select("mu").scalar(), both.select("sd").scalar()
     d = t.select(
         "*", F.log1p(a).alias("amount_log"), AM.right_closed_bin(a, AM.ANALYTIC_AMOUNT_EDGES).alias("amount_bin"),
         ((a - mu) / sd).alias("amount_zscore"), (a % 100 == 0).cast("int").alias("is_round_amount"),
@@ -117,9 +104,9 @@ def analytic(t: DataFrame, percentiles: DataFrame) -> DataFrame:
     d = d.join(A.user_aggregates(t), "user_id", "left").select("*", *A.user_row_features())
     d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="user_merchant_familiarity")
     one = F.lit(1)
-    d = trailing_sums(d, ["user_id"], "timestamp", "transaction_id", {
+    d = d.join(rolling_stats(t, ["user_id"], "timestamp", "transaction_id", {
         "transactions_last_hour": (one, 3600), "transactions_last_day": (one, 24 * 3600),
-        "transactions_last_week": (one, 168 * 3600)})
+        "transactions_last_week": (one, 168 * 3600)}, include_current=True), "transaction_id")
     for c in ("transactions_last_hour", "transactions_last_day", "transactions_last_week"):
         d = d.withColumn(c, F.col(c).cast("long"))
     d = d.join(percentiles, "amount", "left")

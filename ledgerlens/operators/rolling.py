@@ -1,16 +1,14 @@
 """Rolling user (G3) and merchant (G19) features: trailing event-time
-windows over the row's history only ([t - W, t), no leakage), computed with
-O(n) running-sum differences (``trailing_sums``; ``bounded=True`` switches to
-tasks bounded by one key-hour for extreme hot keys); the non-additive max and
-distinct count use time-bucketed sliding frames. Rows without history get the reference's cold-start constants."""
+windows over the row's history only ([t - W, t), no leakage), from
+``rolling_stats``: all statistics of a key in one narrow pass, joined back by
+id. Rows without history get the reference's cold-start constants."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .windows import (trailing, trailing_max_distinct_bounded, trailing_sums, trailing_sums_bounded,
-                      with_running_count)
+from .windows import rolling_stats, with_running_count
 
 DAY = 86400
 # fixed values: cold-start defaults
@@ -38,47 +36,40 @@ RATIO_GROUPS = [("food", "food"), ("transport", "transport"), ("shopping", "shop
                 ("bills", "utilities"), ("entertainment", "entertainment")]
 
 
-def _ratio(num: Column, den: Column, default: float) -> Column:
-    return F.when(den > 0, num / den).otherwise(F.lit(default))
+def _ratio(num: Column, n: Column, den: Column, default: float) -> Column:
+    """``num / den`` where the window holds ``n`` > 0 non-zero amounts. The
+    test is on the exact count: a running-sum difference may leave a residue
+    where the true sum is 0."""
+    return F.when((n > 0) & (den > 0), num / den).otherwise(F.lit(default))
 
 
-def user_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
+def user_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
-    d = t.select("*", X.category_hint("merchant_name").alias("_hint"),
-                 (F.weekday("timestamp") >= 5).alias("_wk"), ((h >= 17) & (h <= 21)).alias("_ev"))
+    hint = X.category_hint("merchant_name")
+    weekend, evening = F.weekday("timestamp") >= 5, (h >= 17) & (h <= 21)
     has_amt = F.col("amount").isNotNull()
     amt = F.coalesce(F.col("amount"), F.lit(0.0))
     specs = {}
     for days in (7, 30):
         sec = days * DAY
         specs[f"_n{days}"] = (has_amt.cast("int"), sec)
+        specs[f"_nz{days}"] = ((amt != 0).cast("int"), sec)
         specs[f"_s{days}"] = (amt, sec)
-        for name, hint in RATIO_GROUPS:
-            specs[f"_{name}{days}"] = (F.when(F.col("_hint") == hint, amt).otherwise(0.0), sec)
-    specs["_wk30"] = (F.when(F.col("_wk"), amt).otherwise(0.0), 30 * DAY)
-    specs["_ev30"] = (F.when(F.col("_ev"), amt).otherwise(0.0), 30 * DAY)
-    # additive statistics: O(n) running-sum differences
-    sums = trailing_sums_bounded if bounded else trailing_sums
-    out = sums(d, ["user_id"], "timestamp", "transaction_id", specs, include_current=False)
-    # max and distinct count are not additive
-    if bounded:
-        out = trailing_max_distinct_bounded(out, ["user_id"], "timestamp", "transaction_id", "amount", "merchant_name",
-                                            {"7": 7 * DAY, "30": 30 * DAY})
-        out = out.select("*", *[F.col(f"max_{d}").alias(f"_mx{d}") for d in (7, 30)],
-                         *[F.col(f"distinct_{d}").alias(f"_u{d}") for d in (7, 30)]).drop(
-            *[f"{p}_{d}" for p in ("max", "distinct") for d in (7, 30)])
-    else:
-        # sliding frames inside (user, 30-day bucket) partitions
-        out = trailing(out, ["user_id"], "timestamp", 30 * DAY, {
-            "_mx7": (F.max("amount"), 7 * DAY), "_mx30": F.max("amount"),
-            "_u7": (lambda w: F.size(F.collect_set("merchant_name").over(w)), 7 * DAY),
-            "_u30": lambda w: F.size(F.collect_set("merchant_name").over(w))}, include_current=False)
+        for name, group in RATIO_GROUPS:
+            specs[f"_{name}{days}"] = (F.when(hint == group, amt).otherwise(0.0), sec)
+    specs["_wk30"] = (F.when(weekend, amt).otherwise(0.0), 30 * DAY)
+    specs["_ev30"] = (F.when(evening, amt).otherwise(0.0), 30 * DAY)
+    stats = rolling_stats(
+        t, ["user_id"], "timestamp", "transaction_id", specs,
+        maxes={f"_mx{d}": (F.col("amount"), d * DAY) for d in (7, 30)},
+        distincts={f"_u{d}": (F.col("merchant_name"), d * DAY) for d in (7, 30)})
+    out = t.join(stats, "transaction_id")
     cols = []
     for days in (7, 30):
-        n, s = F.col(f"_n{days}"), F.col(f"_s{days}")
+        n, nz, s = F.col(f"_n{days}"), F.col(f"_nz{days}"), F.col(f"_s{days}")
         for name, _ in RATIO_GROUPS:
             k = f"user_{name}_ratio_{days}d"
-            cols.append(_ratio(F.col(f"_{name}{days}"), s, USER_DEFAULTS[k]).alias(k))
+            cols.append(_ratio(F.col(f"_{name}{days}"), nz, s, USER_DEFAULTS[k]).alias(k))
         has = n > 0
         cols += [
             F.when(has, s / n).otherwise(USER_DEFAULTS[f"user_avg_transaction_amount_{days}d"]).alias(f"user_avg_transaction_amount_{days}d"),
@@ -86,48 +77,51 @@ def user_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
             F.when(has, n.cast("double")).otherwise(USER_DEFAULTS[f"user_transaction_frequency_{days}d"]).alias(f"user_transaction_frequency_{days}d"),
             F.when(has, F.col(f"_u{days}").cast("double")).otherwise(USER_DEFAULTS[f"user_unique_merchants_{days}d"]).alias(f"user_unique_merchants_{days}d"),
         ]
-    cols += [_ratio(F.col("_wk30"), F.col("_s30"), USER_DEFAULTS["user_weekend_spending_ratio"]).alias("user_weekend_spending_ratio"),
-             _ratio(F.col("_ev30"), F.col("_s30"), USER_DEFAULTS["user_evening_spending_ratio"]).alias("user_evening_spending_ratio")]
+    nz30, s30 = F.col("_nz30"), F.col("_s30")
+    cols += [_ratio(F.col("_wk30"), nz30, s30, USER_DEFAULTS["user_weekend_spending_ratio"]).alias("user_weekend_spending_ratio"),
+             _ratio(F.col("_ev30"), nz30, s30, USER_DEFAULTS["user_evening_spending_ratio"]).alias("user_evening_spending_ratio")]
     return out.select(*t.columns, *cols)
 
 
-def merchant_rolling(t: DataFrame, bounded: bool = False) -> DataFrame:
+def merchant_rolling(t: DataFrame) -> DataFrame:
     h = F.hour("timestamp")
-    d = t.select("*", h.alias("_h"),
+    # amounts are summed as differences from the merchant's mean: a sum of
+    # squares around 0 would lose a small variance of large amounts
+    mean = t.groupBy("merchant_name").agg(F.avg("amount").alias("_ref"))
+    d = t.select("transaction_id", "merchant_name", "timestamp", "amount", h.alias("_h"),
+                 F.coalesce("category", F.lit("other")).alias("_cat"),
                  (F.weekday("timestamp") >= 5).cast("double").alias("_wk"),
                  ((h >= 9) & (h <= 17)).cast("double").alias("_bh"))
-    d = d.withColumn("_cat", F.coalesce("category", F.lit("other")))
+    d = d.join(mean.withColumnRenamed("merchant_name", "_m"), F.col("merchant_name").eqNullSafe(F.col("_m")), "left").drop("_m")
     has_amt = F.col("amount").isNotNull()
-    amt = F.coalesce(F.col("amount"), F.lit(0.0))
-    sums = trailing_sums_bounded if bounded else trailing_sums
-    d = sums(d, ["merchant_name"], "timestamp", "transaction_id", {
-        "_n7": (has_amt.cast("int"), 7 * DAY), "_n30": (has_amt.cast("int"), 30 * DAY), "_s30": (amt, 30 * DAY),
-        "_ss30": (amt * amt, 30 * DAY), "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), 30 * DAY),
-        "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), 30 * DAY)}, include_current=False)
-    d = sums(d, ["merchant_name", "_cat"], "timestamp", "transaction_id",
-                      {"_nc30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
-    d = sums(d, ["merchant_name", "_h"], "timestamp", "transaction_id",
-                      {"_nh30": (has_amt.cast("int"), 30 * DAY)}, include_current=False)
-    n30 = F.col("_n30")
-    d = (d.withColumn("_mu30", F.when(n30 > 0, F.col("_s30") / n30))
-          .withColumn("_var30", F.when(n30 > 0, F.greatest(F.lit(0.0), F.col("_ss30") / n30 - F.col("_mu30") * F.col("_mu30"))))
-          .withColumn("_sd30", F.sqrt("_var30"))
-          .withColumn("_wk30", F.when(n30 > 0, F.col("_wks30") / n30))
-          .withColumn("_bh30", F.when(n30 > 0, F.col("_bhs30") / n30)))
-    d = with_running_count(d, ["merchant_name"], "timestamp", "transaction_id", out="_rc")
-    has = F.col("_n30") > 0
+    dev = F.coalesce(F.col("amount") - F.col("_ref"), F.lit(0.0))
+    month = 30 * DAY
+    args = ("timestamp", "transaction_id")
+    own = rolling_stats(d, ["merchant_name"], *args, {
+        "_n7": (has_amt.cast("int"), 7 * DAY), "_n30": (has_amt.cast("int"), month), "_s30": (dev, month),
+        "_ss30": (dev * dev, month), "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), month),
+        "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), month)})
+    by_cat = rolling_stats(d, ["merchant_name", "_cat"], *args, {"_nc30": (has_amt.cast("int"), month)})
+    by_hour = rolling_stats(d, ["merchant_name", "_h"], *args, {"_nh30": (has_amt.cast("int"), month)})
+    seen = with_running_count(d.select("transaction_id", "merchant_name", "timestamp", "_ref"), ["merchant_name"], *args, out="_rc")
+    out = (t.join(own, "transaction_id").join(by_cat, "transaction_id").join(by_hour, "transaction_id")
+           .join(seen.select("transaction_id", "_rc", "_ref"), "transaction_id"))
+    n30, has = F.col("_n30"), F.col("_n30") > 0
+    off = F.col("_s30") / n30
+    mu = F.col("_ref") + off
+    var = F.greatest(F.lit(0.0), F.col("_ss30") / n30 - off * off)
     M = MERCHANT_DEFAULTS
-    return d.select(
+    return out.select(
         *t.columns,
         F.col("_n7").cast("double").alias("merchant_frequency_7d"),
-        F.col("_n30").cast("double").alias("merchant_frequency_30d"),
+        n30.cast("double").alias("merchant_frequency_30d"),
         (F.col("_rc") - 1).cast("double").alias("merchant_frequency_all_time"),
-        F.when(has, F.col("_mu30")).otherwise(M["merchant_avg_amount"]).alias("merchant_avg_amount"),
-        F.when(has, F.col("_var30")).otherwise(M["merchant_amount_variance"]).alias("merchant_amount_variance"),
+        F.when(has, mu).otherwise(M["merchant_avg_amount"]).alias("merchant_avg_amount"),
+        F.when(has, var).otherwise(M["merchant_amount_variance"]).alias("merchant_amount_variance"),
         (F.col("_rc") == 1).cast("int").alias("merchant_is_new"),
-        F.when(has, F.col("_nc30") / F.col("_n30")).otherwise(M["merchant_category_consistency"]).alias("merchant_category_consistency"),
-        F.when(has, F.col("_nh30") / F.col("_n30")).otherwise(M["merchant_time_consistency"]).alias("merchant_time_consistency"),
-        F.when(has & (F.col("_mu30") > 0), 1 / (1 + F.col("_sd30") / F.col("_mu30"))).otherwise(M["merchant_amount_consistency"]).alias("merchant_amount_consistency"),
-        F.when(has, F.col("_bh30")).otherwise(M["merchant_business_hours_alignment"]).alias("merchant_business_hours_alignment"),
-        F.when(has, F.col("_wk30")).otherwise(M["merchant_weekend_activity"]).alias("merchant_weekend_activity"),
+        F.when(has, F.col("_nc30") / n30).otherwise(M["merchant_category_consistency"]).alias("merchant_category_consistency"),
+        F.when(has, F.col("_nh30") / n30).otherwise(M["merchant_time_consistency"]).alias("merchant_time_consistency"),
+        F.when(has & (mu > 0), 1 / (1 + F.sqrt(var) / mu)).otherwise(M["merchant_amount_consistency"]).alias("merchant_amount_consistency"),
+        F.when(has, F.col("_bhs30") / n30).otherwise(M["merchant_business_hours_alignment"]).alias("merchant_business_hours_alignment"),
+        F.when(has, F.col("_wks30") / n30).otherwise(M["merchant_weekend_activity"]).alias("merchant_weekend_activity"),
     )

@@ -8,11 +8,11 @@ Here every ordered computation is split by *time bucket* as well:
 * what crosses a bucket boundary (the previous timestamp, the running count
   of earlier buckets) comes from a per-(key, bucket) summary whose size is
   the number of non-empty buckets of a key, not its number of rows;
-* trailing range windows of width W use buckets of width W and copy each row
-  once into the following bucket as read-only context (a "halo"), so every
-  window frame is complete inside one (key, bucket) partition.
+* trailing range windows read running sums and maxima of one (key, hour) at
+  probe events and add what the whole hours in between hold
+  (``rolling_stats``).
 
-All three are exact; the halo doubles the rows once, never pairs them.
+All are exact; rows are multiplied by a constant, never paired.
 """
 from __future__ import annotations
 
@@ -57,36 +57,6 @@ def with_running_count(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
     return d.withColumn(out, (F.col("_r") + F.col("_before")).cast("long")).drop("_b", "_r", "_before")
 
 
-def trailing(df: DataFrame, keys: list[str], ts: str, seconds: int,
-             aggs: dict, include_current: bool = True) -> DataFrame:
-    """Trailing range-window aggregates over ``(ts - W, ts]`` per key (or
-    ``[ts - W, ts)`` when ``include_current`` is False: history only, no
-    leakage of the row itself).
-
-    ``aggs`` maps output name -> aggregate Column, or a callable
-    ``frame -> Column`` (to post-process, e.g. the size of a set), or a
-    ``(agg, W)`` pair for a narrower frame than ``seconds``. All frames
-    share one partitioning and sort (one shuffle): buckets are ``seconds``
-    wide and every row is copied once into the next bucket as context, so
-    each frame of width <= ``seconds`` is complete inside its partition."""
-    width = int(seconds) * 1_000_000
-    # each row twice: own bucket and, as read-only context, the next one
-    # (a Generate, not a union: chained calls keep a linear plan)
-    u = df.select("*", T.epoch_micros(ts).alias("_t"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_halo"))
-    u = u.select("*", (F.floor(F.col("_t") / F.lit(width)).cast("long") + F.col("_halo")).alias("_b"))
-    w = Window.partitionBy(*keys, "_b").orderBy("_t")
-    cols = []
-    for name, spec in aggs.items():
-        agg, secs = spec if isinstance(spec, tuple) else (spec, seconds)
-        wd = int(secs) * 1_000_000
-        if wd > width:
-            raise ValueError("frame wider than the bucket")
-        # (t - W, t] with the current row's peers, or [t - W, t) for history only
-        frame = w.rangeBetween(-(wd - 1), 0) if include_current else w.rangeBetween(-wd, -1)
-        cols.append((agg(frame) if callable(agg) else agg.over(frame)).alias(name))
-    return u.select("*", *cols).where(F.col("_halo") == 0).drop("_t", "_b", "_halo")
-
-
 def with_next_ts(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
                  out: str = "next_ts", bucket_seconds: int = DEFAULT_BUCKET_SECONDS) -> DataFrame:
     """Mirror of ``with_prev_ts``: timestamp of the next row of the key."""
@@ -100,189 +70,107 @@ def with_next_ts(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
     return d.withColumn(out, F.coalesce("_n", "_nb")).drop("_b", "_n", "_nb")
 
 
-def trailing_sums(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: dict,
-                  include_current: bool = True) -> DataFrame:
-    """Trailing window *sums* in O(n): S(upper) - S(lower) of running sums.
-
-    ``specs`` maps output name -> (value Column, window seconds); counts are
-    sums of 1. Frames are ``(t - W, t]`` (``include_current``) or
-    ``[t - W, t)`` (history only, no peers). Sliding RANGE frames recompute
-    every step (O(n * w)); here, inside each (key, bucket) partition (bucket
-    width = the widest window, previous bucket copied in as context), a
-    running RANGE sum gives S(x) at every row, and one *probe* row per window
-    placed at the lower bound reads S(lower). Only sorts, no pairs; exact.
-
-    A (key, bucket) partition holds up to two windows of one key; when a
-    single key can own a large share of the data, ``trailing_sums_bounded``
-    gives the same result with tasks bounded by one key-hour (at the price of
-    two more shuffles)."""
-    widths = sorted({int(s) for _, s in specs.values()})
-    width = max(widths) * 1_000_000
-    names = list(specs)
-    vals = [specs[n][0] for n in names]
-    # kinds: 0 own row, 1 context copy in the next bucket, 2+j lower probe of window j
-    kinds = F.array(*[F.lit(k) for k in range(2 + len(widths))])
-    base = df.select("*", T.epoch_micros(ts).alias("_t"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(vals)])
-    u = base.select("*", F.explode(kinds).alias("_kind"))
-    lower = F.lit(0).cast("long")
-    for j, w in enumerate(widths):
-        shift = w * 1_000_000 + (0 if include_current else 1)
-        lower = F.when(F.col("_kind") == 2 + j, F.col("_t") - F.lit(shift)).otherwise(lower)
-    u = u.select("*", F.when(F.col("_kind") >= 2, lower).otherwise(F.col("_t")).alias("_pt"),
-                 (F.floor(F.col("_t") / F.lit(width)).cast("long") + F.when(F.col("_kind") == 1, 1).otherwise(0)).alias("_b"))
-    part = [*keys, "_b"]
-    run = Window.partitionBy(*part).orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
-    peers = Window.partitionBy(*part).orderBy("_pt").rangeBetween(0, 0)
-    is_val = F.col("_kind") <= 1
-    cum = [F.sum(F.when(is_val, F.col(f"_v{i}")).otherwise(0.0)).over(run).alias(f"_c{i}") for i in range(len(vals))]
-    peer = ([F.sum(F.when(is_val, F.col(f"_v{i}")).otherwise(0.0)).over(peers).alias(f"_p{i}") for i in range(len(vals))]
-            if not include_current else [])
-    u = u.select("*", *cum, *peer)
-    # move each probe's running sum onto its own row (same partition: a sort, no shuffle)
-    mine = Window.partitionBy(*part, row_id)
-    probe_vals = []
-    for i, n in enumerate(names):
-        j = widths.index(int(specs[n][1]))
-        probe_vals.append(F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_c{i}"))).over(mine).alias(f"_l{i}"))
-    u = u.select("*", *probe_vals).where(F.col("_kind") == 0)
-    outs = []
-    for i, n in enumerate(names):
-        upper = F.col(f"_c{i}") if include_current else F.col(f"_c{i}") - F.col(f"_p{i}")
-        outs.append((upper - F.coalesce(F.col(f"_l{i}"), F.lit(0.0))).alias(n))
-    keep = [c for c in df.columns]
-    return u.select(*keep, *outs)
-
-
-def trailing_sums_bounded(df: DataFrame, keys: list[str], ts: str, row_id: str, specs: dict,
-                  include_current: bool = True, fine_seconds: int = 3600) -> DataFrame:
-    """Same result as ``trailing_sums`` with tasks bounded by one key-hour.
-
-    ``specs`` maps output name -> (value Column, window seconds); counts are
-    sums of 1. Frames are ``(t - W, t]`` (``include_current``) or
-    ``[t - W, t)`` (history only, no peers).
-
-    Sliding RANGE frames recompute each step (O(n * w)) and hold a key's whole
-    window in one task. Instead every row emits *probe* events at the frame
-    bounds; the sum up to any instant x is ``within(x)``, the running sum from
-    the start of x's block (blocks are W wide), built from per-(key, hour)
-    local running sums plus a prefix over the hour totals of the block (at
-    most W / 1 h entries). Then
-
-        sum(frame) = within(upper) - within(lower) + [blocks differ] * block_total(lower's block)
-
-    Tasks are bounded by one key-hour; all terms stay block-sized, so the
-    difference is numerically tame."""
-    widths = sorted({int(s) for _, s in specs.values()})
-    big = max(widths)
-    if big % fine_seconds:
-        raise ValueError("window widths must be multiples of the fine bucket")
-    names = list(specs)
-    nv = len(names)
-    fine_us, block_us = fine_seconds * 1_000_000, big * 1_000_000
+def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: dict | None = None,
+                  maxes: dict | None = None, distincts: dict | None = None,
+                  include_current: bool = False) -> DataFrame:
+    """Trailing-window statistics per row: ``(row_id, outputs)``.
+
+    ``sums`` / ``maxes`` / ``distincts`` map an output name to (value Column,
+    window seconds, a multiple of the hour); counts are sums of 1. Frames are
+    ``[t - W, t)`` (history only) or, for sums, ``(t - W, t]`` with
+    ``include_current``. Sums over no rows are 0.0, maxima null, distinct
+    counts 0. Join the result to ``df`` by ``row_id``: it is already
+    partitioned by it, so several results share one shuffle of ``df``.
+
+    Only the id, key, time and values travel. Each row becomes a value event
+    and probe events at its frame bounds; all ordered work is inside one
+    (key, hour) plus a prefix over one summary row per hour of a key, so a key
+    with a third of all rows still spreads over its hours:
+
+    * sum(frame) = S(upper) - S(lower), with S counted from the start of a
+      block as wide as the widest window;
+    * max(frame) = the greatest of the head of the row's hour, the whole hours
+      in between, and the tail of the hour that holds t - W;
+    * distinct(frame): an item seen at t_i counts for t in (t_i, e_i], where
+      e_i is the earlier of its next occurrence and t_i + W; that is the
+      number of arrivals before t less the departures before t."""
+    sums, maxes, distincts = sums or {}, maxes or {}, distincts or {}
+    widths = sorted({int(w) for d in (sums, maxes, distincts) for _, w in d.values()})
+    if include_current and (maxes or distincts):
+        raise ValueError("include_current applies to sums only")
+    if any(w % DEFAULT_BUCKET_SECONDS for w in widths) or (maxes and min(int(w) for _, w in maxes.values()) <= DEFAULT_BUCKET_SECONDS):
+        raise ValueError("window widths must be whole hours (more than one for maxima)")
+    hour_us, block_us = DEFAULT_BUCKET_SECONDS * 1_000_000, max(widths) * 1_000_000
     excl = 0 if include_current else 1
-    # event kinds: 0 value row, 1 upper probe, 2 + j lower probe of window j
-    kinds = F.array(*[F.lit(k) for k in range(2 + len(widths))])
-    base = df.select("*", T.epoch_micros(ts).alias("_t"), *[v.cast("double").alias(f"_v{i}") for i, v in enumerate(specs[n][0] for n in names)])
-    # the upper probe carries the row itself, so no join back to ``df`` is needed
-    carry = F.struct(*[F.col(c) for c in df.columns])
-    ev = base.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_t",
-                     *[F.col(f"_v{i}") for i in range(nv)], carry.alias("_row"), F.explode(kinds).alias("_kind"))
-    ev = ev.withColumn("_row", F.when(F.col("_kind") == 1, F.col("_row")))
-    keys = [f"_k{i}" for i in range(len(keys))]
+    K = [f"_k{i}" for i in range(len(keys))]
+    base = df.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(n) for k, n in zip(keys, K)],
+                     T.epoch_micros(ts).alias("_t"), F.col(ts).alias("_ts"),
+                     *[v.cast("double").alias(f"_v{i}") for i, (v, _) in enumerate(sums.values())],
+                     *[v.cast("double").alias(f"_x{i}") for i, (v, _) in enumerate(maxes.values())],
+                     *[v.alias(f"_i{i}") for i, (v, _) in enumerate(distincts.values())])
+    for i, (_, w) in enumerate(distincts.values()):
+        known = base.where(F.col(f"_i{i}").isNotNull()).select("_rid", *K, f"_i{i}", "_ts")
+        after = with_next_ts(known, [*K, f"_i{i}"], "_ts", "_rid", out="_nx").select(
+            "_rid", F.least(F.coalesce(T.epoch_micros("_nx"), F.lit(2**62)),
+                            T.epoch_micros("_ts") + F.lit(int(w) * 1_000_000)).alias(f"_e{i}"))
+        base = base.join(after, "_rid", "left")
+    # events: 0 the row's values, 1 upper probe, 2 + j lower probe of window j,
+    # 2 + len(widths) + i departure of distinct statistic i
+    n_low, leave = 2 + len(widths), 2 + len(widths)
+    kinds = F.array(*[F.lit(k) for k in range(leave + len(distincts))])
     pt = F.when(F.col("_kind") == 0, F.col("_t")).when(F.col("_kind") == 1, F.col("_t") - excl)
     for j, w in enumerate(widths):
         pt = pt.when(F.col("_kind") == 2 + j, F.col("_t") - F.lit(w * 1_000_000) - excl)
-    ev = ev.select("*", pt.alias("_pt"))
-    ev = ev.select("*", F.floor(F.col("_pt") / F.lit(fine_us)).cast("long").alias("_f"),
-                   F.floor(F.col("_pt") / F.lit(block_us)).cast("long").alias("_c"))
-    is_val = F.col("_kind") == 0
-    vcols = [F.when(is_val, F.col(f"_v{i}")).otherwise(0.0) for i in range(nv)]
-    # local running sums inside one key-hour (RANGE: an instant includes its peers)
-    run = Window.partitionBy(*keys, "_f").orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
-    ev = ev.select("*", *[F.sum(vc).over(run).alias(f"_loc{i}") for i, vc in enumerate(vcols)])
-    # hour totals (0 for hours with probes only), prefix within the block, block totals
-    hours = ev.groupBy(*keys, "_f", "_c").agg(*[F.sum(vc).alias(f"_ht{i}") for i, vc in enumerate(vcols)])
-    wb = Window.partitionBy(*keys, "_c").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(*keys, "_c")
-    hours = hours.select(*keys, "_f", *[F.coalesce(F.sum(f"_ht{i}").over(wb), F.lit(0.0)).alias(f"_hp{i}") for i in range(nv)],
-                         *[F.sum(f"_ht{i}").over(wt).alias(f"_bt{i}") for i in range(nv)])
-    pr = ev.where(~is_val).join(hours, [*keys, "_f"])
-    pr = pr.select("_rid", "_kind", "_c", "_row", *[(F.col(f"_hp{i}") + F.col(f"_loc{i}")).alias(f"_w{i}") for i in range(nv)],
-                   *[F.col(f"_bt{i}") for i in range(nv)])
-    # gather the probes of one row (shuffle by row id) and combine
-    aggs = [F.max(F.when(F.col("_kind") == 1, F.col("_c"))).alias("_cu"), F.first("_row", ignorenulls=True).alias("_row")]
-    aggs += [F.max(F.when(F.col("_kind") == 1, F.col(f"_w{i}"))).alias(f"_u{i}") for i in range(nv)]
-    for i, n in enumerate(names):
-        j = widths.index(int(specs[n][1]))
-        aggs += [F.max(F.when(F.col("_kind") == 2 + j, F.col("_c"))).alias(f"_cl{i}"),
-                 F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_w{i}"))).alias(f"_l{i}"),
-                 F.max(F.when(F.col("_kind") == 2 + j, F.col(f"_bt{i}"))).alias(f"_lb{i}")]
-    per = pr.groupBy("_rid").agg(*aggs)
-    outs = [(F.col(f"_u{i}") - F.col(f"_l{i}") + F.when(F.col(f"_cl{i}") < F.col("_cu"), F.col(f"_lb{i}")).otherwise(0.0)).alias(n)
-            for i, n in enumerate(names)]
-    return per.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
-
-def trailing_max_distinct_bounded(df: DataFrame, keys: list[str], ts: str, row_id: str,
-                                  value: str, item: str, widths: dict, fine_seconds: int = 3600) -> DataFrame:
-    """History-only ``[t - W, t)`` max of ``value`` and distinct count of
-    ``item`` per key, with tasks bounded by one key-hour.
-
-    ``widths`` maps a suffix -> W seconds (multiples of the hour); adds
-    ``max_<suffix>`` and ``distinct_<suffix>``. The window splits into the
-    tail of the hour holding t - W (a suffix inside that hour, read by a
-    probe row), the whole hours in between (a sliding frame over per-hour
-    maxima and sets: at most W / 1 h rows, however many payments), and the
-    head of the row's own hour before t. Max is not additive, so prefix
-    differences do not apply; this keeps it exact without a big frame."""
-    hu = fine_seconds * 1_000_000
-    names = list(widths)
-    for n in names:
-        if widths[n] % fine_seconds:
-            raise ValueError("window widths must be multiples of the fine bucket")
-    carry = F.struct(*[F.col(c) for c in df.columns])
-    kinds = F.array(*[F.lit(k) for k in range(1 + len(names))])  # 0 row/value, 1 + j probe of window j
-    base = df.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-                     T.epoch_micros(ts).alias("_t"), F.col(value).cast("double").alias("_v"), F.col(item).alias("_it"),
-                     carry.alias("_row"))
-    K = [f"_k{i}" for i in range(len(keys))]
-    ev = base.select("*", F.explode(kinds).alias("_kind"))
-    pt = F.when(F.col("_kind") == 0, F.col("_t"))
-    for j, n in enumerate(names):
-        pt = pt.when(F.col("_kind") == 1 + j, F.col("_t") - F.lit(widths[n] * 1_000_000))
-    ev = ev.select("*", pt.alias("_pt")).select("*", F.floor(F.col("_pt") / F.lit(hu)).cast("long").alias("_h"))
+    for i in range(len(distincts)):
+        pt = pt.when(F.col("_kind") == leave + i, F.col(f"_e{i}"))
     is_val = F.col("_kind") == 0
-    vv, vi = F.when(is_val, F.col("_v")), F.when(is_val, F.col("_it"))
-    # head of the own hour: values strictly before t (a growing frame per key-hour)
-    head = Window.partitionBy(*K, "_h").orderBy("_pt").rangeBetween(Window.unboundedPreceding, -1)
-    # tail of the probe's hour: values at or after t - W
-    tail = Window.partitionBy(*K, "_h").orderBy(F.col("_pt").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    ev = ev.select("*", F.max(vv).over(head).alias("_hm"), F.collect_set(vi).over(head).alias("_hs"),
-                   F.max(vv).over(tail).alias("_tm"), F.collect_set(vi).over(tail).alias("_ts"))
-    # whole hours strictly between the two partial hours: sliding frame over hour rows
-    hours = ev.where(is_val).groupBy(*K, "_h").agg(F.max("_v").alias("_xm"), F.collect_set("_it").alias("_xs"))
-    mids = []
-    for j, n in enumerate(names):
-        span = widths[n] // fine_seconds
-        fr = Window.partitionBy(*K).orderBy("_h").rangeBetween(-(span - 1), -1)
-        mids += [F.max("_xm").over(fr).alias(f"_bm{j}"),
-                 F.array_distinct(F.flatten(F.collect_list("_xs").over(fr))).alias(f"_bs{j}")]
-    # the frame must be evaluated at every row's own hour, including hours
-    # without values: add those hours as empty rows first
-    own_hours = ev.where(is_val).select(*K, "_h").distinct()
-    hrs = own_hours.join(hours, [*K, "_h"], "left").select(*K, "_h", "_xm", F.coalesce("_xs", F.array().cast(hours.schema["_xs"].dataType)).alias("_xs"))
-    hrs = hrs.select(*K, "_h", *mids)
-    rows = ev.where(is_val).join(hrs, [*K, "_h"]).select("_rid", "_row", "_hm", "_hs", *[c for c in hrs.columns if c.startswith("_b")])
-    probes = ev.where(~is_val).select("_rid", "_kind", "_tm", "_ts")
-    pv = probes.groupBy("_rid").agg(*[x for j in range(len(names)) for x in (
-        F.max(F.when(F.col("_kind") == 1 + j, F.col("_tm"))).alias(f"_pm{j}"),
-        F.first(F.when(F.col("_kind") == 1 + j, F.col("_ts")), ignorenulls=True).alias(f"_ps{j}"))])
-    d = rows.join(pv, "_rid")
+    ev = base.select("*", F.explode(kinds).alias("_kind")).withColumn("_pt", pt).where(F.col("_pt").isNotNull())
+    adds = [F.when(is_val, F.coalesce(f"_v{i}", F.lit(0.0))).otherwise(0.0).alias(f"_a{i}") for i in range(len(sums))]
+    adds += [F.when(is_val & F.col(f"_i{i}").isNotNull(), 1.0).when(F.col("_kind") == leave + i, -1.0).otherwise(0.0)
+             .alias(f"_d{i}") for i in range(len(distincts))]
+    ev = ev.select("_rid", *K, "_kind", "_pt", F.floor(F.col("_pt") / F.lit(hour_us)).cast("long").alias("_h"),
+                   F.floor(F.col("_pt") / F.lit(block_us)).cast("long").alias("_c"), *adds,
+                   *[F.when(is_val, F.col(f"_x{i}")).alias(f"_x{i}") for i in range(len(maxes))])
+    S, D, X = ([f"_{p}{i}" for i in range(len(d))] for p, d in (("a", sums), ("d", distincts), ("x", maxes)))
+    up = Window.partitionBy(*K, "_h").orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*K, "_h").orderBy(F.col("_pt").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    # an upper probe stands just before its row, a lower one just before the
+    # frame's first instant: "up to and with the probe" is right for both
+    ev = ev.select("*", *[F.sum(c).over(up).alias(f"_r{c}") for c in S + D], *[F.max(c).over(up).alias(f"_r{c}") for c in X],
+                   *[F.max(c).over(down).alias(f"_q{c}") for c in X])
+    hours = ev.groupBy(*K, "_h", "_c").agg(*[F.sum(c).alias(c) for c in S + D], *[F.max(c).alias(c) for c in X])
+    in_block = Window.partitionBy(*K, "_c").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    ever = Window.partitionBy(*K).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    cols = [F.coalesce(F.sum(c).over(in_block), F.lit(0.0)).alias(f"_p{c}") for c in S]
+    cols += [F.sum(c).over(Window.partitionBy(*K, "_c")).alias(f"_b{c}") for c in S]
+    cols += [F.coalesce(F.sum(c).over(ever), F.lit(0.0)).alias(f"_p{c}") for c in D]
+    for c, (_, w) in zip(X, maxes.values()):
+        between = Window.partitionBy(*K).orderBy("_h").rangeBetween(-(int(w) // DEFAULT_BUCKET_SECONDS - 1), -1)
+        cols.append(F.max(c).over(between).alias(f"_m{c}"))
+    hours = hours.select(*K, "_h", *cols)
+    null_safe = [F.col(f"e.{k}").eqNullSafe(F.col(f"h.{k}")) for k in [*K, "_h"]]
+    cond = null_safe[0]
+    for c in null_safe[1:]:
+        cond = cond & c
+    probes = ev.where((F.col("_kind") >= 1) & (F.col("_kind") < n_low)).alias("e").join(hours.alias("h"), cond).select(
+        "_rid", "_kind", "_c", *[(F.col(f"_p{c}") + F.col(f"_r{c}")).alias(f"_w{c}") for c in S + D],
+        *[F.col(f"_b{c}") for c in S], *[F.col(f"_{p}{c}") for c in X for p in ("r", "q", "m")])
+
+    def at(kind: int, col: str) -> Column:
+        return F.max(F.when(F.col("_kind") == kind, F.col(col)))
+
+    aggs = [at(1, "_c").alias("_cu")]
     outs = []
-    empty = F.array().cast("array<string>")
-    for j, n in enumerate(names):
-        outs.append(F.greatest(F.col("_hm"), F.col(f"_bm{j}"), F.col(f"_pm{j}")).alias(f"max_{n}"))
-        allset = F.array_distinct(F.concat(F.coalesce(F.col("_hs").cast("array<string>"), empty),
-                                           F.coalesce(F.col(f"_bs{j}").cast("array<string>"), empty),
-                                           F.coalesce(F.col(f"_ps{j}").cast("array<string>"), empty)))
-        outs.append(F.size(allset).alias(f"distinct_{n}"))
-    return d.select(*[F.col("_row")[c].alias(c) for c in df.columns], *outs)
+    for c, (name, (_, w)) in zip(S, sums.items()):
+        low = 2 + widths.index(int(w))
+        aggs += [at(1, f"_w{c}").alias(f"_u{c}"), at(low, f"_w{c}").alias(f"_l{c}"), at(low, f"_b{c}").alias(f"_t{c}"),
+                 at(low, "_c").alias(f"_z{c}")]
+        outs.append((F.col(f"_u{c}") - F.col(f"_l{c}") + F.when(F.col(f"_z{c}") < F.col("_cu"), F.col(f"_t{c}")).otherwise(0.0)).alias(name))
+    for c, (name, (_, w)) in zip(X, maxes.items()):
+        low = 2 + widths.index(int(w))
+        aggs += [at(1, f"_r{c}").alias(f"_u{c}"), at(1, f"_m{c}").alias(f"_i{c}"), at(low, f"_q{c}").alias(f"_l{c}")]
+        outs.append(F.greatest(f"_u{c}", f"_i{c}", f"_l{c}").alias(name))
+    for c, name in zip(D, distincts):
+        aggs.append(at(1, f"_w{c}").alias(f"_u{c}"))
+        outs.append(F.round(f"_u{c}").cast("long").alias(name))
+    return probes.groupBy(F.col("_rid").alias(row_id)).agg(*aggs).select(row_id, *outs)

@@ -66,12 +66,11 @@ SELECT transaction_id, user_id, {_vel_sql(1)} AS transactions_last_hour,
 def q_txn_velocity(spark, sf):
     t = txn(spark, sf).select("transaction_id", "user_id", "timestamp")
     one = F.lit(1)
-    out = W.trailing_sums(t, ["user_id"], "timestamp", "transaction_id", {
-        "transactions_last_hour": (one, 3600), "transactions_last_day": (one, 24 * 3600),
-        "transactions_last_week": (one, 168 * 3600)})
-    out = out.select("transaction_id", "user_id", "timestamp",
-                     *[F.col(c).cast("long").alias(c) for c in ("transactions_last_hour", "transactions_last_day", "transactions_last_week")])
-    return finish(out.drop("timestamp"))
+    names = ("transactions_last_hour", "transactions_last_day", "transactions_last_week")
+    out = t.join(W.rolling_stats(t, ["user_id"], "timestamp", "transaction_id",
+                                 dict(zip(names, ((one, 3600), (one, 24 * 3600), (one, 168 * 3600)))), include_current=True),
+                 "transaction_id")
+    return finish(out.select("transaction_id", "user_id", *[F.col(c).cast("long").alias(c) for c in names]))
 
 
 # --- I4 ----------------------------------------------------------------------

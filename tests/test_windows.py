@@ -1,4 +1,7 @@
 """Skew-safe ordered operators agree with plain windows."""
+import datetime as dt
+import random
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -12,20 +15,6 @@ def _t(spark):
     return txn(spark, SF).select("transaction_id", "user_id", "merchant_name", "amount", "timestamp")
 
 
-def test_trailing_sums_variants_match_range_windows(spark):
-    t = _t(spark)
-    us = T.epoch_micros("timestamp")
-    for inc in (True, False):
-        lo, hi = (-(7 * 86400 * 10**6 - 1), 0) if inc else (-7 * 86400 * 10**6, -1)
-        w = Window.partitionBy("merchant_name").orderBy("_us").rangeBetween(lo, hi)
-        ref = t.withColumn("_us", us).select("transaction_id", F.coalesce(F.sum("amount").over(w), F.lit(0.0)).alias("ref"))
-        spec = {"s": (F.col("amount"), 7 * 86400)}
-        for fn in (W.trailing_sums, W.trailing_sums_bounded):
-            got = fn(t, ["merchant_name"], "timestamp", "transaction_id", spec, include_current=inc)
-            bad = ref.join(got, "transaction_id").where(F.abs(F.col("ref") - F.col("s")) > 1e-6).count()
-            assert bad == 0, (fn.__name__, inc)
-
-
 def test_prev_ts_and_running_count(spark):
     t = _t(spark)
     w = Window.partitionBy("user_id").orderBy("timestamp", "transaction_id")
@@ -36,26 +25,87 @@ def test_prev_ts_and_running_count(spark):
     assert j.where(~F.col("p").eqNullSafe(F.col("prev_ts")) | (F.col("r") != F.col("running_count"))).count() == 0
 
 
-def test_bounded_rolling_features_equal_default(spark):
+def _sparse(spark):
+    """Users with pauses of 8 and 40 days, amounts near 1e8 that differ by
+    cents, zero amounts, one user with a third of the rows, ties and nulls."""
+    rng = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = []
+    for u in range(60):
+        at = start + dt.timedelta(minutes=rng.randint(0, 3000))
+        for k in range(rng.randint(1, 6)):
+            rows.append((f"u{u}", at, rng.choice([1e8 + rng.randint(0, 3) / 100, 0.0, 0.1, 13.37, None])))
+            at += dt.timedelta(minutes=rng.choice([0, 1, 61, 2000]))
+        for pause in (8, 40):
+            at += dt.timedelta(days=pause)
+            rows.append((f"u{u}", at, 5.0))
+    rows += [("hot", start + dt.timedelta(minutes=rng.randint(0, 60 * 24 * 50)), rng.randint(1, 9999) / 100) for _ in range(len(rows) // 2)]
+    names = ["Swiggy", "Uber", "Amazon", "Electricity Board", "Netflix", None]
+    data = [(str(i), u, rng.choice(names), a, t, rng.choice(["Food", "Bills", None])) for i, (u, t, a) in enumerate(rows)]
+    return spark.createDataFrame(data, "transaction_id string, user_id string, merchant_name string, amount double, "
+                                       "timestamp timestamp_ntz, category string")
+
+
+def test_rolling_stats_match_range_windows(spark):
+    for t, keys in ((_t(spark), ["merchant_name"]), (_sparse(spark), ["user_id"]), (_sparse(spark), ["merchant_name"])):
+        us = t.withColumn("_us", T.epoch_micros("timestamp"))
+        week = 7 * 86400 * 10**6
+        w = Window.partitionBy(*keys).orderBy("_us")
+        past, now = w.rangeBetween(-week, -1), w.rangeBetween(-(week - 1), 0)
+        ref = us.select("transaction_id", F.coalesce(F.sum("amount").over(past), F.lit(0.0)).alias("rs"),
+                        F.max("amount").over(past).alias("rm"), F.size(F.collect_set("merchant_name").over(past)).alias("rd"),
+                        F.count(F.lit(1)).over(now).alias("rn"))
+        got = W.rolling_stats(t, keys, "timestamp", "transaction_id", {"s": (F.col("amount"), 7 * 86400)},
+                              {"m": (F.col("amount"), 7 * 86400)}, {"d": (F.col("merchant_name"), 7 * 86400)})
+        incl = W.rolling_stats(t, keys, "timestamp", "transaction_id", {"n": (F.lit(1), 7 * 86400)}, include_current=True)
+        both = ref.join(got, "transaction_id").join(incl, "transaction_id").cache()
+        assert both.count() == t.count()
+        bad = both.where((F.abs(F.col("rs") - F.col("s")) > 1e-6) | ~F.col("rm").eqNullSafe(F.col("m"))
+                         | (F.col("rd") != F.col("d")) | (F.col("rn") != F.col("n")))
+        assert bad.count() == 0, (keys, bad.limit(3).collect())
+
+
+def test_rows_without_history_get_the_defaults(spark):
+    """After a pause longer than the window every user feature is its default
+    exactly, whatever was summed before."""
+    from ledgerlens.operators import rolling as R
+    rows = {r["transaction_id"]: r for r in R.user_rolling(_sparse(spark)).collect()}
+    by_user = {}
+    for r in rows.values():
+        by_user.setdefault(r["user_id"], []).append(r)
+    n = 0
+    for user, own in by_user.items():
+        if user == "hot":
+            continue
+        last = max(own, key=lambda r: r["timestamp"])
+        assert all(last[c] == v for c, v in R.USER_DEFAULTS.items()), (user, last)
+        n += 1
+    assert n == 60
+
+
+def test_zero_amounts_give_no_ratio(spark):
+    from ledgerlens.operators import rolling as R
+    day = dt.datetime(2024, 3, 1)
+    data = [("0", "u", "Uber", 1e6 + 0.1, day - dt.timedelta(days=20), None), ("1", "u", "Uber", 0.0, day, None),
+            ("2", "u", "Uber", 7.0, day + dt.timedelta(hours=2), None)]
+    t = spark.createDataFrame(data, "transaction_id string, user_id string, merchant_name string, amount double, "
+                                    "timestamp timestamp_ntz, category string")
+    r = R.user_rolling(t).where("transaction_id = '2'").first()
+    assert r["user_transport_ratio_7d"] == R.USER_DEFAULTS["user_transport_ratio_7d"]
+    assert r["user_avg_transaction_amount_7d"] == 0.0 and r["user_transaction_frequency_7d"] == 1.0
+
+
+def test_small_variance_of_large_amounts(spark):
+    import numpy as np
+
     from ledgerlens.operators import rolling as R
-    t = txn(spark, SF)
-    a = R.user_rolling(t)
-    b = R.user_rolling(t, bounded=True)
-    cols = list(R.USER_DEFAULTS)
-    j = a.select("transaction_id", *cols).join(
-        b.select("transaction_id", *[F.col(c).alias("b_" + c) for c in cols]), "transaction_id")
-    cond = None
-    for c in cols:
-        d = F.abs(F.col(c) - F.col("b_" + c)) > 1e-6
-        cond = d if cond is None else cond | d
-    assert j.count() == t.count()
-    assert j.where(cond).count() == 0
-    m1 = R.merchant_rolling(t)
-    m2 = R.merchant_rolling(t, bounded=True)
-    mc = [c for c in R.MERCHANT_DEFAULTS]
-    jm = m1.select("transaction_id", *mc).join(m2.select("transaction_id", *[F.col(c).alias("b_" + c) for c in mc]), "transaction_id")
-    cond = None
-    for c in mc:
-        d = F.abs(F.col(c) - F.col("b_" + c)) > 1e-6
-        cond = d if cond is None else cond | d
-    assert jm.where(cond).count() == 0
+    start = dt.datetime(2024, 1, 1)
+    amounts = [1e8 + (i % 4) / 100 for i in range(400)]
+    data = [(str(i), "u", "m", a, start + dt.timedelta(hours=3 * i), "c") for i, a in enumerate(amounts)]
+    t = spark.createDataFrame(data, "transaction_id string, user_id string, merchant_name string, amount double, "
+                                    "timestamp timestamp_ntz, category string")
+    got = {int(r["transaction_id"]): r for r in R.merchant_rolling(t).collect()}
+    for i in (5, 100, 399):
+        own = np.array(amounts[max(0, i - 240): i])
+        assert abs(got[i]["merchant_amount_variance"] - own.var()) < 1e-3 * own.var()
+        assert abs(got[i]["merchant_avg_amount"] - own.mean()) < 1e-6
