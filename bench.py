@@ -33,12 +33,6 @@ def main():
     # warm-up: start the executors and JIT on a tiny job (not timed)
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}
-    # the payments fact (4-way join) is written once per source snapshot and
-    # read by every pay-based query: time that step on its own line
-    from ledgerlens.sources.adapters import pay
-    t0 = time.time()
-    pay(spark, sf_dir)
-    times["materialize_pay"] = round(time.time() - t0, 3)
     for k in keys:
         t0 = time.time()
         qs[k](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import time as T
+from .ranking import group_quantiles
 
 
 def modal_value(df: DataFrame, key: str, col: str, out: str) -> DataFrame:
@@ -107,8 +108,8 @@ def spending_summary(t: DataFrame) -> DataFrame:
     name), and rows above the user's own exact 95th percentile (linear)."""
     per = t.groupBy("user_id").agg(
         F.sum("amount").alias("total_spending"), F.avg("amount").alias("average_transaction"),
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.percentile("amount", 0.95).alias("_p95"))
+        F.count(F.lit(1)).alias("transaction_count"))
+    per = per.join(group_quantiles(t, ["user_id"], "amount", {"_p95": 0.95}), "user_id", "left")
     unusual = (t.select("user_id", "amount").join(per.select("user_id", "_p95"), "user_id")
                 .groupBy("user_id").agg(F.count_if(F.col("amount") > F.col("_p95")).alias("unusual_transactions")))
     cats = t.groupBy("user_id", "category").agg(F.sum("amount").alias("_s"))
@@ -156,20 +157,22 @@ def pricing(t: DataFrame, key: str = "vpa") -> DataFrame:
     """Mean, exact median, volatility = pop std / mean (0 if mean <= 0);
     rows with a null or zero amount are ignored, as in the reference."""
     a = t.where(F.col("amount").isNotNull() & (F.col("amount") != 0))
-    return a.groupBy(key).agg(
+    per = a.groupBy(key).agg(
         F.avg("amount").alias("average_transaction"),
-        F.median("amount").alias("median_transaction"),
         F.when(F.avg("amount") > 0, F.stddev_pop("amount") / F.avg("amount")).otherwise(F.lit(0.0)).alias("price_volatility"))
+    return per.join(group_quantiles(a, [key], "amount", {"median_transaction": 0.5}), key, "left").select(
+        key, "average_transaction", "median_transaction", "price_volatility")
 
 
 def dataset_summary(t: DataFrame) -> DataFrame:
     """Category distribution plus amount describe, one row per category
     and one overall row (category = '*')."""
-    per_cat = t.groupBy(F.coalesce("category", F.lit("(null)")).alias("category")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount"),
-        F.median("amount").alias("median_amount"), F.min("amount").alias("min_amount"),
-        F.max("amount").alias("max_amount"))
-    overall = t.agg(F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount"),
-                    F.median("amount").alias("median_amount"), F.min("amount").alias("min_amount"),
-                    F.max("amount").alias("max_amount")).select(F.lit("*").alias("category"), "*")
+    d = t.select(F.coalesce("category", F.lit("(null)")).alias("category"), "amount")
+    cols = [F.count(F.lit(1)).alias("n"), F.avg("amount").alias("mean_amount"), F.min("amount").alias("min_amount"),
+            F.max("amount").alias("max_amount")]
+    mid = {"median_amount": 0.5}
+    order = ["category", "n", "mean_amount", "median_amount", "min_amount", "max_amount"]
+    per_cat = d.groupBy("category").agg(*cols).join(group_quantiles(d, ["category"], "amount", mid), "category", "left").select(*order)
+    whole = d.withColumn("category", F.lit("*"))
+    overall = whole.groupBy("category").agg(*cols).join(group_quantiles(whole, ["category"], "amount", mid), "category", "left").select(*order)
     return per_cat.unionByName(overall)

@@ -52,18 +52,38 @@ def validate(raw: DataFrame, default_user: str = "default_user") -> DataFrame:
     return d.na.drop(subset=["amount", "timestamp"])
 
 
+def training_rows(t: DataFrame, least: int = 100) -> DataFrame:
+    """Rows with a positive amount; fewer than ``least`` of them are not
+    enough to train on and give an empty table."""
+    ok = t.where(F.col("amount") > 0)
+    return ok if ok.limit(least).count() == least else ok.limit(0)
+
+
 def write_csv(df: DataFrame, path: str) -> str:
     df.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
     return path
 
 
 def read_csv(spark, path: str, schema: str = CSV_SCHEMA, required=REQUIRED) -> DataFrame:
-    """A2: schema-on-read CSV scan (no inference) with a required-column check."""
-    df = spark.read.schema(schema).option("header", True).option("timestampNTZFormat", TS_FORMAT).csv(path)
-    missing = [c for c in required if c not in df.columns]
+    """A2: CSV scan by header name, without type inference. The files' own
+    header decides what each column is: columns may come in any order, columns
+    outside ``schema`` are ignored, optional ones that are absent are null, a
+    missing required one is an error. Unparsable values become null."""
+    raw = spark.read.option("header", True).csv(path)
+    missing = [c for c in required if c not in raw.columns]
     if missing:
         raise ValueError(f"Missing required columns: {missing}")
-    return df
+    out = []
+    for item in schema.split(","):
+        name, kind = item.split()
+        if name not in raw.columns:
+            col = F.lit(None).cast(kind)
+        elif kind == "TIMESTAMP_NTZ":
+            col = F.coalesce(F.try_to_timestamp(F.col(name), F.lit(TS_FORMAT)), F.try_to_timestamp(F.col(name))).cast(kind)
+        else:
+            col = F.expr(f"try_cast(`{name}` AS {kind})")
+        out.append(col.alias(name))
+    return raw.select(*out)
 
 
 def delta_union(recent: DataFrame, replay: DataFrame) -> DataFrame:

@@ -3,12 +3,13 @@ per merchant VPA (or per any key list, e.g. (user_id, vpa) for the
 per-user view), computed for every merchant in one job."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import time as T
 from . import aggregates as A
+from .ranking import group_ranks
 from .windows import with_prev_ts
 
 RISK_ADJ = {"low": 0.1, "medium": 0.0, "high": -0.2, "critical": -0.4}
@@ -130,11 +131,13 @@ def insights(p: DataFrame) -> DataFrame:
 
 def competition(p: DataFrame) -> DataFrame:
     """M17/M18 re-aimed from constants: rank and share within the business
-    category (windows over the per-merchant table, not the fact table)."""
-    w = Window.partitionBy("category").orderBy("total_volume")
+    category. The rank is counted over buckets of volumes, so a category that
+    holds every merchant is not sorted in one task."""
     tot = p.groupBy("category").agg(F.sum("total_volume").alias("_cat"))
-    return p.join(tot, "category").select(
-        "vpa", "category", F.percent_rank().over(w).alias("category_percentile"),
+    rank = group_ranks(p, ["category"], "total_volume").select(
+        "category", "total_volume", F.when(F.col("n_group") > 1, F.col("n_below") / (F.col("n_group") - 1)).otherwise(0.0).alias("_rank"))
+    return p.join(tot, "category").join(rank, ["category", "total_volume"]).select(
+        "vpa", "category", F.col("_rank").alias("category_percentile"),
         F.col("pricing_fairness").alias("price_competitiveness"),
         F.when(F.col("service_quality") > 0.7, "Above Average").otherwise("Below Average").alias("service_comparison"),
         (F.col("total_volume") / F.col("_cat")).alias("market_share_estimate"))

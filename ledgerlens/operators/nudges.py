@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 from ..functions import time as T
+from .ranking import group_quantiles
 
 # fixed values: base effectiveness, intensity multipliers, gates, returns
 BASE = {"loss_aversion": 0.9, "social_proof": 0.8, "mental_accounting": 0.85,
@@ -151,11 +152,11 @@ def context(t: DataFrame, proposals: DataFrame, budgets: DataFrame, profile: Dat
     cat = F.coalesce("category", F.lit("other"))
     month = F.date_format("timestamp", "yyyy-MM")
     mt = t.groupBy("user_id", cat.alias("category"), month.alias("month")).agg(F.sum("amount").alias("_mtot"))
-    peer = t.groupBy(cat.alias("category")).agg(F.avg("amount").alias("peer_average"),
-                                                  F.percentile("amount", 0.1).alias("top_10_percent"))
-    anch = t.groupBy("user_id", cat.alias("category")).agg(
-        F.avg("amount").alias("user_average"), F.median("amount").alias("user_typical"),
-        F.max("amount").alias("user_maximum"))
+    own = t.select("user_id", cat.alias("category"), "amount")
+    peer = own.groupBy("category").agg(F.avg("amount").alias("peer_average")).join(
+        group_quantiles(own, ["category"], "amount", {"top_10_percent": 0.1}), "category", "left")
+    anch = own.groupBy("user_id", "category").agg(F.avg("amount").alias("user_average"), F.max("amount").alias("user_maximum")).join(
+        group_quantiles(own, ["user_id", "category"], "amount", {"user_typical": 0.5}), ["user_id", "category"], "left")
     p = proposals.select("proposal_id", "user_id", "amount", cat.alias("category"), "merchant",
                          month.alias("month"))
     return (p.join(mt, ["user_id", "category", "month"], "left")

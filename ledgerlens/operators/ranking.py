@@ -1,14 +1,20 @@
-"""Exact global ranks without a single-partition window.
+"""Exact ranks and quantiles without a single-partition window or a buffer
+that holds a group.
 
 ``orderBy`` over a whole table in one window partition puts every row in one
 task. Instead: range-partition the (pre-aggregated) rows, checkpoint so the
 partition assignment is fixed (and survives executor loss), count per
 partition, prefix-sum the counts (one row per partition: tiny), and add each
 row's position inside its partition.
+
+Ranks and quantiles inside groups work on counts of distinct values and a
+histogram: a value's bucket follows from the value alone (``_bucket``), the
+buckets of a group are summed in order (as many rows as buckets, whatever the
+group's size), and only values of one bucket are ordered in one task.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -44,3 +50,68 @@ def percentile_table(t: DataFrame, col: str = "amount", out: str = "amount_perce
     pos = with_global_position(d, col, weight_col="_eq", out="_lt")
     n = t.agg(F.count(F.lit(1))).scalar()
     return pos.select(col, ((F.col("_lt") + (F.col("_eq") + 1) / 2.0) / n).alias(out))
+
+
+def _bucket(v) -> Column:
+    """Order-preserving bucket of a number: 1024 per power of e, by sign."""
+    scale, zero = 1024.0, 1_000_000
+    size = F.floor(F.ln(F.abs(v)) * scale).cast("long") + zero
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on null-safe equal keys; the keys are kept once."""
+    names = {k: f"_same_{k}" for k in keys}
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(F.col(names[k]))
+    return left.join(right.withColumnsRenamed(names), cond).drop(*names.values())
+
+
+def _histogram(t: DataFrame, groups: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """(distinct values with count ``_n`` and bucket ``_b``, buckets with the
+    rows before them ``_off``, their rows ``_bn`` and the group's ``_tot``)."""
+    counts = (t.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
+              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col("_v"))))
+    hist = counts.groupBy(*groups, "_b").agg(F.sum("_n").alias("_bn"))
+    before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.select(*groups, "_b", "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
+                       F.sum("_bn").over(Window.partitionBy(*groups)).alias("_tot"))
+    return counts, hist
+
+
+def group_ranks(t: DataFrame, groups: list[str], value: str) -> DataFrame:
+    """(groups, value, n_below, n_equal, n_group) for each distinct non-null
+    value of each group."""
+    counts, hist = _histogram(t, groups, value)
+    inner = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    c = counts.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+    return _same(c, hist, [*groups, "_b"]).select(
+        *groups, F.col("_v").alias(value), (F.col("_off") + F.col("_in")).alias("n_below"),
+        F.col("_n").alias("n_equal"), F.col("_tot").alias("n_group"))
+
+
+def group_quantiles(t: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(groups, one column per entry of ``probs``): exact quantiles with
+    linear interpolation. Only values in the buckets that hold a wanted rank
+    are ordered. Groups without a non-null value have no row."""
+    counts, hist = _histogram(t, groups, value)
+    place = {n: p * (F.col("_tot") - 1) for n, p in probs.items()}
+    want = [f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]
+    hit = F.lit(False)
+    for k in want:
+        hit = hit | ((F.col("_off") <= k) & (k < F.col("_off") + F.col("_bn")))
+    c = _same(counts, hist.where(hit), [*groups, "_b"])
+    inner = Window.partitionBy(*groups, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("_lo", F.col("_off") + F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+
+    def at(rank):
+        return F.max(F.when((F.col("_lo") <= rank) & (rank < F.col("_lo") + F.col("_n")), F.col("_v")))
+
+    aggs = [F.max("_tot").alias("_tot")]
+    for i in range(len(probs)):
+        aggs += [at(want[2 * i]).alias(f"_q{i}"), at(want[2 * i + 1]).alias(f"_r{i}")]
+    found = c.groupBy(*groups).agg(*aggs)
+    out = [(F.col(f"_q{i}") + (F.col(f"_r{i}") - F.col(f"_q{i}")) * (x - F.floor(x))).alias(n)
+           for i, (n, x) in enumerate(place.items())]
+    return found.select(*groups, *out)

@@ -4,7 +4,7 @@ computed for all users in one job.
 Every per-user statistic is a ``groupBy(user_id)`` aggregate (partial
 aggregation map-side); the only ordered step, the gap to the previous
 transaction, uses the time-bucketed ``with_prev_ts``. Exact per-user
-percentiles (K13) use Spark's exact ``percentile`` aggregate.
+percentiles (K13) come from ``ranking.group_quantiles``.
 """
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import time as T
+from .ranking import group_quantiles
 from .windows import with_prev_ts
 
 # fixed values: component weights, defaults and stand-in constants
@@ -22,6 +23,7 @@ WEIGHTS = {"history": 0.40, "network": 0.25, "behavior": 0.20, "community": 0.15
 GEO_CONSISTENCY = 0.85
 ACCOUNT_AGE_DAYS = 30
 EPS = 1e-8
+DEFAULT_SCORE = 0.5
 
 
 def _clamp01(c: Column) -> Column:
@@ -32,12 +34,12 @@ def amount_outliers(t: DataFrame, contamination: float = 0.10, min_rows: int = 1
     """K13 (re-aimed isolation forest): distance from the user's own median;
     outlier when above the user's own (1 - contamination) quantile of that
     distance, and only for users with more than ``min_rows`` rows."""
-    med = t.groupBy("user_id").agg(F.median("amount").alias("median_amount"),
-                                   F.count(F.lit(1)).alias("_n"))
+    med = t.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).join(
+        group_quantiles(t, ["user_id"], "amount", {"median_amount": 0.5}), "user_id", "left")
     d = t.select("transaction_id", "user_id", "amount").join(med, "user_id").withColumn(
         "distance", F.abs(F.col("amount") - F.col("median_amount")))
-    q = d.groupBy("user_id").agg(F.percentile("distance", 1.0 - contamination).alias("p90_distance"))
-    d = d.join(q, "user_id")
+    q = group_quantiles(d, ["user_id"], "distance", {"p90_distance": 1.0 - contamination})
+    d = d.join(q, "user_id", "left")
     return d.select("transaction_id", "user_id", "amount", "median_amount", "distance", "p90_distance",
                     ((F.col("_n") > min_rows) & (F.col("distance") > F.col("p90_distance"))).cast("int").alias("is_outlier"),
                     F.col("_n").alias("n"))
@@ -99,6 +101,14 @@ def scored(t: DataFrame) -> DataFrame:
                  + WEIGHTS["behavior"] * F.col("behavior_score") + WEIGHTS["community"] * F.col("community_score"))
 
 
+def with_default_scores(s: DataFrame, users: DataFrame) -> DataFrame:
+    """Users without any payment get the default score (all components
+    0.5, no flags, medium level)."""
+    rest = users.select("user_id").where(F.col("user_id").isNotNull()).distinct().join(s.select("user_id"), "user_id", "left_anti")
+    half = [F.lit(DEFAULT_SCORE).alias(c) for c in ("overall_score", "history_score", "network_score", "behavior_score", "community_score")]
+    return s.unionByName(rest.select("user_id", *half), allowMissingColumns=True)
+
+
 def trust_level(s: Column) -> Column:
     return (F.when(s >= 0.90, "very_high").when(s >= 0.75, "high").when(s >= 0.50, "medium")
              .when(s >= 0.25, "low").otherwise("very_low"))

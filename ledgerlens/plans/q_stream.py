@@ -21,8 +21,7 @@ SELECT user_id || '_' || strftime({_TS}, '%Y-%m-%dT%H:%M:%S.%f') AS sample_id, u
   strftime({_TS}, '%Y-%m-%d %H:%M:%S.%f') AS ts, category AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_TS} ORDER BY transaction_id) AS r FROM txn) WHERE r = 1""", ["amount"]))
 def q_stream_training_samples(spark, sf):
-    path = J.run_append(J.training_samples(J.stream_txn(spark, sf)), "samples")
-    d = spark.read.parquet(path)
+    d = J.read_sink(spark, J.run_batches(J.training_samples(J.stream_txn(spark, sf)), "samples"))
     return finish(d.select("sample_id", "user_id", "merchant_name", "amount", T.ts_text("timestamp").alias("ts"), "label"))
 
 
@@ -31,8 +30,8 @@ SELECT CAST(i AS BIGINT) AS trigger_no, CAST(i * 100 AS BIGINT) AS threshold
 FROM range(1, (SELECT count(*) FROM txn) // 100 + 1) AS r(i)""")
 def q_stream_retrain_trigger(spark, sf):
     samples = J.training_samples(J.stream_txn(spark, sf))
-    path = J.retrain_triggers(spark, samples, every=100)
-    return finish(spark.read.parquet(path).select("trigger_no", "threshold"))
+    rows = J.read_sink(spark, J.retrain_triggers(samples, every=100))
+    return finish(rows.where(F.col("trigger_no").isNotNull()).select("trigger_no", "threshold"))
 
 
 @register("stream_last_txn_features", rounded(with_(TXN) + f"""
@@ -41,8 +40,7 @@ SELECT user_id, arg_max(amount, ({_TS}, transaction_id)) AS last_amount, arg_max
   strftime(max({_TS}), '%Y-%m-%d %H:%M:%S.%f') AS last_ts, count(*) AS n_seen
 FROM txn GROUP BY user_id""", ["last_amount"]))
 def q_stream_last_txn_features(spark, sf):
-    path = J.run_batches(J.last_txn_features(J.stream_txn(spark, sf)), "lastfeat", "complete")
-    d = spark.read.parquet(path)
+    d = J.read_sink(spark, J.run_batches(J.last_txn_features(J.stream_txn(spark, sf)), "lastfeat", "update"), ["user_id"])
     return finish(d.select("user_id", F.col("_l.amount").alias("last_amount"), F.col("_l.hour").alias("last_hour"),
                            F.col("_l.merchant_name").alias("last_merchant"),
                            T.ts_text("_l.timestamp").alias("last_ts"), "n_seen"))
@@ -54,8 +52,7 @@ SELECT user_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws +
 FROM (SELECT user_id, time_bucket(INTERVAL 6 HOUR, {_TS}) - to_hours(6 * k) AS ws FROM txn, range(0, 4) AS r(k))
 GROUP BY ALL""")
 def q_stream_velocity(spark, sf):
-    path = J.run_batches(J.velocity(J.stream_txn(spark, sf)), "velocity", "complete")
-    d = spark.read.parquet(path)
+    d = J.read_sink(spark, J.run_batches(J.velocity(J.stream_txn(spark, sf)), "velocity", "update"), ["user_id", "w"])
     return finish(d.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                            F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "transactions"))
 
@@ -72,14 +69,12 @@ SELECT transaction_id, merchant_name, {S.display('cat')} AS category, confidence
   CASE WHEN exact_cat IS NOT NULL THEN 'merchant_catalog' WHEN confidence > 0.7 THEN 'fuzzy_match' ELSE 'keyword_rules' END AS prediction_source,
   CAST(confidence < 0.7 AS INTEGER) AS requires_review FROM s""", ["confidence"]))
 def q_stream_tagging(spark, sf):
-    path = J.tag_stream(spark, J.stream_txn(spark, sf), catalog(spark, sf))
-    return finish(spark.read.parquet(path))
+    return finish(J.read_sink(spark, J.tag_stream(J.stream_txn(spark, sf), catalog(spark, sf))))
 
 
 @register("stream_label_votes", rounded(with_(TXN, VOTES, LABELS) + "SELECT * FROM lbl", ["confidence"]))
 def q_stream_label_votes(spark, sf):
     votes = TG.community_votes(J.stream_txn(spark, sf))
-    path = J.run_batches(J.label_votes(votes), "votes", "complete")
-    d = spark.read.parquet(path)
+    d = J.read_sink(spark, J.run_batches(J.label_votes(votes), "votes", "update"), ["signature"])
     return finish(d.select("signature", "votes", F.col("_last.category_name").alias("category_name"),
                            F.col("_last.confidence").alias("confidence")))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..operators import trust as TR
 from ..sources.adapters import txn
+from ..sources.tables import table
 from . import sqlx as S
 from .common import finish, rounded
 from .oracle_base import TXN, with_
@@ -68,10 +69,23 @@ LEVEL = ("CASE WHEN overall_score >= 0.90 THEN 'very_high' WHEN overall_score >=
          "WHEN overall_score >= 0.50 THEN 'medium' WHEN overall_score >= 0.25 THEN 'low' ELSE 'very_low' END")
 
 
+ALL_USERS = """, fa AS (SELECT * FROM f UNION ALL BY NAME
+  SELECT CAST(c_custkey AS VARCHAR) AS user_id, 0.5 AS overall_score, 0.5 AS history_score, 0.5 AS network_score,
+    0.5 AS behavior_score, 0.5 AS community_score, ['no_risk'] AS flags FROM customer
+  WHERE CAST(c_custkey AS VARCHAR) NOT IN (SELECT user_id FROM f WHERE user_id IS NOT NULL))
+"""
+
+
 def _scored(spark, sf):
     return TR.scored(txn(spark, sf))
 
 
+def _scored_all(spark, sf):
+    """Scores of every customer, with the default where there is no payment."""
+    users = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
+    return TR.with_default_scores(_scored(spark, sf), users)
+
+
 @register("trust_history", rounded(BASE + "SELECT user_id, consistency, regularity, diversity, failure_score, history_score FROM f",
                                    ["consistency", "regularity", "diversity", "failure_score", "history_score"]))
 def q_trust_history(spark, sf):
@@ -100,15 +114,15 @@ def q_trust_community(spark, sf):
 _SC = ["overall_score", "history_score", "network_score", "behavior_score", "community_score"]
 
 
-@register("trust_score", rounded(BASE + f"SELECT user_id, {', '.join(_SC)}, {LEVEL} AS trust_level FROM f", _SC))
+@register("trust_score", rounded(BASE + ALL_USERS + f"SELECT user_id, {', '.join(_SC)}, {LEVEL} AS trust_level FROM fa", _SC))
 def q_trust_score(spark, sf):
-    s = _scored(spark, sf)
+    s = _scored_all(spark, sf)
     return finish(s.select("user_id", *_SC, TR.trust_level(F.col("overall_score")).alias("trust_level")))
 
 
-@register("trust_risk_flags", BASE + "SELECT user_id, array_to_string(flags, ',') AS risk_flags, len(flags) AS n_flags FROM f")
+@register("trust_risk_flags", BASE + ALL_USERS + "SELECT user_id, array_to_string(flags, ',') AS risk_flags, len(flags) AS n_flags FROM fa")
 def q_trust_risk_flags(spark, sf):
-    s = _scored(spark, sf)
+    s = _scored_all(spark, sf)
     fl = TR.risk_flags(s)
     return finish(s.select("user_id", F.array_join(fl, ",").alias("risk_flags"), F.size(fl).cast("bigint").alias("n_flags")))
 
@@ -131,7 +145,7 @@ def q_trust_factors(spark, sf):
 _RP = ["trust_score", "daily_limit", "per_transaction_limit", "monthly_limit"]
 
 
-@register("risk_profile", rounded(BASE + f"""
+@register("risk_profile", rounded(BASE + ALL_USERS + f"""
 SELECT user_id, overall_score AS trust_score, {LEVEL} AS trust_level, array_to_string(flags, ',') AS risk_flags,
   CASE WHEN overall_score >= 0.8 AND list_contains(flags, 'no_risk') THEN 'low' WHEN overall_score >= 0.6 THEN 'medium'
        WHEN overall_score >= 0.4 THEN 'high' ELSE 'critical' END AS risk_level,
@@ -145,9 +159,9 @@ SELECT user_id, overall_score AS trust_score, {LEVEL} AS trust_level, array_to_s
   CASE WHEN overall_score >= 0.8 THEN 'weekly' WHEN overall_score >= 0.6 THEN 'daily' WHEN overall_score >= 0.4 THEN 'hourly'
        ELSE 'real_time' END AS monitoring_frequency,
   overall_score * 50000 AS daily_limit, overall_score * 25000 AS per_transaction_limit, overall_score * 1000000 AS monthly_limit
-FROM f""", _RP))
+FROM fa""", _RP))
 def q_risk_profile(spark, sf):
-    return finish(TR.risk_profile(_scored(spark, sf)))
+    return finish(TR.risk_profile(_scored_all(spark, sf)))
 
 
 @register("amount_outliers", rounded(with_(TXN, *OUTLIER_CTES) + """

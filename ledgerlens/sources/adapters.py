@@ -87,20 +87,9 @@ def txn_from_events(ev: DataFrame) -> DataFrame:
 
 
 def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The payments fact: a 4-way join that several branches of one query
-    read (profile, gaps, growth, market…). Its output is written once per
-    source snapshot into the shared checkpoint folder and read back, so the
-    join runs once instead of once per branch (set
-    ``ledgerlens.materialize=false`` to always plan it inline)."""
-    if spark.conf.get("ledgerlens.materialize", "true") == "true":
-        try:
-            return materialized(spark, sf_dir, "pay", _pay_join, ["lineitem", "orders", "supplier", "part"])
-        except Exception:  # noqa: BLE001  (no JVM file-system access, e.g. a remote session)
-            pass
-    return _pay_join(spark, sf_dir)
-
-
-def _pay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payments fact: a 4-way join, planned inline from the source tables
+    as they are now. Branches of one query that read it share its exchanges;
+    nothing is kept between queries, so a replaced source file is seen."""
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice",
         "l_returnflag", "l_linestatus", "l_shipdate")
@@ -133,34 +122,6 @@ def _pay_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def materialized(spark: SparkSession, sf_dir: str, name: str, build, sources: list[str]) -> DataFrame:
-    """Write ``build(spark, sf_dir)`` once per snapshot of its source files
-    (path, size, modification time) under the shared checkpoint folder and
-    return a scan of it. A half-written table is never read: the data goes
-    to a temporary folder that is renamed into place."""
-    import hashlib
-
-    from ..session import ensure_checkpoint_dir
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    sig = []
-    for src in sources:
-        path = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{src}.parquet")
-        st = path.getFileSystem(conf).getFileStatus(path)
-        sig.append(f"{path.toString()}:{st.getLen()}:{st.getModificationTime()}")
-    key = hashlib.sha1("|".join(sig).encode()).hexdigest()[:16]
-    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/canonical/{name}-{key}"
-    target = jvm.org.apache.hadoop.fs.Path(base)
-    fs = target.getFileSystem(conf)
-    if not fs.exists(target):
-        import uuid
-        tmp = f"{base}.tmp-{uuid.uuid4().hex[:12]}"  # unique per writer: concurrent callers never share it
-        build(spark, sf_dir).write.mode("overwrite").parquet(tmp)
-        if not fs.exists(target):
-            fs.rename(jvm.org.apache.hadoop.fs.Path(tmp), target)
-    return spark.read.parquet(base)
-
-
 def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merchant catalog (``Merchant Name, Category, Subcategory`` + file order
     ``ord``): the fixture rows first, then every supplier with a non-negative

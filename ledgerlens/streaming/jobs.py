@@ -1,14 +1,18 @@
 """Structured Streaming operators.
 
-Sources are file streams over the given tables (``readStream`` + a glob
-filter on the table's file); every job runs with ``trigger(availableNow)``
-into a file sink under the shared checkpoint folder, so a restarted job
-resumes from its checkpoint and nothing passes through the driver. The
-registered queries read the sink back as a batch DataFrame.
+Sources are file streams over a table's own path (a file or a folder of part
+files); every job runs with ``trigger(availableNow)`` under a folder ``root``
+with its checkpoint and its output, so a job started again on the same folder
+goes on where it stopped. Output is idempotent: each micro-batch overwrites
+its own ``batch=<id>`` folder, so a retried batch replaces what it wrote.
+Keyed results are emitted in update mode and read back as the latest row per
+key. Rows that arrive later than the watermark allows are counted and reported
+(``Run.dropped``), not lost silently.
 """
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,86 +21,97 @@ from ..operators import tagging as TG
 from ..session import ensure_checkpoint_dir
 from ..sources.adapters import txn_from_events
 
+LATENESS = "30 days"  # default watermark delay of the jobs that keep state by time
+
+
+@dataclass
+class Run:
+    """A finished run: the job's folder, its output, and how many rows came
+    too late for the watermark in this run."""
+    root: str
+    path: str
+    dropped: int = 0
+
 
 def _scratch(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+def stream_table(spark: SparkSession, sf_dir: str, name: str, files_per_batch: int = 1000) -> DataFrame:
+    base = sf_dir.rstrip("/")
+    # a glob that matches this one path: a plain path must be a folder
+    return (spark.readStream.schema(spark.read.parquet(f"{base}/{name}.parquet").schema)
+                 .option("maxFilesPerTrigger", files_per_batch).parquet(f"{base}/[{name[0]}]{name[1:]}.parquet"))
 
 
-def stream_txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return txn_from_events(stream_table(spark, sf_dir, "events"))
+def stream_txn(spark: SparkSession, sf_dir: str, files_per_batch: int = 1000) -> DataFrame:
+    return txn_from_events(stream_table(spark, sf_dir, "events", files_per_batch))
 
 
-def run_append(df: DataFrame, name: str) -> str:
-    """Append-mode stream into a parquet sink; returns the sink path."""
-    spark = df.sparkSession
-    root = _scratch(spark, name)
-    q = (df.writeStream.format("parquet").option("checkpointLocation", root + "/_checkpoint")
-           .option("path", root + "/data").trigger(availableNow=True).start())
-    q.awaitTermination()
-    return root + "/data"
+def _finish(query, root: str) -> Run:
+    query.awaitTermination()
+    late = sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+    return Run(root, root + "/data", late)
 
 
-def run_batches(df: DataFrame, name: str, mode: str, fn=None) -> str:
-    """Stream whose micro-batches go through ``foreachBatch``; each batch is
-    written (overwrite for complete mode, append otherwise) as parquet."""
-    spark = df.sparkSession
-    root = _scratch(spark, name)
-    out = root + "/data"
+def run_batches(df: DataFrame, name: str, mode: str = "append", fn=None, root: str | None = None) -> Run:
+    """Run a stream to the end of its input; micro-batch ``id`` (through
+    ``fn(batch, id, path)`` if given) is written to ``batch=id``."""
+    root = root or _scratch(df.sparkSession, name)
 
     def sink(batch: DataFrame, epoch: int):
-        b = fn(batch, epoch, out) if fn else batch
-        if b is not None:
-            b.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+        out = fn(batch, epoch, root + "/data") if fn else batch
+        out.write.mode("overwrite").parquet(f"{root}/data/batch={epoch}")
+
+    return _finish(df.writeStream.outputMode(mode).option("checkpointLocation", root + "/_checkpoint")
+                   .foreachBatch(sink).trigger(availableNow=True).start(), root)
+
 
-    q = (df.writeStream.outputMode(mode).option("checkpointLocation", root + "/_checkpoint")
-           .foreachBatch(sink).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return out
+def read_sink(spark: SparkSession, run: Run, keys: list[str] | None = None) -> DataFrame:
+    """The output of a run; with ``keys`` the row of the latest batch per key."""
+    rows = spark.read.parquet(run.path)
+    if not keys:
+        return rows.drop("batch")
+    cols = [c for c in rows.columns if c != "batch"]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("_row"))
+    return latest.select("_row.*")
 
 
 # --- S1 ----------------------------------------------------------------------
-def training_samples(t: DataFrame, watermark: str = "1 hour") -> DataFrame:
+def training_samples(t: DataFrame, lateness: str = LATENESS) -> DataFrame:
     """Confirmed labels -> de-duplicated samples keyed ``user_timestamp``;
-    state is bounded by the watermark."""
+    state is bounded by ``lateness``, and later rows are counted as dropped."""
     sid = F.concat_ws("_", F.col("user_id"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
     # watermarks need TIMESTAMP (LTZ); the session zone is UTC, so the wall clock is unchanged
     return (t.withColumn("sample_id", sid).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
-             .withWatermark("timestamp", watermark)
+             .withWatermark("timestamp", lateness)
              .dropDuplicatesWithinWatermark(["sample_id"])
              .select("sample_id", "user_id", "merchant_name", "amount", "timestamp",
                      F.col("category").alias("label")))
 
 
 # --- S2 ----------------------------------------------------------------------
-def retrain_triggers(spark: SparkSession, samples: DataFrame, every: int = 100) -> str:
-    """Running sample count (complete-mode aggregate); each batch appends one
-    trigger row per multiple of ``every`` newly crossed."""
-    counts = samples.groupBy().agg(F.count(F.lit(1)).alias("samples"))
-
-    def fn(batch, epoch, out):
-        import os
-        prev = 0
-        if os.path.exists(out.replace("file:", "")):
-            prev = batch.sparkSession.read.parquet(out).agg(F.max("threshold")).first()[0] or 0
-        total = batch.select(F.col("samples").cast("long")).first()
-        total = total[0] if total else 0
-        return (batch.sparkSession.range(prev // every + 1, total // every + 1)
-                .select(F.col("id").alias("trigger_no"), (F.col("id") * every).alias("threshold"),
-                        F.lit(epoch).cast("long").alias("epoch")))
-
-    return run_batches(counts, "retrain", "complete", fn=lambda b, e, o: _append_only(fn(b, e, o), o))
-
-
-def _append_only(df, out):
-    df.write.mode("append").parquet(out)
-    return None
+def retrain_triggers(samples: DataFrame, every: int = 100, root: str | None = None) -> Run:
+    """One trigger row per multiple of ``every`` that the number of samples
+    crosses. Each batch stores its own sample count (a row without trigger),
+    so the total before a batch is the sum of the earlier batches' counts and
+    a retried batch comes to the same triggers."""
+    spark = samples.sparkSession
+    root = root or _scratch(spark, "retrain")
+    schema = "trigger_no bigint, threshold bigint, samples bigint"
+    start = spark.createDataFrame([(None, None, 0)], schema)
+    start.write.mode("overwrite").parquet(f"{root}/data/batch=-1")
+
+    def fn(batch: DataFrame, epoch: int, path: str) -> DataFrame:
+        s = batch.sparkSession
+        before = s.read.parquet(path).where(F.col("batch") < epoch).agg(F.sum("samples")).first()[0] or 0
+        n = batch.count()
+        crossed = s.range(before // every + 1, (before + n) // every + 1).select(
+            F.col("id").alias("trigger_no"), (F.col("id") * every).alias("threshold"), F.lit(None).cast("bigint").alias("samples"))
+        return crossed.unionByName(s.createDataFrame([(None, None, n)], schema))
+
+    return run_batches(samples, "retrain", "append", fn, root)
 
 
 # --- S3 ----------------------------------------------------------------------
@@ -108,17 +123,18 @@ def last_txn_features(t: DataFrame) -> DataFrame:
 
 
 # --- S4 ----------------------------------------------------------------------
-def velocity(t: DataFrame, length: str = "1 day", slide: str = "6 hours", watermark: str = "1 day") -> DataFrame:
-    return (t.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+def velocity(t: DataFrame, length: str = "1 day", slide: str = "6 hours", lateness: str = LATENESS) -> DataFrame:
+    """Update mode emits the windows that changed; closed ones leave the state."""
+    return (t.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", lateness)
              .groupBy("user_id", F.window("timestamp", length, slide).alias("w"))
              .agg(F.count(F.lit(1)).alias("transactions")))
 
 
 # --- S5 ----------------------------------------------------------------------
-def tag_stream(spark: SparkSession, t: DataFrame, catalog: DataFrame) -> str:
+def tag_stream(t: DataFrame, catalog: DataFrame, root: str | None = None) -> Run:
     """Online tagging: each micro-batch goes through the batch tagger
     (stream-static joins against the catalog)."""
-    return run_batches(t, "tagging", "append", fn=lambda b, e, o: TG.tag(b, catalog))
+    return run_batches(t, "tagging", "append", lambda b, e, o: TG.tag(b, catalog), root)
 
 
 # --- S6 ----------------------------------------------------------------------
