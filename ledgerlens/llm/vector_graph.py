@@ -4,8 +4,9 @@
 2. Nodes are cut into overlapping cluster shards: a shard over ``max_shard``
    nodes is split by centres fitted on a bounded sample of it (``SAMPLE``
    rows), each node joining its ``overlap`` nearest centres, until all fit.
-   Shards that won't split (one dense crowd) are cut into blocks and every
-   pair of blocks becomes a shard, so no pair is lost.
+   A shard that is one dense crowd around its mean (centres would part its
+   pairs) is cut into blocks and every pair of blocks becomes a shard, so no
+   pair is lost.
 3. Each shard's graph is built by robust pruning; the adjacency lists of a
    node from all its shards are united.
 4. Every node is a query in each of its shards: greedy search from the
@@ -34,9 +35,11 @@ from .common import by_group, row_ids, staged
 from .components import components
 
 THRESHOLD = 0.98
-MAX_SHARD = 2048
+MAX_SHARD = 512
 SAMPLE = 2048
-CENTRES = 16
+CENTRES = 64              # most parts of one split
+MEDOIDS = 16
+CROWD = 0.5               # share of a cell near its mean that makes it a crowd
 DEGREE = 24
 CANDIDATES = 48
 ALPHA = 1.2
@@ -105,7 +108,7 @@ def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDAT
     return [np.array(sorted(v), np.int64) for v in both]
 
 
-def medoids(x: np.ndarray, k: int = CENTRES) -> np.ndarray:
+def medoids(x: np.ndarray, k: int = MEDOIDS) -> np.ndarray:
     """The nodes nearest to the centres of a shard's clusters."""
     return np.unique((x @ centres(x, min(k, len(x))).T).argmax(0))
 
@@ -142,19 +145,18 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, que
 
 # -- shards -------------------------------------------------------------------
 
-def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int) -> DataFrame:
+def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int, threshold: float) -> DataFrame:
+    """(cell, centres) of the cells to split; no centres for a crowd."""
     def run(batches):
         for table in by_group(batches, "cell", GROUP_ROWS):
-            table = table.combine_chunks()
-            cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
-            x = matrix(table.column("vec").combine_chunks()) if len(set(map(len, table.column("vec").to_pylist()))) == 1 else None
-            edge = np.flatnonzero(np.diff(cell)) + 1
-            for a, b in zip([0, *edge], [*edge, len(cell)]):
-                part = x[a:b] if x is not None else matrix(table.column("vec").combine_chunks().slice(a, b - a))
-                k = int(min(CENTRES, max(2, math.ceil(2 * n[a] / max_shard)), b - a))
+            for part in _cells(table):
+                x, n = matrix(part.column("vec").combine_chunks()), part.column("n")[0].as_py()
+                mean = x.mean(0)
+                near = (x @ mean >= threshold * np.sqrt(mean @ mean)).mean()
+                k = int(min(CENTRES, math.ceil(4 * n / max_shard), len(x)))
+                flat = [] if near > CROWD or k < 2 else centres(x, k).ravel().tolist()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell[a:a + 1]), pa.array([centres(part, k).ravel().tolist()], pa.list_(pa.float64()))],
-                    ["cell", "centres"])
+                    [part.column("cell").combine_chunks().slice(0, 1), pa.array([flat], pa.list_(pa.float64()))], ["cell", "centres"])
     rows = (cells.join(big, "cell")
             .filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) <= F.lit(float(1 << 30)) * SAMPLE / F.col("n"))
             .select("cell", "n", "vec").repartition("cell").sortWithinPartitions("cell"))
@@ -162,51 +164,47 @@ def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int) -> DataFrame
 
 
 def _assign(cells: DataFrame, table: DataFrame, overlap: int) -> DataFrame:
-    """Nearest centres of each node of a split cell; others stay."""
+    """Nearest centres of each node of a split cell; others stay (-1), and
+    those of a crowd are marked (-2)."""
     def run(batches):
         for batch in batches:
-            lists = batch.column("centres").to_pylist()
-            vecs = batch.column("vec")
-            near = []
-            for i, c in enumerate(lists):
-                if c is None:
-                    near.append([-1])
+            vecs, near = batch.column("vec"), []
+            for i, c in enumerate(batch.column("centres")):
+                if not c.is_valid or not len(c):
+                    near.append([-2 if c.is_valid else -1])
                     continue
                 x = np.array(vecs[i].as_py(), np.float64)
-                sim = np.reshape(c, (-1, len(x))) @ x
+                sim = c.values.to_numpy().reshape(-1, len(x)) @ x
                 near.append(np.argsort(-sim, kind="stable")[:overlap].tolist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("rid", "cell", "vec", "size")] + [pa.array(near, pa.list_(pa.int32()))],
-                ["rid", "cell", "vec", "size", "near"])
+                [batch.column(c) for c in ("rid", "cell", "vec", "size", "crowd")] + [pa.array(near, pa.list_(pa.int32()))],
+                ["rid", "cell", "vec", "size", "crowd", "near"])
     kinds = dict(cells.dtypes)
-    out = cells.join(table, "cell", "left").select("rid", "cell", "vec", "size", "centres").mapInArrow(
-        run, f"rid bigint, cell bigint, vec {kinds['vec']}, size bigint, near array<int>")
-    child = F.explode("near").alias("child")
-    return (out.select("rid", "cell", "vec", "size", child)
+    out = cells.join(table, "cell", "left").select("rid", "cell", "vec", "size", "crowd", "centres").mapInArrow(
+        run, f"rid bigint, cell bigint, vec {kinds['vec']}, size bigint, crowd boolean, near array<int>")
+    return (out.select("rid", "cell", "vec", "size", "crowd", F.explode("near").alias("child"))
+            .withColumn("crowd", F.col("crowd") | (F.col("child") == -2))
             .withColumn("cell", F.when(F.col("child") < 0, F.col("cell")).otherwise(F.xxhash64("cell", "child")))
             .drop("child").dropDuplicates(["rid", "cell"]))
 
 
-def shards(nodes: DataFrame, max_shard: int, overlap: int) -> DataFrame:
+def shards(nodes: DataFrame, max_shard: int, overlap: int, threshold: float) -> DataFrame:
     """(rid, cell, vec, size): nodes in overlapping cells of bounded size."""
-    cells, before = nodes, None
-    for _ in range(16):
-        counts = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = nodes.withColumn("crowd", F.lit(False))
+    for _ in range(32):
+        counts = cells.filter(~F.col("crowd")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
         big = staged(counts.filter(F.col("n") > max_shard), "big")
-        most = big.agg(F.max("n")).first()[0]
-        if most is None:
-            return cells
-        if before is not None and most > 0.9 * before:
+        if not big.count():
             break
-        before = most
-        table = staged(_centre_table(cells, big, max_shard), "centres")
+        table = staged(_centre_table(cells, big, max_shard, threshold), "centres")
         cells = staged(_assign(cells, table, overlap), "cells")
-    # crowds that centres don't part: all pairs of blocks
-    nb = F.ceil(F.col("n") * 2 / max_shard).cast("int")
-    blocks = (cells.join(big.withColumn("nb", nb).drop("n"), "cell", "left")
-              .withColumn("nb", F.coalesce("nb", F.lit(1)))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_shard)
+    nb = F.coalesce(F.ceil(F.col("n") * 2 / max_shard).cast("int"), F.lit(1))
+    blocks = (cells.join(sizes, "cell", "left").withColumn("nb", nb)
               .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))))
+    # a block with itself is part of its pairs with the others
+    blocks = blocks.filter((F.col("nb") == 1) | (F.col("block") != F.col("other")))
     return blocks.select("rid", F.when(F.col("nb") == 1, F.col("cell")).otherwise(
         F.xxhash64("cell", F.least("block", "other"), F.greatest("block", "other"))).alias("cell"), "vec", "size")
 
@@ -313,7 +311,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = staged(usable.groupBy("label", "vec").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("size")), "classes")
     nodes = classes.select(F.col("first").alias("rid"), F.xxhash64("label", F.size("vec")).alias("cell"), "vec", "size")
     while True:
-        members = staged(shards(nodes, max_shard, overlap), "members")
+        members = staged(shards(nodes, max_shard, overlap, threshold), "members")
         homes = members.groupBy("rid").agg(F.collect_set("cell").alias("cells"))
         near = (_edges(members).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
         graph = members.join(homes.join(near, "rid"), "rid")
