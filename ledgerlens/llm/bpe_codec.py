@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from .common import local_file, small_batches, strings
 
 CHUNK = 1 << 16          # characters handed to the library at once
-BATCH_BYTES = 4 << 20    # text bytes held as Python objects at once
+BATCH_BYTES = 2 << 20    # text bytes held as Python objects at once
 
 # A match never continues from a non-space character into white space, so the
 # place before white space that follows a non-space character is a boundary
@@ -110,6 +110,29 @@ def encode(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, token_ids array<int>")
 
 
+def round_trip(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """(id, token_ids, decoded binary): encoding, and the raw bytes that the
+    ids alone decode to, in one pass through one worker a task."""
+    path = local_file(df.sparkSession, rank_file)
+
+    def run(batches):
+        enc = encoding(path, pattern)
+        for batch in small_batches(batches, text_col, BATCH_BYTES):
+            offsets, ids, data = [0], [], []
+            for text in strings(batch.column(text_col)):
+                own = encode_text(enc, text)
+                offsets.append(offsets[-1] + len(own))
+                ids.append(own.astype(np.int32))
+                data.append(enc.decode_bytes(own.tolist()))
+            lists = pa.ListArray.from_arrays(np.array(offsets, np.int32), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([batch.column(id_col), lists, pa.array(data, pa.binary())],
+                                             [id_col, "token_ids", "decoded"])
+
+    src = df.select(id_col, text_col)
+    return src.mapInArrow(run, f"`{id_col}` {dict(src.dtypes)[id_col]}, token_ids array<int>, decoded binary")
+
+
 def decode(df: DataFrame, rank_file: str, pattern: str, ids_col: str = "token_ids",
            out_col: str = "decoded") -> DataFrame:
     """All columns of ``df`` but ``ids_col`` plus ``out_col``: the raw bytes of

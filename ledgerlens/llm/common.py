@@ -3,7 +3,9 @@ shared folder, stable row ids, and Arrow batch plumbing."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -18,6 +20,7 @@ from ledgerlens.session import ensure_checkpoint_dir
 
 _CLEANED: set[str] = set()
 _SHIPPED: set[str] = set()
+ARROW_BYTES = 8 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,6 +31,8 @@ def ship_code(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
+    # texts vary a thousandfold in length: bound Arrow batches by bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     path = os.path.join(tempfile.mkdtemp(prefix="ledgerlens-code-"), "ledgerlens.zip")
     with zipfile.ZipFile(path, "w") as z:
@@ -163,6 +168,14 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int) -> I
             stop = min(max(stop, start + 1), batch.num_rows)
             yield batch.slice(start, stop - start)
             start = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def by_group(batches: Iterator[pa.RecordBatch], key: str, limit: int, text: str | None = None,

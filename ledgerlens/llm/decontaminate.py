@@ -39,7 +39,7 @@ RARE_LEAST = 20           # documents in which a rare n-gram may always occur
 LEAK_SHARE = 0.2          # share of an item's n-grams that makes a likely copy
 BLOCK_WORDS = 2_000_000
 MISMATCH = GAP = 0.5
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 HIT = "array<struct<item_id:bigint,score:double,first_word:int,last_word:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
                            ("first_word", pa.int32()), ("last_word", pa.int32())]))

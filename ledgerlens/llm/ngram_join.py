@@ -36,7 +36,7 @@ RECALL = 0.9995
 MAX_HASHES = 160
 BLOCK_ROWS = 512          # texts of a block of a large candidate group
 BLOCK_CHARS = 16 << 20    # and their characters
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 20
 
 
 def choose_bands(threshold: float, recall: float, max_hashes: int = MAX_HASHES) -> tuple[int, int]:

@@ -55,12 +55,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode, and the digests of both."""
-    ranks = vocab.path(RANKS)
-    encoded = bpe_codec.encode(docs, ranks, vocab.PATTERN).select(
-        "doc_id", "token_ids", F.size("token_ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"))
-    decoded = bpe_codec.decode(encoded, ranks, vocab.PATTERN)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    out = bpe_codec.round_trip(docs, vocab.path(RANKS), vocab.PATTERN)
+    return out.select(
+        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @register("op6_token_counts")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from .bpe_codec import CHUNK, pieces
 from .common import local_file, small_batches, strings, utf8
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 MERGE_AT_ONCE = 8192      # pre-tokens handed to the library at once
 CACHE_ENTRIES = 400_000   # merged counts kept per worker
 

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 from .common import utf8
 
-SLICE = 2 << 20  # bytes hashed at once
+SLICE = 1 << 19  # bytes hashed at once
 LONGEST = 4096   # bytes of a word
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
