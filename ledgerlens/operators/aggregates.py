@@ -139,17 +139,18 @@ def seasonality(t: DataFrame, key: str = "vpa") -> DataFrame:
     return mc.join(tot, key).select(key, "month_name", (F.col("n") / F.col("_t")).alias("share"))
 
 
-def growth(t: DataFrame, key: str = "vpa") -> DataFrame:
+def growth(t: DataFrame, key: str | list[str] = "vpa") -> DataFrame:
     """0.5 + (last month volume - first) / max(first, 1), clamped; fewer
     than 4 rows or 2 months -> 0.5."""
+    key = [key] if isinstance(key, str) else list(key)
     valid = t.where(F.col("timestamp").isNotNull() & F.col("amount").isNotNull() & (F.col("amount") != 0))
-    mv = valid.groupBy(key, F.date_format("timestamp", "yyyy-MM").alias("m")).agg(F.sum("amount").alias("v"))
-    per = mv.groupBy(key).agg(F.count(F.lit(1)).alias("months"),
+    mv = valid.groupBy(*key, F.date_format("timestamp", "yyyy-MM").alias("m")).agg(F.sum("amount").alias("v"))
+    per = mv.groupBy(*key).agg(F.count(F.lit(1)).alias("months"),
                               F.min_by("v", "m").alias("first_v"), F.max_by("v", "m").alias("last_v"))
-    n = t.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    n = t.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
     g = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + (F.col("last_v") - F.col("first_v")) / F.greatest(F.col("first_v"), F.lit(1.0))))
     return (n.join(per, key, "left").select(
-        key, "n", F.coalesce("months", F.lit(0)).cast("long").alias("months"),
+        *key, "n", F.coalesce("months", F.lit(0)).cast("long").alias("months"),
         F.when((F.col("n") < 4) | (F.coalesce("months", F.lit(0)) < 2), F.lit(0.5)).otherwise(g).alias("growth_trend")))
 
 

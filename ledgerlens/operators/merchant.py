@@ -12,6 +12,20 @@ from . import aggregates as A
 from .ranking import group_ranks
 from .windows import with_prev_ts
 
+# fixed values: title, description around its figure, impact, confidence,
+# recommendation and risk mitigation per insight
+INSIGHT_TEXTS = {
+    "pricing_optimization": ("Overpriced Merchant Detected", "This merchant charges ", "% above market average", 0.8, 0.9,
+                             "Consider finding alternative merchants or negotiate pricing", None),
+    "spending_pattern": ("High-Frequency Merchant", "You transact with this merchant very frequently", "", 0.7, 0.95,
+                         "Consider setting up automatic caps or budgets for this merchant", "Monitor for overspending patterns"),
+    "risk_warning": ("High-Risk Merchant Alert", "This merchant has elevated risk indicators (Trust Score: ", ")", 0.9, 0.85,
+                     "Exercise caution and monitor transactions closely", "Consider transaction limits and increased verification"),
+    "market_opportunity": ("Growing Business Opportunity", "This merchant shows strong growth patterns", "", 0.6, 0.8,
+                           "Potential for loyalty programs or bulk discounts", None),
+    "service_warning": ("Service Quality Concern", "Service quality indicators below average (", ")", 0.7, 0.8,
+                        "Monitor service quality and consider alternatives", "Document any service issues for dispute resolution"),
+}
 RISK_ADJ = {"low": 0.1, "medium": 0.0, "high": -0.2, "critical": -0.4}
 
 
@@ -27,10 +41,13 @@ def market_averages(t: DataFrame) -> DataFrame:
              .groupBy("category").agg(F.avg("amount").alias("average_transaction")))
 
 
-def profile(t: DataFrame, market: DataFrame | None = None, key: str = "vpa") -> DataFrame:
+def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str] = "vpa") -> DataFrame:
+    """One row per ``key``: "vpa" for the merchant as such, ["user_id",
+    "vpa"] for the merchant as one user knows it."""
+    key = [key] if isinstance(key, str) else list(key)
     ts = F.col("timestamp")
     h = F.hour(ts)
-    per = t.groupBy(key).agg(
+    per = t.groupBy(*key).agg(
         F.count(F.lit(1)).alias("transaction_count"),
         F.sum(F.coalesce("amount", F.lit(0.0))).alias("total_volume"),
         F.avg(F.coalesce("amount", F.lit(0.0))).alias("_mu"),
@@ -61,7 +78,7 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str = "vpa") ->
     service = _clamp01(0.8 * F.col("success_rate") * (1 - F.col("dispute_rate")) * (1 - F.col("refund_rate") * 0.5))
     compliance = F.least(F.lit(1.0), 0.8 + 0.1 * F.col("_large") + 0.1 * (n >= 10).cast("int"))
     p = per.select(
-        key, "transaction_count", "total_volume",
+        *key, "transaction_count", "total_volume",
         (F.col("total_volume") / F.greatest(n, F.lit(1))).alias("avg_transaction_size"),
         risk.alias("risk_level"), _clamp01((0.8 + adj) * F.col("success_rate")).alias("trust_score"),
         loyalty.alias("loyalty_score"), "dispute_rate", "refund_rate", "user_sentiment",
@@ -72,7 +89,7 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str = "vpa") ->
         cv.alias("_cv"), F.col("_mu"), "night_share",
     )
     freq = _frequency(t, key)
-    gr = A.growth(t, key).select(key, "growth_trend")
+    gr = A.growth(t, key).select(*key, "growth_trend")
     p = (p.join(freq, key, "left").join(gr, key, "left")
           .withColumn("frequency_score", F.coalesce("frequency_score", F.lit(0.0))))
     if market is not None:
@@ -87,19 +104,46 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str = "vpa") ->
     return p.withColumn("pricing_fairness", fair)
 
 
-def _frequency(t: DataFrame, key: str) -> DataFrame:
-    g = with_prev_ts(t.where(F.col("timestamp").isNotNull()).select(key, "transaction_id", "timestamp"),
-                     [key], "timestamp", "transaction_id")
-    per = g.groupBy(key).agg(F.count(F.lit(1)).alias("_nt"),
+def _frequency(t: DataFrame, key: list[str]) -> DataFrame:
+    g = with_prev_ts(t.where(F.col("timestamp").isNotNull()).select(*key, "transaction_id", "timestamp"),
+                     key, "timestamp", "transaction_id")
+    per = g.groupBy(*key).agg(F.count(F.lit(1)).alias("_nt"),
                              F.avg(T.whole_days_between("timestamp", "prev_ts")).alias("mean_gap_days"))
     m = F.col("mean_gap_days")
     score = (F.when(F.col("_nt") < 2, 0.0).when(m <= 1, 1.0).when(m <= 7, 0.8).when(m <= 30, 0.6)
               .when(m <= 90, 0.4).otherwise(0.2))
-    return per.select(key, "mean_gap_days", score.alias("frequency_score"))
+    return per.select(*key, "mean_gap_days", score.alias("frequency_score"))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    """Non-negative number as text with ``digits`` decimals."""
+    whole = F.round(x * 10**digits).cast("bigint")
+    return F.concat(F.floor(whole / 10**digits).cast("string"), F.lit("."),
+                    F.lpad((whole % 10**digits).cast("string"), digits, "0"))
+
+
+def insight_rows(p: DataFrame, keys: tuple = ("vpa",)) -> DataFrame:
+    """One full row per insight of a merchant."""
+    fixed = INSIGHT_TEXTS
+    fair, trust, svc = F.col("pricing_fairness"), F.col("trust_score"), F.col("service_quality")
+    when = {"pricing_optimization": fair < 0.7, "spending_pattern": F.col("frequency_score") > 0.8,
+            "risk_warning": F.col("risk_level").isin("high", "critical"), "market_opportunity": F.col("growth_trend") > 0.5,
+            "service_warning": svc < 0.6}
+    value = {"pricing_optimization": _fixed((1 - fair) * 100, 1), "risk_warning": _fixed(trust, 2), "service_warning": _fixed(svc, 2)}
+    found = []
+    for name, (title, before, after, impact, confidence, advice, mitigation) in fixed.items():
+        text = F.concat(F.lit(before), value.get(name, F.lit("")), F.lit(after))
+        savings = F.col("avg_transaction_size") * 0.15 if name == "pricing_optimization" else F.lit(None).cast("double")
+        found.append(F.when(when[name], F.struct(
+            F.lit(name).alias("insight_type"), F.lit(title).alias("title"), text.alias("description"), F.lit(impact).alias("impact_score"),
+            F.lit(confidence).alias("confidence"), F.lit(advice).alias("recommendation"), savings.alias("estimated_savings"),
+            F.lit(mitigation).cast("string").alias("risk_mitigation"))))
+    return p.select(*keys, F.inline(F.array_compact(F.array(*found))))
 
 
 def insights(p: DataFrame) -> DataFrame:
-    """M12–M15 as arrays of rule outputs (ordered, nulls dropped)."""
+    """M12–M15 as arrays of rule outputs (ordered, nulls dropped). The texts
+    are fixed values."""
     fair, freq, risk = F.col("pricing_fairness"), F.col("frequency_score"), F.col("risk_level")
     growth, svc, loyal = F.col("growth_trend"), F.col("service_quality"), F.col("loyalty_score")
     ins = F.array_compact(F.array(

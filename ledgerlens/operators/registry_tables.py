@@ -65,12 +65,16 @@ def promotion(runs: DataFrame, th: DataFrame, metric: str = "accuracy") -> DataF
 
 
 def breaches(runs: DataFrame, th: DataFrame) -> DataFrame:
-    """Q6: every run against its component's accuracy threshold and target."""
+    """Q6: every run against its component's accuracy threshold, target and
+    latency threshold (``latency_ms`` of the run's metrics; null if the run
+    did not measure it)."""
     d = runs.join(F.broadcast(th), "component", "left")
-    acc = F.col("metrics")["accuracy"]
+    acc, lat = F.col("metrics")["accuracy"], F.try_element_at("metrics", F.lit("latency_ms"))
     return d.select("component", "version", "stage", acc.alias("accuracy"), "accuracy_threshold", "target_accuracy",
                     (acc < F.col("accuracy_threshold")).cast("int").alias("accuracy_breach"),
-                    F.when(F.col("target_accuracy").isNotNull(), (acc >= F.col("target_accuracy")).cast("int")).alias("target_met"))
+                    F.when(F.col("target_accuracy").isNotNull(), (acc >= F.col("target_accuracy")).cast("int")).alias("target_met"),
+                    lat.alias("measured_latency_ms"), F.col("latency_ms").alias("latency_threshold_ms"),
+                    (lat > F.col("latency_ms")).cast("int").alias("latency_breach"))
 
 
 def retention(runs: DataFrame, keep: int = 100) -> DataFrame:

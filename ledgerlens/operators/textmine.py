@@ -39,6 +39,17 @@ INSIGHTS = [
     ("concern", ["worried", "concerned", "expensive", "not sure", "uncertain", "stress"]),
     ("celebration", ["excited", "happy", "delicious", "amazing", "great", "celebration"]),
 ]
+# fixed values: confidence, message, recommendation and category per insight
+INSIGHT_TEXTS = {
+    "regret": (0.8, "You seem to have some regret about a recent purchase",
+               "Consider setting spending limits or using our nudge system", "spending_behavior"),
+    "financial_goal": (0.7, "You mentioned financial goals or future purchases",
+                       "Set up a savings goal in the app to track progress", "financial_planning"),
+    "concern": (0.9, "You expressed financial concerns or stress",
+                "Review your budget and consider speaking with our AI advisor", "financial_wellness"),
+    "celebration": (0.8, "You seem happy with a recent purchase or financial decision",
+                    "Great job making smart financial choices!", "positive_reinforcement"),
+}
 SPENDING_PATTERNS = [
     (r"paid (\d+(?:,\d+)*)\s*rupees?", "payment", 1.0),
     (r"spent (\d+(?:,\d+)*)\s*rupees?", "spent", 1.0),
@@ -100,6 +111,15 @@ def insights(text: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_any(low, kws), F.lit(n)) for n, kws in INSIGHTS]))
 
 
+def insight_rows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per insight with its confidence, message, recommendation
+    and category."""
+    low = F.lower(F.col(text))
+    found = [F.when(_any(low, kws), F.struct(*[F.lit(v).alias(c) for c, v in zip(
+        ("insight_type", "confidence", "message", "recommendation", "category"), (n, *INSIGHT_TEXTS[n]))])) for n, kws in INSIGHTS]
+    return texts.select(*keys, F.inline(F.array_compact(F.array(*found))))
+
+
 def keywords(text: Column) -> Column:
     low = F.lower(text)
     allk = [k for _, kws in FINANCIAL_KEYWORDS for k in kws]

@@ -127,6 +127,39 @@ def q_merchant_insights(spark, sf):
     return finish(M.insights(_profile(spark, sf)))
 
 
+def _insight_sql(name, cond, figure):
+    title, before, after, impact, confidence, advice, mitigation = M.INSIGHT_TEXTS[name]
+    text = f"concat({S.q(before)}, {figure}, {S.q(after)})"
+    savings = "avg_transaction_size * 0.15" if name == "pricing_optimization" else "CAST(NULL AS DOUBLE)"
+    return (f"SELECT vpa, {S.q(name)} AS insight_type, {S.q(title)} AS title, {text} AS description, {impact!r} AS impact_score, "
+            f"{confidence!r} AS confidence, {S.q(advice)} AS recommendation, {savings} AS estimated_savings, "
+            f"{S.q(mitigation) if mitigation else 'CAST(NULL AS VARCHAR)'} AS risk_mitigation FROM p WHERE {cond}")
+
+
+def _fixed_sql(x, digits):
+    whole = f"CAST(round({x} * {10**digits}) AS BIGINT)"
+    return f"concat({whole} // {10**digits}, '.', lpad(CAST({whole} % {10**digits} AS VARCHAR), {digits}, '0'))"
+
+
+@register("merchant_insight_rows", rounded(BASE + " UNION ALL ".join(_insight_sql(*x) for x in (
+    ("pricing_optimization", "pricing_fairness < 0.7", _fixed_sql("((1 - pricing_fairness) * 100)", 1)),
+    ("spending_pattern", "frequency_score > 0.8", "''"),
+    ("risk_warning", "risk_level IN ('high', 'critical')", _fixed_sql("trust_score", 2)),
+    ("market_opportunity", "growth_trend > 0.5", "''"),
+    ("service_warning", "service_quality < 0.6", _fixed_sql("service_quality", 2)))),
+    ["impact_score", "confidence", "estimated_savings"]))
+def q_merchant_insight_rows(spark, sf):
+    return finish(M.insight_rows(_profile(spark, sf)))
+
+
+@register("merchant_profile_by_user")
+def q_merchant_profile_by_user(spark, sf):
+    """The profile per (user, VPA); tested against the per-VPA profile of
+    each user's own rows."""
+    t = pay(spark, sf)
+    return finish(M.profile(t, M.market_averages(t), ["user_id", "vpa"]).select("user_id", *PROFILE_COLS))
+
+
 @register("merchant_competition", rounded(BASE + """
 SELECT vpa, category, percent_rank() OVER (PARTITION BY category ORDER BY total_volume) AS category_percentile,
   pricing_fairness AS price_competitiveness,

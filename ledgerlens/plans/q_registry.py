@@ -54,15 +54,16 @@ def q_promotion_check(spark, sf):
 @register("slo_breaches", rounded(with_(PAY, *RUNS) + """
 SELECT st.component, version, stage, accuracy, th.accuracy_threshold, th.target_accuracy,
   CAST(accuracy < th.accuracy_threshold AS INTEGER) AS accuracy_breach,
-  CASE WHEN th.target_accuracy IS NOT NULL THEN CAST(accuracy >= th.target_accuracy AS INTEGER) END AS target_met
-FROM st LEFT JOIN th USING (component)""", ["accuracy", "accuracy_threshold", "target_accuracy"]))
+  CASE WHEN th.target_accuracy IS NOT NULL THEN CAST(accuracy >= th.target_accuracy AS INTEGER) END AS target_met,
+  CAST(NULL AS DOUBLE) AS measured_latency_ms, th.latency_ms AS latency_threshold_ms, CAST(NULL AS INTEGER) AS latency_breach
+FROM st LEFT JOIN th USING (component)""", ["accuracy", "accuracy_threshold", "target_accuracy", "measured_latency_ms", "latency_threshold_ms"]))
 def q_slo_breaches(spark, sf):
     return finish(RT.breaches(_runs(spark, sf), RT.thresholds(spark)))
 
 
 @register("run_retention", with_(PAY, *RUNS) + """
 SELECT component, version, strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,
-  CAST(row_number() OVER (PARTITION BY component ORDER BY start_time DESC, version DESC) <= 100 AS INTEGER) AS keep FROM st""")
+  CAST(row_number() OVER (PARTITION BY component ORDER BY start_time DESC, version DESC) <= 24 AS INTEGER) AS keep FROM st""")
 def q_run_retention(spark, sf):
-    r = RT.retention(_runs(spark, sf), keep=100)
+    r = RT.retention(_runs(spark, sf), keep=24)
     return finish(r.select("component", "version", F.date_format("start_time", "yyyy-MM-dd HH:mm:ss").alias("start_time"), "keep"))

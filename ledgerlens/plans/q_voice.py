@@ -1,4 +1,5 @@
-"""Transcript text operators (P1–P9, G15, I5) over ``conversations`` texts."""
+"""Transcript text operators (P1–P9, G15, I5) over every text of the given
+tables: conversation turns, documents, and a spoken memo per payment."""
 from __future__ import annotations
 
 from pyspark.sql import Window
@@ -6,17 +7,65 @@ from pyspark.sql import functions as F
 
 from ..operators import textmine as TM
 from ..operators.aggregates import top_k
+from ..sources.adapters import txn
 from ..sources.tables import table
 from . import sqlx as S
 from .common import finish, rounded
+from .oracle_base import TXN, with_
 from .registry import register
 
 KEYS = ["conv_id", "turn"]
 _LOW = "lower(text)"
 
 
+# what a user says about a payment, by payment id; {a} amount, {m} merchant
+MEMOS = ["I spent {a} rupees on food at {m} today",
+         "Paid {a} rupees for the bills yesterday, I am worried it is getting expensive",
+         "Happy and excited: a great deal in Mumbai, worth it, my target is met",
+         "Bought a phone for {a} rupees, what a waste, I regret this mistake",
+         "Aaj ka kharcha {a} hai, bachat kam",
+         "My plan : save {a} thousand for the future goal, not sure, a bit anxious",
+         "It cost {a} rupees in Delhi last week, or ₹ {a}, terrible and always again",
+         "Definitely investing 2 lakh with {m} in march, confident and satisfied"]
+
+
+def _memo_parts(template):
+    out = []
+    for i, part in enumerate(template.replace("{m}", "{a}\0").split("{a}")):
+        if i:
+            out.append("m" if part.startswith("\0") else "a")
+            part = part.removeprefix("\0")
+        if part:
+            out.append(S.q(part))
+    return out
+
+
+_MEMO_SQL = " ".join(f"WHEN {i} THEN concat({', '.join(_memo_parts(t))})" for i, t in enumerate(MEMOS))
+TEXTS = f"""memos AS (SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT 1000000000 + doc_id, 0, 'document', coalesce(text, '') FROM documents
+  UNION ALL SELECT 2000000000 + CAST(user_id AS BIGINT), CAST(transaction_id AS BIGINT), 'memo',
+    CASE CAST(transaction_id AS BIGINT) % {len(MEMOS)} {_MEMO_SQL} END
+  FROM (SELECT user_id, transaction_id, CAST(CAST(floor(abs(coalesce(amount, 0))) AS BIGINT) AS VARCHAR) AS a,
+          coalesce(merchant_name, 'a shop') AS m FROM txn))"""
+
+
+def _sql(text):
+    """The oracle text over all texts."""
+    return f"{with_(TXN, TEXTS)} SELECT * FROM ({text.replace('FROM conversations', 'FROM memos')}) AS over_texts"
+
+
 def _texts(spark, sf):
-    return table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    docs = table(spark, sf, "documents").select(
+        (F.lit(1_000_000_000) + F.col("doc_id")).cast("bigint").alias("conv_id"), F.lit(0).cast("bigint").alias("turn"),
+        F.lit("document").alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    said = F.expr("CASE CAST(transaction_id AS BIGINT) % " + f"{len(MEMOS)} {_MEMO_SQL} END")
+    memos = txn(spark, sf).select(
+        "user_id", "transaction_id", F.floor(F.abs(F.coalesce("amount", F.lit(0.0)))).cast("bigint").cast("string").alias("a"),
+        F.coalesce("merchant_name", F.lit("a shop")).alias("m")).select(
+        (F.lit(2_000_000_000) + F.col("user_id").cast("bigint")).alias("conv_id"),
+        F.col("transaction_id").cast("bigint").alias("turn"), F.lit("memo").alias("role"), said.alias("text"))
+    return turns.unionByName(docs).unionByName(memos)
 
 
 def _hits_sql(kws):
@@ -31,13 +80,13 @@ _WORDS = "list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')"
 _LWORDS = "list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')"
 
 
-@register("text_entities", "SELECT conv_id, turn, role, text, "
+@register("text_entities", _sql("SELECT conv_id, turn, role, text, "
           f"array_to_string({_hits_sql(dict(TM.FINANCIAL_KEYWORDS)['merchants'])}, ',') AS ent_merchants, "
           "array_to_string(" + " || ".join(f"regexp_extract_all({_LOW}, {S.q(p)}, 1)" for p in TM.AMOUNT_PATTERNS) + ", ',') AS ent_amounts, "
           f"array_to_string({_hits_sql(TM.ENTITY_CATEGORIES)}, ',') AS ent_categories, "
           f"array_to_string({_hits_sql(TM.ENTITY_LOCATIONS)}, ',') AS ent_locations, "
           "array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches({_LOW}, {S.q(p)}) THEN {S.q(p)} END" for p in TM.DATE_PATTERNS)
-          + "], lambda x: x IS NOT NULL), ',') AS ent_dates FROM conversations")
+          + "], lambda x: x IS NOT NULL), ',') AS ent_dates FROM conversations"))
 def q_text_entities(spark, sf):
     return finish(TM.entities(_texts(spark, sf)))
 
@@ -45,9 +94,9 @@ def q_text_entities(spark, sf):
 _EMO = [n for n, _, _ in TM.EMOTIONS]
 
 
-@register("text_emotions", rounded("SELECT conv_id, turn, " + ", ".join(
+@register("text_emotions", rounded(_sql("SELECT conv_id, turn, " + ", ".join(
     f"CASE WHEN {_any_sql(kws)} THEN {w!r} ELSE 0.0 END AS emo_{n}" for n, w, kws in TM.EMOTIONS)
-    + f", CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations",
+    + f", CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations"),
     [f"emo_{n}" for n in _EMO] + ["emo_neutral"]))
 def q_text_emotions(spark, sf):
     return finish(TM.emotions(_texts(spark, sf)).select(*KEYS, *[f"emo_{n}" for n in _EMO], "emo_neutral"))
@@ -59,7 +108,7 @@ _SENT = (f"CASE WHEN len({_WORDS}) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, "
          f"CAST(({_POS}) - ({_NEG}) AS DOUBLE) / greatest(len({_WORDS}), 1) * 10)) END")
 
 
-@register("text_sentiment", rounded(f"SELECT conv_id, turn, {_SENT} AS sentiment_score, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM conversations",
+@register("text_sentiment", rounded(_sql(f"SELECT conv_id, turn, {_SENT} AS sentiment_score, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM conversations"),
                                     ["sentiment_score"]))
 def q_text_sentiment(spark, sf):
     t = _texts(spark, sf)
@@ -70,13 +119,13 @@ def q_text_sentiment(spark, sf):
 _INS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any_sql(kws)} THEN {S.q(n)} END" for n, kws in TM.INSIGHTS) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@register("text_insights", f"SELECT conv_id, turn, {_INS} AS insights FROM conversations")
+@register("text_insights", _sql(f"SELECT conv_id, turn, {_INS} AS insights FROM conversations"))
 def q_text_insights(spark, sf):
     return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.insights(F.col("text")), ",").alias("insights")))
 
 
-@register("text_keywords", "SELECT conv_id, turn, array_to_string(list_sort(list_distinct("
-          + _hits_sql([k for _, kws in TM.FINANCIAL_KEYWORDS for k in kws]) + ")), ',') AS keywords FROM conversations")
+@register("text_keywords", _sql("SELECT conv_id, turn, array_to_string(list_sort(list_distinct("
+          + _hits_sql([k for _, kws in TM.FINANCIAL_KEYWORDS for k in kws]) + ")), ',') AS keywords FROM conversations"))
 def q_text_keywords(spark, sf):
     return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.keywords(F.col("text")), ",").alias("keywords")))
 
@@ -84,7 +133,7 @@ def q_text_keywords(spark, sf):
 _LANG = f"CASE WHEN {_any_sql(TM.HINDI_INDICATORS)} THEN 'hi' ELSE 'en' END"
 
 
-@register("text_language", f"SELECT conv_id, turn, {_LANG} AS language FROM conversations")
+@register("text_language", _sql(f"SELECT conv_id, turn, {_LANG} AS language FROM conversations"))
 def q_text_language(spark, sf):
     return finish(_texts(spark, sf).select(*KEYS, TM.language(F.col("text")).alias("language")))
 
@@ -96,7 +145,7 @@ ANALYSIS_SQL = f"""SELECT conv_id, turn, CAST(len({_WORDS}) AS BIGINT) AS n_word
   array_to_string({_TOKKW}, ',') AS financial_keywords FROM conversations"""
 
 
-@register("text_analysis", rounded(ANALYSIS_SQL, ["duration_seconds", "confidence", "sentiment_score"]))
+@register("text_analysis", rounded(_sql(ANALYSIS_SQL), ["duration_seconds", "confidence", "sentiment_score"]))
 def q_text_analysis(spark, sf):
     return finish(TM.analysis(_texts(spark, sf), KEYS))
 
@@ -109,28 +158,28 @@ _MENTIONS = " UNION ALL ".join(
     for i, (p, a, m) in enumerate(TM.SPENDING_PATTERNS))
 
 
-@register("spending_mentions", rounded(f"""SELECT conv_id, turn,
+@register("spending_mentions", rounded(_sql(f"""SELECT conv_id, turn,
   CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY pattern_no, mi) - 1 AS INTEGER) AS match_no,
-  pattern_no, action_type, amount, text_segment, 0.9 AS confidence FROM ({_MENTIONS})""", ["amount", "confidence"]))
+  pattern_no, action_type, amount, text_segment, 0.9 AS confidence FROM ({_MENTIONS})"""), ["amount", "confidence"]))
 def q_spending_mentions(spark, sf):
     return finish(TM.spending_mentions(_texts(spark, sf), KEYS))
 
 
-_ROLL = [f"avg_emo_{n}" for n in _EMO + ["neutral"]] + ["avg_sentiment", "min_sentiment", "max_sentiment",
+_ROLL = [f"{f}_emo_{n}" for f in ("avg", "max") for n in _EMO + ["neutral"]] + ["avg_sentiment", "min_sentiment", "max_sentiment",
                                                         "positive_ratio", "avg_duration", "avg_confidence"]
 
 
-@register("voice_rollup", rounded(f"""WITH a AS ({ANALYSIS_SQL}),
+@register("voice_rollup", rounded(_sql(f"""WITH a AS ({ANALYSIS_SQL}),
 e AS (SELECT conv_id, turn, {', '.join(f"CASE WHEN {_any_sql(kws)} THEN {w!r} ELSE 0.0 END AS emo_{n}" for n, w, kws in TM.EMOTIONS)},
    CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations),
 lang AS (SELECT conv_id, language FROM (SELECT conv_id, language, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, language) AS r
    FROM a GROUP BY conv_id, language) WHERE r = 1)
-SELECT conv_id, count(*) AS n_memos, {', '.join(f'avg(emo_{n}) AS avg_emo_{n}' for n in _EMO + ['neutral'])},
+SELECT conv_id, count(*) AS n_memos, {', '.join(f'{f}(emo_{n}) AS {f}_emo_{n}' for f in ('avg', 'max') for n in _EMO + ['neutral'])},
   {', '.join(f'count(*) FILTER (WHERE emo_{n} > 0.3) AS n_emo_{n}' for n in _EMO)},
   avg(sentiment_score) AS avg_sentiment, min(sentiment_score) AS min_sentiment, max(sentiment_score) AS max_sentiment,
   avg(CAST(sentiment_score > 0.1 AS DOUBLE)) AS positive_ratio, avg(duration_seconds) AS avg_duration,
   avg(confidence) AS avg_confidence, min(turn) AS first_turn, max(turn) AS last_turn, any_value(lang.language) AS modal_language
-FROM a JOIN e USING (conv_id, turn) JOIN lang USING (conv_id) GROUP BY conv_id""", _ROLL))
+FROM a JOIN e USING (conv_id, turn) JOIN lang USING (conv_id) GROUP BY conv_id"""), _ROLL))
 def q_voice_rollup(spark, sf):
     """Per conversation (a user's memo stream)."""
     t = _texts(spark, sf)
@@ -140,6 +189,7 @@ def q_voice_rollup(spark, sf):
     r = a.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_memos"),
         *[F.avg(f"emo_{n}").alias(f"avg_emo_{n}") for n in _EMO + ["neutral"]],
+        *[F.max(f"emo_{n}").alias(f"max_emo_{n}") for n in _EMO + ["neutral"]],
         *[F.count_if(F.col(f"emo_{n}") > 0.3).alias(f"n_emo_{n}") for n in _EMO],
         F.avg("sentiment_score").alias("avg_sentiment"), F.min("sentiment_score").alias("min_sentiment"),
         F.max("sentiment_score").alias("max_sentiment"),
@@ -149,10 +199,10 @@ def q_voice_rollup(spark, sf):
     return finish(r.join(lang, "conv_id"))
 
 
-@register("voice_top_terms", f"""WITH w AS (SELECT conv_id, unnest({_TOKKW}) AS term FROM conversations),
+@register("voice_top_terms", _sql(f"""WITH w AS (SELECT conv_id, unnest({_TOKKW}) AS term FROM conversations),
 c AS (SELECT conv_id, term, count(*) AS n FROM w GROUP BY ALL)
 SELECT conv_id, term, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, term) AS r FROM c)
-WHERE r <= 10""")
+WHERE r <= 10"""))
 def q_voice_top_terms(spark, sf):
     """The 10 most common financial keywords per conversation."""
     t = _texts(spark, sf)
@@ -160,3 +210,24 @@ def q_voice_top_terms(spark, sf):
     c = w.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n"))
     top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("term")], 10, "term")
     return finish(top.select("conv_id", "term", "n", F.col("rank").cast("int").alias("rank")))
+
+
+@register("text_insight_rows", rounded(_sql(" UNION ALL ".join(
+    f"SELECT conv_id, turn, {S.q(n)} AS insight_type, {TM.INSIGHT_TEXTS[n][0]!r} AS confidence, {S.q(TM.INSIGHT_TEXTS[n][1])} AS message, "
+    f"{S.q(TM.INSIGHT_TEXTS[n][2])} AS recommendation, {S.q(TM.INSIGHT_TEXTS[n][3])} AS category FROM conversations WHERE {_any_sql(kws)}"
+    for n, kws in TM.INSIGHTS)), ["confidence"]))
+def q_text_insight_rows(spark, sf):
+    """One full row per insight of a text."""
+    return finish(TM.insight_rows(_texts(spark, sf), KEYS))
+
+
+@register("voice_top_insights", _sql(f"""WITH w AS (SELECT conv_id, unnest(string_split({_INS}, ',')) AS insight FROM conversations),
+c AS (SELECT conv_id, insight, count(*) AS n FROM w WHERE insight <> '' GROUP BY ALL)
+SELECT conv_id, insight, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, insight) AS r FROM c)
+WHERE r <= 3"""))
+def q_voice_top_insights(spark, sf):
+    """The 3 most common insight types per conversation (ties by name)."""
+    w = _texts(spark, sf).select("conv_id", F.explode(TM.insights(F.col("text"))).alias("insight"))
+    c = w.groupBy("conv_id", "insight").agg(F.count(F.lit(1)).alias("n"))
+    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("insight")], 3, "insight")
+    return finish(top.select("conv_id", "insight", "n", F.col("rank").cast("int").alias("rank")))
