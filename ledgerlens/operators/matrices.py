@@ -29,9 +29,11 @@ PARITY_CATEGORICAL = ["vpa_handle_id", "merchant_id", "caps_state_int"]
 USER_FREQUENCY_SCORE = 0.5  # reference default; no source defines it
 
 
-def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame) -> DataFrame:
+def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame, fit_ids: DataFrame | None = None) -> DataFrame:
     """The 31 parity columns; encoders (vocabularies, amount scaler) are
-    fitted on ``t`` itself."""
+    fitted on the rows of ``fit_ids`` (transaction_id), by default on all of
+    ``t``; values that they do not know get the code of ``<UNK>``."""
+    fit = t if fit_ids is None else t.join(fit_ids, "transaction_id", "left_semi")
     d = R.user_rolling(t)
     d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="_fam")
     d = TG.priors(d, cdim, labels)
@@ -40,12 +42,12 @@ def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame) ->
     d = d.join(caps.select(F.col("user_id"), F.col("category").alias("_cat"), F.col("month").alias("_month"),
                            F.col("caps_state_int").alias("_caps")), ["user_id", "_cat", "_month"], "left")
     # vocabularies come straight from the input, not from the widened rows
-    vv = TG.vocabulary(t.select(X.vpa_handle("vpa").alias("vpa_handle")), "vpa_handle")
-    vm = TG.vocabulary(t.select(X.normalize_name("merchant_name").alias("merchant_token")), "merchant_token")
+    vv = TG.vocabulary(fit.select(X.vpa_handle("vpa").alias("vpa_handle")), "vpa_handle")
+    vm = TG.vocabulary(fit.select(X.normalize_name("merchant_name").alias("merchant_token")), "merchant_token")
     d = TG.encode(d, "vpa_handle", vv, "vpa_handle_id")
     d = TG.encode(d, "merchant_token", vm, "merchant_id")
     la = AM.log_amount("amount")
-    stats = t.agg(F.avg(la).alias("mu"), F.stddev_pop(la).alias("sd"))
+    stats = fit.agg(F.avg(la).alias("mu"), F.stddev_pop(la).alias("sd"))
     mu, sd = stats.select("mu").scalar(), stats.select("sd").scalar()
     h = F.coalesce(F.hour("timestamp"), F.lit(0))
     dow = F.coalesce(F.weekday("timestamp"), F.lit(0))

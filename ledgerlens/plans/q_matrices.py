@@ -74,10 +74,10 @@ FROM px JOIN ru USING (transaction_id) LEFT JOIN caps ON caps.user_id = px.user_
     [c for c in MX.PARITY_COLUMNS if c not in MX.PARITY_CATEGORICAL])
 
 
-def _parity(spark, sf):
+def _parity(spark, sf, fit_ids=None):
     t = txn(spark, sf)
     labels = TG.community_labels(TG.community_votes(t))
-    return MX.parity(t, TG.catalog_dim(catalog(spark, sf)), labels, cap_states(spark, sf))
+    return MX.parity(t, TG.catalog_dim(catalog(spark, sf)), labels, cap_states(spark, sf), fit_ids)
 
 
 @register("parity_features", PARITY_SQL)
