@@ -47,6 +47,41 @@ def feature_log(t: DataFrame, ttl_user: int = 86400, ttl_merchant: int = DEFAULT
     return user.unionByName(merch)
 
 
+def store(log: DataFrame, path: str) -> str:
+    """Append feature writes to the stored table, one folder per
+    (feature_set, version)."""
+    log.write.mode("append").partitionBy("feature_set", "version").parquet(path)
+    return path
+
+
+def stored(spark, path: str, feature_set: str | None = None, version: str | None = None) -> DataFrame:
+    """The stored table, or one set / version of it (its folders alone are
+    read)."""
+    d = spark.read.parquet(path)
+    for col, value in (("feature_set", feature_set), ("version", version)):
+        if value is not None:
+            d = d.where(F.col(col) == value)
+    return d
+
+
+def get(spark, path: str, feature_set: str, version: str, entity_id: str, as_of: str) -> DataFrame:
+    """the live features of one entity (no row if there are none)."""
+    one = stored(spark, path, feature_set, version).where(F.col("entity_id") == entity_id)
+    return live(latest(one), as_of)
+
+
+def access_counts(accesses: DataFrame) -> DataFrame:
+    """Counters per set from the access log (feature_set, kind, hit):
+    stores, gets, batch gets, invalidations, and the hit rate of the single
+    gets (null when there are none)."""
+    def n(kind, hit=None):
+        c = F.col("kind") == kind
+        return F.count_if(c if hit is None else c & F.col("hit"))
+    return accesses.groupBy("feature_set").agg(
+        n("store").alias("stores"), n("get").alias("gets"), n("batch_get").alias("batch_gets"), n("invalidate").alias("invalidations"),
+        F.when(n("get") > 0, n("get", True) / n("get")).alias("hit_rate"))
+
+
 def latest(log: DataFrame) -> DataFrame:
     """Newest write per key (ties broken by transaction_id)."""
     g = log.groupBy(*KEY).agg(F.max_by(F.struct("features", "stored_at", "ttl_seconds"),

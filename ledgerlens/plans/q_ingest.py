@@ -18,23 +18,39 @@ _TXT = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
 RECENT_FROM = "2024-01-24"
 
 
+# records as clients send them: some without a timestamp; and, for the
+# validation, some with an unreadable amount or timestamp or without merchant
+NO_TS, BAD_AMOUNT, BAD_TS, NO_MERCHANT = 90, 50, 70, 30
+_ID = "CAST(transaction_id AS BIGINT)"
+
+
 def _records(spark, sf):
-    return IN.ingest_json(IN.json_batches(txn(spark, sf)), AS_OF)
+    t = txn(spark, sf)
+    gone = F.col("transaction_id").cast("bigint") % NO_TS == 0
+    return IN.ingest_json(IN.json_batches(t.withColumn("timestamp", F.when(~gone, F.col("timestamp")))), AS_OF)
+
+
+def _faulty(spark, sf):
+    n = F.col("transaction_id").cast("bigint")
+    return (_records(spark, sf).withColumn("amount", F.when(n % BAD_AMOUNT == 0, "n/a").otherwise(F.col("amount")))
+            .withColumn("timestamp", F.when(n % BAD_TS == 0, "yesterday").otherwise(F.col("timestamp")))
+            .withColumn("merchant_name", F.when(n % NO_MERCHANT != 0, F.col("merchant_name"))))
 
 
 @register("json_batch_ingest", rounded(with_(TXN) + f"""
 SELECT CAST(floor(CAST(transaction_id AS BIGINT) / 100) AS BIGINT) AS batch_id, transaction_id, user_id, merchant_name,
-  CAST(amount AS VARCHAR) AS amount, strftime({_TS}, '%Y-%m-%dT%H:%M:%S.%f') AS "timestamp" FROM txn""", []))
+  CAST(amount AS VARCHAR) AS amount, CASE WHEN {_ID} % {NO_TS} = 0 THEN '{AS_OF}' ELSE strftime({_TS}, '%Y-%m-%dT%H:%M:%S.%f') END AS "timestamp" FROM txn""", []))
 def q_json_batch_ingest(spark, sf):
     return finish(_records(spark, sf).select("batch_id", "transaction_id", "user_id", "merchant_name", "amount",
                                              "timestamp"))
 
 
 @register("validate_transactions", rounded(with_(TXN) + f"""
-SELECT transaction_id, user_id, merchant_name, amount, {_TXT.format(x=_TS)} AS ts FROM txn
-WHERE amount IS NOT NULL AND {_TS} IS NOT NULL""", ["amount"]))
+SELECT transaction_id, user_id, CASE WHEN {_ID} % {NO_MERCHANT} = 0 THEN 'Unknown' ELSE coalesce(merchant_name, 'Unknown') END AS merchant_name,
+  amount, CASE WHEN {_ID} % {NO_TS} = 0 THEN '{AS_OF.replace('T', ' ')}.000000' ELSE {_TXT.format(x=_TS)} END AS ts FROM txn
+WHERE amount IS NOT NULL AND {_TS} IS NOT NULL AND {_ID} % {BAD_AMOUNT} <> 0 AND {_ID} % {BAD_TS} <> 0""", ["amount"]))
 def q_validate_transactions(spark, sf):
-    v = IN.validate(_records(spark, sf))
+    v = IN.validate(_faulty(spark, sf))
     return finish(v.select("transaction_id", "user_id", coalesce_unknown(), "amount", T.ts_text("timestamp").alias("ts")))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators import featurestore as FS
+from ..operators.ingest import scratch_path
 from ..sources.adapters import txn
 from ..sources.tables import table
 from .common import finish, rounded
@@ -12,6 +13,7 @@ from .oracle_base import TXN, with_
 from .registry import register
 
 AS_OF = "2024-01-31T00:00:00"
+LARGE = 100  # amount of a failed payment that invalidates the user's features
 _AS = f"TIMESTAMP '{AS_OF.replace('T', ' ')}'"
 _TXT = "strftime({x}, '%Y-%m-%d %H:%M:%S.%f')"
 
@@ -27,7 +29,8 @@ _EXP = "(stored_at + to_seconds(ttl_seconds))"
 
 
 def _log(spark, sf):
-    return FS.feature_log(txn(spark, sf))
+    """The stored table: written as a scoring job would, then read back."""
+    return FS.stored(spark, FS.store(FS.feature_log(txn(spark, sf)), scratch_path(spark, "feature_store")))
 
 
 def _flat(df):
@@ -101,14 +104,14 @@ def q_fs_stats(spark, sf):
 
 
 @register("fs_invalidate", with_(TXN, LOG, LATEST, """tomb AS (SELECT DISTINCT 'user_txn' AS feature_set, 'v1' AS version, user_id AS entity_id
-  FROM txn WHERE category = 'error' AND amount > 400)""") + """
+  FROM txn WHERE category = 'error' AND amount > {LARGE})""".format(LARGE=LARGE)) + """
 SELECT feature_set, version, entity_id FROM lat
 WHERE (feature_set, version, entity_id) NOT IN (SELECT (feature_set, version, entity_id) FROM tomb)""")
 def q_fs_invalidate(spark, sf):
     """Keys left after removing a tombstone set (users with a large
     failed payment)."""
     t = txn(spark, sf)
-    tomb = t.where((F.col("category") == "error") & (F.col("amount") > 400)).select(
+    tomb = t.where((F.col("category") == "error") & (F.col("amount") > LARGE)).select(
         F.lit("user_txn").alias("feature_set"), F.lit("v1").alias("version"), F.col("user_id").alias("entity_id"))
     return finish(FS.latest(_log(spark, sf)).join(tomb, FS.KEY, "left_anti").select(*FS.KEY))
 
@@ -141,3 +144,29 @@ def q_fs_asof_join(spark, sf):
     return finish(j.select("transaction_id", "user_id", F.col("features")["amount"].alias("f_amount"),
                            F.col("features")["hour"].alias("f_hour"),
                            T.ts_text("feature_stored_at").alias("feature_stored_at")))
+
+
+ACCESS = """acc AS (SELECT feature_set, 'store' AS kind, FALSE AS hit FROM log
+  UNION ALL SELECT r.feature_set, 'get', l.entity_id IS NOT NULL FROM req r LEFT JOIN (SELECT * FROM lat WHERE {live}) l USING (feature_set, version, entity_id)
+  UNION ALL SELECT 'merchant_txn', 'batch_get', FALSE FROM supplier
+  UNION ALL SELECT 'user_txn', 'invalidate', FALSE FROM txn WHERE category = 'error' AND amount > {large})"""
+
+
+@register("fs_access_counts", rounded(with_(TXN, LOG, LATEST, REQ, ACCESS.format(live=f"{_EXP} > {_AS}", large=LARGE)) + """
+SELECT feature_set, count(*) FILTER (kind = 'store') AS stores, count(*) FILTER (kind = 'get') AS gets,
+  count(*) FILTER (kind = 'batch_get') AS batch_gets, count(*) FILTER (kind = 'invalidate') AS invalidations,
+  CASE WHEN count(*) FILTER (kind = 'get') > 0 THEN count(*) FILTER (kind = 'get' AND hit) / count(*) FILTER (kind = 'get') END AS hit_rate
+FROM acc GROUP BY feature_set""", ["hit_rate"]))
+def q_fs_access_counts(spark, sf):
+    """A store per write, a get per customer, a batch get per supplier,
+    an invalidation per large failed payment."""
+    log, t = _log(spark, sf), txn(spark, sf)
+    lv = FS.live(FS.latest(log), AS_OF).select(*FS.KEY, F.lit(True).alias("hit"))
+    gets = _requests(spark, sf).join(lv, FS.KEY, "left").select("feature_set", F.lit("get").alias("kind"), F.coalesce("hit", F.lit(False)).alias("hit"))
+
+    def other(rows, name, kind):
+        return rows.select(F.lit(name).alias("feature_set") if name else F.col("feature_set"), F.lit(kind).alias("kind"), F.lit(False).alias("hit"))
+
+    acc = (other(log, None, "store").unionByName(gets).unionByName(other(table(spark, sf, "supplier"), "merchant_txn", "batch_get"))
+           .unionByName(other(t.where((F.col("category") == "error") & (F.col("amount") > LARGE)), "user_txn", "invalidate")))
+    return finish(FS.access_counts(acc))
