@@ -18,7 +18,9 @@ HEADLINE = [
     "fuzzy_catalog_match", "parity_features", "analytic_features", "advanced_features", "user_stats",
     "merchant_stats", "txn_velocity", "spending_summary", "psych_profile", "nudge_ranking",
     "text_analysis", "spending_mentions", "rolling_user_features", "fs_store_latest", "fs_asof_join",
-    "ensemble_blend", "amount_percentile", "stream_velocity",
+    "ensemble_blend", "amount_percentile", "stream_velocity", "stream_tagging", "stream_last_txn_features",
+    "dataset_summary", "merchant_competition", "nudge_analytics", "rolling_merchant_features", "amount_outliers",
+    "train_tagger", "score_transactions",
 ]
 
 
