@@ -1,6 +1,6 @@
 """DuckDB text of the adapters in ``sources.adapters`` (kept in step by hand)."""
 from ..sources.adapters import (CATALOG_CATEGORIES, CATALOG_FIXTURE, MERCHANT_NAMES,
-                                VPA_HANDLES)
+                                ORDER_REMARKS, VPA_HANDLES, VPA_TRADES)
 
 
 def _list(values):
@@ -28,22 +28,22 @@ TXN = f"""txn AS (
          CAST(NULL AS VARCHAR) AS payee_name
   FROM events)"""
 
-PAY = """pay AS (
+PAY = f"""pay AS (
   SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS transaction_id,
          CAST(o_custkey AS VARCHAR) AS user_id,
          s_name AS merchant_name,
          l_extendedprice AS amount,
          l_shipdate AS "timestamp",
          p_type AS category,
-         s_name || '@' || p_brand AS vpa,
+         s_name || '.' || {_list(VPA_TRADES)}[CAST(l_suppkey % {len(VPA_TRADES)} AS INTEGER) + 1] || '@' || p_brand AS vpa,
          'orders' AS source,
          CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'success' END AS status,
          (l_returnflag = 'A' AND l_linestatus = 'O') AS disputed,
          l_returnflag = 'R' AS refunded,
          CAST(NULL AS DOUBLE) AS rating,
          CASE WHEN l_returnflag = 'R' THEN 'refund' ELSE 'purchase' END AS type,
-         p_name AS memo,
-         'send' AS direction,
+         p_name || ' ' || {_list(ORDER_REMARKS)}[CAST(l_orderkey % {len(ORDER_REMARKS)} AS INTEGER) + 1] AS memo,
+         CASE WHEN l_returnflag = 'R' THEN 'receive' ELSE 'send' END AS direction,
          CAST(NULL AS VARCHAR) AS caps_state,
          CAST(NULL AS VARCHAR) AS payee_name
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey

@@ -27,6 +27,11 @@ MERCHANT_NAMES = [
     "Airtel Recharge", "Tata Power Electricity", "Big Bazaar Mart", "Tea Points",
     "Zerodha Stock", "City Hospital", "Random New Service",
 ]
+# Remarks added to the memo of an order by l_orderkey % 16, and the line of
+# business in a supplier's VPA by l_suppkey % 9.
+ORDER_REMARKS = ["", "loan", "lend money", "borrow", "repay", "return", "birthday gift", "tip", "tipping point", "food dinner",
+                 "uber cab fuel", "shopping amazon clothes", "electricity bill recharge", "movie ticket", "rent salary", "loans"]
+VPA_TRADES = ["traders", "food", "grocery", "mart", "taxi", "movie", "mobile", "clinic", "school"]
 # VPA handles assigned to events by k % 5.
 VPA_HANDLES = ["paytm", "ybl", "okhdfcbank", "oksbi", "upi"]
 # Catalog category per supplier nation, by s_nationkey % 13 (the 13 catalog categories).
@@ -108,15 +113,17 @@ def pay(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_extendedprice").alias("amount"),
         F.col("l_shipdate").alias("timestamp"),
         F.col("p_type").alias("category"),
-        F.concat(F.col("s_name"), F.lit("@"), F.col("p_brand")).alias("vpa"),
+        F.concat(F.col("s_name"), F.lit("."), F.element_at(_lit_array(VPA_TRADES), F.pmod(F.col("l_suppkey"), F.lit(len(VPA_TRADES))).cast("int") + 1),
+                 F.lit("@"), F.col("p_brand")).alias("vpa"),
         F.lit("orders").alias("source"),
         F.when(F.col("o_orderstatus") == "P", "failed").otherwise("success").alias("status"),
         ((F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O")).alias("disputed"),
         (F.col("l_returnflag") == "R").alias("refunded"),
         F.lit(None).cast("double").alias("rating"),
         F.when(F.col("l_returnflag") == "R", "refund").otherwise("purchase").alias("type"),
-        F.col("p_name").alias("memo"),
-        F.lit("send").alias("direction"),
+        F.concat(F.col("p_name"), F.lit(" "), F.element_at(
+            _lit_array(ORDER_REMARKS), F.pmod(F.col("l_orderkey"), F.lit(len(ORDER_REMARKS))).cast("int") + 1)).alias("memo"),
+        F.when(F.col("l_returnflag") == "R", "receive").otherwise("send").alias("direction"),
         F.lit(None).cast("string").alias("caps_state"),
         F.lit(None).cast("string").alias("payee_name"),
     )
