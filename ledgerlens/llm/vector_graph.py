@@ -39,6 +39,7 @@ MAX_SHARD = 512
 SAMPLE = 2048
 CENTRES = 64              # most parts of one split
 MEDOIDS = 16
+PROGRESS = 0.6            # largest part of a cell that a split may leave
 CROWD = 0.5               # share of a cell near its mean that makes it a crowd
 DEGREE = 24
 CANDIDATES = 48
@@ -145,7 +146,7 @@ def range_search(x: np.ndarray, graph: list[np.ndarray], starts: np.ndarray, que
 
 # -- shards -------------------------------------------------------------------
 
-def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int, threshold: float) -> DataFrame:
+def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int, threshold: float, overlap: int) -> DataFrame:
     """(cell, centres) of the cells to split; no centres for a crowd."""
     def run(batches):
         for table in by_group(batches, "cell", GROUP_ROWS):
@@ -154,12 +155,18 @@ def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int, threshold: f
                 mean = x.mean(0)
                 near = (x @ mean >= threshold * np.sqrt(mean @ mean)).mean()
                 k = int(min(CENTRES, math.ceil(4 * n / max_shard), len(x)))
-                flat = [] if near > CROWD or k < 2 else centres(x, k).ravel().tolist()
+                c = centres(x, k) if near <= CROWD and k > 1 else np.zeros((0, 0))
+                if len(c):
+                    # a split that leaves a part about as large is no split
+                    top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
+                    if np.bincount(top.ravel(), minlength=k).max() > PROGRESS * len(x):
+                        c = c[:0]
+                flat = c.ravel().tolist()
                 yield pa.RecordBatch.from_arrays(
                     [part.column("cell").combine_chunks().slice(0, 1), pa.array([flat], pa.list_(pa.float64()))], ["cell", "centres"])
     rows = (cells.join(big, "cell")
             .filter(F.pmod(F.xxhash64("rid"), F.lit(1 << 30)) <= F.lit(float(1 << 30)) * SAMPLE / F.col("n"))
-            .select("cell", "n", "vec").repartition("cell").sortWithinPartitions("cell"))
+            .select("cell", "n", "rid", "vec").repartition("cell").sortWithinPartitions("cell", "rid"))
     return rows.mapInArrow(run, "cell bigint, centres array<double>")
 
 
@@ -196,7 +203,7 @@ def shards(nodes: DataFrame, max_shard: int, overlap: int, threshold: float) ->
         big = staged(counts.filter(F.col("n") > max_shard), "big")
         if not big.count():
             break
-        table = staged(_centre_table(cells, big, max_shard, threshold), "centres")
+        table = staged(_centre_table(cells, big, max_shard, threshold, overlap), "centres")
         cells = staged(_assign(cells, table, overlap), "cells")
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max_shard)
     nb = F.coalesce(F.ceil(F.col("n") * 2 / max_shard).cast("int"), F.lit(1))
