@@ -46,3 +46,16 @@ def test_url_hosts_and_empty_table(spark, no_docs):
     out = line_dedup.drop_boilerplate(df, F.parse_url(F.col("url"), F.lit("HOST")), 0.5, 20)
     assert {r["text"] for r in out.collect()} == {f"body {i}" for i in range(60)}
     assert line_dedup.drop_boilerplate(no_docs, F.col("source")).collect() == []
+
+
+def test_query_where_lines_drop(spark):
+    """op7 against its SQL on a table with sources large enough to lose lines."""
+    import duckdb
+    from ledgerlens.llm import queries
+    folder = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet')")
+    rel = con.sql(queries.ORACLES["op7_line_dedup"])
+    want, cols = sorted(rel.fetchall()), rel.columns
+    got = sorted(tuple(r[c] for c in cols) for r in queries.QUERIES["op7_line_dedup"](spark, folder).collect())
+    assert got == want and sum(r[cols.index("n_dropped")] for r in want) > 100
