@@ -48,6 +48,19 @@ def test_url_hosts_and_empty_table(spark, no_docs):
     assert line_dedup.drop_boilerplate(no_docs, F.col("source")).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_lines", [1000, -1])
+def test_copies_count_once_and_no_page_loses_all(spark, broadcast_lines):
+    copy = "first of the copies\n\nsecond"
+    rows = [(i, f"Home\nbody {i}", "en", "a", 1) for i in range(40)]
+    rows += [(100 + i, copy, "en", "a", 1) for i in range(20)]
+    rows += [(200 + i, " " * i + "Home\n", "en", "a", 1) for i in range(3)] + [(300, None, "en", "a", 1), (301, "", "en", "a", 1)]
+    out = line_dedup.drop_boilerplate(make_docs(spark, rows), F.col("source"), 0.1, 20, broadcast_lines=broadcast_lines,
+                                      by_text=True, keep_whole=True)
+    got = {r["doc_id"]: (r["text"], r["n_dropped"]) for r in out.collect()}
+    assert all(got[i] == (f"body {i}", 1) for i in range(40))
+    assert all(got[i][0] == t and got[i][1] == 0 for i, t, *_ in rows if i >= 100)
+
+
 def test_query_where_lines_drop(spark):
     """op7 against its SQL on a table with sources large enough to lose lines."""
     import duckdb

@@ -67,3 +67,15 @@ def test_awkward_rows_and_empty_tables(spark, awkward, awkward_docs, no_docs, fo
     else:
         assert len(out) == len(awkward)
     assert stage(spark, no_docs, folder).collect() == []
+
+
+def test_one_document_of_a_copy_group_survives(spark, folder):
+    """A third of a source is one text: it is no boilerplate, and one copy stays whole."""
+    from llm.conftest import make_docs
+    copy = "\n".join(f"line {k} of the copied page, about the {w}" for k, w in enumerate("harbour bridge garden market".split()))
+    rows = [(i, f"Menu\npage {i} " + " ".join(f"w{i}x{k}" for k in range(12)), "en", "s", 1) for i in range(60)]
+    rows += [(1000 + i, copy, "en", "s", 1) for i in range(30)]
+    docs = P.drop_lines(spark, make_docs(spark, rows), folder)
+    texts = {r["doc_id"]: r["text"] for r in P.near_duplicates(spark, docs, folder).collect()}
+    assert set(texts) == {*range(60), 1000} and texts[1000] == copy
+    assert not any("Menu" in t for t in texts.values())
