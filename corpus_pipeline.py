@@ -22,10 +22,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go; the labels stay."""
+    """Documents without a recognisable language go; the labels stay. With no
+    label to learn from, those with a letter stay."""
     ship_code(spark)
     docs = docs.select(*COLUMNS)
     model = langid.train(docs.filter(~langid.held_out()))
+    if model is None:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     kept = langid.predict(docs, model).filter(F.col("lang_pred") != langid.UND)
     return kept.select(*COLUMNS)
 

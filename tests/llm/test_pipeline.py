@@ -79,3 +79,10 @@ def test_one_document_of_a_copy_group_survives(spark, folder):
     texts = {r["doc_id"]: r["text"] for r in P.near_duplicates(spark, docs, folder).collect()}
     assert set(texts) == {*range(60), 1000} and texts[1000] == copy
     assert not any("Menu" in t for t in texts.values())
+
+
+def test_a_table_without_labels_keeps_its_documents(spark, awkward, folder):
+    from llm.conftest import make_docs
+    rows = [(i, t, None, s, n) for i, t, _, s, n in awkward]
+    got = [r["text"] for r in P.language_id(spark, make_docs(spark, rows), folder).collect()]
+    assert sorted(got) == sorted(t for _, t, *_ in awkward if any(c.isalpha() for c in t or ""))
