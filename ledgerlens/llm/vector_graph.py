@@ -4,9 +4,11 @@
 2. Nodes are cut into overlapping cluster shards: a shard over ``max_shard``
    nodes is split by centres fitted on a bounded sample of it (``SAMPLE``
    rows), each node joining its ``overlap`` nearest centres, until all fit.
-   A shard that is one dense crowd around its mean (centres would part its
-   pairs) is cut into blocks and every pair of blocks becomes a shard, so no
-   pair is lost.
+   Centres within ``threshold`` of each other are one, so a dense group is not
+   parted by centres of its own. A shard that is one dense crowd around its
+   mean (centres would part its pairs), or that the centres left don't split,
+   is cut into blocks and every pair of blocks becomes a shard, so no pair is
+   lost.
 3. Each shard's graph is built by robust pruning; the adjacency lists of a
    node from all its shards are united.
 4. Every node is a query in each of its shards: greedy search from the
@@ -14,8 +16,12 @@
    threshold less ``SLACK``. Hits are verified by cosine in double precision. A pair counts
    in the first shard that both nodes share, so links are counted and
    contracted where they are found and no pair is emitted.
-5. Recall is audited by brute force for a bounded set of queries (the rows
-   whose id is divisible by 100, at most ``AUDIT`` by hash); below
+5. Recall is audited by brute force over the classes of all rows whose id is
+   divisible by 100, in blocks of ``AUDIT_BLOCK``: the mean over the audited
+   classes of the found share of their true links to other classes. Without a
+   true link among them, a hash sample of at most about ``AUDIT_BLOCK`` classes
+   is audited; without one there either, the recall is null (1 if these were
+   all classes). Below
    ``target_recall`` the overlap is doubled.
 
 Edge cases: null labels, null or empty vectors, vectors with null or
@@ -46,7 +52,7 @@ CANDIDATES = 48
 ALPHA = 1.2
 BEAM = 32
 SLACK = 0.03             # the range grows through nodes this far below the threshold
-AUDIT = 256
+AUDIT_BLOCK = 4096       # audited classes a scan
 GROUP_ROWS = 4096
 
 
@@ -78,6 +84,16 @@ def centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
+def apart(c: np.ndarray, threshold: float) -> np.ndarray:
+    """The centres without those within ``threshold`` of an earlier one."""
+    unit = c / np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-12)
+    keep: list[int] = []
+    for i in range(len(c)):
+        if not keep or (unit[keep] @ unit[i]).max() < threshold:
+            keep.append(i)
+    return c[keep]
+
+
 def robust_prune(x: np.ndarray, degree: int = DEGREE, candidates: int = CANDIDATES, alpha: float = ALPHA) -> list[np.ndarray]:
     """Neighbours of each vector: from its nearest ones, the closest is kept
     and those ``alpha`` times closer to it than to the vector are dropped, and
@@ -156,10 +172,11 @@ def _centre_table(cells: DataFrame, big: DataFrame, max_shard: int, threshold: f
                 near = (x @ mean >= threshold * np.sqrt(mean @ mean)).mean()
                 k = int(min(CENTRES, math.ceil(4 * n / max_shard), len(x)))
                 c = centres(x, k) if near <= CROWD and k > 1 else np.zeros((0, 0))
+                c = apart(c, threshold)
                 if len(c):
                     # a split that leaves a part about as large is no split
                     top = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap]
-                    if np.bincount(top.ravel(), minlength=k).max() > PROGRESS * len(x):
+                    if np.bincount(top.ravel(), minlength=len(c)).max() > PROGRESS * len(x):
                         c = c[:0]
                 flat = c.ravel().tolist()
                 yield pa.RecordBatch.from_arrays(
@@ -240,7 +257,8 @@ def _cells(table: pa.Table):
 
 
 def _search(members: DataFrame, threshold: float) -> DataFrame:
-    """(rid, links, root) of each node in each of its shards."""
+    """(rid, links, others, root) of each node in each of its shards: linked
+    rows and linked nodes."""
     def run(batches):
         for table in by_group(batches, "cell", GROUP_ROWS):
             for part in _cells(table):
@@ -272,39 +290,63 @@ def _search(members: DataFrame, threshold: float) -> DataFrame:
                 some = np.array([i for i in range(m) if link[i]], np.int64)
                 if len(some):
                     links = np.array([int(size[list(link[i])].sum()) for i in some])
-                    yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(links), pa.array(rid[label[some]])],
-                                                     ["rid", "links", "root"])
+                    others = pa.array([len(link[i]) for i in some], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(links), others, pa.array(rid[label[some]])],
+                                                     ["rid", "links", "others", "root"])
     rows = members.select("cell", "rid", "size", "vec", "near", "cells").repartition("cell").sortWithinPartitions("cell", "rid")
-    return rows.mapInArrow(run, "rid bigint, links bigint, root bigint")
-
-
-def audit(vectors: DataFrame, links: DataFrame, threshold: float) -> float:
-    """Found share of the true links of the audited rows; ``vectors`` (id,
-    rid, label, vec) are all rows that may link."""
-    sample = (vectors.filter(F.col("id") % 100 == 0).orderBy(F.xxhash64("rid"), "rid").limit(AUDIT)
-              .join(links, "rid").select("rid", "label", "vec", "links").collect())
+    return rows.mapInArrow(run, "rid bigint, links bigint, others bigint, root bigint")
+
+
+def audit(vectors: DataFrame, classes: DataFrame, threshold: float) -> float | None:
+    """Mean found share of the true links of the audited classes; ``vectors``
+    (id, label, vec) are all rows that may link, ``classes`` (label, vec,
+    first, others) the classes with their found links to other classes."""
+    marked = vectors.filter(F.col("id") % 100 == 0).select("label", "vec").distinct()
+    recall = _recall(staged(classes.join(marked, ["label", "vec"], "left_semi"), "audited"), classes, threshold)
+    if recall is None:
+        n = classes.count()
+        share = F.pmod(F.xxhash64("first"), F.lit(1 << 30)) <= F.lit(float(1 << 30)) * AUDIT_BLOCK / max(n, 1)
+        recall = _recall(staged(classes.filter(share), "audited"), classes, threshold)
+        if recall is None and n <= AUDIT_BLOCK:
+            return 1.0  # all classes were audited: there is no link to lose
+    return recall
+
+
+def _recall(audited: DataFrame, classes: DataFrame, threshold: float) -> float | None:
+    blocks, total, n = math.ceil(audited.count() / AUDIT_BLOCK), 0.0, 0
+    for block in range(blocks):
+        sample = audited.filter(F.pmod(F.xxhash64("first"), F.lit(blocks)) == block).collect()
+        true = _true_links(sample, classes, threshold)
+        shares = [min(1.0, r["others"] / t) for r, t in zip(sample, true) if t > 0]
+        total, n = total + sum(shares), n + len(shares)
+    return total / n if n else None
+
+
+def _true_links(sample: list, classes: DataFrame, threshold: float) -> list[int]:
     by_kind: dict[tuple, list] = {}
-    for r in sample:
-        by_kind.setdefault((r["label"], len(r["vec"])), []).append(np.array(r["vec"], float) / np.linalg.norm(np.array(r["vec"], float)))
-    queries = {k: np.array(v) for k, v in by_kind.items()}
+    for i, r in enumerate(sample):
+        by_kind.setdefault((r["label"], len(r["vec"])), []).append((i, np.array(r["vec"], float) / np.linalg.norm(np.array(r["vec"], float))))
+    queries = {k: (np.array([i for i, _ in v]), np.array([x for _, x in v])) for k, v in by_kind.items()}
 
     def run(batches):
+        count = np.zeros(len(sample_range), np.int64)
         for batch in batches:
-            label = batch.column("label").to_pylist()
-            vecs = batch.column("vec").to_pylist()
             rows: dict[tuple, list] = {}
-            for la, v in zip(label, vecs):
+            for la, v in zip(batch.column("label").to_pylist(), batch.column("vec").to_pylist()):
                 rows.setdefault((la, len(v)), []).append(v)
-            n = 0
             for k, v in rows.items():
                 if k in queries:
+                    where, q = queries[k]
                     x = np.array(v, float)
                     x /= np.sqrt((x * x).sum(1, keepdims=True))
-                    n += int((queries[k] @ x.T >= threshold).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-    total = vectors.select("label", "vec").mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
-    true, found = total - len(sample), sum(r["links"] for r in sample)  # each query meets itself
-    return 1.0 if true <= 0 else min(1.0, found / true)
+                    for at in range(0, len(x), 1024):
+                        count[where] += (q @ x[at: at + 1024].T >= threshold).sum(1)
+        some = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["q", "n"])
+    sample_range = range(len(sample))
+    found = classes.select("label", "vec").mapInArrow(run, "q bigint, n bigint").groupBy("q").agg(F.sum("n").alias("n"))
+    true = dict.fromkeys(sample_range, 0) | {r["q"]: r["n"] for r in found.collect()}
+    return [true[i] - 1 for i in sample_range]  # each query meets itself
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
@@ -323,12 +365,13 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         near = (_edges(members).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
         graph = members.join(homes.join(near, "rid"), "rid")
         found = staged(_search(graph, threshold), "links")
-        links = found.groupBy("rid").agg(F.sum("links").alias("links"))
+        links = found.groupBy("rid").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
         own = staged(classes.join(links.withColumnRenamed("rid", "first"), "first", "left")
-                     .select("label", "vec", "first", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links")), "linked")
-        member = usable.join(own, ["label", "vec"])
-        recall = audit(usable, member.select("rid", "links"), threshold)
-        if recall >= target_recall or overlap >= CENTRES:
+                     .select("label", "vec", "first", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("links"),
+                             F.coalesce("others", F.lit(0)).alias("others")), "linked")
+        member = usable.join(own.drop("others"), ["label", "vec"])
+        recall = audit(usable, own, threshold)
+        if recall is None or recall >= target_recall or overlap >= CENTRES:
             break
         overlap *= 2
     linked = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
@@ -338,4 +381,4 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     component = F.coalesce("component", "first", "rid")
     return out.select(F.col("id").alias(id_col), "rid", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),
                       component.alias("component_rid"), (component == F.col("rid")).alias("kept"),
-                      F.lit(recall).alias("audit_recall"))
+                      F.lit(recall).cast("double").alias("audit_recall"))

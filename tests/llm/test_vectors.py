@@ -102,3 +102,34 @@ def test_query_on_embeddings(spark):
     out = sorted(queries.QUERIES["op4_vector_graph"](spark, SF).collect(), key=lambda r: r["vec_id"])
     assert [r["n_links"] for r in out] == n and [r["component_id"] for r in out] == [ids[c] for c in comp]
     assert all(r["audit_recall"] >= 0.9 for r in out)
+
+
+def test_several_dense_groups_in_one_cell(spark):
+    """Dense groups larger than a shard: centres part no true pair."""
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=(6, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(i, (base[i % 6] + 0.012 * rng.normal(size=32)).astype(np.float32).tolist(), 1) for i in range(600)]
+    ship_code(spark)
+    nodes = frame(spark, rows).selectExpr("vec_id AS rid", "7L AS cell", "embedding AS vec", "1L AS size")
+    homes = {}
+    for r in V.shards(nodes, 40, 2, 0.98).select("rid", "cell").collect():
+        homes.setdefault(r["rid"], set()).add(r["cell"])
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = np.argwhere(np.triu(x @ x.T >= 0.98, 1))
+    assert len(pairs) > 10_000 and all(homes[a] & homes[b] for a, b in pairs.tolist())
+
+
+def test_audit_weighs_classes_alike(spark, monkeypatch):
+    """Copies of one vector don't hide the lost link of another class."""
+    ship_code(spark)
+    rows = [(100 * i, [1.0, 0.0], 1) for i in range(50)] + [(10_000, [0.0, 1.0], 1), (10_001, [0.01, 1.0], 1)]
+    vectors = spark.createDataFrame(rows, "id bigint, vec array<float>, label int")
+    own = [(1, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 10_000, 0), (1, [0.01, 1.0], 10_001, 0)]
+    schema = "label int, vec array<float>, first bigint, others bigint"
+    assert V.audit(vectors, spark.createDataFrame(own, schema), 0.98) == 0.0
+    alone = spark.createDataFrame([(1, [1.0, 0.0], 0, 0), (1, [0.0, 1.0], 10_000, 0)], schema)
+    assert V.audit(vectors, alone, 0.98) == 1.0
+    monkeypatch.setattr(V, "AUDIT_BLOCK", 1)
+    assert V.audit(vectors, alone, 0.98) is None
