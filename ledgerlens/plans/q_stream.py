@@ -21,7 +21,8 @@ SELECT user_id || '_' || strftime({_TS}, '%Y-%m-%dT%H:%M:%S.%f') AS sample_id, u
   strftime({_TS}, '%Y-%m-%d %H:%M:%S.%f') AS ts, category AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_TS} ORDER BY transaction_id) AS r FROM txn) WHERE r = 1""", ["amount"]))
 def q_stream_training_samples(spark, sf):
-    d = J.read_sink(spark, J.run_batches(J.training_samples(J.stream_txn(spark, sf)), "samples"))
+    samples = J.training_samples(J.stream_txn(spark, sf), J.backlog_lateness(spark, sf))
+    d = J.read_sink(spark, J.whole(J.run_batches(samples, "samples")))
     return finish(d.select("sample_id", "user_id", "merchant_name", "amount", T.ts_text("timestamp").alias("ts"), "label"))
 
 
@@ -29,8 +30,8 @@ def q_stream_training_samples(spark, sf):
 SELECT CAST(i AS BIGINT) AS trigger_no, CAST(i * 100 AS BIGINT) AS threshold
 FROM range(1, (SELECT count(*) FROM txn) // 100 + 1) AS r(i)""")
 def q_stream_retrain_trigger(spark, sf):
-    samples = J.training_samples(J.stream_txn(spark, sf))
-    rows = J.read_sink(spark, J.retrain_triggers(samples, every=100))
+    samples = J.training_samples(J.stream_txn(spark, sf), J.backlog_lateness(spark, sf))
+    rows = J.read_sink(spark, J.whole(J.retrain_triggers(samples, every=100)))
     return finish(rows.where(F.col("trigger_no").isNotNull()).select("trigger_no", "threshold"))
 
 
@@ -52,7 +53,8 @@ SELECT user_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws +
 FROM (SELECT user_id, time_bucket(INTERVAL 6 HOUR, {_TS}) - to_hours(6 * k) AS ws FROM txn, range(0, 4) AS r(k))
 GROUP BY ALL""")
 def q_stream_velocity(spark, sf):
-    d = J.read_sink(spark, J.run_batches(J.velocity(J.stream_txn(spark, sf)), "velocity", "update"), ["user_id", "w"])
+    windows = J.velocity(J.stream_txn(spark, sf), lateness=J.backlog_lateness(spark, sf))
+    d = J.read_sink(spark, J.whole(J.run_batches(windows, "velocity", "update")), ["user_id", "w"])
     return finish(d.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                            F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "transactions"))
 

@@ -7,7 +7,10 @@ goes on where it stopped. Output is idempotent: each micro-batch overwrites
 its own ``batch=<id>`` folder, so a retried batch replaces what it wrote.
 Keyed results are emitted in update mode and read back as the latest row per
 key. Rows that arrive later than the watermark allows are counted and reported
-(``Run.dropped``), not lost silently.
+(``Run.dropped``), not lost silently. The registered queries read a whole
+backlog in any order: their watermark delay covers the table's time span
+(``backlog_lateness``), so their state holds the backlog's keys, and a dropped
+row is an error (``whole``).
 """
 from __future__ import annotations
 
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tagging as TG
 from ..session import ensure_checkpoint_dir
-from ..sources.adapters import txn_from_events
+from ..sources.adapters import txn, txn_from_events
 
 LATENESS = "30 days"  # default watermark delay of the jobs that keep state by time
 
@@ -33,6 +36,21 @@ class Run:
     dropped: int = 0
 
 
+def backlog_lateness(spark: SparkSession, sf_dir: str) -> str:
+    """A watermark delay that no row of the table exceeds, whatever the order
+    of its files; at least ``LATENESS``."""
+    low, high = txn(spark, sf_dir).agg(F.min("timestamp"), F.max("timestamp")).first()
+    days = (high - low).days + 2 if low is not None else 0
+    return f"{max(days, int(LATENESS.split()[0]))} days"
+
+
+def whole(run: Run) -> Run:
+    """The run, if no row came too late for its watermark."""
+    if run.dropped:
+        raise RuntimeError(f"{run.dropped} rows came too late for the watermark: {run.root}")
+    return run
+
+
 def _scratch(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/streams/{name}-{uuid.uuid4().hex[:12]}"

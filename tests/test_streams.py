@@ -104,3 +104,25 @@ def test_a_retried_batch_replaces_its_output(spark):
     with pytest.raises(Exception, match="lost"):
         start(f"{base}/job")
     assert J.read_sink(spark, start(f"{base}/job")).count() == 10 and calls == [0, 0]
+
+
+@pytest.mark.parametrize("key", ["stream_velocity", "stream_training_samples", "stream_retrain_trigger"])
+def test_queries_keep_old_rows_of_later_batches(spark, folder, key, monkeypatch):
+    """Part files newest first, 200 days apart, one a micro-batch."""
+    base = f"{ensure_checkpoint_dir(spark)}/back-{uuid.uuid4().hex}"
+    ev = spark.read.parquet(f"{folder}/events.parquet").limit(400)
+    for k in range(3):
+        moved = (ev.withColumn("ts", (F.col("ts") - F.expr(f"interval {200 * k} days")).cast("timestamp_ntz"))
+                 .withColumn("event_id", F.col("event_id") + 10_000_000 * k))
+        moved.coalesce(1).write.mode("append").parquet(f"{base}/events.parquet")
+    stream = J.stream_txn
+    monkeypatch.setattr(J, "stream_txn", lambda spark, sf: stream(spark, sf, 1))
+    got = load_all()[0][key](spark, base)
+    t = txn(spark, base)
+    if key == "stream_velocity":
+        want = t.groupBy("user_id", F.window(F.col("timestamp").cast("timestamp"), "1 day", "6 hours")).count().count()
+        assert got.count() == want and got.agg(F.sum("transactions")).first()[0] == 4 * t.count()
+    elif key == "stream_training_samples":
+        assert got.count() == t.select("user_id", "timestamp").distinct().count()
+    else:
+        assert got.count() == t.select("user_id", "timestamp").distinct().count() // 100
