@@ -23,8 +23,10 @@ document id, or earlier in the same document) is removed.
    ``length`` - t in the second; the earliest in corpus order stays.
 4. The spans found meet their documents by row id.
 
-The trigger rule is the only change to textbook parsing (there the hash must
-be 0 modulo p, which leaves windows without any trigger).
+Departures from the textbook: the trigger rule (there the hash must be 0 modulo
+p, which leaves windows without any trigger); phrases are windows round a
+trigger, so there are no phrase ranks, no suffix array of dictionary or parse
+and no combination into corpus order (see README).
 
 A trigger with more than ``HOT`` different phrases isn't gathered: its windows
 are hashed one by one, and equal windows meet by digest as phrases do in 2.
