@@ -8,7 +8,8 @@ import public_tokenizers as vocab
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, pfp_dedup, sharding, token_count, vector_graph
+from . import (bpe_codec, chat_format, decontaminate, langid, line_dedup, ngram_join, pfp_dedup, pii, sharding, target_sampling,
+               token_count, vector_codes, vector_graph)
 from .common import read, staged, with_ids
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,72 @@ def op4_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_graph.near_duplicates(read(spark, sf_dir, "embeddings"))
     found = with_ids(staged(found, "found"), "vec_id", {"component_rid": "component_id"})
     return found.select("vec_id", "n_links", "component_id", "kept", "audit_recall")
+
+
+CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS, CODE_SCALE = 8, 16, 6, 4096
+
+
+def _codes_sql() -> str:
+    """Lloyd rounds as a chain of tables: p parts, b codebooks, a assignments."""
+    near = """a{r} AS MATERIALIZED (
+  SELECT vec_id, label, part, v, arg_min(struct_pack(d := d, e := entry), d * 1000 + entry) AS best FROM (
+    SELECT p.vec_id, p.label, p.part, p.v, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d
+    FROM p JOIN b{r} b USING (part)) GROUP BY ALL
+)"""
+    step = """b{n} AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.v, b.v) AS v FROM b{r} b LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY pos) AS v FROM (
+      SELECT part, best.e AS entry, pos, floor(sum(x)::DOUBLE / count(*))::BIGINT AS m
+      FROM (SELECT part, best, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM a{r}) GROUP BY ALL) GROUP BY ALL
+  ) m USING (part, entry)
+)"""
+    chain = []
+    for r in range(CODE_ROUNDS):
+        chain += [near.format(r=r), step.format(r=r, n=r + 1)]
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {CODE_SCALE})::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, label, part, list_slice(v, (part * len(v) // {CODE_PARTS} + 1)::BIGINT, ((part + 1) * len(v) // {CODE_PARTS})::BIGINT) AS v
+  FROM k, range({CODE_PARTS}) t(part)
+), b0 AS MATERIALIZED (
+  SELECT part, rank - 1 AS entry, v FROM (SELECT part, v, row_number() OVER (PARTITION BY part ORDER BY vec_id) AS rank FROM p)
+  WHERE rank <= {CODE_ENTRIES}
+), {", ".join(chain)}, {near.format(r=CODE_ROUNDS)}, c AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best.e::INTEGER), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error
+  FROM a{CODE_ROUNDS} GROUP BY ALL
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{CODE_ROUNDS}) AS codebooks_sha256
+FROM c
+"""
+
+
+@register("op11_vector_codes", _codes_sql())
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read(spark, sf_dir, "embeddings"), CODE_PARTS, CODE_ENTRIES, CODE_ROUNDS, CODE_SCALE)
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+@register("op12_pii_spans")
+def op12_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(read(spark, sf_dir, "documents"))
+
+
+def pii_digests(docs: DataFrame) -> DataFrame:
+    """Counts per kind and digests of the base spans, and all spans."""
+    found = pii.find_personal_data(docs)
+    base = F.filter("spans", lambda s: s["base"])
+
+    def of_kind(kind: int):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("bigint")
+
+    count = [of_kind(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *count, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                        pii.span_text(F.col("spans")).alias("spans"))
+
+
+@register("op13_target_sampling")
+def op13_target_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_sampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
