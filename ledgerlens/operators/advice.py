@@ -152,3 +152,31 @@ def fallback(req: DataFrame) -> DataFrame:
                  .otherwise(F.lit(FALLBACK["spending_review"][i] if i == 0 else "|".join(FALLBACK["spending_review"][1]))))
     return req.select("user_id", "conv_id", "turn", "context_type", pick(0).alias("advice"),
                       F.lit(0.6).alias("confidence_score"), pick(1).alias("actionable_steps"))
+
+
+# --- O5 ----------------------------------------------------------------------
+def interactions(req: DataFrame) -> DataFrame:
+    """One row per answered request (with ``asked_at``): what the advice log
+    keeps of it, and the day that its folder is named after."""
+    d = fallback(req).drop("actionable_steps").join(req.select("conv_id", "turn", "query", "asked_at"), ["conv_id", "turn"])
+    return d.withColumnRenamed("advice", "advice_given").withColumn("day", F.to_date("asked_at"))
+
+
+def write_log(log: DataFrame, path: str) -> str:
+    """Store the interactions by day. A run replaces the days it has rows for
+    and leaves the others, so a repeated run changes nothing."""
+    log.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+    return path
+
+
+def read_log(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def latest_interactions(log: DataFrame) -> DataFrame:
+    """The last interaction of each user and day, under its feature key."""
+    last = log.groupBy("user_id", "day").agg(
+        F.count(F.lit(1)).alias("n_requests"),
+        F.max_by(F.struct("query", "context_type", "advice_given", "confidence_score"), F.struct("asked_at", "conv_id", "turn")).alias("_l"))
+    return last.select(F.concat(F.lit("advice_"), F.col("user_id"), F.lit("_"), F.date_format("day", "yyyyMMdd")).alias("feature_key"),
+                       "user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "n_requests", "_l.*")

@@ -8,7 +8,7 @@ per-key tables grow with the data.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time as T
@@ -90,17 +90,14 @@ def merchant_stats(t: DataFrame, threshold: int = 5) -> DataFrame:
     )
 
 
-def top_k(df: DataFrame, keys: list[str], order: list, k: int, salt_col: str,
-          salts: int = 16, out: str = "rank") -> DataFrame:
-    """Exact top-k rows per key, skew-safe: top k per (key, salt) first, then
-    top k of the <= k*salts survivors per key. ``order`` must end in a
-    unique column so ranking is deterministic."""
-    from pyspark.sql import Window
-    salted = df.withColumn("_s", F.pmod(F.xxhash64(F.col(salt_col)), F.lit(salts)))
-    w1 = Window.partitionBy(*keys, "_s").orderBy(*order)
-    cand = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_s")
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    return cand.withColumn(out, F.row_number().over(w2)).where(F.col(out) <= k)
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, out: str = "rank") -> DataFrame:
+    """Exact top-k rows per key. A filter on the row number lets every map
+    task keep its own top k of a key before the shuffle (a partial window
+    group limit in the plan), so of a key with a third of all rows at most
+    k rows a map task travel. ``order`` must end in a unique column so
+    ranking is deterministic."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 
 
 def spending_summary(t: DataFrame) -> DataFrame:
@@ -109,15 +106,16 @@ def spending_summary(t: DataFrame) -> DataFrame:
     per = t.groupBy("user_id").agg(
         F.sum("amount").alias("total_spending"), F.avg("amount").alias("average_transaction"),
         F.count(F.lit(1)).alias("transaction_count"))
-    per = per.join(group_quantiles(t, ["user_id"], "amount", {"_p95": 0.95}), "user_id", "left")
-    unusual = (t.select("user_id", "amount").join(per.select("user_id", "_p95"), "user_id")
-                .groupBy("user_id").agg(F.count_if(F.col("amount") > F.col("_p95")).alias("unusual_transactions")))
+    values = t.groupBy("user_id", "amount").agg(F.count(F.lit(1)).alias("_n"))
+    p95 = group_quantiles(values, ["user_id"], "amount", {"_p95": 0.95}, weight="_n")
+    unusual = (values.join(p95, "user_id", "left").groupBy("user_id")
+                .agg(F.coalesce(F.sum(F.when(F.col("amount") > F.col("_p95"), F.col("_n"))), F.lit(0)).alias("unusual_transactions")))
     cats = t.groupBy("user_id", "category").agg(F.sum("amount").alias("_s"))
-    top = cats.groupBy("user_id").agg(
-        F.array_join(F.slice(F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("neg"), F.coalesce("category", F.lit("other")).alias("c")))),
-            lambda x: x["c"]), 1, 5), "|").alias("top_categories"))
-    return (per.drop("_p95").join(unusual, "user_id").join(top, "user_id"))
+    cats = cats.select("user_id", "_s", F.coalesce("category", F.lit("other")).alias("c"))
+    best = top_k(cats, ["user_id"], [F.col("_s").desc_nulls_last(), F.col("c")], 5)
+    top = best.groupBy("user_id").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]), "|").alias("top_categories"))
+    return per.join(unusual, "user_id").join(top, "user_id")
 
 
 def peak_hours(t: DataFrame, key: str = "vpa") -> DataFrame:

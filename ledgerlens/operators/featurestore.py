@@ -1,10 +1,15 @@
 """Versioned feature store as tables.
 
 ``feature_values(feature_set, version, entity_id, features map<string,double>,
-stored_at timestamp_ntz, ttl_seconds int)`` is an append-only log (partition
-it by feature_set/version on write); a key's current value is its newest row,
-live while ``stored_at + ttl > as_of``. Latest-by-key is a ``max_by``
-aggregate (partial aggregation: a hot entity never lands whole on one task).
+stored_at timestamp_ntz, ttl_seconds int)`` is a log; a key's current value is
+its newest row, live while ``stored_at + ttl > as_of``. Latest-by-key is a
+``max_by`` aggregate (partial aggregation: a hot entity never lands whole on
+one task).
+
+The stored table has a folder per (feature_set, version, bucket, epoch). The
+bucket is a hash of the entity, so a point lookup and a compaction touch the
+folders of its bucket alone; the epoch names the micro-batch that wrote the
+rows, so a repeated micro-batch replaces exactly what it wrote before.
 """
 from __future__ import annotations
 
@@ -14,10 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import time as T
+from ..session import cut_lineage
+from ..sources import fs
 
 KEY = ["feature_set", "version", "entity_id"]
 # fixed values: default TTL and the feature registry of the sets we write
 DEFAULT_TTL = 3600
+FOLDERS = ["feature_set", "version", "bucket", "epoch"]
+BUCKETS = 8
+BATCH_EPOCH = -1  # writes that no stream made
 REGISTRY = {
     "user_txn": ["amount", "hour", "rating", "weekday"],
     "merchant_txn": ["amount", "hour", "weekday"],
@@ -47,27 +57,88 @@ def feature_log(t: DataFrame, ttl_user: int = 86400, ttl_merchant: int = DEFAULT
     return user.unionByName(merch)
 
 
-def store(log: DataFrame, path: str) -> str:
-    """Append feature writes to the stored table, one folder per
-    (feature_set, version)."""
-    log.write.mode("append").partitionBy("feature_set", "version").parquet(path)
+def _bucket(entity: Column) -> Column:
+    return F.pmod(F.xxhash64(entity), F.lit(BUCKETS)).cast("int")
+
+
+def store(log: DataFrame, path: str, epoch: int | None = None) -> str:
+    """Add feature writes to the stored table. Without ``epoch`` they are
+    appended; with it they replace the writes of the same epoch, so a repeated
+    micro-batch changes nothing."""
+    rows = log.withColumn("bucket", _bucket(F.col("entity_id"))).withColumn("epoch", F.lit(BATCH_EPOCH if epoch is None else epoch))
+    if epoch is None:
+        rows.write.mode("append").partitionBy(*FOLDERS).parquet(path)
+    else:
+        _replace(rows, path)
     return path
 
 
-def stored(spark, path: str, feature_set: str | None = None, version: str | None = None) -> DataFrame:
-    """The stored table, or one set / version of it (its folders alone are
-    read)."""
+def _replace(rows: DataFrame, path: str) -> None:
+    """Overwrite the folders that ``rows`` has rows for, and no others."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDERS).parquet(path)
+
+
+def stored(spark, path: str, feature_set: str | None = None, version: str | None = None, entity_id: str | None = None) -> DataFrame:
+    """The stored table, or one set / version / entity of it (its folders
+    alone are read)."""
     d = spark.read.parquet(path)
-    for col, value in (("feature_set", feature_set), ("version", version)):
+    for col, value in (("feature_set", feature_set), ("version", version), ("entity_id", entity_id)):
         if value is not None:
             d = d.where(F.col(col) == value)
-    return d
+    if entity_id is not None:
+        d = d.where(F.col("bucket") == _bucket(F.lit(entity_id)))
+    return d.drop("bucket", "epoch")
+
+
+def compact(spark, path: str, tombstones: DataFrame | None = None, as_of: str | None = None,
+            history: bool = True) -> list[tuple]:
+    """Delete from the stored table the keys in ``tombstones`` and, with
+    ``as_of``, those expired by then; without ``history`` also every write
+    that a newer one of its key replaced. Only folders that hold such rows are
+    read again and rewritten; folders left without rows are removed. Returns
+    the (set, version, bucket, epoch) of the folders touched.
+
+    A folder is replaced as a whole, and compacting twice gives what once
+    gives, so a run that was lost half-way is simply started again."""
+    d = spark.read.parquet(path)
+    newest = d.groupBy(*KEY, "bucket").agg(F.max(F.struct("stored_at", "transaction_id", "ttl_seconds")).alias("_l"))
+    newest = newest.select(*KEY, "bucket", "_l.*")
+    gone = newest.where(expires_at() <= asof_lit(as_of)) if as_of is not None else newest.limit(0)
+    gone = gone.select(*KEY, "bucket")
+    if tombstones is not None:
+        dead = tombstones.select(*KEY).distinct().withColumn("bucket", _bucket(F.col("entity_id")))
+        gone = gone.unionByName(dead).distinct()
+    gone = cut_lineage(gone)
+    doomed = d.join(gone, [*KEY, "bucket"], "left_semi")
+    last = newest.select(*KEY, F.col("stored_at").alias("_at"), F.col("transaction_id").alias("_id"))
+    old = (F.col("stored_at") != F.col("_at")) | ~F.col("transaction_id").eqNullSafe(F.col("_id"))
+    if not history:
+        doomed = doomed.select(*FOLDERS).unionByName(d.join(last, KEY).where(old).select(*FOLDERS))
+    # one row per folder that changes: no more than the table has folders
+    touched = sorted(tuple(r) for r in doomed.select(*FOLDERS).distinct().collect())
+    if not touched:
+        return []
+    inside = F.lit(False)
+    for name in sorted({(s, v, b) for s, v, b, _ in touched}):
+        epochs = [e for *k, e in touched if tuple(k) == name]
+        inside = inside | ((F.col("feature_set") == name[0]) & (F.col("version") == name[1]) & (F.col("bucket") == name[2])
+                           & F.col("epoch").isin(epochs))
+    kept = d.where(inside).join(gone, [*KEY, "bucket"], "left_anti")
+    if not history:
+        kept = kept.join(last, KEY).where(~old).drop("_at", "_id")
+    kept = cut_lineage(kept)  # read in full before a folder is replaced
+    left = {tuple(r) for r in kept.select(*FOLDERS).distinct().collect()}
+    if left:
+        _replace(kept, path)
+    for folder in touched:
+        if folder not in left:
+            fs.delete(spark, "/".join([path, *[f"{c}={v}" for c, v in zip(FOLDERS, folder)]]))
+    return touched
 
 
 def get(spark, path: str, feature_set: str, version: str, entity_id: str, as_of: str) -> DataFrame:
     """the live features of one entity (no row if there are none)."""
-    one = stored(spark, path, feature_set, version).where(F.col("entity_id") == entity_id)
-    return live(latest(one), as_of)
+    return live(latest(stored(spark, path, feature_set, version, entity_id)), as_of)
 
 
 def access_counts(accesses: DataFrame) -> DataFrame:

@@ -1,12 +1,10 @@
 """Ingest and splitting operators (A2–A4, B1 via JSON, J1, K2)."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from .. import session
 
 RECORD_SCHEMA = ("array<struct<transaction_id:string,user_id:string,merchant_name:string,"
                  "amount:string,timestamp:string>>")
@@ -17,7 +15,7 @@ CSV_SCHEMA = ("transaction_id STRING, user_id STRING, merchant_name STRING, amou
 
 
 def scratch_path(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex[:12]}"
+    return session.scratch_path(spark, "tables", name)
 
 
 def json_batches(t: DataFrame, batch_rows: int = 100) -> DataFrame:

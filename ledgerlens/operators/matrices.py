@@ -29,13 +29,23 @@ PARITY_CATEGORICAL = ["vpa_handle_id", "merchant_id", "caps_state_int"]
 USER_FREQUENCY_SCORE = 0.5  # reference default; no source defines it
 
 
+PARITY_USER = ["user_food_ratio_30d", "user_transport_ratio_30d", "user_shopping_ratio_30d", "user_avg_transaction_amount_30d"]
+
+
+def _familiarity(t: DataFrame) -> DataFrame:
+    """``_fam``: the row's number among the user's payments to the merchant."""
+    seen = with_running_count(t.select("transaction_id", "user_id", "merchant_name", "timestamp"), ["user_id", "merchant_name"],
+                              "timestamp", "transaction_id", out="_fam")
+    return seen.select("transaction_id", "_fam")
+
+
 def parity(t: DataFrame, cdim: DataFrame, labels: DataFrame, caps: DataFrame, fit_ids: DataFrame | None = None) -> DataFrame:
     """The 31 parity columns; encoders (vocabularies, amount scaler) are
     fitted on the rows of ``fit_ids`` (transaction_id), by default on all of
     ``t``; values that they do not know get the code of ``<UNK>``."""
     fit = t if fit_ids is None else t.join(fit_ids, "transaction_id", "left_semi")
-    d = R.user_rolling(t)
-    d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="_fam")
+    # every statistic comes from the narrow input and joins by id
+    d = (t.join(R.user_features(t, PARITY_USER), "transaction_id").join(_familiarity(t), "transaction_id"))
     d = TG.priors(d, cdim, labels)
     d = d.withColumn("payee_seen_before", F.when(F.col("_fam") > 1, 1).otherwise(F.col("payee_seen_before")))
     d = d.withColumn("_month", F.date_format("timestamp", "yyyy-MM")).withColumn("_cat", F.coalesce("category", F.lit("other")))
@@ -167,9 +177,8 @@ def advanced_catalog(catalog: DataFrame) -> DataFrame:
 
 def advanced(t: DataFrame, catalog: DataFrame, caps: DataFrame) -> DataFrame:
     """The advanced feature set (spec v2 columns) per row."""
-    d = R.user_rolling(t)
-    d = R.merchant_rolling(d)
-    d = with_running_count(d, ["user_id", "merchant_name"], "timestamp", "transaction_id", out="_fam")
+    d = (t.join(R.user_features(t), "transaction_id").join(R.merchant_features(t), "transaction_id")
+         .join(_familiarity(t), "transaction_id"))
     tok = X.normalize_name("merchant_name")
     hnd = X.vpa_handle("vpa")
     d = d.withColumn("merchant_token", tok).withColumn("vpa_handle", hnd)

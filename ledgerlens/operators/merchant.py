@@ -116,8 +116,9 @@ def _frequency(t: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    """Non-negative number as text with ``digits`` decimals."""
-    whole = F.round(x * 10**digits).cast("bigint")
+    """Non-negative number as text with ``digits`` decimals; six places are
+    kept first, so noise beyond them never decides a tie."""
+    whole = F.round(F.round(x, 6) * 10**digits).cast("bigint")
     return F.concat(F.floor(whole / 10**digits).cast("string"), F.lit("."),
                     F.lpad((whole % 10**digits).cast("string"), digits, "0"))
 

@@ -68,11 +68,11 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right.withColumnsRenamed(names), cond).drop(*names.values())
 
 
-def _histogram(t: DataFrame, groups: list[str], value: str) -> tuple[DataFrame, DataFrame]:
+def _histogram(t: DataFrame, groups: list[str], value: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(distinct values with count ``_n`` and bucket ``_b``, buckets with the
     rows before them ``_off``, their rows ``_bn`` and the group's ``_tot``)."""
     counts = (t.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", _bucket(F.col("_v"))))
+              .agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")).withColumn("_b", _bucket(F.col("_v"))))
     hist = counts.groupBy(*groups, "_b").agg(F.sum("_n").alias("_bn"))
     before = Window.partitionBy(*groups).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.select(*groups, "_b", "_bn", F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_off"),
@@ -91,11 +91,12 @@ def group_ranks(t: DataFrame, groups: list[str], value: str) -> DataFrame:
         F.col("_n").alias("n_equal"), F.col("_tot").alias("n_group"))
 
 
-def group_quantiles(t: DataFrame, groups: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def group_quantiles(t: DataFrame, groups: list[str], value: str, probs: dict[str, float], weight: str | None = None) -> DataFrame:
     """(groups, one column per entry of ``probs``): exact quantiles with
     linear interpolation. Only values in the buckets that hold a wanted rank
-    are ordered. Groups without a non-null value have no row."""
-    counts, hist = _histogram(t, groups, value)
+    are ordered. With ``weight`` a row stands for so many. Groups without a
+    non-null value have no row."""
+    counts, hist = _histogram(t, groups, value, weight)
     place = {n: p * (F.col("_tot") - 1) for n, p in probs.items()}
     want = [f(x).cast("long") for x in place.values() for f in (F.floor, F.ceil)]
     hit = F.lit(False)

@@ -12,6 +12,7 @@ LATENCY_THRESHOLD_MS = {"auto_tagging": 200, "behavioral_nudges": 100, "voice_in
                         "trust_scoring": 150, "financial_advisor": 5000, "merchant_intelligence": 300}
 TARGET_ACCURACY = {"auto_tagging": 0.92, "voice_intelligence": 0.90, "trust_scoring": 0.88}
 MODEL_NAMES = {"auto_tagging": "payment-auto-tagging"}
+MS_PER_CHAR = 6.0  # our estimate of a run's latency: time per character that the tagger reads
 DRIFT_THRESHOLD = 0.05
 DEFAULT_THRESHOLD = 0.85
 
@@ -26,7 +27,8 @@ def monthly_runs(scored: DataFrame, component: str = "auto_tagging") -> DataFram
     order; newest = Staging, the one before = Production, rest Archived."""
     m = scored.groupBy(F.date_trunc("month", "timestamp").alias("start_time")).agg(
         F.avg((F.col("label") == F.col("pred")).cast("double")).alias("accuracy"),
-        F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n"))
+        F.avg("confidence").alias("mean_confidence"), F.count(F.lit(1)).alias("n"),
+        (F.avg("chars") * MS_PER_CHAR).alias("latency_ms"))
     # one row per month: a few hundred rows, ranked without partitioning
     w = Window.orderBy("start_time")
     m = m.withColumn("version", F.row_number().over(w))
@@ -36,7 +38,7 @@ def monthly_runs(scored: DataFrame, component: str = "auto_tagging") -> DataFram
     return m.select(F.lit(component).alias("component"), F.lit(MODEL_NAMES[component]).alias("model"), "version",
                     stage.alias("stage"), "start_time",
                     F.create_map(F.lit("accuracy"), F.col("accuracy"), F.lit("mean_confidence"), F.col("mean_confidence"),
-                                 F.lit("n"), F.col("n").cast("double")).alias("metrics"))
+                                 F.lit("n"), F.col("n").cast("double"), F.lit("latency_ms"), F.col("latency_ms")).alias("metrics"))
 
 
 def current_metrics(runs: DataFrame) -> DataFrame:

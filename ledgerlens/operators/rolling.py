@@ -44,75 +44,94 @@ def _ratio(num: Column, n: Column, den: Column, default: float) -> Column:
 
 
 def user_rolling(t: DataFrame) -> DataFrame:
+    """The rows with all user features."""
+    return t.join(user_features(t), "transaction_id").select(*t.columns, *USER_DEFAULTS)
+
+
+def user_features(t: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """``transaction_id`` and the named user features (all by default); only
+    the statistics that they need are computed."""
+    names = list(USER_DEFAULTS) if names is None else names
     h = F.hour("timestamp")
     hint = X.category_hint("merchant_name")
     weekend, evening = F.weekday("timestamp") >= 5, (h >= 17) & (h <= 21)
     has_amt = F.col("amount").isNotNull()
     amt = F.coalesce(F.col("amount"), F.lit(0.0))
-    specs = {}
+    sums, maxes, distincts, cols = {}, {}, {}, {}
+
+    def total(key: str, value: Column, days: int) -> Column:
+        sums[f"{key}{days}"] = (value, days * DAY)
+        return F.col(f"{key}{days}")
+
     for days in (7, 30):
-        sec = days * DAY
-        specs[f"_n{days}"] = (has_amt.cast("int"), sec)
-        specs[f"_nz{days}"] = ((amt != 0).cast("int"), sec)
-        specs[f"_s{days}"] = (amt, sec)
+        def share(name: str, value: Column, days: int = days) -> Column:
+            return _ratio(total(f"_{name}", F.when(value, amt).otherwise(0.0), days), total("_nz", (amt != 0).cast("int"), days),
+                          total("_s", amt, days), USER_DEFAULTS[name])
+
+        def known(name: str, value: Column, days: int = days) -> Column:
+            return F.when(total("_n", has_amt.cast("int"), days) > 0, value).otherwise(USER_DEFAULTS[name])
+
         for name, group in RATIO_GROUPS:
-            specs[f"_{name}{days}"] = (F.when(hint == group, amt).otherwise(0.0), sec)
-    specs["_wk30"] = (F.when(weekend, amt).otherwise(0.0), 30 * DAY)
-    specs["_ev30"] = (F.when(evening, amt).otherwise(0.0), 30 * DAY)
-    stats = rolling_stats(
-        t, ["user_id"], "timestamp", "transaction_id", specs,
-        maxes={f"_mx{d}": (F.col("amount"), d * DAY) for d in (7, 30)},
-        distincts={f"_u{d}": (F.col("merchant_name"), d * DAY) for d in (7, 30)})
-    out = t.join(stats, "transaction_id")
-    cols = []
-    for days in (7, 30):
-        n, nz, s = F.col(f"_n{days}"), F.col(f"_nz{days}"), F.col(f"_s{days}")
-        for name, _ in RATIO_GROUPS:
             k = f"user_{name}_ratio_{days}d"
-            cols.append(_ratio(F.col(f"_{name}{days}"), nz, s, USER_DEFAULTS[k]).alias(k))
-        has = n > 0
-        cols += [
-            F.when(has, s / n).otherwise(USER_DEFAULTS[f"user_avg_transaction_amount_{days}d"]).alias(f"user_avg_transaction_amount_{days}d"),
-            F.when(has, F.col(f"_mx{days}")).otherwise(USER_DEFAULTS[f"user_max_transaction_amount_{days}d"]).alias(f"user_max_transaction_amount_{days}d"),
-            F.when(has, n.cast("double")).otherwise(USER_DEFAULTS[f"user_transaction_frequency_{days}d"]).alias(f"user_transaction_frequency_{days}d"),
-            F.when(has, F.col(f"_u{days}").cast("double")).otherwise(USER_DEFAULTS[f"user_unique_merchants_{days}d"]).alias(f"user_unique_merchants_{days}d"),
-        ]
-    nz30, s30 = F.col("_nz30"), F.col("_s30")
-    cols += [_ratio(F.col("_wk30"), nz30, s30, USER_DEFAULTS["user_weekend_spending_ratio"]).alias("user_weekend_spending_ratio"),
-             _ratio(F.col("_ev30"), nz30, s30, USER_DEFAULTS["user_evening_spending_ratio"]).alias("user_evening_spending_ratio")]
-    return out.select(*t.columns, *cols)
+            if k in names:
+                cols[k] = share(k, hint == group)
+        if days == 30:
+            for k, when in (("user_weekend_spending_ratio", weekend), ("user_evening_spending_ratio", evening)):
+                if k in names:
+                    cols[k] = share(k, when)
+        k = f"user_avg_transaction_amount_{days}d"
+        if k in names:
+            cols[k] = known(k, total("_s", amt, days) / total("_n", has_amt.cast("int"), days))
+        k = f"user_max_transaction_amount_{days}d"
+        if k in names:
+            maxes[f"_mx{days}"] = (F.col("amount"), days * DAY)
+            cols[k] = known(k, F.col(f"_mx{days}"))
+        k = f"user_transaction_frequency_{days}d"
+        if k in names:
+            cols[k] = known(k, total("_n", has_amt.cast("int"), days).cast("double"))
+        k = f"user_unique_merchants_{days}d"
+        if k in names:
+            distincts[f"_u{days}"] = (F.col("merchant_name"), days * DAY)
+            cols[k] = known(k, F.col(f"_u{days}").cast("double"))
+    stats = rolling_stats(t, ["user_id"], "timestamp", "transaction_id", sums, maxes, distincts)
+    return stats.select("transaction_id", *[cols[k].alias(k) for k in names])
 
 
 def merchant_rolling(t: DataFrame) -> DataFrame:
+    """The rows with all merchant features."""
+    return t.join(merchant_features(t), "transaction_id").select(*t.columns, *MERCHANT_DEFAULTS)
+
+
+def merchant_features(t: DataFrame) -> DataFrame:
+    """``transaction_id`` and the merchant features: one pass over the
+    merchant's events, with counts by category and by hour as parts of it."""
     h = F.hour("timestamp")
     # amounts are summed as differences from the merchant's mean: a sum of
     # squares around 0 would lose a small variance of large amounts
-    mean = t.groupBy("merchant_name").agg(F.avg("amount").alias("_ref"))
+    mean = t.groupBy(F.col("merchant_name").alias("_m")).agg(F.avg("amount").alias("_ref"))
     d = t.select("transaction_id", "merchant_name", "timestamp", "amount", h.alias("_h"),
                  F.coalesce("category", F.lit("other")).alias("_cat"),
                  (F.weekday("timestamp") >= 5).cast("double").alias("_wk"),
                  ((h >= 9) & (h <= 17)).cast("double").alias("_bh"))
-    d = d.join(mean.withColumnRenamed("merchant_name", "_m"), F.col("merchant_name").eqNullSafe(F.col("_m")), "left").drop("_m")
+    d = d.join(mean, F.col("merchant_name").eqNullSafe(F.col("_m")), "left").drop("_m")
     has_amt = F.col("amount").isNotNull()
     dev = F.coalesce(F.col("amount") - F.col("_ref"), F.lit(0.0))
     month = 30 * DAY
-    args = ("timestamp", "transaction_id")
-    own = rolling_stats(d, ["merchant_name"], *args, {
-        "_n7": (has_amt.cast("int"), 7 * DAY), "_n30": (has_amt.cast("int"), month), "_s30": (dev, month),
-        "_ss30": (dev * dev, month), "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), month),
-        "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), month)})
-    by_cat = rolling_stats(d, ["merchant_name", "_cat"], *args, {"_nc30": (has_amt.cast("int"), month)})
-    by_hour = rolling_stats(d, ["merchant_name", "_h"], *args, {"_nh30": (has_amt.cast("int"), month)})
-    seen = with_running_count(d.select("transaction_id", "merchant_name", "timestamp", "_ref"), ["merchant_name"], *args, out="_rc")
-    out = (t.join(own, "transaction_id").join(by_cat, "transaction_id").join(by_hour, "transaction_id")
-           .join(seen.select("transaction_id", "_rc", "_ref"), "transaction_id"))
+    one = has_amt.cast("int")
+    own = rolling_stats(d, ["merchant_name"], "timestamp", "transaction_id", {
+        "_n7": (one, 7 * DAY), "_n30": (one, month), "_s30": (dev, month), "_ss30": (dev * dev, month),
+        "_wks30": (F.when(has_amt, F.col("_wk")).otherwise(0.0), month), "_bhs30": (F.when(has_amt, F.col("_bh")).otherwise(0.0), month),
+        "_nc30": (one, month, 1), "_nh30": (one, month, 2)}, parts=[F.col("_cat"), F.col("_h")])
+    seen = with_running_count(d.select("transaction_id", "merchant_name", "timestamp", "_ref"), ["merchant_name"], "timestamp",
+                              "transaction_id", out="_rc")
+    out = own.join(seen.select("transaction_id", "_rc", "_ref"), "transaction_id")
     n30, has = F.col("_n30"), F.col("_n30") > 0
     off = F.col("_s30") / n30
     mu = F.col("_ref") + off
     var = F.greatest(F.lit(0.0), F.col("_ss30") / n30 - off * off)
     M = MERCHANT_DEFAULTS
     return out.select(
-        *t.columns,
+        "transaction_id",
         F.col("_n7").cast("double").alias("merchant_frequency_7d"),
         n30.cast("double").alias("merchant_frequency_30d"),
         (F.col("_rc") - 1).cast("double").alias("merchant_frequency_all_time"),

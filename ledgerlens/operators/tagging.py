@@ -2,12 +2,10 @@
 exact → fuzzy → keyword tagger (F5/F6/C8), vocabularies and label codes.
 
 The fuzzy step (containment either way, score = shorter/longer > 0.6) is an
-*equi*-join: every catalog name c contained in a merchant name m with
-len(c) > 0.6·len(m) is one of m's substrings of such a length, so we explode
-each distinct unmatched name into those substrings (O(len²) rows, no pairs)
-and hash-join them to the catalog names, and symmetrically for m inside c.
-No nested-loop or cross join; the work grows linearly with the number of
-distinct names.
+*equi*-join on q-grams: every q-gram of the shorter name stands in the longer
+one, so the shorter name is looked up under its rarest q-gram alone, and the
+few candidates are verified by length and containment. Work grows with the
+length of the names; no nested-loop or cross join, no candidate cap.
 """
 from __future__ import annotations
 
@@ -48,41 +46,57 @@ def tagger_catalog(catalog: DataFrame) -> DataFrame:
     return d.groupBy("c").agg(F.min("ord").alias("c_ord"), F.max_by("cat", "ord").alias("c_cat"))
 
 
-def _substrings(s: Column, min_len: Column) -> Column:
-    n = F.length(s)
-    return F.flatten(F.transform(
-        F.sequence(F.greatest(min_len, F.lit(1)), F.greatest(n, F.lit(1))),
-        lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(s, i, k))))
+def _grams(s: Column, q: int) -> Column:
+    """Distinct q-grams of a name; a shorter name is its own gram."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(s) - (q - 1), F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(s, i, F.lit(q))))
+
+
+def _contained(short: DataFrame, long: DataFrame, q: int = 3) -> DataFrame:
+    """(s, l): distinct names ``s`` of ``short`` contained in a name ``l`` of
+    ``long`` with length(s) / length(l) > FUZZY_MIN_SCORE."""
+    grams = _grams(F.col("l"), q)
+    for k in range(1, q):  # a name this short may hold one that is shorter than a q-gram
+        grams = F.when(F.length("l") * FUZZY_MIN_SCORE < q - 1, F.array_union(grams, _grams(F.col("l"), k))).otherwise(grams)
+    listed = long.select("l", F.explode(grams).alias("g"))
+    rarity = listed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    asked = short.select("s", F.size(_grams(F.col("s"), q)).alias("need"), F.explode(_grams(F.col("s"), q)).alias("g"))
+    # a name with a gram that no longer name has is contained in none
+    rarest = (asked.join(rarity, "g").groupBy("s").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("have"), F.max("need").alias("need"))
+              .where("have = need"))
+    ok = (F.length("s") / F.length("l") > FUZZY_MIN_SCORE) & F.contains(F.col("l"), F.col("s"))
+    return rarest.select("s", "g").join(listed, "g").where(ok).select("s", "l")
 
 
 def fuzzy_match(names: DataFrame, cat: DataFrame) -> DataFrame:
     """F6 over distinct names ``m``: best catalog key by score desc, then
     catalog order. Returns (m, match, score, category)."""
     m = names.select("m").distinct().where(F.length("m") > 0)
-    lo = lambda c: F.floor(F.length(c) * FUZZY_MIN_SCORE).cast("int")
-    # catalog name inside the merchant name
-    ms = m.select("m", F.explode(F.array_distinct(_substrings(F.col("m"), lo(F.col("m"))))).alias("c"))
-    a = ms.join(cat, "c")
-    # merchant name inside the catalog name
-    cs = cat.select("c", "c_ord", "c_cat", F.explode(F.array_distinct(_substrings(F.col("c"), lo(F.col("c"))))).alias("m"))
-    b = cs.join(m, "m")
-    pairs = a.unionByName(b).dropDuplicates(["m", "c"])
+    c = cat.select("c").where(F.length("c") > 0)
+    pairs = (_contained(c.select(F.col("c").alias("s")), m.select(F.col("m").alias("l"))).select(F.col("l").alias("m"), F.col("s").alias("c"))
+             .unionByName(_contained(m.select(F.col("m").alias("s")), c.select(F.col("c").alias("l"))).select(F.col("s").alias("m"), F.col("l").alias("c"))))
+    pairs = pairs.distinct().join(cat, "c")
     lm, lc = F.length("m"), F.length("c")
-    pairs = pairs.withColumn("score", F.least(lm, lc) / F.greatest(lm, lc)).where(F.col("score") > FUZZY_MIN_SCORE)
-    w = Window.partitionBy("m").orderBy(F.col("score").desc(), F.col("c_ord"))
-    best = pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1")
-    return best.select("m", F.col("c").alias("match"), "score", F.col("c_cat").alias("category"))
+    pairs = pairs.withColumn("score", F.least(lm, lc) / F.greatest(lm, lc))
+    best = pairs.groupBy("m").agg(F.min_by(F.struct(F.col("c").alias("match"), "score", F.col("c_cat").alias("category")),
+                                           F.struct(-F.col("score"), "c_ord")).alias("_b"))
+    return best.select("m", "_b.match", "_b.score", "_b.category")
 
 
 def tag(t: DataFrame, catalog: DataFrame) -> DataFrame:
     """exact (0.9) → fuzzy (0.7 + 0.2·score) → keyword rules (0.6 / 0.4)."""
     cat = tagger_catalog(catalog)
-    d = t.select("transaction_id", F.coalesce("merchant_name", F.lit("Unknown")).alias("merchant_name"), "amount") \
+    names = t.select(strip_lower(F.coalesce("merchant_name", F.lit("Unknown"))).alias("m")).distinct()
+    return tag_with(t, cat, fuzzy_match(names.join(cat.select(F.col("c").alias("m")), "m", "left_anti"), cat))
+
+
+def tag_with(t: DataFrame, cat: DataFrame, matches: DataFrame) -> DataFrame:
+    """The tagger with its two dimensions given: ``tagger_catalog`` rows and
+    fuzzy matches (m, category, score). Row by row, so ``t`` may be a stream."""
+    d = t.select("transaction_id", F.coalesce("merchant_name", F.lit("Unknown")).alias("merchant_name")) \
          .withColumn("m", strip_lower(F.col("merchant_name")))
     d = d.join(cat.select(F.col("c").alias("m"), F.col("c_cat").alias("exact_cat")), "m", "left")
-    unmatched = d.where(F.col("exact_cat").isNull()).select("m")
-    fz = fuzzy_match(unmatched, cat)
-    d = d.join(fz.select("m", F.col("category").alias("fuzzy_cat"), "score"), "m", "left")
+    d = d.join(matches.select("m", F.col("category").alias("fuzzy_cat"), "score"), "m", "left")
     rule_cat, rule_conf = X.rule_tag(F.col("m"))
     category = F.coalesce("exact_cat", "fuzzy_cat", rule_cat)
     conf = (F.when(F.col("exact_cat").isNotNull(), F.lit(EXACT_CONF))

@@ -1,8 +1,10 @@
 """Transcript text operators (P1–P9, G15, I5) over a table of texts.
 
-Every operator is a Column expression over the whole text (substring tests,
-``regexp_extract_all``, ``split``): one narrow projection, no UDF, no
-truncation; mentions are exploded into rows with ``posexplode``."""
+Every operator is a Column expression over the whole text, no UDF, no
+truncation. The lower-cased text is a column of its own (``lowered``), made
+once and read by every substring test; whole-word keywords of all groups come
+from one pass of one pattern (``with_tokens``), and the groups share its few
+matches; patterns with amounts run only on texts that hold their unit."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -73,17 +75,34 @@ def _hits(low: Column, kws) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in kws]))
 
 
+LOW, TOKENS = "_low", "_tokens"
+# the keywords that can be a word of their own
+_WORDS = list(dict.fromkeys(k for _, kws in FINANCIAL_KEYWORDS for k in kws if " " not in k))
+
+
+def lowered(texts: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the lower-cased text: an expression used many times would be
+    computed many times, a column once."""
+    return texts.withColumn(LOW, F.lower(F.col(text)))
+
+
+def with_tokens(texts: DataFrame) -> DataFrame:
+    """Adds the words of the lowered text that are keywords, in text order."""
+    pattern = r"(?<!\S)(?:" + "|".join(sorted(_WORDS, key=lambda k: (-len(k), k))) + r")(?!\S)"
+    return texts.withColumn(TOKENS, F.regexp_extract_all(F.col(LOW), F.lit(pattern), F.lit(0)))
+
+
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.regexp_count(text, F.lit(r"\S+"))
 
 
 def entities(texts: DataFrame, text: str = "text") -> DataFrame:
-    low = F.lower(F.col(text))
+    low = F.col(LOW)
     merchants = dict(FINANCIAL_KEYWORDS)["merchants"]
     amounts = F.concat(*[F.regexp_extract_all(low, F.lit(p), 1) for p in AMOUNT_PATTERNS])
     dates = F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(p)) for p in DATE_PATTERNS]))
-    return texts.select(
-        "*", F.array_join(_hits(low, merchants), ",").alias("ent_merchants"),
+    return lowered(texts, text).select(
+        *texts.columns, F.array_join(_hits(low, merchants), ",").alias("ent_merchants"),
         F.array_join(amounts, ",").alias("ent_amounts"),
         F.array_join(_hits(low, ENTITY_CATEGORIES), ",").alias("ent_categories"),
         F.array_join(_hits(low, ENTITY_LOCATIONS), ",").alias("ent_locations"),
@@ -91,85 +110,85 @@ def entities(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def emotions(texts: DataFrame, text: str = "text") -> DataFrame:
-    low = F.lower(F.col(text))
+    low = F.col(LOW)
     cols = [F.when(_any(low, kws), F.lit(w)).otherwise(F.lit(0.0)).alias(f"emo_{n}") for n, w, kws in EMOTIONS]
     none = ~_any(low, [k for _, _, kws in EMOTIONS for k in kws])
-    return texts.select("*", *cols, F.when(none, 0.5).otherwise(0.0).alias("emo_neutral"))
+    return lowered(texts, text).select(*texts.columns, *cols, F.when(none, 0.5).otherwise(0.0).alias("emo_neutral"))
 
 
-def sentiment(text: Column) -> Column:
-    low = F.lower(text)
+def sentiment(low: Column) -> Column:
     pos = sum((low.contains(w)).cast("int") for w in POSITIVE_WORDS)
     neg = sum((low.contains(w)).cast("int") for w in NEGATIVE_WORDS)
-    n = word_count(text)
+    n = word_count(low)
     s = (pos - neg) / F.greatest(n, F.lit(1)) * 10
     return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s.cast("double"))))
 
 
-def insights(text: Column) -> Column:
-    low = F.lower(text)
+def insights(low: Column) -> Column:
     return F.array_compact(F.array(*[F.when(_any(low, kws), F.lit(n)) for n, kws in INSIGHTS]))
 
 
 def insight_rows(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """One row per insight with its confidence, message, recommendation
     and category."""
-    low = F.lower(F.col(text))
+    low = F.col(LOW)
     found = [F.when(_any(low, kws), F.struct(*[F.lit(v).alias(c) for c, v in zip(
         ("insight_type", "confidence", "message", "recommendation", "category"), (n, *INSIGHT_TEXTS[n]))])) for n, kws in INSIGHTS]
-    return texts.select(*keys, F.inline(F.array_compact(F.array(*found))))
+    return lowered(texts, text).select(*keys, F.inline(F.array_compact(F.array(*found))))
 
 
-def keywords(text: Column) -> Column:
-    low = F.lower(text)
+def keywords(low: Column) -> Column:
     allk = [k for _, kws in FINANCIAL_KEYWORDS for k in kws]
     return F.array_sort(F.array_distinct(_hits(low, allk)))
 
 
-def language(text: Column) -> Column:
-    return F.when(_any(F.lower(text), HINDI_INDICATORS), "hi").otherwise("en")
+def language(low: Column) -> Column:
+    return F.when(_any(low, HINDI_INDICATORS), "hi").otherwise("en")
 
 
-def token_keywords(text: Column) -> Column:
-    """Words of lower(text).split() that are keywords, category by category
-    (duplicates kept, as in the reference)."""
-    words = F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+def token_keywords(tokens: Column) -> Column:
+    """The keyword tokens, category by category (duplicates kept, as in the
+    reference)."""
     def keep(kws):
         return lambda w: w.isin(*kws)
-    parts = [F.filter(words, keep(kws)) for _, kws in FINANCIAL_KEYWORDS]
-    return F.concat(*parts)
+    return F.concat(*[F.filter(tokens, keep([k for k in kws if " " not in k])) for _, kws in FINANCIAL_KEYWORDS])
 
 
-def _mention(i, action, mult):
-    def f(z):
+def _mention(i, pattern, action, mult):
+    def f(segment):
+        number = F.regexp_replace(F.regexp_extract(segment, pattern, 1), ",", "")
         return F.struct(F.lit(i).alias("pattern_no"), F.lit(action).alias("action_type"),
-                        (F.regexp_replace(z["n"], ",", "").cast("double") * F.lit(mult)).alias("amount"),
-                        z["s"].alias("text_segment"))
+                        (number.cast("double") * F.lit(mult)).alias("amount"), segment.alias("text_segment"))
     return f
 
 
 def spending_mentions(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """P5: one row per regex match: (pattern_no, match_no, action_type,
-    amount, text_segment)."""
-    low = F.lower(F.col(text))
-    per = []
-    for i, (pat, action, mult) in enumerate(SPENDING_PATTERNS):
-        seg = F.regexp_extract_all(low, F.lit(pat), 0)
-        num = F.regexp_extract_all(low, F.lit(pat), 1)
-        per.append(F.transform(F.arrays_zip(seg.alias("s"), num.alias("n")), _mention(i, action, mult)))
-    allm = F.concat(*per)
-    ex = texts.select(*keys, F.posexplode(allm).alias("match_no", "m"))
+    amount, text_segment). A pattern runs on texts that hold its first word
+    and its unit."""
+    low = F.col(LOW)
+    d = lowered(texts, text)
+    for i, (pat, _, _) in enumerate(SPENDING_PATTERNS):
+        may = F.lit(True)
+        for word in ("paid ", "spent ", "bought ", "cost ", "rupee", "thousand", "lakh"):
+            if word in pat:
+                may = may & low.contains(word)
+        d = d.withColumn(f"_s{i}", F.when(may, F.regexp_extract_all(low, F.lit(pat), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    found = sum((F.size(f"_s{i}") for i in range(1, len(SPENDING_PATTERNS))), F.size("_s0"))
+    allm = F.concat(*[F.transform(f"_s{i}", _mention(i, pat, action, mult)) for i, (pat, action, mult) in enumerate(SPENDING_PATTERNS)])
+    ex = d.where(found > 0).select(*keys, F.posexplode(allm).alias("match_no", "m"))
     return ex.select(*keys, "match_no", "m.pattern_no", "m.action_type", "m.amount", "m.text_segment",
                      F.lit(0.9).alias("confidence"))
 
 
 def analysis(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """P8 text-only analysis row per text."""
-    t = F.col(text)
-    n = word_count(t)
+    t, low = F.col(text), F.col(LOW)
+    n = F.col("_n")
     bucket = F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(100))
-    return texts.select(*keys, n.cast("long").alias("n_words"), (n / 2.5).alias("duration_seconds"),
-                        (0.92 + bucket / 1000.0).alias("confidence"),
-                        sentiment(t).alias("sentiment_score"), language(t).alias("language"),
-                        F.array_join(insights(t), ",").alias("insights"),
-                        F.array_join(token_keywords(t), ",").alias("financial_keywords"))
+    d = with_tokens(lowered(texts, text)).withColumn("_n", word_count(low))
+    return d.select(*keys, n.cast("long").alias("n_words"), (n / 2.5).alias("duration_seconds"),
+                    (0.92 + bucket / 1000.0).alias("confidence"),
+                    sentiment(low).alias("sentiment_score"), language(low).alias("language"),
+                    F.array_join(insights(low), ",").alias("insights"),
+                    F.array_join(token_keywords(F.col(TOKENS)), ",").alias("financial_keywords"))

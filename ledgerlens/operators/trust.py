@@ -45,6 +45,19 @@ def amount_outliers(t: DataFrame, contamination: float = 0.10, min_rows: int = 1
                     F.col("_n").alias("n"))
 
 
+def outlier_shares(t: DataFrame, contamination: float = 0.10, min_rows: int = 10) -> DataFrame:
+    """``outlier_share`` per user: the mean of K13's flag, from counts of
+    distinct amounts and distances, without going back to the rows."""
+    values = t.groupBy("user_id", "amount").agg(F.count(F.lit(1)).alias("_n"))
+    med = group_quantiles(values, ["user_id"], "amount", {"_med": 0.5}, weight="_n")
+    far = values.join(med, "user_id").withColumn("distance", F.abs(F.col("amount") - F.col("_med")))
+    q = group_quantiles(far, ["user_id"], "distance", {"_far": 1.0 - contamination}, weight="_n")
+    known = F.when(F.col("distance").isNotNull(), F.col("_n"))
+    out = F.coalesce(F.sum(F.when(F.col("distance") > F.col("_far"), F.col("_n"))), F.lit(0)) / F.sum(known)
+    return far.join(q, "user_id").groupBy("user_id").agg(
+        F.when(F.sum("_n") > min_rows, out).otherwise(0.0).alias("outlier_share"))
+
+
 def components(t: DataFrame, failed_ratio_default: float = 0.05) -> DataFrame:
     """One row per user with every input the four components need."""
     base = t.select("transaction_id", "user_id", "merchant_name", "amount", "timestamp", "status", "category")
@@ -66,7 +79,7 @@ def components(t: DataFrame, failed_ratio_default: float = 0.05) -> DataFrame:
     gh = (T.epoch_micros("timestamp") - T.epoch_micros("prev_ts")) / F.lit(3.6e9)
     gaps = g.where(F.col("prev_ts").isNotNull()).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_gaps"), F.avg(gh).alias("gap_mu"), F.stddev_pop(gh).alias("gap_sd"))
-    out = amount_outliers(base).groupBy("user_id").agg(F.avg("is_outlier").alias("outlier_share"))
+    out = outlier_shares(base)
     c = agg.join(gaps, "user_id", "left").join(out, "user_id", "left")
     return c.withColumn("failed_ratio", F.coalesce("_failed", F.lit(failed_ratio_default))).drop("_failed")
 
@@ -133,6 +146,7 @@ def confidence(df: DataFrame) -> Column:
 
 
 def risk_profile(s: DataFrame) -> DataFrame:
+    """L8; the advice texts are fixed values."""
     flags = risk_flags(s)
     score = F.col("overall_score")
     d = s.withColumn("_flags", flags)

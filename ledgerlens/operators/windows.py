@@ -72,14 +72,16 @@ def with_next_ts(df: DataFrame, keys: list[str], ts: str, tiebreak: str,
 
 def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: dict | None = None,
                   maxes: dict | None = None, distincts: dict | None = None,
-                  include_current: bool = False) -> DataFrame:
+                  include_current: bool = False, parts: list[Column] | None = None) -> DataFrame:
     """Trailing-window statistics per row: ``(row_id, outputs)``.
 
     ``sums`` / ``maxes`` / ``distincts`` map an output name to (value Column,
     window seconds, a multiple of the hour); counts are sums of 1. Frames are
     ``[t - W, t)`` (history only) or, for sums, ``(t - W, t]`` with
     ``include_current``. Sums over no rows are 0.0, maxima null, distinct
-    counts 0. Join the result to ``df`` by ``row_id``: it is already
+    counts 0. A sum may name a third element i: it then runs over the key's
+    rows that share the row's value of ``parts[i - 1]`` (0 or none: the whole
+    key), so counts by key and by key and category come from one pass. Join the result to ``df`` by ``row_id``: it is already
     partitioned by it, so several results share one shuffle of ``df``.
 
     Only the id, key, time and values travel. Each row becomes a value event
@@ -95,7 +97,8 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: di
       e_i is the earlier of its next occurrence and t_i + W; that is the
       number of arrivals before t less the departures before t."""
     sums, maxes, distincts = sums or {}, maxes or {}, distincts or {}
-    widths = sorted({int(w) for d in (sums, maxes, distincts) for _, w in d.values()})
+    sums = {name: (spec[0], int(spec[1]), spec[2] if len(spec) > 2 else 0) for name, spec in sums.items()}
+    widths = sorted({int(spec[1]) for d in (sums, maxes, distincts) for spec in d.values()})
     if include_current and (maxes or distincts):
         raise ValueError("include_current applies to sums only")
     if any(w % DEFAULT_BUCKET_SECONDS for w in widths) or (maxes and min(int(w) for _, w in maxes.values()) <= DEFAULT_BUCKET_SECONDS):
@@ -103,34 +106,52 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: di
     hour_us, block_us = DEFAULT_BUCKET_SECONDS * 1_000_000, max(widths) * 1_000_000
     excl = 0 if include_current else 1
     K = [f"_k{i}" for i in range(len(keys))]
+    items = list(dict.fromkeys(str(v) for v, _ in distincts.values()))
+    item_of = [items.index(str(v)) for v, _ in distincts.values()]
+    first = {str(v): v for v, _ in distincts.values()}
     base = df.select(F.col(row_id).alias("_rid"), *[F.col(k).alias(n) for k, n in zip(keys, K)],
                      T.epoch_micros(ts).alias("_t"), F.col(ts).alias("_ts"),
-                     *[v.cast("double").alias(f"_v{i}") for i, (v, _) in enumerate(sums.values())],
+                     *[v.cast("double").alias(f"_v{i}") for i, (v, *_) in enumerate(sums.values())],
                      *[v.cast("double").alias(f"_x{i}") for i, (v, _) in enumerate(maxes.values())],
-                     *[v.alias(f"_i{i}") for i, (v, _) in enumerate(distincts.values())])
+                     *[first[name].alias(f"_i{i}") for i, name in enumerate(items)],
+                     *[c.cast("string").alias(f"_part{i}") for i, c in enumerate(parts or [])])
+    for i in range(len(items)):
+        base = with_next_ts(base, [*K, f"_i{i}"], "_ts", "_rid", out=f"_nx{i}")
     for i, (_, w) in enumerate(distincts.values()):
-        known = base.where(F.col(f"_i{i}").isNotNull()).select("_rid", *K, f"_i{i}", "_ts")
-        after = with_next_ts(known, [*K, f"_i{i}"], "_ts", "_rid", out="_nx").select(
-            "_rid", F.least(F.coalesce(T.epoch_micros("_nx"), F.lit(2**62)),
-                            T.epoch_micros("_ts") + F.lit(int(w) * 1_000_000)).alias(f"_e{i}"))
-        base = base.join(after, "_rid", "left")
+        j = item_of[i]
+        leaves = F.least(F.coalesce(T.epoch_micros(f"_nx{j}"), F.lit(2**62)), F.col("_t") + F.lit(int(w) * 1_000_000))
+        base = base.withColumn(f"_e{i}", F.when(F.col(f"_i{j}").isNotNull(), leaves))
     # events: 0 the row's values, 1 upper probe, 2 + j lower probe of window j,
-    # 2 + len(widths) + i departure of distinct statistic i
+    # 2 + len(widths) + i departure of distinct statistic i; level 0 is the
+    # whole key, level i the rows with the same parts[i - 1]
     n_low, leave = 2 + len(widths), 2 + len(widths)
-    kinds = F.array(*[F.lit(k) for k in range(leave + len(distincts))])
+    levels = sorted({level for *_, level in sums.values()} | ({0} if maxes or distincts else set()))
+    kinds = [F.struct(F.lit(lv).alias("lv"), F.lit(k).alias("kind")) for lv in levels
+             for k in [0, 1, *[2 + widths.index(w) for w in widths if _probes(sums, maxes, lv, w)],
+                       *[leave + i for i in range(len(distincts) if lv == 0 else 0)]]]
     pt = F.when(F.col("_kind") == 0, F.col("_t")).when(F.col("_kind") == 1, F.col("_t") - excl)
     for j, w in enumerate(widths):
         pt = pt.when(F.col("_kind") == 2 + j, F.col("_t") - F.lit(w * 1_000_000) - excl)
     for i in range(len(distincts)):
         pt = pt.when(F.col("_kind") == leave + i, F.col(f"_e{i}"))
     is_val = F.col("_kind") == 0
-    ev = base.select("*", F.explode(kinds).alias("_kind")).withColumn("_pt", pt).where(F.col("_pt").isNotNull())
-    adds = [F.when(is_val, F.coalesce(f"_v{i}", F.lit(0.0))).otherwise(0.0).alias(f"_a{i}") for i in range(len(sums))]
-    adds += [F.when(is_val & F.col(f"_i{i}").isNotNull(), 1.0).when(F.col("_kind") == leave + i, -1.0).otherwise(0.0)
+    ev = (base.select("*", F.explode(F.array(*kinds)).alias("_ev")).select("*", F.col("_ev.lv").alias("_lv"), F.col("_ev.kind").alias("_kind"))
+          .withColumn("_pt", pt).where(F.col("_pt").isNotNull()))
+    adds = [F.when(is_val & (F.col("_lv") == lv), F.coalesce(f"_v{i}", F.lit(0.0))).otherwise(0.0).alias(f"_a{i}")
+            for i, (*_, lv) in enumerate(sums.values())]
+    adds += [F.when(is_val & (F.col("_lv") == 0) & F.col(f"_i{item_of[i]}").isNotNull(), 1.0).when(F.col("_kind") == leave + i, -1.0).otherwise(0.0)
              .alias(f"_d{i}") for i in range(len(distincts))]
-    ev = ev.select("_rid", *K, "_kind", "_pt", F.floor(F.col("_pt") / F.lit(hour_us)).cast("long").alias("_h"),
+    if parts:
+        part = F.lit(None).cast("string")
+        for i in range(len(parts)):
+            part = F.when(F.col("_lv") == i + 1, F.col(f"_part{i}")).otherwise(part)
+        ev = ev.withColumn("_part", part)
+    ev = ev.select("_rid", *K, "_lv", *(["_part"] if parts else []), "_kind", "_pt",
+                   F.floor(F.col("_pt") / F.lit(hour_us)).cast("long").alias("_h"),
                    F.floor(F.col("_pt") / F.lit(block_us)).cast("long").alias("_c"), *adds,
-                   *[F.when(is_val, F.col(f"_x{i}")).alias(f"_x{i}") for i in range(len(maxes))])
+                   *[F.when(is_val & (F.col("_lv") == 0), F.col(f"_x{i}")).alias(f"_x{i}") for i in range(len(maxes))])
+    if parts:
+        K = [*K, "_lv", "_part"]
     S, D, X = ([f"_{p}{i}" for i in range(len(d))] for p, d in (("a", sums), ("d", distincts), ("x", maxes)))
     up = Window.partitionBy(*K, "_h").orderBy("_pt").rangeBetween(Window.unboundedPreceding, 0)
     down = Window.partitionBy(*K, "_h").orderBy(F.col("_pt").desc()).rangeBetween(Window.unboundedPreceding, -1)
@@ -153,19 +174,19 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: di
     for c in null_safe[1:]:
         cond = cond & c
     probes = ev.where((F.col("_kind") >= 1) & (F.col("_kind") < n_low)).alias("e").join(hours.alias("h"), cond).select(
-        "_rid", "_kind", "_c", *[(F.col(f"_p{c}") + F.col(f"_r{c}")).alias(f"_w{c}") for c in S + D],
+        "_rid", F.col("e._lv").alias("_lv"), "_kind", "_c", *[(F.col(f"_p{c}") + F.col(f"_r{c}")).alias(f"_w{c}") for c in S + D],
         *[F.col(f"_b{c}") for c in S], *[F.col(f"_{p}{c}") for c in X for p in ("r", "q", "m")])
 
-    def at(kind: int, col: str) -> Column:
-        return F.max(F.when(F.col("_kind") == kind, F.col(col)))
+    def at(kind: int, col: str, level: int = 0) -> Column:
+        return F.max(F.when((F.col("_kind") == kind) & (F.col("_lv") == level), F.col(col)))
 
-    aggs = [at(1, "_c").alias("_cu")]
+    aggs = [at(1, "_c", lv).alias(f"_cu{lv}") for lv in levels]
     outs = []
-    for c, (name, (_, w)) in zip(S, sums.items()):
-        low = 2 + widths.index(int(w))
-        aggs += [at(1, f"_w{c}").alias(f"_u{c}"), at(low, f"_w{c}").alias(f"_l{c}"), at(low, f"_b{c}").alias(f"_t{c}"),
-                 at(low, "_c").alias(f"_z{c}")]
-        outs.append((F.col(f"_u{c}") - F.col(f"_l{c}") + F.when(F.col(f"_z{c}") < F.col("_cu"), F.col(f"_t{c}")).otherwise(0.0)).alias(name))
+    for c, (name, (_, w, lv)) in zip(S, sums.items()):
+        low = 2 + widths.index(w)
+        aggs += [at(1, f"_w{c}", lv).alias(f"_u{c}"), at(low, f"_w{c}", lv).alias(f"_l{c}"), at(low, f"_b{c}", lv).alias(f"_t{c}"),
+                 at(low, "_c", lv).alias(f"_z{c}")]
+        outs.append((F.col(f"_u{c}") - F.col(f"_l{c}") + F.when(F.col(f"_z{c}") < F.col(f"_cu{lv}"), F.col(f"_t{c}")).otherwise(0.0)).alias(name))
     for c, (name, (_, w)) in zip(X, maxes.items()):
         low = 2 + widths.index(int(w))
         aggs += [at(1, f"_r{c}").alias(f"_u{c}"), at(1, f"_m{c}").alias(f"_i{c}"), at(low, f"_q{c}").alias(f"_l{c}")]
@@ -174,3 +195,8 @@ def rolling_stats(df: DataFrame, keys: list[str], ts: str, row_id: str, sums: di
         aggs.append(at(1, f"_w{c}").alias(f"_u{c}"))
         outs.append(F.round(f"_u{c}").cast("long").alias(name))
     return probes.groupBy(F.col("_rid").alias(row_id)).agg(*aggs).select(row_id, *outs)
+
+
+def _probes(sums: dict, maxes: dict, level: int, width: int) -> bool:
+    """Whether a level has a statistic over this window."""
+    return any(w == width and lv == level for _, w, lv in sums.values()) or (level == 0 and any(int(w) == width for _, w in maxes.values()))

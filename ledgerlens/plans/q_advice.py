@@ -92,7 +92,7 @@ def q_advice_prompts(spark, sf):
     p = pay(spark, sf)
     cs = p.groupBy("user_id", F.coalesce("category", F.lit("other")).alias("category")).agg(F.sum("amount").alias("spent"))
     recent = A.top_k(p.select("user_id", "transaction_id", "timestamp", "amount", "merchant_name", "category"), ["user_id"],
-                     [F.col("timestamp").desc(), F.col("transaction_id").desc()], 5, "transaction_id")
+                     [F.col("timestamp").desc(), F.col("transaction_id").desc()], 5)
     return finish(AD.prompts(_ctx(spark, sf), goals(spark, sf), cs, recent, _req(spark, sf)))
 
 

@@ -80,7 +80,7 @@ SELECT user_id, rank, transaction_id, merchant_name, amount, strftime({_TS}, '%Y
 WHERE rank <= 5""", ["amount"]))
 def q_recent_transactions(spark, sf):
     t = txn(spark, sf).select("user_id", "transaction_id", "merchant_name", "amount", "timestamp")
-    top = A.top_k(t, ["user_id"], [F.col("timestamp").desc(), F.col("transaction_id").desc()], 5, "transaction_id")
+    top = A.top_k(t, ["user_id"], [F.col("timestamp").desc(), F.col("transaction_id").desc()], 5)
     return finish(top.select("user_id", F.col("rank").cast("long").alias("rank"), "transaction_id", "merchant_name",
                              "amount", T.ts_text("timestamp").alias("ts")))
 

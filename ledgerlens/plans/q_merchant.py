@@ -14,7 +14,7 @@ _US = f"epoch_us({_TS})"
 _CAT = S.first_match("lower(coalesce(vpa, ''))", X.MERCHANT_BUSINESS_KEYWORDS, "other")
 _INITCAP = "array_to_string(list_transform(string_split({x}, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ')"
 
-BASE = with_(PAY,
+_CTES = [
 f"""mk AS (SELECT {_CAT} AS category, avg(amount) AS mkt FROM pay GROUP BY 1)""",
 f"""g AS (SELECT vpa, floor(({_US} - lag({_US}) OVER (PARTITION BY vpa ORDER BY {_TS}, transaction_id)) / 86400000000.0) AS gd
   FROM pay WHERE {_TS} IS NOT NULL)""",
@@ -61,7 +61,11 @@ f"""p AS (SELECT b.vpa, n AS transaction_count, total_volume, total_volume / gre
    CASE WHEN mk.mkt IS NULL AND n > 1 THEN greatest(0.0, least(1.0, 1 - cv / 2)) WHEN mk.mkt IS NULL THEN 0.7
         WHEN mk.mkt = 0 THEN 0.5 WHEN mu / mk.mkt <= 0.9 THEN 1.0 WHEN mu / mk.mkt <= 1.1 THEN 0.8
         WHEN mu / mk.mkt <= 1.3 THEN 0.6 ELSE 0.3 END AS pricing_fairness
-  FROM b LEFT JOIN fq USING (vpa) LEFT JOIN gm USING (vpa) LEFT JOIN mk ON mk.category = b.category)""")
+  FROM b LEFT JOIN fq USING (vpa) LEFT JOIN gm USING (vpa) LEFT JOIN mk ON mk.category = b.category)"""]
+BASE = with_(PAY, *_CTES)
+# the same per (user, VPA): both in one key, taken apart at the end
+BY_USER = with_(PAY, "payu AS (SELECT * REPLACE (concat(user_id, chr(1), vpa) AS vpa) FROM pay)",
+                *[c.replace("FROM pay", "FROM payu") for c in _CTES])
 
 PROFILE_COLS = ["vpa", "merchant_id", "business_name", "category", "transaction_count", "total_volume",
                 "avg_transaction_size", "frequency_score", "loyalty_score", "pricing_fairness", "growth_trend",
@@ -137,7 +141,7 @@ def _insight_sql(name, cond, figure):
 
 
 def _fixed_sql(x, digits):
-    whole = f"CAST(round({x} * {10**digits}) AS BIGINT)"
+    whole = f"CAST(round(round(CAST({x} AS DOUBLE), 6) * {10**digits}) AS BIGINT)"
     return f"concat({whole} // {10**digits}, '.', lpad(CAST({whole} % {10**digits} AS VARCHAR), {digits}, '0'))"
 
 
@@ -152,10 +156,14 @@ def q_merchant_insight_rows(spark, sf):
     return finish(M.insight_rows(_profile(spark, sf)))
 
 
-@register("merchant_profile_by_user")
+_VPA = "split_part(vpa, chr(1), 2)"
+
+
+@register("merchant_profile_by_user", rounded(BY_USER + f"""SELECT split_part(vpa, chr(1), 1) AS user_id, {_VPA} AS vpa,
+  split_part({_VPA}, '@', 1) AS merchant_id, {_INITCAP.format(x=f"translate(split_part({_VPA}, '@', 1), '._', '  ')")} AS business_name,
+  {', '.join(PROFILE_COLS[3:])} FROM p""", PROFILE_DBL))
 def q_merchant_profile_by_user(spark, sf):
-    """The profile per (user, VPA); tested against the per-VPA profile of
-    each user's own rows."""
+    """The profile per (user, VPA)."""
     t = pay(spark, sf)
     return finish(M.profile(t, M.market_averages(t), ["user_id", "vpa"]).select("user_id", *PROFILE_COLS))
 

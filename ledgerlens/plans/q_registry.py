@@ -18,18 +18,19 @@ _TH = "th AS (SELECT * FROM (VALUES " + ", ".join(
     f"('{c}', {RT.ACCURACY_THRESHOLD[c]!r}, {float(RT.LATENCY_THRESHOLD_MS[c])!r}, {_tgt(c)})" for c in RT.ACCURACY_THRESHOLD) \
     + ") AS v(component, accuracy_threshold, latency_ms, target_accuracy))"
 RUNS = [*BLEND_CTES,
-        """ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence, p."timestamp" FROM blend b JOIN pr p USING (rid))""",
+        """ev AS (SELECT p.category AS label, b.predicted_category AS pred, b.confidence, length(p.vpa) AS chars, p."timestamp" FROM blend b JOIN pr p USING (rid))""",
         """mo AS (SELECT date_trunc('month', "timestamp") AS start_time, avg(CAST(label = pred AS DOUBLE)) AS accuracy,
-   avg(confidence) AS mean_confidence, count(*) AS n FROM ev GROUP BY 1)""",
+   avg(confidence) AS mean_confidence, count(*) AS n, avg(chars) * {ms} AS latency FROM ev GROUP BY 1)""".format(ms=RT.MS_PER_CHAR),
         """runs AS (SELECT 'auto_tagging' AS component, 'payment-auto-tagging' AS model, row_number() OVER (ORDER BY start_time) AS version,
-   start_time, accuracy, mean_confidence, n FROM mo)""",
+   start_time, accuracy, mean_confidence, n, latency FROM mo)""",
         """st AS (SELECT runs.*, CASE WHEN version = (SELECT max(version) FROM runs) THEN 'Staging'
    WHEN version = (SELECT max(version) FROM runs) - 1 THEN 'Production' ELSE 'Archived' END AS stage FROM runs)""", _TH]
 
 
 def _runs(spark, sf):
     b, _ = _blend(spark, sf)
-    ev = b.select(F.col("category").alias("label"), F.col("predicted_category").alias("pred"), "confidence", "timestamp")
+    ev = b.select(F.col("category").alias("label"), F.col("predicted_category").alias("pred"), "confidence",
+                  F.length("vpa").alias("chars"), "timestamp")
     return RT.monthly_runs(ev)
 
 
@@ -55,7 +56,7 @@ def q_promotion_check(spark, sf):
 SELECT st.component, version, stage, accuracy, th.accuracy_threshold, th.target_accuracy,
   CAST(accuracy < th.accuracy_threshold AS INTEGER) AS accuracy_breach,
   CASE WHEN th.target_accuracy IS NOT NULL THEN CAST(accuracy >= th.target_accuracy AS INTEGER) END AS target_met,
-  CAST(NULL AS DOUBLE) AS measured_latency_ms, th.latency_ms AS latency_threshold_ms, CAST(NULL AS INTEGER) AS latency_breach
+  latency AS measured_latency_ms, th.latency_ms AS latency_threshold_ms, CAST(latency > th.latency_ms AS INTEGER) AS latency_breach
 FROM st LEFT JOIN th USING (component)""", ["accuracy", "accuracy_threshold", "target_accuracy", "measured_latency_ms", "latency_threshold_ms"]))
 def q_slo_breaches(spark, sf):
     return finish(RT.breaches(_runs(spark, sf), RT.thresholds(spark)))

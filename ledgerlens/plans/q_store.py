@@ -1,4 +1,7 @@
-"""Feature-store tables on the writes a scoring job makes over ``txn``."""
+"""Feature-store tables on the writes a scoring stream makes over ``events``.
+
+All keys read one stored table: the stream writes it once per application and
+source table, and again when a source file changes."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
@@ -6,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import time as T
 from ..operators import featurestore as FS
 from ..operators.ingest import scratch_path
+from ..sources import fs
 from ..sources.adapters import txn
 from ..sources.tables import table
+from ..streaming import jobs as J
 from .common import finish, rounded
 from .oracle_base import TXN, with_
 from .registry import register
@@ -28,9 +33,19 @@ LATEST = """lat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fea
 _EXP = "(stored_at + to_seconds(ttl_seconds))"
 
 
-def _log(spark, sf):
-    """The stored table: written as a scoring job would, then read back."""
-    return FS.stored(spark, FS.store(FS.feature_log(txn(spark, sf)), scratch_path(spark, "feature_store")))
+_STORES: dict[tuple, str] = {}
+
+
+def _store(spark, sf):
+    """Path of the stored table of ``events`` as its files are now."""
+    key = (spark.sparkContext.applicationId, sf, fs.stamp(spark, f"{sf.rstrip('/')}/events.parquet"))
+    if key not in _STORES:
+        _STORES[key] = J.stream_features(J.stream_txn(spark, sf), scratch_path(spark, "feature_store")).path
+    return _STORES[key]
+
+
+def _log(spark, sf, feature_set=None):
+    return FS.stored(spark, _store(spark, sf), feature_set)
 
 
 def _flat(df):
@@ -103,17 +118,36 @@ def q_fs_stats(spark, sf):
         (F.count("_hit") / F.count(F.lit(1))).alias("hit_rate")))
 
 
-@register("fs_invalidate", with_(TXN, LOG, LATEST, """tomb AS (SELECT DISTINCT 'user_txn' AS feature_set, 'v1' AS version, user_id AS entity_id
-  FROM txn WHERE category = 'error' AND amount > {LARGE})""".format(LARGE=LARGE)) + """
+_TOMB = f"""tomb AS (SELECT DISTINCT 'user_txn' AS feature_set, 'v1' AS version, user_id AS entity_id
+  FROM txn WHERE category = 'error' AND amount > {LARGE})"""
+
+
+@register("fs_invalidate", with_(TXN, LOG, LATEST, _TOMB) + """
 SELECT feature_set, version, entity_id FROM lat
 WHERE (feature_set, version, entity_id) NOT IN (SELECT (feature_set, version, entity_id) FROM tomb)""")
 def q_fs_invalidate(spark, sf):
-    """Keys left after removing a tombstone set (users with a large
-    failed payment)."""
+    """Keys of the stored table read back after users with a large failed
+    payment were deleted from it."""
+    path = FS.store(FS.feature_log(txn(spark, sf)), scratch_path(spark, "feature_store"))
+    FS.compact(spark, path, _tombstones(spark, sf))
+    return finish(FS.latest(FS.stored(spark, path)).select(*FS.KEY))
+
+
+def _tombstones(spark, sf):
     t = txn(spark, sf)
-    tomb = t.where((F.col("category") == "error") & (F.col("amount") > LARGE)).select(
+    return t.where((F.col("category") == "error") & (F.col("amount") > LARGE)).select(
         F.lit("user_txn").alias("feature_set"), F.lit("v1").alias("version"), F.col("user_id").alias("entity_id"))
-    return finish(FS.latest(_log(spark, sf)).join(tomb, FS.KEY, "left_anti").select(*FS.KEY))
+
+
+@register("fs_compaction", with_(TXN, LOG, LATEST, _TOMB) + f"""
+SELECT feature_set, version, entity_id, {_TXT.format(x='stored_at')} AS stored_at, transaction_id FROM lat
+WHERE {_EXP} > {_AS} AND (feature_set, version, entity_id) NOT IN (SELECT (feature_set, version, entity_id) FROM tomb)""")
+def q_fs_compaction(spark, sf):
+    """The rows of the stored table after a full compaction: no deleted
+    or expired key, one write per key."""
+    path = FS.store(FS.feature_log(txn(spark, sf)), scratch_path(spark, "feature_store"))
+    FS.compact(spark, path, _tombstones(spark, sf), AS_OF, history=False)
+    return finish(FS.stored(spark, path).select(*FS.KEY, T.ts_text("stored_at").alias("stored_at"), "transaction_id"))
 
 
 @register("fs_missing_features", with_(TXN, LOG, LATEST) + """
@@ -140,7 +174,7 @@ FROM txn p ASOF LEFT JOIN (SELECT * FROM log WHERE feature_set = 'user_txn') l
   ON p.user_id = l.entity_id AND p."timestamp" > l.stored_at""", ["f_amount", "f_hour"]))
 def q_fs_asof_join(spark, sf):
     t = txn(spark, sf)
-    j = FS.asof_join(t.select("transaction_id", "user_id", "timestamp"), _log(spark, sf), "user_id", "user_txn")
+    j = FS.asof_join(t.select("transaction_id", "user_id", "timestamp"), _log(spark, sf, "user_txn"), "user_id", "user_txn")
     return finish(j.select("transaction_id", "user_id", F.col("features")["amount"].alias("f_amount"),
                            F.col("features")["hour"].alias("f_hour"),
                            T.ts_text("feature_stored_at").alias("feature_stored_at")))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import time as T
 from ..operators import tagging as TG
-from ..sources.adapters import catalog
+from ..sources.adapters import catalog, txn
 from ..streaming import jobs as J
 from .common import finish, rounded
 from .oracle_base import CATALOG, TXN, with_
@@ -21,8 +21,10 @@ SELECT user_id || '_' || strftime({_TS}, '%Y-%m-%dT%H:%M:%S.%f') AS sample_id, u
   strftime({_TS}, '%Y-%m-%d %H:%M:%S.%f') AS ts, category AS label
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, {_TS} ORDER BY transaction_id) AS r FROM txn) WHERE r = 1""", ["amount"]))
 def q_stream_training_samples(spark, sf):
-    samples = J.training_samples(J.stream_txn(spark, sf), J.backlog_lateness(spark, sf))
-    d = J.read_sink(spark, J.whole(J.run_batches(samples, "samples")))
+    stream = J.stream_txn(spark, sf)
+    root = J.route(stream)
+    run = J.whole(J.run_batches(J.training_samples(J.on_time(spark, root, stream.schema)), "samples"))
+    d = J.with_late_samples(J.read_sink(spark, run), J.late(spark, root, stream.schema))
     return finish(d.select("sample_id", "user_id", "merchant_name", "amount", T.ts_text("timestamp").alias("ts"), "label"))
 
 
@@ -30,8 +32,10 @@ def q_stream_training_samples(spark, sf):
 SELECT CAST(i AS BIGINT) AS trigger_no, CAST(i * 100 AS BIGINT) AS threshold
 FROM range(1, (SELECT count(*) FROM txn) // 100 + 1) AS r(i)""")
 def q_stream_retrain_trigger(spark, sf):
-    samples = J.training_samples(J.stream_txn(spark, sf), J.backlog_lateness(spark, sf))
-    rows = J.read_sink(spark, J.whole(J.retrain_triggers(samples, every=100)))
+    stream = J.stream_txn(spark, sf)
+    root = J.route(stream)
+    run = J.whole(J.retrain_triggers(J.training_samples(J.on_time(spark, root, stream.schema)), every=100))
+    rows = J.read_sink(spark, J.late_triggers(run, J.late(spark, root, stream.schema), every=100))
     return finish(rows.where(F.col("trigger_no").isNotNull()).select("trigger_no", "threshold"))
 
 
@@ -53,8 +57,10 @@ SELECT user_id, strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, strftime(ws +
 FROM (SELECT user_id, time_bucket(INTERVAL 6 HOUR, {_TS}) - to_hours(6 * k) AS ws FROM txn, range(0, 4) AS r(k))
 GROUP BY ALL""")
 def q_stream_velocity(spark, sf):
-    windows = J.velocity(J.stream_txn(spark, sf), lateness=J.backlog_lateness(spark, sf))
-    d = J.read_sink(spark, J.whole(J.run_batches(windows, "velocity", "update")), ["user_id", "w"])
+    stream = J.stream_txn(spark, sf)
+    root = J.route(stream)
+    run = J.whole(J.run_batches(J.velocity(J.on_time(spark, root, stream.schema)), "velocity", "update"))
+    d = J.with_late_counts(J.read_sink(spark, run, ["user_id", "w"]), J.late(spark, root, stream.schema))
     return finish(d.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                            F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"), "transactions"))
 
@@ -71,7 +77,10 @@ SELECT transaction_id, merchant_name, {S.display('cat')} AS category, confidence
   CASE WHEN exact_cat IS NOT NULL THEN 'merchant_catalog' WHEN confidence > 0.7 THEN 'fuzzy_match' ELSE 'keyword_rules' END AS prediction_source,
   CAST(confidence < 0.7 AS INTEGER) AS requires_review FROM s""", ["confidence"]))
 def q_stream_tagging(spark, sf):
-    return finish(J.read_sink(spark, J.tag_stream(J.stream_txn(spark, sf), catalog(spark, sf))))
+    """The match dimension comes from the names known so far (the backlog's)."""
+    names = txn(spark, sf).select(TG.strip_lower(F.coalesce("merchant_name", F.lit("Unknown"))).alias("m"))
+    cat = catalog(spark, sf)
+    return finish(J.read_sink(spark, J.tag_stream(J.stream_txn(spark, sf), cat, J.match_dimension(names, cat))))
 
 
 @register("stream_label_votes", rounded(with_(TXN, VOTES, LABELS) + "SELECT * FROM lbl", ["confidence"]))

@@ -27,12 +27,6 @@ CDIM = f"""cdim AS (SELECT normalized_name, arg_min(cc, ord) AS canonical_catego
     SELECT 1 FROM catalog c1 WHERE {S.norm('c1."Merchant Name"')} = {S.norm('c0."Merchant Name"')} AND {_CANON.replace('"Category"', 'c1."Category"')} IS NOT NULL))"""
 
 
-@register("catalog_dim", rounded(with_(CATALOG, CDIM) + f"""
-SELECT normalized_name, canonical_category, {_CID('canonical_category')} AS canonical_id FROM cdim""", ["canonical_id"]))
-def q_catalog_dim(spark, sf):
-    return finish(TG.catalog_dim(catalog(spark, sf)))
-
-
 def _taxonomy(spark):
     ids = {v: int(i) for v, i in X.CANONICAL_IDS.items()}
     internal = {"Food & Dining": "food", "Shopping": "shopping", "Transport": "transport", "Healthcare": "healthcare",

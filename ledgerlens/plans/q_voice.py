@@ -111,8 +111,8 @@ _SENT = (f"CASE WHEN len({_WORDS}) = 0 THEN 0.0 ELSE greatest(-1.0, least(1.0, "
 @register("text_sentiment", rounded(_sql(f"SELECT conv_id, turn, {_SENT} AS sentiment_score, CAST(len({_WORDS}) AS BIGINT) AS n_words FROM conversations"),
                                     ["sentiment_score"]))
 def q_text_sentiment(spark, sf):
-    t = _texts(spark, sf)
-    return finish(t.select(*KEYS, TM.sentiment(F.col("text")).alias("sentiment_score"),
+    t = TM.lowered(_texts(spark, sf))
+    return finish(t.select(*KEYS, TM.sentiment(F.col(TM.LOW)).alias("sentiment_score"),
                            TM.word_count(F.col("text")).cast("long").alias("n_words")))
 
 
@@ -121,13 +121,13 @@ _INS = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any_sql(kws)} T
 
 @register("text_insights", _sql(f"SELECT conv_id, turn, {_INS} AS insights FROM conversations"))
 def q_text_insights(spark, sf):
-    return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.insights(F.col("text")), ",").alias("insights")))
+    return finish(TM.lowered(_texts(spark, sf)).select(*KEYS, F.array_join(TM.insights(F.col(TM.LOW)), ",").alias("insights")))
 
 
 @register("text_keywords", _sql("SELECT conv_id, turn, array_to_string(list_sort(list_distinct("
           + _hits_sql([k for _, kws in TM.FINANCIAL_KEYWORDS for k in kws]) + ")), ',') AS keywords FROM conversations"))
 def q_text_keywords(spark, sf):
-    return finish(_texts(spark, sf).select(*KEYS, F.array_join(TM.keywords(F.col("text")), ",").alias("keywords")))
+    return finish(TM.lowered(_texts(spark, sf)).select(*KEYS, F.array_join(TM.keywords(F.col(TM.LOW)), ",").alias("keywords")))
 
 
 _LANG = f"CASE WHEN {_any_sql(TM.HINDI_INDICATORS)} THEN 'hi' ELSE 'en' END"
@@ -135,7 +135,7 @@ _LANG = f"CASE WHEN {_any_sql(TM.HINDI_INDICATORS)} THEN 'hi' ELSE 'en' END"
 
 @register("text_language", _sql(f"SELECT conv_id, turn, {_LANG} AS language FROM conversations"))
 def q_text_language(spark, sf):
-    return finish(_texts(spark, sf).select(*KEYS, TM.language(F.col("text")).alias("language")))
+    return finish(TM.lowered(_texts(spark, sf)).select(*KEYS, TM.language(F.col(TM.LOW)).alias("language")))
 
 
 _TOKKW = " || ".join(f"list_filter({_LWORDS}, lambda w: w IN ({', '.join(S.q(k) for k in kws)}))" for _, kws in TM.FINANCIAL_KEYWORDS)
@@ -165,6 +165,19 @@ def q_spending_mentions(spark, sf):
     return finish(TM.spending_mentions(_texts(spark, sf), KEYS))
 
 
+# an average of few fixed values often ends in a tie at the 7th place: no float
+# sum may decide it, so weights are counted and other values summed as decimals
+_EMO_WEIGHTS = [(n, w) for n, w, _ in TM.EMOTIONS] + [("neutral", 0.5)]
+
+
+def _exact_avg(c):
+    return F.sum(F.col(c).cast("decimal(28,9)")).cast("double") / F.count(c)
+
+
+def _exact_avg_sql(c):
+    return f"CAST(sum(CAST({c} AS DECIMAL(28,9))) AS DOUBLE) / count({c})"
+
+
 _ROLL = [f"{f}_emo_{n}" for f in ("avg", "max") for n in _EMO + ["neutral"]] + ["avg_sentiment", "min_sentiment", "max_sentiment",
                                                         "positive_ratio", "avg_duration", "avg_confidence"]
 
@@ -174,11 +187,12 @@ e AS (SELECT conv_id, turn, {', '.join(f"CASE WHEN {_any_sql(kws)} THEN {w!r} EL
    CASE WHEN NOT {_any_sql([k for _, _, kws in TM.EMOTIONS for k in kws])} THEN 0.5 ELSE 0.0 END AS emo_neutral FROM conversations),
 lang AS (SELECT conv_id, language FROM (SELECT conv_id, language, row_number() OVER (PARTITION BY conv_id ORDER BY count(*) DESC, language) AS r
    FROM a GROUP BY conv_id, language) WHERE r = 1)
-SELECT conv_id, count(*) AS n_memos, {', '.join(f'{f}(emo_{n}) AS {f}_emo_{n}' for f in ('avg', 'max') for n in _EMO + ['neutral'])},
+SELECT conv_id, count(*) AS n_memos, {', '.join(f'count(*) FILTER (WHERE emo_{n} > 0) * {w!r}::DOUBLE / count(*) AS avg_emo_{n}' for n, w in _EMO_WEIGHTS)},
+  {', '.join(f'max(emo_{n}) AS max_emo_{n}' for n, _ in _EMO_WEIGHTS)},
   {', '.join(f'count(*) FILTER (WHERE emo_{n} > 0.3) AS n_emo_{n}' for n in _EMO)},
-  avg(sentiment_score) AS avg_sentiment, min(sentiment_score) AS min_sentiment, max(sentiment_score) AS max_sentiment,
-  avg(CAST(sentiment_score > 0.1 AS DOUBLE)) AS positive_ratio, avg(duration_seconds) AS avg_duration,
-  avg(confidence) AS avg_confidence, min(turn) AS first_turn, max(turn) AS last_turn, any_value(lang.language) AS modal_language
+  {_exact_avg_sql('sentiment_score')} AS avg_sentiment, min(sentiment_score) AS min_sentiment, max(sentiment_score) AS max_sentiment,
+  avg(CAST(sentiment_score > 0.1 AS DOUBLE)) AS positive_ratio, {_exact_avg_sql('duration_seconds')} AS avg_duration,
+  {_exact_avg_sql('confidence')} AS avg_confidence, min(turn) AS first_turn, max(turn) AS last_turn, any_value(lang.language) AS modal_language
 FROM a JOIN e USING (conv_id, turn) JOIN lang USING (conv_id) GROUP BY conv_id"""), _ROLL))
 def q_voice_rollup(spark, sf):
     """Per conversation (a user's memo stream)."""
@@ -188,13 +202,13 @@ def q_voice_rollup(spark, sf):
              .agg(F.min_by("language", F.struct(-F.col("_c"), F.col("language"))).alias("modal_language")))
     r = a.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_memos"),
-        *[F.avg(f"emo_{n}").alias(f"avg_emo_{n}") for n in _EMO + ["neutral"]],
+        *[(F.count_if(F.col(f"emo_{n}") > 0) * F.lit(w) / F.count(F.lit(1))).alias(f"avg_emo_{n}") for n, w in _EMO_WEIGHTS],
         *[F.max(f"emo_{n}").alias(f"max_emo_{n}") for n in _EMO + ["neutral"]],
         *[F.count_if(F.col(f"emo_{n}") > 0.3).alias(f"n_emo_{n}") for n in _EMO],
-        F.avg("sentiment_score").alias("avg_sentiment"), F.min("sentiment_score").alias("min_sentiment"),
+        _exact_avg("sentiment_score").alias("avg_sentiment"), F.min("sentiment_score").alias("min_sentiment"),
         F.max("sentiment_score").alias("max_sentiment"),
         F.avg((F.col("sentiment_score") > 0.1).cast("double")).alias("positive_ratio"),
-        F.avg("duration_seconds").alias("avg_duration"), F.avg("confidence").alias("avg_confidence"),
+        _exact_avg("duration_seconds").alias("avg_duration"), _exact_avg("confidence").alias("avg_confidence"),
         F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
     return finish(r.join(lang, "conv_id"))
 
@@ -205,10 +219,10 @@ SELECT conv_id, term, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number()
 WHERE r <= 10"""))
 def q_voice_top_terms(spark, sf):
     """The 10 most common financial keywords per conversation."""
-    t = _texts(spark, sf)
-    w = t.select("conv_id", F.explode(TM.token_keywords(F.col("text"))).alias("term"))
+    t = TM.with_tokens(TM.lowered(_texts(spark, sf)))
+    w = t.select("conv_id", F.explode(TM.token_keywords(F.col(TM.TOKENS))).alias("term"))
     c = w.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("term")], 10, "term")
+    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("term")], 10)
     return finish(top.select("conv_id", "term", "n", F.col("rank").cast("int").alias("rank")))
 
 
@@ -227,7 +241,7 @@ SELECT conv_id, insight, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_numbe
 WHERE r <= 3"""))
 def q_voice_top_insights(spark, sf):
     """The 3 most common insight types per conversation (ties by name)."""
-    w = _texts(spark, sf).select("conv_id", F.explode(TM.insights(F.col("text"))).alias("insight"))
+    w = TM.lowered(_texts(spark, sf)).select("conv_id", F.explode(TM.insights(F.col(TM.LOW))).alias("insight"))
     c = w.groupBy("conv_id", "insight").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("insight")], 3, "insight")
+    top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("insight")], 3)
     return finish(top.select("conv_id", "insight", "n", F.col("rank").cast("int").alias("rank")))

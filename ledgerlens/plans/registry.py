@@ -23,5 +23,5 @@ def load_all():
     # importing the modules fills the registry
     from . import (q_core, q_text_cols, q_aggs, q_trust, q_merchant,  # noqa: F401
                    q_tagging, q_nudges, q_voice, q_store, q_advice, q_model, q_features, q_matrices, q_ingest, q_patterns, q_registry,
-                   q_stream)
+                   q_records, q_stream)
     return QUERIES, ORACLES

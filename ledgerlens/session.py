@@ -1,8 +1,10 @@
 """Spark session defaults shared by tests, bench and the driver entry."""
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +21,8 @@ BASE_CONF = {
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.inferTimestampNTZ.enabled": "true",
+    # checkpoint files go once nothing refers to them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -63,6 +67,25 @@ RUNTIME_CONF = {
 }
 
 
+_SCRATCH: set[str] = set()
+
+
+def scratch_path(spark: SparkSession, kind: str, name: str) -> str:
+    """A new path ``<kind>/<name>-<random>`` in the shared folder, for a table
+    that this application alone uses; removed when the driver ends."""
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}"
+    if base not in _SCRATCH:
+        _SCRATCH.add(base)
+        atexit.register(_remove_scratch, spark, base)
+    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _remove_scratch(spark: SparkSession, base: str) -> None:
+    from .sources import fs
+    if spark.sparkContext._jsc is not None:
+        fs.delete(spark, base)
+
+
 def apply_defaults(spark: SparkSession) -> SparkSession:
     """Runtime SQL settings the operators' semantics rely on (the data is
     wall-clock ``timestamp_ntz``; every conversion is defined in UTC), applied
