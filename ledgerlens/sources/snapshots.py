@@ -42,14 +42,14 @@ class Snapshots:
         return path
 
     def prune(self, keep: int = 2) -> None:
-        """Remove all but the newest ``keep`` versions and leftovers older
-        than them."""
+        """Remove all but the newest ``keep`` versions, and what failed writers
+        left up to the current one."""
         done = fs.names(self.spark, f"{self.root}/versions")[-keep:]
         if not done:
             return
         held = {fs.read_text(self.spark, f"{self.root}/versions/{n}") for n in done}
         for name in fs.names(self.spark, f"{self.root}/data"):
-            if name not in held and name < done[-1]:
+            if name not in held and name.split("-")[0] <= done[-1]:
                 fs.delete(self.spark, f"{self.root}/data/{name}")
         for n in fs.names(self.spark, f"{self.root}/versions"):
             if n < done[0]:

@@ -126,3 +126,96 @@ def test_queries_keep_old_rows_of_later_batches(spark, folder, key, monkeypatch)
         assert got.count() == t.select("user_id", "timestamp").distinct().count()
     else:
         assert got.count() == t.select("user_id", "timestamp").distinct().count() // 100
+
+
+def _days_apart(spark, base, order):
+    """A part file per day, written in the given order of days."""
+    ev = spark.read.parquet(f"{SF}/events.parquet")
+    first = ev.agg(F.min("ts")).first()[0].replace(hour=0, minute=0, second=0, microsecond=0)
+    for d in order:
+        low = F.lit(str(first)).cast("timestamp_ntz") + F.expr(f"interval {d} days")
+        ev.where((F.col("ts") >= low) & (F.col("ts") < low + F.expr("interval 1 day"))).coalesce(1).write.mode("append").parquet(f"{base}/events.parquet")
+    return ev
+
+
+@pytest.mark.parametrize("order", [list(range(30)), list(range(29, -1, -1)), [7 * d % 30 for d in range(30)]])
+def test_state_stays_bounded(spark, order, monkeypatch):
+    """Six days a micro-batch, in any order: late rows go to the side table,
+    the others leave the state, the merged result is whole."""
+    base = f"{ensure_checkpoint_dir(spark)}/days-{uuid.uuid4().hex}"
+    _days_apart(spark, base, order)
+    stream = J.stream_txn(spark, base, 6)
+    root = J.route(stream, lateness="3 days")
+    seen = []
+    finish = J._finish
+
+    def watch(query, job):
+        run = finish(query, job)
+        seen.extend(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"])
+        return run
+
+    monkeypatch.setattr(J, "_finish", watch)
+    ordered = J.on_time(spark, root, stream.schema)
+    run = J.whole(J.run_batches(J.training_samples(ordered, "3 days"), "samples"))
+    late = J.late(spark, root, stream.schema)
+    got = J.with_late_samples(J.read_sink(spark, run), late)
+    t = txn(spark, base)
+    n = t.select("user_id", "timestamp").distinct().count()
+    assert got.count() == n == got.select("sample_id").distinct().count()
+    per_day = t.groupBy(F.to_date("timestamp")).count().agg(F.max("count")).first()[0]
+    assert max(seen) <= 13 * per_day  # two slices and the delay, not the month
+    if order[0] == 29:
+        assert late.count() > 0
+    counts = J.with_late_counts(J.read_sink(spark, J.whole(J.run_batches(J.velocity(ordered, lateness="3 days"), "v", "update")), ["user_id", "w"]), late)
+    want = t.groupBy("user_id", F.window(F.col("timestamp").cast("timestamp"), "1 day", "6 hours").alias("w")).agg(F.count("*").alias("transactions"))
+    assert _rows(counts) == _rows(want.select("user_id", "w", "transactions"))
+
+
+def test_late_samples_trigger_once(spark):
+    base = f"{ensure_checkpoint_dir(spark)}/late-{uuid.uuid4().hex}"
+    ev = _days_apart(spark, base, [29, 28, 0, 1])
+    stream = J.stream_txn(spark, base, 1)
+    root = J.route(stream, lateness="3 days")
+    late = J.late(spark, root, stream.schema)
+    run = J.retrain_triggers(J.training_samples(J.on_time(spark, root, stream.schema), "3 days"), 10)
+    for _ in range(2):  # a repeated merge replaces its own rows
+        got = J.read_sink(spark, J.late_triggers(run, late.unionByName(late), 10)).where("trigger_no is not null")
+    n = txn(spark, base).select("user_id", "timestamp").distinct().count()
+    assert late.count() > 10
+    assert sorted(tuple(r) for r in got.select("trigger_no", "threshold").collect()) == [(i, 10 * i) for i in range(1, n // 10 + 1)]
+
+
+def test_a_routed_batch_that_is_retried(spark, monkeypatch):
+    base = f"{ensure_checkpoint_dir(spark)}/again-{uuid.uuid4().hex}"
+    _days_apart(spark, base, [0, 9, 5])
+    stream = J.stream_txn(spark, base, 1)
+    root, names = f"{base}/job", J.fs.names
+    calls = []
+
+    from pyspark.sql import DataFrameWriter
+    write = DataFrameWriter.parquet
+
+    def flaky(self, path, *a, **k):
+        calls.append(path)
+        if "/ontime/000000001-" in path and sum("/ontime/000000001-" in c for c in calls) == 1:
+            write(self, path, *a, **k)
+            raise RuntimeError("lost")
+        return write(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", flaky)
+    with pytest.raises(Exception, match="lost"):
+        J.route(stream, root, "2 days")
+    J.route(stream, root, "2 days")
+    rows = spark.read.schema(stream.schema).parquet(f"{root}/ontime/*").unionByName(J.late(spark, root, stream.schema))
+    assert _rows(rows.select("transaction_id")) == _rows(txn(spark, base).select("transaction_id"))
+    assert J.late(spark, root, stream.schema).count() > 0
+
+
+def test_streamed_features_equal_batch_features(spark, folder):
+    from ledgerlens.operators import featurestore as FS
+    path = f"{ensure_checkpoint_dir(spark)}/fs-{uuid.uuid4().hex}"
+    run = J.stream_features(J.stream_txn(spark, folder, 1), path)
+    J.stream_features(J.stream_txn(spark, folder, 1), path, run.root)  # nothing new
+    cols = ["feature_set", "version", "entity_id", "stored_at", "ttl_seconds", "transaction_id"]
+    assert _rows(FS.stored(spark, path).select(*cols)) == _rows(FS.feature_log(txn(spark, folder)).select(*cols))
+    assert spark.read.parquet(path).select("epoch").distinct().count() == 4
