@@ -1,10 +1,10 @@
 """Line deduplication by site-relative frequency, with DataFrame functions only.
 
-A line is boilerplate of a site when the share of the site's pages that hold
-it exceeds ``max_ratio``; such lines are dropped from every page of the site.
-Lines are compared without surrounding blanks; empty lines are never dropped.
-Sites with fewer than ``min_pages`` pages are left alone (on a site of three
-pages every line would be frequent). With ``by_text`` equal texts of a site
+A line is boilerplate of a site when it is on at least ``min_repeats`` pages
+of the site and the share of the site's pages that hold it exceeds
+``max_ratio``; such lines are dropped from every page of the site. Lines are
+compared without surrounding blanks; empty lines are never dropped. The rule
+is on the line alone, whatever the size of the site. With ``by_text`` equal texts of a site
 are one page, in the counts of lines and of pages, so copies of a page don't
 make its lines boilerplate. With ``keep_whole`` a page all of whose lines
 would go keeps them all.
@@ -14,8 +14,9 @@ are summed before the shuffle, so a site with a third of all pages costs no
 more than its distinct lines. With ``by_text`` (line, text) digests are made
 distinct first, in a shuffle that no single line or text can skew. The boilerplate list holds at most
 lines-per-page / ``max_ratio`` lines a site; it is written and counted, joined
-to the pages by broadcast while it has at most ``broadcast_lines`` lines, and
-beyond that by a shuffle of line digests.
+to the pages by broadcast while it has at most ``broadcast_lines`` lines and
+no site more than ``SITE_LINES`` of them (a page's lines are looked up in its
+site's list), and beyond that by a shuffle of line digests.
 
 Edge cases: a null text stays null and counts as a page without lines; a null
 host is a site of its own; repeated rows are pages of their own (one page with
@@ -31,6 +32,7 @@ from .common import row_ids, staged
 
 BLANKS = " \t\r"
 BROADCAST_LINES = 200_000
+SITE_LINES = 1_000
 
 
 def _lines(text: Column) -> Column:
@@ -45,7 +47,7 @@ def _is_line(line: Column) -> Column:
     return F.length(F.btrim(line, F.lit(BLANKS))) > 0
 
 
-def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, host_col: str = "host",
+def boilerplate(pages: DataFrame, max_ratio: float, min_repeats: int, host_col: str = "host",
                 text_col: str = "text", by_text: bool = False) -> DataFrame:
     """(host, line digest, pages with it, pages of the site) of the lines to drop."""
     page = [F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("page")] if by_text else []
@@ -55,21 +57,21 @@ def boilerplate(pages: DataFrame, max_ratio: float, min_pages: int, host_col: st
     if by_text:
         seen, sites = seen.distinct(), sites.distinct()
     totals = sites.groupBy("site").agg(F.count(F.lit(1)).alias("total"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
-    big = totals.filter(F.col("total") >= min_pages)
-    return (counts.join(big, F.col("host").eqNullSafe(F.col("site")))
+    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_repeats)
+    return (counts.join(totals, F.col("host").eqNullSafe(F.col("site")))
             .filter(F.col("n") > max_ratio * F.col("total")).select("host", "line", "n", "total"))
 
 
-def drop_boilerplate(df: DataFrame, host: Column, max_ratio: float = 0.1, min_pages: int = 20,
+def drop_boilerplate(df: DataFrame, host: Column, max_ratio: float = 0.1, min_repeats: int = 3,
                      text_col: str = "text", id_col: str = "doc_id", n_lines: str = "n_lines",
                      n_dropped: str = "n_dropped", broadcast_lines: int = BROADCAST_LINES,
                      by_text: bool = False, keep_whole: bool = False) -> DataFrame:
     """All columns of ``df`` with boilerplate lines removed from ``text_col``,
     plus the number of lines and of dropped lines."""
     pages = df.withColumn("_host", host)
-    found = staged(boilerplate(pages, max_ratio, min_pages, "_host", text_col, by_text), "lines")
-    if found.count() <= broadcast_lines:
+    found = staged(boilerplate(pages, max_ratio, min_repeats, "_host", text_col, by_text), "lines")
+    most = found.groupBy("host").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("all"), F.max("n").alias("site")).first()
+    if (most["all"] or 0) <= broadcast_lines and (most["site"] or 0) <= SITE_LINES:
         return _drop_by_site(df, pages, found, text_col, n_lines, n_dropped, keep_whole)
     return _drop_by_line(df, host, found, text_col, id_col, n_lines, n_dropped, keep_whole)
 

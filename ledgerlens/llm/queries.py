@@ -20,7 +20,7 @@ TOKENIZER = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
 SHARDS = [1.0] * 40
 LINE_RATIO = 0.1
-LINE_MIN_PAGES = 20
+LINE_MIN_REPEATS = 3
 
 
 def register(key: str, oracle: str | None = None):
@@ -78,7 +78,7 @@ WITH lines AS (
 ), total AS (
   SELECT source, count(*) AS t FROM documents GROUP BY ALL
 ), bad AS (
-  SELECT source, line FROM freq JOIN total USING (source) WHERE t >= {LINE_MIN_PAGES} AND n > {LINE_RATIO} * t
+  SELECT source, line FROM freq JOIN total USING (source) WHERE n >= {LINE_MIN_REPEATS} AND n > {LINE_RATIO} * t
 ), kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(b.line) AS n_dropped,
          coalesce(string_agg(l.raw, chr(10) ORDER BY l.pos) FILTER (b.line IS NULL), '') AS text
@@ -91,7 +91,7 @@ SELECT doc_id, n_lines, n_dropped, length(text) AS kept_chars, md5(text) AS kept
 @register("op7_line_dedup", _LINE_SQL)
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = line_dedup.drop_boilerplate(docs, F.col("source"), LINE_RATIO, LINE_MIN_PAGES)
+    out = line_dedup.drop_boilerplate(docs, F.col("source"), LINE_RATIO, LINE_MIN_REPEATS)
     return out.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("bigint").alias("kept_chars"),
                       F.md5(F.col("text").cast("binary")).alias("kept_md5"))
 

@@ -17,15 +17,16 @@ def brute(rows, ratio, least):
     out = []
     for i, text, _, host, *_ in rows:
         lines = [] if text is None else text.split("\n")
-        kept = [x for x in lines if not (x.strip(" \t\r") and pages[host] >= least
+        kept = [x for x in lines if not (x.strip(" \t\r") and seen[host, x.strip(" \t\r")] >= least
                                          and seen[host, x.strip(" \t\r")] > ratio * pages[host])]
         out.append((-1 if i is None else i, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
     return sorted(out, key=str)
 
 
 @pytest.mark.parametrize("broadcast_lines", [1000, -1])
-@pytest.mark.parametrize("ratio,least", [(0.3, 2), (0.0, 1), (0.5, 100)])
-def test_against_brute_force(spark, awkward, awkward_docs, broadcast_lines, ratio, least):
+@pytest.mark.parametrize("ratio,least,site_lines", [(0.3, 2, 1000), (0.0, 1, 1000), (0.5, 100, 1000), (0.0, 1, 1)])
+def test_against_brute_force(spark, awkward, awkward_docs, broadcast_lines, ratio, least, site_lines, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SITE_LINES", site_lines)
     out = line_dedup.drop_boilerplate(awkward_docs, F.col("source"), ratio, least, broadcast_lines=broadcast_lines)
     assert set(out.columns) == set(awkward_docs.columns) | {"n_lines", "n_dropped"}
     got = sorted(((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["n_lines"], r["n_dropped"])
@@ -36,9 +37,11 @@ def test_against_brute_force(spark, awkward, awkward_docs, broadcast_lines, rati
 def test_boilerplate_goes_and_the_rest_stays(spark):
     rows = [(i, f"Home\n  page {i}\nFooter", "en", "a" if i % 2 else None, 1) for i in range(40)]
     rows += [(100 + i, f"Home\nother {i}", "en", "b", 1) for i in range(3)]
-    out = line_dedup.drop_boilerplate(make_docs(spark, rows), F.col("source"), 0.1, 20)
+    rows += [(200 + i, f"Home\nthird {i}", "en", "c", 1) for i in range(2)]
+    out = line_dedup.drop_boilerplate(make_docs(spark, rows), F.col("source"), 0.1, 3)
     text = {r["doc_id"]: r["text"] for r in out.collect()}
-    assert text[0] == "  page 0" and text[1] == "  page 1" and text[100] == "Home\nother 0"
+    assert text[0] == "  page 0" and text[1] == "  page 1"
+    assert text[100] == "other 0" and text[200] == "Home\nthird 0"  # three pages of a small site, two of another
 
 
 def test_url_hosts_and_empty_table(spark, no_docs):
@@ -62,7 +65,7 @@ def test_copies_count_once_and_no_page_loses_all(spark, broadcast_lines):
 
 
 def test_query_where_lines_drop(spark):
-    """op7 against its SQL on a table with sources large enough to lose lines."""
+    """op7 against its SQL on a table where many lines drop."""
     import duckdb
     from ledgerlens.llm import queries
     folder = "/root/testdata/sf0.01"
