@@ -38,7 +38,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Copies of a document count once, and a document of boilerplate alone stays
     whole: the next stage decides which copy survives."""
     ship_code(spark)
-    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), queries.LINE_RATIO, queries.LINE_MIN_PAGES,
+    out = line_dedup.drop_boilerplate(docs.select(*COLUMNS), F.col("source"), queries.LINE_RATIO, queries.LINE_MIN_REPEATS,
                                       by_text=True, keep_whole=True)
     chars = F.when(F.col("n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", chars).select(*COLUMNS)
