@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 CELL_ROWS = 20_000  # intended rows of a numbering cell
+RUN_ROWS = 100_000  # equal rows unfolded at once
 
 
 def draw(key: Column, shard: int) -> Column:
@@ -61,7 +62,8 @@ def number(rows: DataFrame, n_shards: int, n_rows: int, shard_col: str = "shard"
            out: str = "slot") -> DataFrame:
     """Add ``out``: a gapless number from 0 inside each shard. Equal rows are
     gathered with their count first, so a row repeated without end is one row
-    of its cell; then each is numbered and unfolded again."""
+    of its cell; then each is numbered and unfolded again, in runs of at most
+    ``RUN_ROWS``."""
     cols = rows.columns
     cells = max(1, math.ceil(n_rows / (n_shards * CELL_ROWS)))
     groups = (rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
@@ -72,10 +74,12 @@ def number(rows: DataFrame, n_shards: int, n_rows: int, shard_col: str = "shard"
               .drop("_in_cell"))
     order = (Window.partitionBy(shard_col, "_cell").orderBy(*[F.col(c).asc_nulls_first() for c in cols])
              .rowsBetween(Window.unboundedPreceding, -1))
-    return (groups.withColumn("_pos", F.coalesce(F.sum("_n").over(order), F.lit(0)))
-            .join(starts, [shard_col, "_cell"])
-            .withColumn("_first", F.col("_pos") + F.col("_start"))
-            .select(*cols, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1)).alias(out)))
+    placed = (groups.withColumn("_pos", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+              .join(starts, [shard_col, "_cell"]).select(*cols, (F.col("_pos") + F.col("_start")).alias("_first"), "_n"))
+    runs = placed.select(*cols, (F.col("_first") + F.col("_n") - 1).alias("_last"),
+                         F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1, F.lit(RUN_ROWS))).alias("_from"))
+    upto = F.least(F.col("_from") + RUN_ROWS - 1, F.col("_last"))
+    return runs.select(*cols, F.explode(F.sequence(F.col("_from"), upto)).alias(out))
 
 
 def shard(df: DataFrame, weights: Sequence[float], key_col: str = "doc_id", text_col: str = "text",

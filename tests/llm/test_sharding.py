@@ -35,6 +35,7 @@ def test_awkward_rows(spark, awkward, awkward_docs):
 
 def test_one_repeated_row_and_small_cells(spark, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_ROWS", 7)
+    monkeypatch.setattr(sharding, "RUN_ROWS", 64)
     df = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("text"))
     rows = sharding.shard(df, [1.0] * 4).collect()
     assert len(rows) == 3000 and slots_ok(rows)
