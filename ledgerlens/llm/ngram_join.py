@@ -7,9 +7,12 @@
    hashes are shuffled; classes of a bucket are tied to its smallest class
    (as many ties as rows, never all pairs), and the ties' connected components
    are the candidate groups, so that every pair that shares a band is in one.
-3. Texts of a candidate group are compared on their full n-gram sets. Large
-   groups are cut into blocks and the pairs of blocks become tasks of bounded
-   size. Links are counted and contracted where they are found, so no pair is
+3. Texts of a candidate group are compared on their full n-gram sets. A group
+   of more than a block that buckets hold together loosely (chance meetings
+   chain unrelated texts) is compared bucket by bucket, a pair counting in the
+   first band that it shares; any other group is compared as a whole, whatever
+   costs fewer comparisons. Large groups and buckets are cut into blocks and
+   the pairs of blocks become tasks of bounded size. Links are counted and contracted where they are found, so no pair is
    ever emitted; every link between different texts counts.
 
 Edge cases: null and empty texts and texts without words link with nothing;
@@ -23,6 +26,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,17 +139,21 @@ def _roots(n: int, left: np.ndarray, right: np.ndarray, link: np.ndarray) -> np.
 
 
 def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
-    """(rid, links, root) per tile from (grp, comp, bi, bj, block, rid, size,
-    text): the linked documents in other classes and the smallest linked rid."""
+    """(rid, links, root) per tile from (grp, unit, band, bands, bi, bj, block,
+    rid, size, text): the linked documents in other classes and the smallest
+    linked rid. A unit is a group (band -1) or a bucket of a band."""
     def run(batches):
         for table in by_group((b for batch in batches for b in small_batches(iter([batch]), "text", BATCH_BYTES)),
                               "grp", 2048, "text", 4 * BATCH_BYTES):
             table = table.combine_chunks()
             text = table.column("text").combine_chunks() if table.num_rows else None
             flat, off = text_grams(text, n)
-            cols = {c: table.column(c).to_numpy() for c in ("comp", "bi", "bj", "block", "rid", "size")}
-            tile = np.stack([cols["comp"], cols["bi"], cols["bj"]], 1)
-            order = np.lexsort((cols["rid"], cols["bj"], cols["bi"], cols["comp"]))
+            cols = {c: table.column(c).to_numpy() for c in ("unit", "band", "bi", "bj", "block", "rid", "size")}
+            lists = table.column("bands").combine_chunks()
+            sig, sizes = lists.flatten().to_numpy(zero_copy_only=False), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            starts = np.cumsum(sizes) - sizes
+            tile = np.stack([cols["unit"], cols["band"], cols["bi"], cols["bj"]], 1)
+            order = np.lexsort((cols["rid"], cols["bj"], cols["bi"], cols["band"], cols["unit"]))
             cut = np.flatnonzero((tile[order][1:] != tile[order][:-1]).any(1)) + 1
             rid, links, root = [], [], []
             for member in np.split(order, cut):
@@ -160,6 +168,12 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
                 link = _links(sets, left, right, threshold)
                 if bi == bj:
                     np.fill_diagonal(link, False)
+                band = int(cols["band"][member[0]])
+                if band > 0:  # pairs that met in an earlier band count there
+                    own = sig[starts[member][:, None] + np.arange(band)]
+                    i, j = np.nonzero(link)
+                    early = (own[left[i]] == own[right[j]]).any(1)
+                    link[i[early], j[early]] = False
                 size = cols["size"][member].astype(np.int64)
                 n_links = np.zeros(len(member), np.int64)
                 n_links[left] += link @ size[right]
@@ -175,16 +189,50 @@ def _verified(rows: DataFrame, threshold: float, n: int) -> DataFrame:
     return rows.mapInArrow(run, "rid bigint, links bigint, root bigint")
 
 
+def _banded(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rid, band, hash) of the classes, and the buckets with several."""
+    banded = reps.select("rid", F.posexplode("bands").alias("band", "hash"))
+    buckets = banded.groupBy("band", "hash").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return banded, buckets
+
+
 def candidate_groups(reps: DataFrame) -> DataFrame:
     """(node, component) of the classes that share a band with another."""
-    banded = reps.select("rid", F.posexplode("bands").alias("band", "hash"))
-    buckets = (banded.groupBy("band", "hash").agg(F.min("rid").alias("first"), F.count(F.lit(1)).alias("n"))
-               .filter("n > 1").drop("n"))
+    banded, buckets = _banded(reps)
     ties = (banded.join(buckets, ["band", "hash"]).filter("rid <> first")
             .select(F.col("rid").alias("a"), F.col("first").alias("b")))
     return components(ties)
 
 
+def _units(groups: DataFrame, classes: DataFrame, block_rows: int, block_chars: int) -> DataFrame:
+    """(rid, unit, band, bands, size, nb): what is compared with what, and in
+    how many blocks. ``groups``: (rid, comp, size, chars)."""
+    def blocks(n, chars):
+        return F.greatest(F.ceil(n / block_rows), F.ceil(chars / block_chars)).cast("int").alias("nb")
+
+    stats = staged(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars")), "sizes")
+    none = F.lit(None).cast("array<bigint>").alias("bands")
+    loose = None
+    if stats.filter(F.col("m") > block_rows).limit(1).count():
+        banded, buckets = _banded(classes)
+        cost = (buckets.join(groups.select(F.col("rid").alias("first"), "comp"), "first").groupBy("comp")
+                .agg(F.sum(F.col("n").cast("double") * F.col("n")).alias("pairs")))
+        large = stats.filter(F.col("m") > block_rows)
+        loose = staged(large.join(cost, "comp").filter(F.col("pairs") < F.col("m").cast("double") * F.col("m")).select("comp"), "loose")
+    if loose is None or not loose.limit(1).count():
+        return (groups.select("rid", "comp", "size").join(stats.select("comp", blocks(F.col("m"), F.col("chars"))), "comp")
+                .select("rid", F.col("comp").alias("unit"), F.lit(-1).alias("band"), none, "size", "nb"))
+    whole = (groups.join(loose, "comp", "left_anti").select("rid", "comp", "size")
+             .join(stats.select("comp", blocks(F.col("m"), F.col("chars"))), "comp")
+             .select("rid", F.col("comp").alias("unit"), F.lit(-1).alias("band"), none, "size", "nb"))
+    members = (groups.join(loose, "comp", "left_semi").join(classes.select("rid", "bands"), "rid")
+               .select("rid", "size", "chars", "bands", F.posexplode("bands").alias("band", "hash"))
+               .withColumn("unit", F.xxhash64("band", "hash")))
+    units = (members.groupBy("unit", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("chars").alias("chars")).filter("n > 1")
+             .select("unit", "band", blocks(F.col("n"), F.col("chars"))))
+    return whole.unionByName(members.join(units, ["unit", "band"]).select("rid", "unit", "band", "bands", "size", "nb"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
                     n: int = GRAM, recall: float = RECALL, block_rows: int = BLOCK_ROWS,
                     block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -199,15 +247,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("d1", "d2", "first.rid", "first.bands", "first.chars", "size"), "classes")
     groups = staged(candidate_groups(classes).select(F.col("node").alias("rid"), F.col("component").alias("comp"))
                     .join(classes.select("rid", "size", "chars"), "rid"), "groups")
-    stats = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("chars").alias("chars"))
-    blocks = F.greatest(F.ceil(F.col("m") / block_rows), F.ceil(F.col("chars") / block_chars)).cast("int")
-    plan = staged(groups.select("rid", "comp", "size").join(stats.select("comp", blocks.alias("nb")), "comp"), "plan")
+    plan = staged(_units(groups, classes, block_rows, block_chars), "plan")
     spread = (drop_or_keep(rows.select("rid", "text"), plan, "rid", "inner")
               .withColumn("block", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
               .withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-              .withColumn("grp", F.xxhash64("comp", "bi", "bj")))
-    tiles = (spread.select("grp", "comp", "bi", "bj", "block", "rid", "size", "text")
+              .withColumn("grp", F.xxhash64("unit", "band", "bi", "bj")))
+    tiles = (spread.select("grp", "unit", "band", "bands", "bi", "bj", "block", "rid", "size", "text")
              .repartition("grp").sortWithinPartitions("grp"))
     found = staged(_verified(tiles, threshold, n), "links")
     links = found.groupBy("rid").agg(F.sum("links").alias("links"))

@@ -74,6 +74,25 @@ def test_all_links_and_groups(spark, crowd, block_rows, block_chars):
     assert run(spark, crowd, block_rows=block_rows, block_chars=block_chars) == brute(crowd)
 
 
+def test_a_long_chain_is_compared_by_bucket(spark, monkeypatch):
+    """A group held together by neighbours alone: its buckets are small."""
+    rng = random.Random(9)
+    chain = words(rng, 2000).split()
+    texts = [" ".join(chain[i * 4: i * 4 + 90]) for i in range(300)] + [words(rng, 30) for _ in range(20)]
+    rng.shuffle(texts)
+    units = []
+    plan = ngram_join._units
+
+    def watch(*args):
+        units.append(plan(*args))
+        return units[-1]
+
+    monkeypatch.setattr(ngram_join, "_units", watch)
+    assert run(spark, texts, block_rows=32, recall=0.99999) == brute(texts)
+    seen = units[0].groupBy("band").count().collect()
+    assert max(r["band"] for r in seen) > 0
+
+
 def test_shuffled_join_path(spark, crowd, monkeypatch):
     monkeypatch.setattr(common.drop_or_keep, "__defaults__", (0,))
     assert run(spark, crowd[:80]) == brute(crowd[:80])
