@@ -164,12 +164,15 @@ def _background(docs: DataFrame, items: Items, n: int, text_col: str) -> np.ndar
 
 def choose_seeds(items: Items, background: np.ndarray, limit: float) -> Items:
     """Grams in at most ``limit`` documents and each item's rarer half."""
-    keep = background <= limit
-    for i in range(len(items.ids)):
-        own = np.flatnonzero(items.item == i)
-        if len(own):
-            keep[own[background[own] <= np.median(background[own])]] = True
-    return items.seeds(keep)
+    order = np.lexsort((background, items.item))
+    ranked = background[order]
+    edge = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
+    size = np.diff(edge)
+    middle = np.zeros(len(size))
+    some = size > 0
+    low, high = (edge[:-1] + (size - 1) // 2)[some], (edge[:-1] + size // 2)[some]
+    middle[some] = (ranked[low] + ranked[high]) / 2
+    return items.seeds((background <= limit) | (background <= middle[items.item]))
 
 
 def hits_of(items: Items, word: np.ndarray, off: np.ndarray, n: int, threshold: float) -> list[list[tuple]]:

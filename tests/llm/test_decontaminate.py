@@ -110,3 +110,19 @@ def test_query_on_documents(spark):
     got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in queries.QUERIES["op10_decontaminate"](spark, SF).collect()}
     want = brute(items, near)
     assert want and {k: v for k, v in got.items() if k[0] in dict(near)} == want
+
+
+def test_seeds_of_many_items(spark):
+    """Each item's rarer half, against a scan of all grams for every item."""
+    rng = np.random.default_rng(3)
+    n = 500
+    item = np.sort(rng.integers(0, 60, n))
+    items = D.Items(list(range(61)), np.zeros(0), np.zeros(62, int), np.arange(n).astype(np.uint64), item[rng.permutation(n)], np.zeros(n, int))
+    background = rng.integers(0, 40, n)
+    got = set(D.choose_seeds(items, background, 5).gram.tolist())
+    want = set()
+    for i in range(61):
+        own = np.flatnonzero(items.item == i)
+        if len(own):
+            want |= set(own[(background[own] <= np.median(background[own])) | (background[own] <= 5)].tolist())
+    assert got == want
