@@ -20,7 +20,7 @@ HEADLINE = [
     "text_analysis", "spending_mentions", "rolling_user_features", "fs_store_latest", "fs_asof_join",
     "ensemble_blend", "amount_percentile", "stream_velocity", "stream_tagging", "stream_last_txn_features",
     "dataset_summary", "merchant_competition", "nudge_analytics", "rolling_merchant_features", "amount_outliers",
-    "train_tagger", "score_transactions",
+    "train_tagger", "score_transactions", "fs_compaction", "label_store", "advice_log",
 ]
 
 

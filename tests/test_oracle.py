@@ -1,18 +1,24 @@
 """Every registered query against its DuckDB oracle (or a rows-only run)."""
 import math
-import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
+import duckdb
 import pytest
 
 import __spark_entry__ as E
 from conftest import SF
+from ledgerlens.sources.tables import TABLES
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
-# Spark ML training keys are minutes each; run them with LEDGERLENS_SLOW=1
-SLOW = {"train_tagger", "cv_accuracy", "platt_calibration", "score_transactions", "train_delta",
-        "model_comparison", "feature_importance", "explain_scores"}
-RUN_SLOW = os.environ.get("LEDGERLENS_SLOW") == "1"
+# Spark ML keys: tests/test_ml_queries.py runs them with a small forest
+TRAINING = {"train_tagger", "cv_accuracy", "platt_calibration", "score_transactions", "score_checks", "train_delta",
+            "model_comparison", "feature_importance", "explain_scores"}
+# ties of rounded averages show on more rows only
+LARGER, LARGER_SF = ["voice_rollup", "merchant_insight_rows"], "/root/testdata/sf0.01"
 
 
 def _norm(v):
@@ -31,18 +37,11 @@ def _key(row):
     return tuple((0, "") if x is None else (1, str(x)) for x in row)
 
 
-# a query without an oracle has a test of its own; the slow ones run here
-@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k in ORACLES or k in SLOW))
-def test_query_matches_oracle(spark, duck, key):
-    if key in SLOW and not RUN_SLOW:
-        pytest.skip("slow Spark ML key (set LEDGERLENS_SLOW=1)")
-    df = QUERIES[key](spark, SF)
+def _compare(spark, con, key, sf):
+    df = QUERIES[key](spark, sf)
     cols = df.columns
     rows = [tuple(_norm(x) for x in r) for r in df.collect()]
-    if key not in ORACLES:
-        assert len(set(cols)) == len(cols)
-        return
-    rel = duck.sql(ORACLES[key])
+    rel = con.sql(ORACLES[key])
     ocols = rel.columns
     assert sorted(cols) == sorted(ocols)
     order = sorted(range(len(ocols)), key=lambda i: ocols[i])
@@ -53,7 +52,31 @@ def test_query_matches_oracle(spark, duck, key):
     assert got == exp
 
 
+# a query without an oracle has a test of its own
+@pytest.mark.parametrize("key", sorted(k for k in QUERIES if k in ORACLES and k not in TRAINING))
+def test_query_matches_oracle(spark, duck, key):
+    _compare(spark, duck, key, SF)
+
+
+@pytest.mark.parametrize("key", LARGER)
+def test_query_matches_oracle_on_more_rows(spark, key):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{LARGER_SF}/{t}.parquet')")
+    _compare(spark, con, key, LARGER_SF)
+
+
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() >= 0
     assert len(df.columns) > 0
+
+
+def test_the_library_stands_without_the_optional_part(tmp_path):
+    """Without the training-data operators the other queries are still there."""
+    top = Path(E.__file__).parent
+    shutil.copytree(top / "ledgerlens", tmp_path / "ledgerlens", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries()), sep=chr(10))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin"}, capture_output=True, text=True, check=True)
+    assert out.stdout.split() == sorted(k for k in QUERIES if not k.startswith("op") and k != "pipeline")
