@@ -8,9 +8,11 @@ right on the training sample. A text whose two nearest codewords are about
 equally far is flagged ambiguous.
 
 Training uses a bounded sample: the ``per_lang`` labelled texts of each
-language with the smallest key hash (and at most ``max_sample`` in all, shared
-out evenly). Only their n-gram vectors come to the driver, ``per_lang`` x
-languages x ``DIMS`` floats. Prediction runs over all rows in one narrow pass.
+language with the smallest hash of id and text (and at most ``max_sample`` in
+all, shared out evenly). Their n-gram vectors are made where the texts lie and
+meet in one task, which fits the classifiers (``max_sample`` x ``DIMS``
+floats); the driver gets the fitted model alone. Prediction runs over all rows
+in one narrow pass.
 
 Edge cases: null texts and texts without a letter are ``und`` with score 0;
 null labels are never learned from; with no labelled text at all every row is
@@ -29,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, utf8
+from .common import release_memory, small_batches, utf8
 
 DIMS = 8192               # hashed n-gram buckets
 ORDERS = (1, 2, 3, 4)     # n-gram lengths in bytes
@@ -118,7 +120,7 @@ def has_letter(column: pa.Array) -> np.ndarray:
 
 def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_sample: int) -> DataFrame:
     rows = df.filter(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col)).alias("key"))
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return rows.limit(0)
@@ -130,11 +132,12 @@ def _sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang:
         if n > 8 * want:
             cut = F.when(F.col("lang") == lang, F.lit(4.0 * want / n)).otherwise(cut)
     near = rows.filter((F.col("key") / float(1 << 64) + 0.5) <= cut)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", F.xxhash64("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= want).select("lang", "text")
 
 
-def _sample_vectors(sample: DataFrame) -> tuple[np.ndarray, list[str]]:
+def _sample_vectors(sample: DataFrame) -> DataFrame:
+    """(lang, x): the vector of each sampled text, as 32-bit floats."""
     def run(batches):
         for big in batches:
             for batch in small_batches(iter([big]), "text", SLICE):
@@ -144,18 +147,11 @@ def _sample_vectors(sample: DataFrame) -> tuple[np.ndarray, list[str]]:
                     yield pa.RecordBatch.from_arrays(
                         [part.column("lang"), pa.array([v.astype(np.float32).tobytes() for v in x], pa.binary())],
                         ["lang", "x"])
-    rows = sample.mapInArrow(run, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r["lang"], r["x"]))
-    return np.array([np.frombuffer(r["x"], np.float32) for r in rows]), [r["lang"] for r in rows]
+    return sample.mapInArrow(run, "lang string, x binary")
 
 
-def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          per_lang: int = 400, max_sample: int = 3000, steps: int = 120, l2: float = 1e-5) -> Model | None:
-    """Fit the bit classifiers on the bounded sample of the labelled rows of
-    ``df``; None when there is none."""
-    x, labels = _sample_vectors(_sample(df, id_col, text_col, lang_col, per_lang, max_sample))
-    if not labels:
-        return None
+def fit(x: np.ndarray, labels: list[str], steps: int = 120, l2: float = 1e-5) -> Model:
+    """The bit classifiers of labelled vectors."""
     langs = sorted(set(labels))
     code = codewords(len(langs))
     y = code[[langs.index(v) for v in labels]].astype(np.float32)
@@ -179,6 +175,36 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(langs, code, w, b, trust / trust.sum() if bits else trust)
 
 
+def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          per_lang: int = 400, max_sample: int = 3000, steps: int = 120, l2: float = 1e-5) -> Model | None:
+    """Fit the bit classifiers on the bounded sample of the labelled rows of
+    ``df``; None when there is none."""
+    def run(batches):
+        rows = sorted((lang, x) for batch in batches
+                      for lang, x in zip(batch.column("lang").to_pylist(), batch.column("x").to_pylist()))
+        if rows:
+            matrix = np.empty((len(rows), DIMS), np.float32)
+            for i, (_, x) in enumerate(rows):
+                matrix[i] = np.frombuffer(x, np.float32)
+            model = fit(matrix, [lang for lang, _ in rows], steps, l2)
+            arrays = [model.code.astype(np.float64), model.weights.astype(np.float32), model.bias.astype(np.float32), model.trust.astype(np.float64)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([model.langs], pa.list_(pa.string())), *[pa.array([a.tobytes()], pa.binary()) for a in arrays]],
+                ["langs", "code", "weights", "bias", "trust"])
+            del matrix, model, arrays
+        del rows
+        release_memory()
+
+    vectors = _sample_vectors(_sample(df, id_col, text_col, lang_col, per_lang, max_sample))
+    found = vectors.repartition(1).mapInArrow(run, "langs array<string>, code binary, weights binary, bias binary, trust binary").first()
+    if found is None:
+        return None
+    n = len(found["langs"])
+    return Model(list(found["langs"]), np.frombuffer(found["code"], np.float64).reshape(n, -1),
+                 np.frombuffer(found["weights"], np.float32).reshape(DIMS, -1), np.frombuffer(found["bias"], np.float32),
+                 np.frombuffer(found["trust"], np.float64))
+
+
 def decode(model: Model, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(language index, score, ambiguous) of feature rows."""
     n = len(x)

@@ -41,6 +41,49 @@ def test_slices_do_not_matter(monkeypatch):
         assert np.allclose(langid.features(texts), whole, atol=1e-6)
 
 
+def plain_features(text):
+    """n-gram counts of the folded bytes, one at a time."""
+    folded = bytearray()
+    for byte in (text or "").lower().encode():
+        byte = byte if byte >= 128 or ord("a") <= byte <= ord("z") else 32
+        if not (byte == 32 and folded and folded[-1] == 32):
+            folded.append(byte)
+    count = [0.0] * langid.DIMS
+    for n in langid.ORDERS:
+        for i in range(len(folded) - n + 1):
+            value = int.from_bytes(folded[i: i + n], "big") + n
+            count[(value * int(langid._MULT[n - 1]) % (1 << 64)) >> 51] += 1
+    norm = sum(count) ** 0.5
+    return [c ** 0.5 / norm if norm else 0.0 for c in count]
+
+
+def plain_decode(model, x):
+    """(language, score): least loss over the codewords, bit by bit."""
+    margin = [sum(float(w) * v for w, v in zip(column, x)) + float(b) for column, b in zip(np.asarray(model.weights).T, model.bias)]
+    loss = [sum(t * np.log1p(np.exp(-m * c)) for m, c, t in zip(margin, word, model.trust)) * len(margin) for word in model.code]
+    low = min(loss)
+    p = [np.exp(low - v) for v in loss]
+    return model.langs[loss.index(low)], max(p) / sum(p)
+
+
+def test_features_and_decoding_against_a_plain_version(spark, awkward_docs):
+    texts = ["", None, "Über die   Brücke, 1 2 3!", "it's  we'll", "x", "漢字 かな", "the quick brown fox " * 30]
+    want = np.array([plain_features(t) for t in texts])
+    got = langid.features(pa.array(texts))
+    assert np.allclose(got, want, atol=1e-5)
+    rng = np.random.default_rng(4)
+    langs = list("abcde")
+    rows = [int(k) for k in rng.integers(0, 5, 60)]
+    x = np.maximum(rng.normal(0, 0.02, (60, langid.DIMS)), 0).astype(np.float32)
+    for i, k in enumerate(rows):
+        x[i, 50 * k: 50 * k + 50] += 0.1
+    model = langid.fit(x, [langs[k] for k in rows], steps=20)
+    best, score, _ = langid.decode(model, x[:20])
+    for i in range(20):
+        lang, p = plain_decode(model, x[i].tolist())
+        assert model.langs[best[i]] == lang and abs(score[i] - p) < 1e-6
+
+
 def test_awkward_rows(spark, awkward, awkward_docs):
     ship_code(spark)
     model = langid.train(awkward_docs)
