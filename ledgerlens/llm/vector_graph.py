@@ -14,8 +14,10 @@
 4. Every node is a query in each of its shards: greedy search from the
    medoids of its clusters, then the found range grows along edges while nodes are within the
    threshold less ``SLACK``. Hits are verified by cosine in double precision. A pair counts
-   in the first shard that both nodes share, so links are counted and
-   contracted where they are found and no pair is emitted.
+   in the first shard that both nodes share; pairs that meet in several shards
+   are verified there whether the search found them or not, so what any shard
+   finds counts, and counts once. Links are contracted where they are found
+   and no pair is emitted.
 5. Recall is audited by brute force over the classes of all rows whose id is
    divisible by 100, in blocks of ``AUDIT_BLOCK``: the mean over the audited
    classes of the found share of their true links to other classes. Without a
@@ -256,6 +258,23 @@ def _cells(table: pa.Table):
         yield table.slice(int(a), int(b - a)).combine_chunks()
 
 
+def _meeting_again(homes: list, cell: int, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), i < j, of the pairs in ``near`` whose nodes share another shard
+    besides ``cell`` but none before it."""
+    cells = sorted({c for v in homes for c in v})
+    column = {c: k for k, c in enumerate(cells)}
+    at = np.zeros((len(homes), len(cells)), np.float32)
+    for i, v in enumerate(homes):
+        at[i, [column[c] for c in v]] = 1
+    i, j = np.nonzero(np.triu(near & (at @ at.T > 1), 1))
+    before = at[:, :column[cell]] > 0
+    first = np.ones(len(i), bool)
+    for k in range(0, len(i), 4096):
+        part = slice(k, k + 4096)
+        first[part] = ~(before[i[part]] & before[j[part]]).any(1)
+    return i[first], j[first]
+
+
 def _search(members: DataFrame, threshold: float) -> DataFrame:
     """(rid, links, others, root) of each node in each of its shards: linked
     rows and linked nodes."""
@@ -278,6 +297,9 @@ def _search(members: DataFrame, threshold: float) -> DataFrame:
                         if min(homes[i] & homes[j]) == cell:
                             link[i].add(j)
                             link[j].add(i)
+                for i, j in zip(*(v.tolist() for v in _meeting_again(homes, cell, x @ x.T >= threshold))):
+                    link[i].add(j)
+                    link[j].add(i)
                 label = np.arange(m)
                 ends = np.array([(i, j) for i in range(m) for j in link[i]], np.int64).reshape(-1, 2)
                 while len(ends):
