@@ -5,7 +5,15 @@
    that hold a good part of the item. An n-gram is a seed of an item if it is
    rare (in at most ``rare_share`` of the documents) or among the rarer half
    of the item's own n-grams.
-2. A document that holds a seed is aligned with the item around the seed's
+2. Word pairs are the seeds of heavily edited copies, which may hold no whole
+   n-gram. An alignment with M matches and E edits leaves at least M - E - 1
+   neighbouring pairs of the item whole, so a score at the threshold implies
+   a least number of pairs (``least_pairs``; 7 of 37 for 38 words) close to
+   one diagonal. A place with that many is a candidate. Pairs that many items
+   share are left out as long as the least number leaves room for it; items
+   too short for a whole pair also meet with one word between (at 0.6, up to
+   5 words). At thresholds from 0.6 no copy is without a seed.
+3. A document that holds a seed is aligned with the item around the seed's
    place by Smith-Waterman over words (match 1, mismatch and gap -0.5). The
    score is divided by the item's length; at ``threshold`` or more the
    document holds an exact, edited or paraphrased copy.
@@ -30,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches
-from .words import grams, words
+from .words import grams, skip_pairs, words
 
 N = 3
 THRESHOLD = 0.6
@@ -39,6 +47,8 @@ RARE_LEAST = 20           # documents in which a rare n-gram may always occur
 LEAK_SHARE = 0.2          # share of an item's n-grams that makes a likely copy
 BLOCK_WORDS = 2_000_000
 MISMATCH = GAP = 0.5
+COMMON_ITEMS = 32         # places of the items a pair may have and always be a seed
+PAIR_MEETINGS = 4_000_000  # meetings of pairs held at once
 BATCH_BYTES = 1 << 20
 HIT = "array<struct<item_id:bigint,score:double,first_word:int,last_word:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()),
@@ -59,6 +69,22 @@ class Items:
         return Items(self.ids, self.word, self.off, self.gram[keep], self.item[keep], self.place[keep])
 
 
+@dataclass
+class Pairs:
+    """Word pairs of the items, (gram, item, place) sorted by gram: how many
+    each item must meet (``need``, 0: none of its pairs is here) on begins at
+    most ``drift`` apart; ``gap``: with one word between."""
+    gram: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    need: np.ndarray
+    drift: np.ndarray
+    gap: bool
+
+    def seeds(self, keep: np.ndarray) -> Pairs:
+        return Pairs(self.gram[keep], self.item[keep], self.place[keep], self.need, self.drift, self.gap)
+
+
 def load_items(ids: list, texts: list[str | None], n: int) -> Items:
     word, off = words(pa.array(texts, pa.large_string()))
     gram, goff = grams(word, off, n, short=True)
@@ -175,15 +201,83 @@ def choose_seeds(items: Items, background: np.ndarray, limit: float) -> Items:
     return items.seeds((background <= limit) | (background <= middle[items.item]))
 
 
-def hits_of(items: Items, word: np.ndarray, off: np.ndarray, n: int, threshold: float) -> list[list[tuple]]:
-    """For every text of a batch, the items it holds."""
+def least_pairs(size: int, threshold: float) -> int:
+    """How many neighbouring word pairs of an item of ``size`` words any copy
+    at the threshold leaves whole: with E edits it has at least threshold *
+    size + E / 2 matches, in at most E + 1 runs."""
+    most = int((1 - threshold) * size / GAP + 1e-9)
+    return min(int(np.ceil(threshold * size + GAP * e - 1e-9)) - e - 1 for e in range(most + 1))
+
+
+def pair_seeds(items: Items, n: int, threshold: float) -> list[Pairs]:
+    """The pairs of items of ``n`` words and more: as neighbours, and for the
+    items that may keep none whole also with a word between."""
+    size = np.diff(items.off)
+    least = {int(m): least_pairs(int(m), threshold) for m in np.unique(size)}
+    need = np.array([least[int(m)] if m >= n else 0 for m in size], np.int64)
+    drift = ((1 - threshold) * size / GAP + 1e-9).astype(np.int64)
+    gram, goff = grams(items.word, items.off, 2, short=False)
+    item = np.repeat(np.arange(len(size)), np.diff(goff))
+    place = np.arange(len(gram)) - goff[item]
+    _, which, shared = np.unique(gram, return_inverse=True, return_counts=True)
+    shared = shared[which]
+    by_share = np.lexsort((-shared, item))
+    rank = np.empty(len(gram), np.int64)
+    rank[by_share] = place
+    drop = (shared > COMMON_ITEMS) & (rank < need[item] - 1)
+    loose = (need < 1) & (size >= n)
+    need = np.where(size < n, 0, np.maximum(need - np.bincount(item[drop], minlength=len(size)), 1))
+    order = np.lexsort((place, item, gram))
+    near = Pairs(gram[order], item[order], place[order], need, drift, False)
+    near = near.seeds(((need[item] > 0) & ~drop)[order])
+    far = Pairs(near.gram, near.item, near.place, need, drift, True).seeds(loose[near.item])
+    return [near, far] if len(far.gram) else [near]
+
+
+def _pair_places(pairs: Pairs, word: np.ndarray, off: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, item, begin) of the meetings of pairs that stand with enough
+    others of their item on begins that a copy's edits can part."""
+    h, place = skip_pairs(word, off, 2 if pairs.gap else 1)
+    lo = np.searchsorted(pairs.gram, h, "left")
+    count = np.searchsorted(pairs.gram, h, "right") - lo
+    total = int(count.sum())
+    if not total:
+        return []
+    low, high = int(pairs.item.min()), int(pairs.item.max())
+    if total > PAIR_MEETINGS and low < high:
+        first = pairs.item <= (low + high) // 2
+        return _pair_places(pairs.seeds(first), word, off) + _pair_places(pairs.seeds(~first), word, off)
+    at = np.repeat(place, count)
+    hit = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
+    row = np.searchsorted(off, at, "right") - 1
+    item, begin = pairs.item[hit], at - pairs.place[hit]
+    order = np.lexsort((begin, item, row))
+    row, item, begin = row[order], item[order], begin[order]
+    k = np.arange(total)
+    end = k + pairs.need[item] - 1
+    full = end < total
+    stop = np.minimum(end, total - 1)
+    full &= (row[stop] == row) & (item[stop] == item) & (begin[stop] - begin <= pairs.drift[item])
+    edge = np.zeros(total + 1, np.int64)
+    np.add.at(edge, k[full], 1)
+    np.add.at(edge, stop[full] + 1, -1)
+    live = np.cumsum(edge[:-1]) > 0
+    return [(row[live], item[live], begin[live])]
+
+
+def hits_of(items: Items, word: np.ndarray, off: np.ndarray, n: int, threshold: float,
+            pairs: list[Pairs] | None = None) -> list[list[tuple]]:
+    """For every text of a batch, the items it holds. ``pairs``: the seeds of
+    copies without a whole seed n-gram."""
     out: list[list[tuple]] = [[] for _ in range(len(off) - 1)]
     at, hit = _matches(items, word, off, n)
-    if not len(at):
+    # (row, item, where the item would start)
+    found = [(np.searchsorted(off, at, "right") - 1, items.item[hit], at - items.place[hit])] if len(at) else []
+    for p in pairs or []:
+        found += _pair_places(p, word, off)
+    if not found:
         return out
-    row = np.searchsorted(off, at, "right") - 1
-    item = items.item[hit]
-    begin = at - items.place[hit]  # where the item would start
+    row, item, begin = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((begin, item, row))
     row, item, begin = row[order], item[order], begin[order]
     size = np.diff(items.off)[item]
@@ -232,7 +326,7 @@ def find_copies(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     for ids, texts in _blocks(benchmark, item_id, item_text, block_words):
         items = load_items(ids, texts, n)
         seeds = choose_seeds(items, _background(docs, items, n, text_col), max(RARE_LEAST, rare_share * total))
-        shared = docs.sparkSession.sparkContext.broadcast(seeds)
+        shared = docs.sparkSession.sparkContext.broadcast((seeds, pair_seeds(items, n, threshold)))
         result = result.mapInArrow(_scan(shared, keep, text_col, out, n, threshold), f"{fields}, `{out}` {HIT}")
     return result
 
@@ -241,7 +335,8 @@ def _scan(shared, keep, text_col, out, n, threshold):
     def run(batches):
         for batch in small_batches(batches, text_col, BATCH_BYTES):
             word, off = words(batch.column(text_col))
-            found = hits_of(shared.value, word, off, n, threshold)
+            seeds, pairs = shared.value
+            found = hits_of(seeds, word, off, n, threshold, pairs)
             before = batch.column(out).to_pylist()
             rows = [old + [dict(zip(("item_id", "score", "first_word", "last_word"), h)) for h in new]
                     for old, new in zip(before, found)]

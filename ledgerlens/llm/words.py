@@ -86,3 +86,11 @@ def grams(word: np.ndarray, off: np.ndarray, n: int, short: bool) -> tuple[np.nd
     h = np.insert(h, before[few], extra)
     count[few] = 1
     return h, np.concatenate([[0], np.cumsum(count)])
+
+
+def skip_pairs(word: np.ndarray, off: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, place of the first) of the words ``step`` apart inside each row;
+    hashed as the 2-gram of these words."""
+    at = np.arange(max(len(word) - step, 0))
+    at = at[at + step < np.repeat(off[1:], np.diff(off))[: len(at)]]
+    return mix(word[at] * _GRAM[0] + word[at + step] * _GRAM[1]), at

@@ -3,11 +3,13 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import decontaminate as D
 from ledgerlens.llm import queries
 from ledgerlens.llm.common import ship_code
+from ledgerlens.llm.words import words as hashed
 from llm.conftest import make_docs, words
 
 
@@ -126,3 +128,66 @@ def test_seeds_of_many_items(spark):
         if len(own):
             want |= set(own[(background[own] <= np.median(background[own])) | (background[own] <= 5)].tolist())
     assert got == want
+
+
+@pytest.mark.parametrize("size", [3, 4, 5, 6, 7, 9, 15, 38])
+def test_copies_edited_down_to_the_threshold_have_seeds(size):
+    """Random edits of an item, few different words: whatever full alignment
+    puts at the threshold or above is found, and by pairs alone."""
+    rng = random.Random(size)
+    seen = missed_by_grams = 0
+    vocab = [f"w{i}" for i in range(60)]
+    for _ in range(150):
+        item = [rng.choice(vocab) for _ in range(size)]
+        copy = []
+        rate = rng.random() * 0.8
+        for w in item:
+            copy += [w] if rng.random() > rate / 4 else [rng.choice(vocab)] * rng.randint(0, 1)
+            copy += [rng.choice(vocab)] * (rng.random() < rate)
+        doc = [rng.choice(vocab) for _ in range(30)] + copy + [rng.choice(vocab) for _ in range(30)]
+        items = D.load_items([0], [" ".join(item)], D.N)
+        word, off = hashed(pa.array(["", " ".join(doc), "w1"]))
+        pairs = D.pair_seeds(items, D.N, D.THRESHOLD)
+        score = smith_waterman(item, doc) / size
+        none = items.seeds(np.zeros(len(items.gram), bool))
+        got = D.hits_of(none, word, off, D.N, D.THRESHOLD, pairs)
+        assert got[0] == got[2] == []
+        if score >= D.THRESHOLD - 1e-9:
+            seen += 1
+            assert [(i, round(x, 9)) for i, x, _, _ in got[1]] == [(0, round(score, 9))]
+            missed_by_grams += not D.hits_of(items, word, off, D.N, D.THRESHOLD)[1]
+        else:
+            assert got[1] == []
+    assert seen > 20 and (missed_by_grams > 0 or size > 15)
+
+
+def test_a_word_after_every_second_word(spark):
+    rng = random.Random(8)
+    item = words(rng, 40).split()
+    copy = [w for i in range(0, 40, 2) for w in (item[i], item[i + 1], f"x{i}")]
+    spread = [w for i, x in enumerate(item) for w in ([x, "y"] if i % 5 < 4 else [x])]
+    docs = [(1, " ".join(copy)), (2, " ".join(spread)), (3, " ".join(sorted(item)))]
+    df = make_docs(spark, [(i, t, "en", "s", 1) for i, t in docs])
+    _, got = run(spark, [(7, " ".join(item))], df)
+    assert got == brute([(7, " ".join(item))], docs) and (1, 7) in got and (2, 7) in got
+
+
+def test_pairs_shared_by_many_items(monkeypatch):
+    """Common pairs are left out and meetings are split by items: same hits."""
+    rng = random.Random(4)
+    vocab = [f"w{i}" for i in range(12)]
+    texts = [" ".join(rng.choice(vocab) for _ in range(rng.randint(3, 30))) for _ in range(40)]
+    docs = [" ".join(rng.choice(vocab) for _ in range(30)) + " " + rng.choice(texts) for _ in range(30)]
+    items = D.load_items(list(range(40)), texts, D.N)
+    word, off = hashed(pa.array(docs))
+
+    def hits():
+        return D.hits_of(items, word, off, D.N, D.THRESHOLD, D.pair_seeds(items, D.N, D.THRESHOLD))
+    monkeypatch.setattr(D, "COMMON_ITEMS", 10**9)
+    whole = hits()
+    monkeypatch.setattr(D, "COMMON_ITEMS", 2)
+    monkeypatch.setattr(D, "PAIR_MEETINGS", 50)
+    assert hits() == whole and any(whole)
+    want = {(d, i) for d, doc in enumerate(docs) for i, t in enumerate(texts)
+            if smith_waterman(t.split(), doc.split()) / len(t.split()) >= D.THRESHOLD - 1e-9}
+    assert {(d, h[0]) for d, hs in enumerate(whole) for h in hs} == want
