@@ -2,9 +2,9 @@
 
 Every operator is a Column expression over the whole text, no UDF, no
 truncation. The lower-cased text is a column of its own (``lowered``), made
-once and read by every substring test; whole-word keywords of all groups come
-from one pass of one pattern (``with_tokens``), and the groups share its few
-matches; patterns with amounts run only on texts that hold their unit."""
+once and read by every substring test; whole-word keywords of all groups and
+the word count come from one split (``with_tokens``), and the groups share the
+few words kept; patterns with amounts run only on texts that hold their unit."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -75,7 +75,7 @@ def _hits(low: Column, kws) -> Column:
     return F.array_compact(F.array(*[F.when(low.contains(k), F.lit(k)) for k in kws]))
 
 
-LOW, TOKENS = "_low", "_tokens"
+LOW, TOKENS, N_WORDS = "_low", "_tokens", "_n"
 # the keywords that can be a word of their own
 _WORDS = list(dict.fromkeys(k for _, kws in FINANCIAL_KEYWORDS for k in kws if " " not in k))
 
@@ -87,9 +87,14 @@ def lowered(texts: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_tokens(texts: DataFrame) -> DataFrame:
-    """Adds the words of the lowered text that are keywords, in text order."""
-    pattern = r"(?<!\S)(?:" + "|".join(sorted(_WORDS, key=lambda k: (-len(k), k))) + r")(?!\S)"
-    return texts.withColumn(TOKENS, F.regexp_extract_all(F.col(LOW), F.lit(pattern), F.lit(0)))
+    """Adds the words of the lowered text that are keywords, in text order,
+    and the number of all its words; one split serves both."""
+    w = F.split(F.col(LOW), r"\s+")
+    d = texts.withColumn("_split", w)
+    split, last = F.col("_split"), F.size("_split")
+    # white space at either end, and an empty text, leave an empty string
+    ends = (split[0] == "").cast("int") + ((last > 1) & (F.element_at(split, -1) == "")).cast("int")
+    return d.withColumns({TOKENS: F.filter(split, lambda x: x.isin(*_WORDS)), N_WORDS: last - ends}).drop("_split")
 
 
 def word_count(text: Column) -> Column:
@@ -116,10 +121,12 @@ def emotions(texts: DataFrame, text: str = "text") -> DataFrame:
     return lowered(texts, text).select(*texts.columns, *cols, F.when(none, 0.5).otherwise(0.0).alias("emo_neutral"))
 
 
-def sentiment(low: Column) -> Column:
+def sentiment(low: Column, n: Column | None = None) -> Column:
+    """Balance of positive and negative words per word of the text; ``n`` is
+    its word count where the table has it already."""
     pos = sum((low.contains(w)).cast("int") for w in POSITIVE_WORDS)
     neg = sum((low.contains(w)).cast("int") for w in NEGATIVE_WORDS)
-    n = word_count(low)
+    n = word_count(low) if n is None else n
     s = (pos - neg) / F.greatest(n, F.lit(1)) * 10
     return F.when(n == 0, F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), s.cast("double"))))
 
@@ -134,7 +141,8 @@ def insight_rows(texts: DataFrame, keys: list[str], text: str = "text") -> DataF
     low = F.col(LOW)
     found = [F.when(_any(low, kws), F.struct(*[F.lit(v).alias(c) for c, v in zip(
         ("insight_type", "confidence", "message", "recommendation", "category"), (n, *INSIGHT_TEXTS[n]))])) for n, kws in INSIGHTS]
-    return lowered(texts, text).select(*keys, F.inline(F.array_compact(F.array(*found))))
+    rows = lowered(texts, text).select(*keys, F.inline_outer(F.array_compact(F.array(*found))))
+    return rows.where(F.col("insight_type").isNotNull())
 
 
 def keywords(low: Column) -> Column:
@@ -167,16 +175,18 @@ def spending_mentions(texts: DataFrame, keys: list[str], text: str = "text") ->
     amount, text_segment). A pattern runs on texts that hold its first word
     and its unit."""
     low = F.col(LOW)
-    d = lowered(texts, text)
-    for i, (pat, _, _) in enumerate(SPENDING_PATTERNS):
+    mentions = []
+    for i, (pat, action, mult) in enumerate(SPENDING_PATTERNS):
         may = F.lit(True)
         for word in ("paid ", "spent ", "bought ", "cost ", "rupee", "thousand", "lakh"):
             if word in pat:
                 may = may & low.contains(word)
-        d = d.withColumn(f"_s{i}", F.when(may, F.regexp_extract_all(low, F.lit(pat), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    found = sum((F.size(f"_s{i}") for i in range(1, len(SPENDING_PATTERNS))), F.size("_s0"))
-    allm = F.concat(*[F.transform(f"_s{i}", _mention(i, pat, action, mult)) for i, (pat, action, mult) in enumerate(SPENDING_PATTERNS)])
-    ex = d.where(found > 0).select(*keys, F.posexplode(allm).alias("match_no", "m"))
+        found = F.when(may, F.regexp_extract_all(low, F.lit(pat), F.lit(0))).otherwise(F.array().cast("array<string>"))
+        mentions.append(F.transform(found, _mention(i, pat, action, mult)))
+    # outer: for an inner explode the optimiser filters by the size of the
+    # array first, which would match every pattern again
+    ex = (lowered(texts, text).select(*keys, F.posexplode_outer(F.concat(*mentions)).alias("match_no", "m"))
+          .where(F.col("match_no").isNotNull()))
     return ex.select(*keys, "match_no", "m.pattern_no", "m.action_type", "m.amount", "m.text_segment",
                      F.lit(0.9).alias("confidence"))
 
@@ -184,11 +194,11 @@ def spending_mentions(texts: DataFrame, keys: list[str], text: str = "text") ->
 def analysis(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """P8 text-only analysis row per text."""
     t, low = F.col(text), F.col(LOW)
-    n = F.col("_n")
+    n = F.col(N_WORDS)
     bucket = F.pmod(F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long"), F.lit(100))
-    d = with_tokens(lowered(texts, text)).withColumn("_n", word_count(low))
+    d = with_tokens(lowered(texts, text))
     return d.select(*keys, n.cast("long").alias("n_words"), (n / 2.5).alias("duration_seconds"),
                     (0.92 + bucket / 1000.0).alias("confidence"),
-                    sentiment(low).alias("sentiment_score"), language(low).alias("language"),
+                    sentiment(low, n).alias("sentiment_score"), language(low).alias("language"),
                     F.array_join(insights(low), ",").alias("insights"),
                     F.array_join(token_keywords(F.col(TOKENS)), ",").alias("financial_keywords"))

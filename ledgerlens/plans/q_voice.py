@@ -220,7 +220,7 @@ WHERE r <= 10"""))
 def q_voice_top_terms(spark, sf):
     """The 10 most common financial keywords per conversation."""
     t = TM.with_tokens(TM.lowered(_texts(spark, sf)))
-    w = t.select("conv_id", F.explode(TM.token_keywords(F.col(TM.TOKENS))).alias("term"))
+    w = t.select("conv_id", F.explode_outer(TM.token_keywords(F.col(TM.TOKENS))).alias("term")).where("term IS NOT NULL")
     c = w.groupBy("conv_id", "term").agg(F.count(F.lit(1)).alias("n"))
     top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("term")], 10)
     return finish(top.select("conv_id", "term", "n", F.col("rank").cast("int").alias("rank")))
@@ -241,7 +241,7 @@ SELECT conv_id, insight, n, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_numbe
 WHERE r <= 3"""))
 def q_voice_top_insights(spark, sf):
     """The 3 most common insight types per conversation (ties by name)."""
-    w = TM.lowered(_texts(spark, sf)).select("conv_id", F.explode(TM.insights(F.col(TM.LOW))).alias("insight"))
+    w = TM.lowered(_texts(spark, sf)).select("conv_id", F.explode_outer(TM.insights(F.col(TM.LOW))).alias("insight")).where("insight IS NOT NULL")
     c = w.groupBy("conv_id", "insight").agg(F.count(F.lit(1)).alias("n"))
     top = top_k(c, ["conv_id"], [F.col("n").desc(), F.col("insight")], 3)
     return finish(top.select("conv_id", "insight", "n", F.col("rank").cast("int").alias("rank")))
