@@ -45,3 +45,24 @@ def test_spending_mentions(texts):
     m = TM.spending_mentions(texts.where("conv_id = 5"), ["conv_id", "turn"]).collect()
     got = sorted((r.action_type, r.amount) for r in m)
     assert got == [("payment", 1500.0), ("very_large_amount", 200000.0)]
+
+
+@pytest.mark.parametrize("text,n,found", [
+    (None, None, ""), ("", 0, ""), ("  \t\n", 0, ""), ("saved", 1, "saved"), (" saved ", 1, "saved"),
+    ("Paid\tpaid  paid, rupees\n", 4, "paid,paid,rupees"), ("prepaid costs", 2, "")])
+def test_words_of_awkward_texts(spark, text, n, found):
+    one = spark.createDataFrame([(1, text)], "conv_id INT, text STRING")
+    row = TM.analysis(one, ["conv_id"]).first()
+    assert (row.n_words, row.financial_keywords or "") == (n, found)
+    whole = one.select(TM.sentiment(F.lower("text")).alias("s"), TM.word_count(F.col("text")).alias("n")).first()
+    assert (row.sentiment_score, row.n_words) == (whole.s, whole.n)
+
+
+def test_mentions_match_each_pattern_once(texts):
+    plan = TM.spending_mentions(texts, ["conv_id", "turn"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == len(TM.SPENDING_PATTERNS)
+
+
+def test_mentions_of_empty_and_null_texts(spark):
+    rows = spark.createDataFrame([(1, None), (2, ""), (3, "nothing")], "conv_id INT, text STRING")
+    assert TM.spending_mentions(rows, ["conv_id"]).collect() == []
