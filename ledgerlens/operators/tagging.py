@@ -58,9 +58,10 @@ def _contained(short: DataFrame, long: DataFrame, q: int = 3) -> DataFrame:
     grams = _grams(F.col("l"), q)
     for k in range(1, q):  # a name this short may hold one that is shorter than a q-gram
         grams = F.when(F.length("l") * FUZZY_MIN_SCORE < q - 1, F.array_union(grams, _grams(F.col("l"), k))).otherwise(grams)
-    listed = long.select("l", F.explode(grams).alias("g"))
+    # outer: an inner explode would make the grams once more to test their number
+    listed = long.select("l", F.explode_outer(grams).alias("g"))
     rarity = listed.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    asked = short.select("s", F.size(_grams(F.col("s"), q)).alias("need"), F.explode(_grams(F.col("s"), q)).alias("g"))
+    asked = short.select("s", _grams(F.col("s"), q).alias("gs")).select("s", F.size("gs").alias("need"), F.explode_outer("gs").alias("g"))
     # a name with a gram that no longer name has is contained in none
     rarest = (asked.join(rarity, "g").groupBy("s").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("have"), F.max("need").alias("need"))
               .where("have = need"))
