@@ -3,6 +3,7 @@ import datetime as dt
 import math
 
 from ledgerlens.operators import matrices as MX
+from ledgerlens.operators import modelling as ML
 
 
 def test_user_average_of_zero(spark):
@@ -20,3 +21,17 @@ def test_user_average_of_zero(spark):
     dev = {k: r["amount_deviation_from_user_avg"] for k, r in rows.items()}
     assert dev["0"] == 1.0 and dev["1"] == math.inf and dev["2"] == 1.0 and math.isnan(dev["4"])
     assert [rows[k]["unusual_amount_flag"] for k in "0124"] == [0, 1, 0, 1]
+
+
+def test_forest_takes_values_that_are_not_finite(spark):
+    """Infinities, NaN and nulls of the advanced columns reach the forest as
+    finite numbers in the same order."""
+    d = spark.createDataFrame([(str(i), float(i), i) for i in range(40)]
+                              + [("a", math.inf, 1), ("b", math.nan, 2), ("c", None, None), ("d", -math.inf, 3)],
+                              "transaction_id string, x double, n int")
+    m = ML.finite(d, ["x", "n"])
+    got = {r["transaction_id"]: (r["x"], r["n"]) for r in m.collect()}
+    assert got["7"] == (7.0, 7.0) and got["b"] == (0.0, 2.0) and got["c"] == (0.0, 0.0)
+    assert got["d"][0] < 0 and 39 < got["a"][0] < math.inf and got["d"][0] > -math.inf
+    parts = m.selectExpr("*", "n % 2 AS y", "'train' AS split")
+    assert ML.fit(parts, ["x", "n"], numTrees=2, maxDepth=2).stages[-1].getNumTrees == 2
