@@ -9,6 +9,7 @@ gradient boosted trees. DataFrame and SQL functions throughout.
   characters, words before it). They learn from the table itself: base spans
   are positive; proposals that fail the kind's check, or are plain numbers
   without any mark of the kind, are negative; the others are what is scored.
+  All of them are learned from, equal rows of features as one with a weight.
 * Thresholds come from a held-out fold: per kind the lowest score at which the
   share of positives is at least ``precision``. A proposal that reaches its
   threshold becomes a span unless it overlaps a base span or a better
@@ -76,7 +77,8 @@ CONTEXT = [
 ]
 UNLIKE = r"(?i)(?:\b(?:token|key|sha|hash|id|order|invoice|isbn|issn|version|date|page|no|nr|ref)\b|[=#$€£])"
 
-MAX_SAMPLE = 2_500
+BALANCE = 2_500
+ROWS_A_TASK = 100_000
 MIN_CLASS = 5
 PRECISION = 0.95
 FOLDS = 4
@@ -166,31 +168,33 @@ def _marked(kind: Column) -> Column:
 
 # -- the model -----------------------------------------------------------------
 
-def _sample(labelled: DataFrame, max_sample: int) -> DataFrame:
-    """About ``max_sample`` rows of each kind and label at most, by a hash of
-    the candidate."""
-    sizes = labelled.groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    draw = F.pmod(F.xxhash64("rid", "kind", "start", "stop", F.lit("sample")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for r in sizes:
-        share = min(1 << 30, (max_sample << 30) // r["n"])
-        keep = keep | ((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]) & (draw < share))
-    return labelled.filter(keep)
+def _distinct(labelled: DataFrame) -> DataFrame:
+    """Every labelled candidate, as its features with the number ``n`` of
+    candidates that share them; a quarter of the candidates is ``held`` out."""
+    held = F.pmod(F.xxhash64("rid", "start", F.lit("fold")), F.lit(FOLDS)) == 0
+    rows = labelled.select("kind", "label", held.alias("held"), *FEATURES)
+    return rows.groupBy("kind", "label", "held", *FEATURES).agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(labelled: DataFrame, max_sample: int = MAX_SAMPLE, precision: float = PRECISION
+def train(labelled: DataFrame, balance: int = BALANCE, precision: float = PRECISION
           ) -> tuple[GBTClassificationModel, dict[int, float]] | None:
     """The trees and the threshold of each kind; None where a class is
-    missing. ``labelled``: candidates with features and ``label``."""
-    fold = F.pmod(F.xxhash64("rid", "start", F.lit("fold")), F.lit(FOLDS))
-    sample = staged(_sample(labelled, max_sample).select("kind", "label", fold.alias("fold"), *FEATURES), "pii-sample")
-    learn = _vectors(sample.filter(F.col("fold") > 0)).select("features", "label").coalesce(4)
-    classes = learn.groupBy("label").count().collect()
-    if len(classes) < 2 or min(r["count"] for r in classes) < MIN_CLASS:
+    missing. ``labelled``: candidates with features and ``label``. All of them
+    count: the trees see each distinct row of features weighted by its number
+    (a kind and label weighs ``balance`` at most, so that frequent ones do not
+    drown the others), thresholds come from all that are held out."""
+    counts = staged(_distinct(labelled), "pii-counts")
+    sizes = counts.groupBy("kind", "label").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("held"), 0).otherwise(F.col("n"))).alias("learned"),
+                                                F.count(F.lit(1)).alias("rows")).collect()
+    classes = [sum(r["learned"] for r in sizes if r["label"] == label) for label in (0.0, 1.0)]
+    if min(classes) < MIN_CLASS:
         return None
-    model = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, checkpointInterval=-1).fit(learn)
-    bins = (with_score(sample.filter(F.col("fold") == 0), model).groupBy("kind", F.floor(F.col("score") * 100).alias("bin"))
-            .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).collect())
+    share = reduce(lambda c, r: c.when((F.col("kind") == r["kind"]) & (F.col("label") == r["label"]), min(1.0, balance / r["n"])), sizes, F)
+    learn = _vectors(counts.filter(~F.col("held"))).select("features", "label", (F.col("n") * share).alias("weight"))
+    learn = learn.coalesce(max(4, sum(r["rows"] for r in sizes) // ROWS_A_TASK))
+    model = GBTClassifier(maxIter=15, maxDepth=3, stepSize=0.3, seed=7, checkpointInterval=-1, weightCol="weight").fit(learn)
+    bins = (with_score(counts.filter("held"), model).groupBy("kind", F.floor(F.col("score") * 100).alias("bin"))
+            .agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect())
     thresholds = {}
     for kind in range(len(KINDS)):
         good = total = 0.0
@@ -234,7 +238,7 @@ def _best_of_overlaps(spans: DataFrame) -> DataFrame:
     return marked.withColumn("place", F.row_number().over(best)).filter(F.col("place") == 1).drop("opens", "island", "place")
 
 
-def find_spans(rows: DataFrame, max_sample: int = MAX_SAMPLE, precision: float = PRECISION) -> DataFrame:
+def find_spans(rows: DataFrame, balance: int = BALANCE, precision: float = PRECISION) -> DataFrame:
     """``rid, kind, start, stop, base, score`` of all spans (score null for
     base spans) of ``rows`` (rid, text)."""
     found = staged(candidates(rows), "pii-candidates")
@@ -244,7 +248,7 @@ def find_spans(rows: DataFrame, max_sample: int = MAX_SAMPLE, precision: float =
     cols = ["rid", "kind", "start", "stop"]
     positive = with_features(base).withColumn("label", F.lit(1.0))
     negative = with_features(proposed).filter((F.col("valid") == 0) | ~_marked(F.col("kind"))).withColumn("label", F.lit(0.0))
-    fitted = train(positive.unionByName(negative), max_sample, precision)
+    fitted = train(positive.unionByName(negative), balance, precision)
     plain = base.select(*cols, F.lit(True).alias("base"), F.lit(None).cast("double").alias("score"))
     if fitted is None:
         return plain
@@ -256,12 +260,12 @@ def find_spans(rows: DataFrame, max_sample: int = MAX_SAMPLE, precision: float =
     return plain.unionByName(added)
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_sample: int = MAX_SAMPLE,
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", balance: int = BALANCE,
                        precision: float = PRECISION) -> DataFrame:
     """``doc_id, spans``: for every row its spans (array of start, kind, stop,
     base, score) by start and kind."""
     rows = row_ids(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", ["text"])
-    spans = find_spans(rows.select("rid", "text"), max_sample, precision)
+    spans = find_spans(rows.select("rid", "text"), balance, precision)
     per_row = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "base", "score"))).alias("spans"))
     empty = F.array().cast(per_row.schema["spans"].dataType)
     return rows.select("rid", "doc_id").join(per_row, "rid", "left").select("doc_id", F.coalesce("spans", empty).alias("spans"))

@@ -116,6 +116,30 @@ def test_added_spans_and_clean_texts(spark):
     assert min(caught) >= 18, caught
 
 
+def test_training_sees_every_candidate(spark, monkeypatch):
+    """Counts, weights and thresholds come from all labelled candidates, far
+    beyond the number that a kind and label weighs in the trees."""
+    n = 12_000
+    rows = spark.range(n).select(F.col("id").alias("rid"), F.lit(0).alias("start"), (F.col("id") % 4).cast("int").alias("kind"),
+                                 (F.col("id") % 3 > 0).cast("double").alias("label"),
+                                 *[((F.col("id") % 3 > 0).cast("double") * 2 + F.col("id") % 2).alias(c) for c in pii.FEATURES])
+    counts = pii._distinct(rows)
+    assert counts.agg(F.sum("n")).first()[0] == n and counts.count() <= 2 * 4 * 2
+    seen = []
+
+    class Trees(pii.GBTClassifier):
+        def _fit(self, learn):
+            seen.append(learn.groupBy("label").agg(F.sum("weight").alias("w")).collect())
+            return super()._fit(learn)
+    monkeypatch.setattr(pii, "GBTClassifier", Trees)
+    _, thresholds = pii.train(rows, balance=n)
+    learned = sum(r["n"] for r in counts.filter("not held").collect())
+    assert sum(r["w"] for r in seen[0]) == pytest.approx(learned) and learned > 0.7 * n
+    assert set(thresholds) == {0, 1, 2, 3}
+    pii.train(rows, balance=100)   # weighed down, not drawn: 8 kinds and labels, three quarters of 100 each
+    assert sum(r["w"] for r in seen[1]) == pytest.approx(600, rel=0.05)
+
+
 def test_no_labels_and_empty_table(spark, no_docs):
     assert pii.find_personal_data(no_docs).collect() == []
     one = make_docs(spark, [(1, "write a.b@mail.de (555) 010 9999", None, None, None)])
