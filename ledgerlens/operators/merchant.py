@@ -3,14 +3,15 @@ per merchant VPA (or per any key list, e.g. (user_id, vpa) for the
 per-user view), computed for every merchant in one job."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import time as T
 from . import aggregates as A
 from .ranking import group_ranks
-from .windows import with_prev_ts
 
 # fixed values: title, description around its figure, impact, confidence,
 # recommendation and risk mitigation per insight
@@ -45,26 +46,9 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str]
     """One row per ``key``: "vpa" for the merchant as such, ["user_id",
     "vpa"] for the merchant as one user knows it."""
     key = [key] if isinstance(key, str) else list(key)
-    ts = F.col("timestamp")
-    h = F.hour(ts)
-    per = t.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("transaction_count"),
-        F.sum(F.coalesce("amount", F.lit(0.0))).alias("total_volume"),
-        F.avg(F.coalesce("amount", F.lit(0.0))).alias("_mu"),
-        F.stddev_pop(F.coalesce("amount", F.lit(0.0))).alias("_sd"),
-        F.avg(F.coalesce((F.col("status") == "failed").cast("double"), F.lit(0.0))).alias("_fail"),
-        F.avg(F.coalesce((F.col("status") == "success").cast("double"), F.lit(0.0))).alias("success_rate"),
-        F.count(ts).alias("_n_timed"),
-        F.avg(F.when(ts.isNotNull(), ((h < 6) | (h > 22)).cast("double"))).alias("night_share"),
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"),
-        F.avg(F.coalesce(F.col("disputed").cast("double"), F.lit(0.0))).alias("dispute_rate"),
-        F.avg(F.coalesce(F.col("refunded").cast("double"), F.lit(0.0))).alias("refund_rate"),
-        F.avg(F.when(F.coalesce(F.col("rating"), F.lit(0.0)) != 0, F.col("rating") / 5.0)
-               .when(F.coalesce("disputed", F.lit(False)), 0.1)
-               .when(F.coalesce("refunded", F.lit(False)), 0.2).otherwise(0.7)).alias("user_sentiment"),
-        F.max((F.col("amount") > 50000).cast("int")).alias("_large"),
-        F.max("vpa").alias("_vpa"),
-    )
+    per = _totals(t, key)
+    # rows whose key is not known are no series in time
+    known = reduce(lambda c, k: c & F.col(k).isNotNull(), key, F.lit(True))
     n = F.col("transaction_count")
     cv = F.col("_sd") / F.greatest(F.col("_mu"), F.lit(1.0))
     factors = ((n > 1) & (cv > 2.0)).cast("int") + (F.coalesce("_fail", F.lit(0.0)) > 0.1).cast("int") \
@@ -86,12 +70,10 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str]
         F.substring_index(F.col("_vpa"), "@", 1).alias("merchant_id"),
         X.business_name(F.col("_vpa")).alias("business_name"),
         X.merchant_business_category(F.col("_vpa")).alias("category"),
-        cv.alias("_cv"), F.col("_mu"), "night_share",
+        cv.alias("_cv"), F.col("_mu"), "night_share", F.when(known, F.col("mean_gap_days")).alias("mean_gap_days"),
+        F.when(known, _frequency_score(F.col("_n_timed"), F.col("mean_gap_days"))).otherwise(0.0).alias("frequency_score"),
+        F.when(known, A.growth_trend(n, F.col("_months"), F.col("_first_v"), F.col("_last_v"))).alias("growth_trend"),
     )
-    freq = _frequency(t, key)
-    gr = A.growth(t, key).select(*key, "growth_trend")
-    p = (p.join(freq, key, "left").join(gr, key, "left")
-          .withColumn("frequency_score", F.coalesce("frequency_score", F.lit(0.0))))
     if market is not None:
         p = p.join(market.withColumnRenamed("average_transaction", "_mkt"), "category", "left")
         ratio = F.col("_mu") / F.col("_mkt")
@@ -104,15 +86,52 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str]
     return p.withColumn("pricing_fairness", fair)
 
 
-def _frequency(t: DataFrame, key: list[str]) -> DataFrame:
-    g = with_prev_ts(t.where(F.col("timestamp").isNotNull()).select(*key, "transaction_id", "timestamp"),
-                     key, "timestamp", "transaction_id")
-    per = g.groupBy(*key).agg(F.count(F.lit(1)).alias("_nt"),
-                             F.avg(T.whole_days_between("timestamp", "prev_ts")).alias("mean_gap_days"))
-    m = F.col("mean_gap_days")
-    score = (F.when(F.col("_nt") < 2, 0.0).when(m <= 1, 1.0).when(m <= 7, 0.8).when(m <= 30, 0.6)
-              .when(m <= 90, 0.4).otherwise(0.2))
-    return per.select(*key, "mean_gap_days", score.alias("frequency_score"))
+def _totals(t: DataFrame, key: list[str]) -> DataFrame:
+    """One row per key with all that ``profile`` needs, from one reading of
+    ``t``: rows are summed by key and day before they travel, days are put in
+    order within the key (as many rows as days, whatever the key's rows), and
+    summed. Two payments of one day are less than a day apart, so whole days
+    pass only from the last time of a day to the first of the next one."""
+    ts, amount = F.col("timestamp"), F.coalesce("amount", F.lit(0.0))
+    h = F.hour(ts)
+    spent = F.col("amount").isNotNull() & (F.col("amount") != 0) & ts.isNotNull()
+
+    def share(cond: Column) -> Column:
+        return F.sum(F.coalesce(cond.cast("double"), F.lit(0.0)))
+    days = t.groupBy(*key, F.to_date(ts).alias("_day")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"), F.var_pop(amount).alias("_var"), F.count(ts).alias("_nt"),
+        share(F.col("status") == "failed").alias("_failed"), share(F.col("status") == "success").alias("_succeeded"),
+        share((h < 6) | (h > 22)).alias("_night"), F.min(ts).alias("_from"), F.max(ts).alias("_to"),
+        share(F.col("disputed")).alias("_disputed"), share(F.col("refunded")).alias("_refunded"),
+        F.sum(F.when(F.coalesce(F.col("rating"), F.lit(0.0)) != 0, F.col("rating") / 5.0)
+               .when(F.coalesce("disputed", F.lit(False)), 0.1)
+               .when(F.coalesce("refunded", F.lit(False)), 0.2).otherwise(0.7)).alias("_sentiment"),
+        F.max((F.col("amount") > 50000).cast("int")).alias("_large"), *([] if "vpa" in key else [F.max("vpa").alias("_vpa")]),
+        F.count_if(spent).alias("_nv"), F.sum(F.when(spent, F.col("amount"))).alias("_v"))
+    month = F.when(F.col("_nv") > 0, F.date_format(F.col("_day"), "yyyy-MM"))
+    whole, order = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("_day")
+    d = days.withColumn("_month", month)
+    d = d.select("*", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mu"), F.lag("_to").over(order).alias("_before"),
+                 F.min("_month").over(whole).alias("_m1"), F.max("_month").over(whole).alias("_m2"),
+                 F.max("_month").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_m0"))
+    n, nt = F.sum("_n"), F.sum("_nt")
+    off = F.col("_s") / F.col("_n") - F.col("_mu")
+    new_month = F.col("_month").isNotNull() & (F.col("_m0").isNull() | (F.col("_month") > F.col("_m0")))
+    return d.groupBy(*key).agg(
+        n.alias("transaction_count"), F.sum("_s").alias("total_volume"), F.max("_mu").alias("_mu"),
+        F.sqrt(F.sum(F.col("_n") * (F.col("_var") + off * off)) / n).alias("_sd"),
+        (F.sum("_failed") / n).alias("_fail"), (F.sum("_succeeded") / n).alias("success_rate"), nt.alias("_n_timed"),
+        F.when(nt > 0, F.sum("_night") / nt).alias("night_share"), F.min("_from").alias("_first"), F.max("_to").alias("_last"),
+        (F.sum("_disputed") / n).alias("dispute_rate"), (F.sum("_refunded") / n).alias("refund_rate"),
+        (F.sum("_sentiment") / n).alias("user_sentiment"), F.max("_large").alias("_large"), F.max("vpa" if "vpa" in key else "_vpa").alias("_vpa"),
+        F.when(nt > 1, F.coalesce(F.sum(T.whole_days_between("_from", "_before")), F.lit(0)) / (nt - 1)).alias("mean_gap_days"),
+        F.count_if(new_month).alias("_months"), F.sum(F.when(F.col("_month") == F.col("_m1"), F.col("_v"))).alias("_first_v"),
+        F.sum(F.when(F.col("_month") == F.col("_m2"), F.col("_v"))).alias("_last_v"))
+
+
+def _frequency_score(n_timed: Column, gap: Column) -> Column:
+    return (F.when(n_timed < 2, 0.0).when(gap <= 1, 1.0).when(gap <= 7, 0.8).when(gap <= 30, 0.6)
+             .when(gap <= 90, 0.4).otherwise(0.2))
 
 
 def _fixed(x: Column, digits: int) -> Column:
