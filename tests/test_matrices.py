@@ -35,3 +35,30 @@ def test_forest_takes_values_that_are_not_finite(spark):
     assert got["d"][0] < 0 and 39 < got["a"][0] < math.inf and got["d"][0] > -math.inf
     parts = m.selectExpr("*", "n % 2 AS y", "'train' AS split")
     assert ML.fit(parts, ["x", "n"], numTrees=2, maxDepth=2).stages[-1].getNumTrees == 2
+
+
+def _counted(spark, n):
+    """Rows that count how often they are computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+    rows = spark.range(n).selectExpr("CAST(id AS STRING) AS transaction_id", "CAST(id % 2 AS DOUBLE) AS y", "CAST(id AS DOUBLE) AS x", "'test' AS split")
+    return rows.mapInPandas(value, rows.schema), seen
+
+
+def test_standardised_matrix_is_computed_once(spark):
+    rows, seen = _counted(spark, 50)
+    got = [r["x"] for r in MX.standardize(rows, ["x"]).collect()]
+    assert abs(sum(got)) < 1e-9 and seen.value == 50
+
+
+def test_rows_are_scored_once_for_all_metrics(spark):
+    rows, seen = _counted(spark, 50)
+
+    class Model:
+        def transform(self, d):
+            return d.selectExpr("*", "y AS prediction")
+    assert set(ML.evaluate(Model(), rows).values()) == {1.0} and seen.value == 50
