@@ -39,7 +39,7 @@ def test_profile_reads_its_input_once(spark):
         growth = {tuple(r[k] for k in key): r["growth_trend"] for r in A.growth(t, key).collect()}
         assert all(abs(growth[k] - got[k]["growth_trend"]) < 1e-9 for k in growth)
         plan = p._jdf.queryExecution().optimizedPlan().toString()
-        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1   # was 5
+        assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1
 
 
 def test_spending_summary_counts_beyond_the_quantile(spark):
@@ -56,7 +56,7 @@ def test_spending_summary_counts_beyond_the_quantile(spark):
         assert r["top_categories"] == "|".join(sorted(spent, key=lambda c: (-spent[c], c))[:5])
         assert abs(r["average_transaction"] - np.mean(amounts)) < 1e-9 and r["transaction_count"] == sum(x[1] == r["user_id"] for x in rows)
     plan = s._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3   # was 5
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
 
 
 def test_no_amounts_no_average(spark):
