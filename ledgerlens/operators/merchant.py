@@ -37,9 +37,10 @@ def _clamp01(c: Column) -> Column:
 def market_averages(t: DataFrame) -> DataFrame:
     """``market(category, average_transaction)``: mean amount per merchant
     business category over all rows (the peer benchmark the fairness test
-    compares against)."""
-    return (t.select(X.merchant_business_category("vpa").alias("category"), "amount")
-             .groupBy("category").agg(F.avg("amount").alias("average_transaction")))
+    compares against). ``t`` are payments, or their ``profile`` per VPA."""
+    mean = F.avg("amount") if "amount" in t.columns else F.when(F.sum("_n_paid") > 0, F.sum("total_volume") / F.sum("_n_paid"))
+    return (t.withColumn("category", X.merchant_business_category("vpa"))
+             .groupBy("category").agg(mean.alias("average_transaction")))
 
 
 def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str] = "vpa") -> DataFrame:
@@ -70,10 +71,15 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str]
         F.substring_index(F.col("_vpa"), "@", 1).alias("merchant_id"),
         X.business_name(F.col("_vpa")).alias("business_name"),
         X.merchant_business_category(F.col("_vpa")).alias("category"),
-        cv.alias("_cv"), F.col("_mu"), "night_share", F.when(known, F.col("mean_gap_days")).alias("mean_gap_days"),
+        cv.alias("_cv"), F.col("_mu"), "_n_paid", "night_share", F.when(known, F.col("mean_gap_days")).alias("mean_gap_days"),
         F.when(known, _frequency_score(F.col("_n_timed"), F.col("mean_gap_days"))).otherwise(0.0).alias("frequency_score"),
         F.when(known, A.growth_trend(n, F.col("_months"), F.col("_first_v"), F.col("_last_v"))).alias("growth_trend"),
     )
+    return priced(p, market)
+
+
+def priced(p: DataFrame, market: DataFrame | None) -> DataFrame:
+    """The profile with its pricing fairness against the market, if given."""
     if market is not None:
         p = p.join(market.withColumnRenamed("average_transaction", "_mkt"), "category", "left")
         ratio = F.col("_mu") / F.col("_mkt")
@@ -100,6 +106,7 @@ def _totals(t: DataFrame, key: list[str]) -> DataFrame:
         return F.sum(F.coalesce(cond.cast("double"), F.lit(0.0)))
     days = t.groupBy(*key, F.to_date(ts).alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"), F.var_pop(amount).alias("_var"), F.count(ts).alias("_nt"),
+        F.count("amount").alias("_na"),
         share(F.col("status") == "failed").alias("_failed"), share(F.col("status") == "success").alias("_succeeded"),
         share((h < 6) | (h > 22)).alias("_night"), F.min(ts).alias("_from"), F.max(ts).alias("_to"),
         share(F.col("disputed")).alias("_disputed"), share(F.col("refunded")).alias("_refunded"),
@@ -118,7 +125,7 @@ def _totals(t: DataFrame, key: list[str]) -> DataFrame:
     off = F.col("_s") / F.col("_n") - F.col("_mu")
     new_month = F.col("_month").isNotNull() & (F.col("_m0").isNull() | (F.col("_month") > F.col("_m0")))
     return d.groupBy(*key).agg(
-        n.alias("transaction_count"), F.sum("_s").alias("total_volume"), F.max("_mu").alias("_mu"),
+        n.alias("transaction_count"), F.sum("_s").alias("total_volume"), F.sum("_na").alias("_n_paid"), F.max("_mu").alias("_mu"),
         F.sqrt(F.sum(F.col("_n") * (F.col("_var") + off * off)) / n).alias("_sd"),
         (F.sum("_failed") / n).alias("_fail"), (F.sum("_succeeded") / n).alias("success_rate"), nt.alias("_n_timed"),
         F.when(nt > 0, F.sum("_night") / nt).alias("night_share"), F.min("_from").alias("_first"), F.max("_to").alias("_last"),
@@ -193,6 +200,10 @@ def insights(p: DataFrame) -> DataFrame:
                     F.array_join(rec, "|").alias("recommendations"))
 
 
+# of the profile, what pricing and competition read
+COMPETITION_COLUMNS = ["vpa", "category", "transaction_count", "total_volume", "service_quality", "_cv", "_mu", "_n_paid"]
+
+
 def competition(p: DataFrame) -> DataFrame:
     """M17/M18 re-aimed from constants: rank and share within the business
     category. The rank is counted over buckets of volumes, so a category that

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from ..functions import text as X
 from ..operators import merchant as M
+from ..session import cut_lineage
 from ..sources.adapters import pay
 from . import sqlx as S
 from .common import finish, rounded
@@ -175,7 +176,9 @@ SELECT vpa, category, percent_rank() OVER (PARTITION BY category ORDER BY total_
   total_volume / sum(total_volume) OVER (PARTITION BY category) AS market_share_estimate
 FROM p""", ["category_percentile", "price_competitiveness", "market_share_estimate"]))
 def q_merchant_competition(spark, sf):
-    return finish(M.competition(_profile(spark, sf)))
+    # the market, the shares and the ranks read the merchants, not the payments
+    p = cut_lineage(M.profile(pay(spark, sf)).select(*M.COMPETITION_COLUMNS))
+    return finish(M.competition(M.priced(p, M.market_averages(p))))
 
 
 @register("merchant_behavior", BASE + f""", hc AS (SELECT vpa, hour({_TS}) AS hr, count(*) AS c FROM pay WHERE {_TS} IS NOT NULL GROUP BY ALL),

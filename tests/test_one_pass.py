@@ -3,6 +3,7 @@ import datetime as dt
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import aggregates as A
 from ledgerlens.operators import merchant as M
@@ -64,3 +65,27 @@ def test_no_amounts_no_average(spark):
     r = A.spending_summary(t).first()
     assert (r["total_spending"], r["average_transaction"], r["transaction_count"], r["unusual_transactions"], r["top_categories"]) == (
         None, None, 1, 0, "other")
+
+
+def test_competition_reads_the_payments_once(spark, monkeypatch):
+    from ledgerlens.plans import q_merchant as Q
+    rows = _rows() + [("x", "u9", None, 5.0, None, "p", None, None, None, None), ("y", "u9", "once@z", None, None, "p", None, None, None, None)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    t = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(Q, "pay", lambda spark, sf: t.mapInArrow(value, t.schema))
+    got = sorted(map(tuple, Q.q_merchant_competition(spark, "").collect()), key=str)
+    assert seen.value == len(rows)
+    assert got == sorted(map(tuple, Q.finish(M.competition(M.profile(t, M.market_averages(t)))).collect()), key=str)
+
+
+def test_market_of_merchants_is_that_of_payments(spark):
+    t = spark.createDataFrame(_rows() + [("x", "u9", None, None, None, "p", None, None, None, None)], SCHEMA)
+    for d in (t, t.where(F.col("amount").isNull())):
+        want = {r[0]: r[1] for r in M.market_averages(d).collect()}
+        got = {r[0]: r[1] for r in M.market_averages(M.profile(d)).collect()}
+        assert got.keys() == want.keys() and all(got[k] == w if w is None else abs(got[k] - w) < 1e-9 * abs(w) for k, w in want.items())
