@@ -2,6 +2,7 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -46,6 +47,49 @@ def _sparse(spark):
                                        "timestamp timestamp_ntz, category string")
 
 
+@pytest.mark.parametrize("small", [0, 20, 512])
+def test_frames_of_small_and_large_keys(spark, monkeypatch, small):
+    """Keys read row by row, by hours, or both in one call: the same values,
+    also for a key that is null, repeated rows, parts and items."""
+    monkeypatch.setattr(W, "SMALL_KEY", small)
+    t = _sparse(spark)
+    t = t.unionByName(t.where("transaction_id < '3'").withColumn("user_id", F.lit(None).cast("string")).withColumn("transaction_id", F.concat(F.lit("n"), "transaction_id")))
+    us = t.withColumn("_us", T.epoch_micros("timestamp"))
+    day = 86400
+    own = Window.partitionBy("user_id").orderBy("_us")
+    week, month = own.rangeBetween(-7 * day * 10**6, -1), own.rangeBetween(-30 * day * 10**6, -1)
+    part = Window.partitionBy("user_id", "category").orderBy("_us").rangeBetween(-30 * day * 10**6, -1)
+    ref = us.select("transaction_id", *[F.coalesce(F.sum("amount").over(w), F.lit(0.0)).alias(f"r{n}") for n, w in (("s7", week), ("s30", month), ("p30", part))],
+                    F.max("amount").over(week).alias("rm7"), F.max("amount").over(month).alias("rm30"),
+                    F.size(F.collect_set("merchant_name").over(week)).alias("rd7"), F.size(F.collect_set("merchant_name").over(month)).alias("rd30"))
+    a, m = F.col("amount"), F.col("merchant_name")
+    got = W.rolling_stats(t, ["user_id"], "timestamp", "transaction_id", {"s7": (a, 7 * day), "s30": (a, 30 * day), "p30": (a, 30 * day, 1)},
+                          {"m7": (a, 7 * day), "m30": (a, 30 * day)}, {"d7": (m, 7 * day), "d30": (m, 30 * day)}, parts=[F.col("category")])
+    both = ref.join(got, "transaction_id").cache()
+    assert both.count() == t.count()
+    near = F.lit(False)
+    for c in ("s7", "s30", "p30"):
+        near = near | (F.abs(F.col(c) - F.col(f"r{c}")) > 1e-4)  # sums of 1e8 and more
+    for c in ("m7", "m30", "d7", "d30"):
+        near = near | ~F.col(c).eqNullSafe(F.col(f"r{c}"))
+    assert both.where(near).limit(3).collect() == []
+    now = W.rolling_stats(t, ["user_id"], "timestamp", "transaction_id", {"n": (F.lit(1), 7 * day)}, include_current=True)
+    want = us.select("transaction_id", F.count(F.lit(1)).over(own.rangeBetween(-7 * day * 10**6 + 1, 0)).alias("w"))
+    assert want.join(now, "transaction_id").where("n != w").count() == 0
+    twice = t.unionByName(t)
+    n = W.rolling_stats(twice, ["user_id"], "timestamp", "transaction_id", {"n": (F.lit(1), 7 * day)}).join(
+        us.select("transaction_id", F.count(F.lit(1)).over(week).alias("w")), "transaction_id")
+    assert n.where("n != 2 * w").count() == 0 and n.count() == t.count()
+
+
+def test_rows_of_small_keys_travel_once(spark):
+    """A key with few rows makes no events and no hours."""
+    t = _sparse(spark).where("user_id != 'hot'")
+    got = W.rolling_stats(t, ["user_id"], "timestamp", "transaction_id", {"s": (F.col("amount"), 7 * 86400)})
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_rolling_stats_match_range_windows(spark):
     for t, keys in ((_t(spark), ["merchant_name"]), (_sparse(spark), ["user_id"]), (_sparse(spark), ["merchant_name"])):
         us = t.withColumn("_us", T.epoch_micros("timestamp"))
