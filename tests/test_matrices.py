@@ -62,3 +62,26 @@ def test_rows_are_scored_once_for_all_metrics(spark):
         def transform(self, d):
             return d.selectExpr("*", "y AS prediction")
     assert set(ML.evaluate(Model(), rows).values()) == {1.0} and seen.value == 50
+
+
+def test_matrix_is_one_table_without_copies(spark):
+    """The matrix is read as packed columns; neither a persisted copy nor the
+    shuffle files of its job are left beside it."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = disk.getAllFiles()
+        return {files.apply(i).getName() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_")}
+    seen = []
+
+    def build(ids):
+        seen.append(shuffled())
+        return rows.repartition(5).select("transaction_id", "x", "z")
+    rows = spark.range(300).selectExpr("CAST(id AS STRING) AS transaction_id", "CAST(id AS DOUBLE) AS x", "IF(id % 3 = 0, NULL, id % 2) AS z", "CAST(id % 2 AS STRING) AS label")
+    persisted = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    parts, _ = ML.prepare(build, rows.select("transaction_id", "label"))
+    assert shuffled() <= seen[0]
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() <= persisted
+    assert parts.inputFiles() and all(f.endswith(".parquet") for f in parts.inputFiles())
+    assert sorted(map(str, parts.select("transaction_id", "x", "z", "label").collect())) == sorted(
+        map(str, rows.select("transaction_id", "x", "z", "label").collect())) and parts.where("split = 'train'").count() == 180
