@@ -43,11 +43,13 @@ def market_averages(t: DataFrame) -> DataFrame:
              .groupBy("category").agg(mean.alias("average_transaction")))
 
 
-def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str] = "vpa") -> DataFrame:
+def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str] = "vpa", series: bool = True) -> DataFrame:
     """One row per ``key``: "vpa" for the merchant as such, ["user_id",
-    "vpa"] for the merchant as one user knows it."""
+    "vpa"] for the merchant as one user knows it. Without ``series`` the
+    columns that need a key's days in order (gaps, frequency, growth) are left
+    out, for queries that do not read them."""
     key = [key] if isinstance(key, str) else list(key)
-    per = _totals(t, key)
+    per = _totals(t, key, series)
     # rows whose key is not known are no series in time
     known = reduce(lambda c, k: c & F.col(k).isNotNull(), key, F.lit(True))
     n = F.col("transaction_count")
@@ -71,10 +73,11 @@ def profile(t: DataFrame, market: DataFrame | None = None, key: str | list[str]
         F.substring_index(F.col("_vpa"), "@", 1).alias("merchant_id"),
         X.business_name(F.col("_vpa")).alias("business_name"),
         X.merchant_business_category(F.col("_vpa")).alias("category"),
-        cv.alias("_cv"), F.col("_mu"), "_n_paid", "night_share", F.when(known, F.col("mean_gap_days")).alias("mean_gap_days"),
-        F.when(known, _frequency_score(F.col("_n_timed"), F.col("mean_gap_days"))).otherwise(0.0).alias("frequency_score"),
-        F.when(known, A.growth_trend(n, F.col("_months"), F.col("_first_v"), F.col("_last_v"))).alias("growth_trend"),
-    )
+        cv.alias("_cv"), F.col("_mu"), "_n_paid", "night_share", *([
+            F.when(known, F.col("mean_gap_days")).alias("mean_gap_days"),
+            F.when(known, _frequency_score(F.col("_n_timed"), F.col("mean_gap_days"))).otherwise(0.0).alias("frequency_score"),
+            F.when(known, A.growth_trend(n, F.col("_months"), F.col("_first_v"), F.col("_last_v"))).alias("growth_trend"),
+        ] if series else []))
     return priced(p, market)
 
 
@@ -92,19 +95,20 @@ def priced(p: DataFrame, market: DataFrame | None) -> DataFrame:
     return p.withColumn("pricing_fairness", fair)
 
 
-def _totals(t: DataFrame, key: list[str]) -> DataFrame:
+def _totals(t: DataFrame, key: list[str], series: bool = True) -> DataFrame:
     """One row per key with all that ``profile`` needs, from one reading of
     ``t``: rows are summed by key and day before they travel, days are put in
     order within the key (as many rows as days, whatever the key's rows), and
     summed. Two payments of one day are less than a day apart, so whole days
-    pass only from the last time of a day to the first of the next one."""
+    pass only from the last time of a day to the first of the next one. Without
+    ``series`` rows are summed by key alone and nothing is put in order."""
     ts, amount = F.col("timestamp"), F.coalesce("amount", F.lit(0.0))
     h = F.hour(ts)
     spent = F.col("amount").isNotNull() & (F.col("amount") != 0) & ts.isNotNull()
 
     def share(cond: Column) -> Column:
         return F.sum(F.coalesce(cond.cast("double"), F.lit(0.0)))
-    days = t.groupBy(*key, F.to_date(ts).alias("_day")).agg(
+    days = t.groupBy(*key, *([F.to_date(ts).alias("_day")] if series else [])).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(amount).alias("_s"), F.var_pop(amount).alias("_var"), F.count(ts).alias("_nt"),
         F.count("amount").alias("_na"),
         share(F.col("status") == "failed").alias("_failed"), share(F.col("status") == "success").alias("_succeeded"),
@@ -115,22 +119,27 @@ def _totals(t: DataFrame, key: list[str]) -> DataFrame:
                .when(F.coalesce("refunded", F.lit(False)), 0.2).otherwise(0.7)).alias("_sentiment"),
         F.max((F.col("amount") > 50000).cast("int")).alias("_large"), *([] if "vpa" in key else [F.max("vpa").alias("_vpa")]),
         F.count_if(spent).alias("_nv"), F.sum(F.when(spent, F.col("amount"))).alias("_v"))
-    month = F.when(F.col("_nv") > 0, F.date_format(F.col("_day"), "yyyy-MM"))
-    whole, order = Window.partitionBy(*key), Window.partitionBy(*key).orderBy("_day")
-    d = days.withColumn("_month", month)
-    d = d.select("*", (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mu"), F.lag("_to").over(order).alias("_before"),
-                 F.min("_month").over(whole).alias("_m1"), F.max("_month").over(whole).alias("_m2"),
-                 F.max("_month").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_m0"))
     n, nt = F.sum("_n"), F.sum("_nt")
     off = F.col("_s") / F.col("_n") - F.col("_mu")
-    new_month = F.col("_month").isNotNull() & (F.col("_m0").isNull() | (F.col("_month") > F.col("_m0")))
-    return d.groupBy(*key).agg(
+    whole = Window.partitionBy(*key)
+    mean = (F.sum("_s").over(whole) / F.sum("_n").over(whole)).alias("_mu")
+    outs = [
         n.alias("transaction_count"), F.sum("_s").alias("total_volume"), F.sum("_na").alias("_n_paid"), F.max("_mu").alias("_mu"),
         F.sqrt(F.sum(F.col("_n") * (F.col("_var") + off * off)) / n).alias("_sd"),
         (F.sum("_failed") / n).alias("_fail"), (F.sum("_succeeded") / n).alias("success_rate"), nt.alias("_n_timed"),
         F.when(nt > 0, F.sum("_night") / nt).alias("night_share"), F.min("_from").alias("_first"), F.max("_to").alias("_last"),
         (F.sum("_disputed") / n).alias("dispute_rate"), (F.sum("_refunded") / n).alias("refund_rate"),
-        (F.sum("_sentiment") / n).alias("user_sentiment"), F.max("_large").alias("_large"), F.max("vpa" if "vpa" in key else "_vpa").alias("_vpa"),
+        (F.sum("_sentiment") / n).alias("user_sentiment"), F.max("_large").alias("_large"), F.max("vpa" if "vpa" in key else "_vpa").alias("_vpa")]
+    if not series:
+        return days.select("*", mean).groupBy(*key).agg(*outs)
+    order = whole.orderBy("_day")
+    d = days.withColumn("_month", F.when(F.col("_nv") > 0, F.date_format(F.col("_day"), "yyyy-MM")))
+    d = d.select("*", mean, F.lag("_to").over(order).alias("_before"),
+                 F.min("_month").over(whole).alias("_m1"), F.max("_month").over(whole).alias("_m2"),
+                 F.max("_month").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("_m0"))
+    new_month = F.col("_month").isNotNull() & (F.col("_m0").isNull() | (F.col("_month") > F.col("_m0")))
+    return d.groupBy(*key).agg(
+        *outs,
         F.when(nt > 1, F.coalesce(F.sum(T.whole_days_between("_from", "_before")), F.lit(0)) / (nt - 1)).alias("mean_gap_days"),
         F.count_if(new_month).alias("_months"), F.sum(F.when(F.col("_month") == F.col("_m1"), F.col("_v"))).alias("_first_v"),
         F.sum(F.when(F.col("_month") == F.col("_m2"), F.col("_v"))).alias("_last_v"))

@@ -177,7 +177,7 @@ SELECT vpa, category, percent_rank() OVER (PARTITION BY category ORDER BY total_
 FROM p""", ["category_percentile", "price_competitiveness", "market_share_estimate"]))
 def q_merchant_competition(spark, sf):
     # the market, the shares and the ranks read the merchants, not the payments
-    p = cut_lineage(M.profile(pay(spark, sf)).select(*M.COMPETITION_COLUMNS))
+    p = cut_lineage(M.profile(pay(spark, sf), series=False).select(*M.COMPETITION_COLUMNS))
     return finish(M.competition(M.priced(p, M.market_averages(p))))
 
 

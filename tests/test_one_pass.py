@@ -89,3 +89,14 @@ def test_market_of_merchants_is_that_of_payments(spark):
         want = {r[0]: r[1] for r in M.market_averages(d).collect()}
         got = {r[0]: r[1] for r in M.market_averages(M.profile(d)).collect()}
         assert got.keys() == want.keys() and all(got[k] == w if w is None else abs(got[k] - w) < 1e-9 * abs(w) for k, w in want.items())
+
+
+def test_profile_without_series_has_the_same_columns(spark):
+    t = spark.createDataFrame(_rows(), SCHEMA)
+    whole, part = M.profile(t), M.profile(t, series=False)
+    assert sorted({*whole.columns} - {*part.columns}) == ["frequency_score", "growth_trend", "mean_gap_days"]
+    want = {r["vpa"]: r for r in whole.collect()}
+    for r in part.collect():
+        for c in part.columns:
+            w = want[r["vpa"]][c]
+            assert abs(r[c] - w) < 1e-9 * max(1, abs(w)) if isinstance(w, float) else r[c] == w, c
