@@ -85,3 +85,18 @@ def test_matrix_is_one_table_without_copies(spark):
     assert parts.inputFiles() and all(f.endswith(".parquet") for f in parts.inputFiles())
     assert sorted(map(str, parts.select("transaction_id", "x", "z", "label").collect())) == sorted(
         map(str, rows.select("transaction_id", "x", "z", "label").collect())) and parts.where("split = 'train'").count() == 180
+
+
+def test_training_reads_a_table_file_by_file(spark):
+    """As many tasks as the job that wrote the table had, whatever the cores."""
+    from ledgerlens.session import file_by_file, stored
+    key = "spark.sql.files.minPartitionNum"
+    old, n = spark.conf.get(key, None), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        rows = stored(spark.range(4000).selectExpr("id % 1000 AS id").groupBy("id").count(), "files")
+        with file_by_file(spark):
+            assert rows.where("id >= 0").rdd.getNumPartitions() == 23
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    assert spark.conf.get(key, None) == old and rows.count() == 1000
